@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passwatch.llm import bpe
-from passwatch.llm.common import table
+from passwatch.llm import bpe, pii, quality, simhash, warc
+from passwatch.llm.common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -22,5 +22,39 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_bpe": op4_bpe}
-ORACLES: dict[str, str] = {}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    ranker = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = quality.score(docs, ranker, "text", ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = written(simhash.fingerprints(table(spark, sf_dir, "documents"), "text", ["doc_id"], width=3), "simhash")
+    return simhash.grouped(prints, "doc_id", budget=2).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), "page_id", "url", "html", least_bytes=0)
+    return warc.read(archives).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The digest in base32: of each five hex digits, four groups of five bits.
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform(range(0, 4), lambda k:
+   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((list_sum(list_transform(range(0, 5), lambda j:
+   (instr('0123456789ABCDEF', substr(h, CAST(g * 5 + j + 1 AS INT), 1)) - 1) * CAST(power(16, 4 - j) AS BIGINT))) // CAST(power(32, 3 - k) AS BIGINT)) % 32)::INT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM m
+"""
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_quality": op5_quality, "op7_simhash": op7_simhash, "op8_pii": op8_pii, "op10_warc": op10_warc}
+ORACLES: dict[str, str] = {"op10_warc": OP10_SQL}
