@@ -6,12 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passwatch.llm import bpe, pii, quality, simhash, warc
+from passwatch.llm import bpe, decontaminate, embeddings, html, licenses, pii, quality, simhash, warc
 from passwatch.llm.common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.grouped(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+reach(node, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.y, r.root FROM reach r JOIN pairs p ON p.x = r.node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+links AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT e.vec_id, coalesce(l.n, 0) AS n_links, r.root AS component_id, r.root = e.vec_id AS kept
+FROM embeddings e JOIN roots r ON r.node = e.vec_id LEFT JOIN links l ON l.x = e.vec_id
+"""
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode(table(spark, sf_dir, "documents"), "text", VOCABULARY, public_tokenizers.PATTERN, ["doc_id"], decoded="decoded")
     return done.select(
@@ -30,6 +51,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(simhash.fingerprints(table(spark, sf_dir, "documents"), "text", ["doc_id"], width=3), "simhash")
     return simhash.grouped(prints, "doc_id", budget=2).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -40,6 +65,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html.extract(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(table(spark, sf_dir, "pages"), "page_id", "url", "html", least_bytes=0)
     return warc.read(archives).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,5 +86,15 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to FROM m
 """
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_quality": op5_quality, "op7_simhash": op7_simhash, "op8_pii": op8_pii, "op10_warc": op10_warc}
-ORACLES: dict[str, str] = {"op10_warc": OP10_SQL}
+QUERIES = {
+    "op2_embeddings": op2_embeddings,
+    "op3_licenses": op3_licenses,
+    "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_simhash": op7_simhash,
+    "op8_pii": op8_pii,
+    "op9_html": op9_html,
+    "op10_warc": op10_warc,
+}
+ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op3_licenses": licenses.oracle_sql(), "op10_warc": OP10_SQL}
