@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passwatch.llm import bpe, decontaminate, embeddings, html, licenses, pii, quality, simhash, warc
+from passwatch.llm import bpe, decontaminate, embeddings, html, licenses, pii, quality, repeats, simhash, warc
 from passwatch.llm.common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.deduplicate(table(spark, sf_dir, "documents"), window=200)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["b"] - s["a"])
+    return done.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.grouped(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -87,6 +93,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 """
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_embeddings": op2_embeddings,
     "op3_licenses": op3_licenses,
     "op4_bpe": op4_bpe,
