@@ -95,9 +95,9 @@ class Items:
             # the same item on the same diagonal of the same document is one case, however many seeds hit
             shift = word - (at[place] - self.bounds[item]) - bounds[doc]
             diagonals.append(np.stack([doc, item, shift]))
-        if not diagonals:
+        doc, item, shift = np.unique(np.concatenate([np.zeros((3, 0), np.int64), *diagonals], axis=1), axis=1)
+        if not len(doc):
             return tuple(np.zeros(0, np.int64) for _ in range(5))
-        doc, item, shift = np.unique(np.concatenate(diagonals, axis=1), axis=1)
         out = []
         for a in range(0, len(doc), 20_000):
             out.append(self.verify(codes, bounds, doc[a : a + 20_000], item[a : a + 20_000], shift[a : a + 20_000]))
