@@ -53,7 +53,7 @@ SELECT det_id, 1 + det_id % (SELECT COUNT(*) FROM supplier) AS scene_no, type, l
     "tiles_raw": """
 SELECT CAST(p_partkey AS BIGINT) AS stem, p_name AS body FROM part""",
     "box_labels": """
-SELECT det_id % 2500 AS stem, CAST(det_id % 4 AS INT) AS cls, (x1 + x2) / 2.0E0 / 640.0E0 AS cx, (y1 + y2) / 2.0E0 / 640.0E0 AS cy, (x2 - x1) / 640.0E0 AS w, (y2 - y1) / 640.0E0 AS h FROM detections WHERE det_id % 2500 % 5 <> 0""",
+SELECT det_id, det_id % 2500 AS stem, CAST(det_id % 4 AS INT) AS cls, (x1 + x2) / 2.0E0 / 640.0E0 AS cx, (y1 + y2) / 2.0E0 / 640.0E0 AS cy, (x2 - x1) / 640.0E0 AS w, (y2 - y1) / 640.0E0 AS h FROM detections WHERE det_id % 2500 % 5 <> 0""",
     "chunks": """
 SELECT doc_id AS id, source AS category, SPLIT_PART(text, CHR(10), 1) AS title, text AS content FROM documents""",
     "vectors": """
@@ -72,6 +72,11 @@ def rendered(text: str, dialect: dict[str, str]) -> str:
     return re.sub(r"\{iso:([^}]*)\}", lambda m: dialect["iso"].format(m[1]), text)
 
 
+def rounded(x: str, digits: int) -> str:
+    """DuckDB text that rounds a double half up by its shortest decimal form, as Spark does."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
 def needs(text: str) -> list[str]:
     """The views that a text reads, those that they need first."""
     out: list[str] = []

@@ -47,12 +47,10 @@ def sessions(detections: DataFrame, gap: str = "3 hours", key: str = "cell") ->
 
 
 class Recurrence(StatefulProcessor):
-    """Counts the detections of a cell; the state of a cell that stays quiet expires."""
-
-    TTL_MS = 30 * 24 * 3600 * 1000
+    """Counts the detections of a cell. The state is one number for each cell of the grid, so it is bounded by the area watched."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long", ttlDurationMs=self.TTL_MS)
+        self.seen = handle.getValueState("seen", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         before = self.seen.get()[0] if self.seen.exists() else 0
