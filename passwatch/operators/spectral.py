@@ -80,6 +80,11 @@ def dominant_bands(contributions: DataFrame, n: int = 2) -> DataFrame:
     return contributions.groupBy("det_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(one)), 1, n), lambda x: x["band"]), ", ").alias("dominant_bands"))
 
 
+def steady(x: Column, digits: int) -> Column:
+    """Rounded so that a tie goes up whatever the order of the sums behind it."""
+    return F.round(x + 1e-9, digits)
+
+
 def spectral_strength() -> Column:
     return F.least(F.greatest((F.abs("c_b8") + F.abs("c_b11") + F.abs("c_b12")) / 3 * 3.0, F.lit(0.0)), F.lit(1.0))
 
@@ -88,7 +93,7 @@ def confidence_breakdown(means: DataFrame, boxes: DataFrame) -> DataFrame:
     """det_id, model_score, spectral_strength, combined_estimate and quality."""
     s = spectral_strength()
     rows = means.join(boxes.select("det_id", "conf"), "det_id")
-    return rows.select("det_id", F.round("conf", 3).alias("model_score"), F.round(s, 3).alias("spectral_strength"), F.round((F.col("conf") + s) / 2, 3).alias("combined_estimate"), detection_quality(F.col("conf"), s).alias("quality"))
+    return rows.select("det_id", steady(F.col("conf"), 3).alias("model_score"), steady(s, 3).alias("spectral_strength"), steady((F.col("conf") + s) / 2, 3).alias("combined_estimate"), detection_quality(F.col("conf"), s).alias("quality"))
 
 
 def spectral_signature(means: DataFrame, boxes: DataFrame) -> DataFrame:

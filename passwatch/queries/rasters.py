@@ -151,7 +151,7 @@ def dominant_bands(m):
     return spectral.dominant_bands(spectral.band_contribution(means(m)))
 
 
-@query(f"WITH {MEANS} SELECT det_id, round(conf, 3) AS model_score, round({STRENGTH}, 3) AS spectral_strength, round((conf + {STRENGTH}) / 2, 3) AS combined_estimate FROM means")
+@query(f"WITH {MEANS} SELECT det_id, round(conf + 1e-9, 3) AS model_score, round({STRENGTH} + 1e-9, 3) AS spectral_strength, round((conf + {STRENGTH}) / 2 + 1e-9, 3) AS combined_estimate FROM means")
 def confidence_breakdown(m):
     return spectral.confidence_breakdown(means(m), m.boxes).drop("quality")
 
