@@ -49,7 +49,7 @@ def tile_scene(pixels: DataFrame, size: int = 64, overlap: int = 0, height: int
     def cut(at: str, length: int, name: str, place: str, df: DataFrame) -> DataFrame:
         if pad:
             last = -(-length // step) * step - step + size
-            mirrored = F.array(F.col(at), 2 * (length - 1) - F.col(at))
+            mirrored = F.array_distinct(F.array(F.col(at), 2 * (length - 1) - F.col(at)))
             df = df.withColumn("__p", F.explode(F.filter(mirrored, lambda v: (v < last) & ((v == F.col(at)) | (v >= length)))))
         else:
             df = df.withColumn("__p", F.col(at))
