@@ -13,7 +13,6 @@ each for itself; other columns are not read, so their names cannot clash (the tw
 from __future__ import annotations
 
 import base64
-import gc
 import re
 from heapq import heappop, heappush
 from itertools import chain
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from passwatch.llm.common import map_arrow, texts_of
 
 #: A worker keeps the ids of at most about three times this many different pre-tokens, each of at most CACHED_LENGTH characters.
-CACHE_SIZE = 350_000
+CACHE_SIZE = 250_000
 CACHED_LENGTH = 48
 #: Pre-tokens of at most LANE_BYTES bytes are merged LANES at a time in lock-step; longer ones one by one.
 LANES = 4096
@@ -102,8 +101,8 @@ class Lanes:
         lane, rank = lane[empty], rank[empty]
         self.top[lane] &= ~ONE[rank >> 12]
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of at most LANES pieces of 1 to LANE_BYTES bytes."""
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids (int32 bytes) of at most LANES pieces of 1 to LANE_BYTES bytes."""
         size = np.array([len(p) for p in pieces])
         wide, n = int(size.max()), len(pieces)
         inside = np.arange(wide) < size[:, None]
@@ -150,7 +149,7 @@ class Lanes:
                 self.push(k[new], got[new])
             lane = lane[self.top[lane] != 0]
         alive = part >= 0
-        ids, edge = part[alive].tolist(), np.concatenate([[0], np.cumsum(alive.sum(axis=1))]).tolist()
+        ids, edge = part[alive].astype(np.int32).tobytes(), (4 * np.concatenate([[0], np.cumsum(alive.sum(axis=1))])).tolist()
         return [ids[a:b] for a, b in zip(edge, edge[1:])]
 
 
@@ -159,8 +158,8 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.young: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.young: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.wide = regex.compile(pattern).findall
         self.latin = re.compile(latin_form(pattern)).findall
         size = max(ranks.values(), default=0) + 1
@@ -259,25 +258,26 @@ class Codec:
             i = after[i]
         return out
 
-    def ids_of(self, new: list[str]) -> dict[str, list[int]]:
-        """The ids of each of some different pre-tokens."""
+    def ids_of(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of each of some different pre-tokens, as int32 bytes."""
         out, short = {}, []
+        packed = lambda ids: np.array(ids, np.int32).tobytes()
         for text in new:
             piece = text.encode()
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[text] = [whole]
+                out[text] = packed([whole])
             elif len(piece) <= LANE_BYTES:
                 short.append((len(piece), text, piece))
             else:
-                out[text] = self.merge(piece)
+                out[text] = packed(self.merge(piece))
         short.sort()
         for a in range(0, len(short), LANES):
             run = short[a : a + LANES]
             out.update(zip((text for _, text, _ in run), self.lanes.encode([piece for _, _, piece in run])))
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Memory follows the texts given at once."""
         split = list(map(self.split, texts))
         absent = set().union(*split).difference(self.young)
@@ -286,13 +286,13 @@ class Codec:
         long = {p: known.pop(p) for p in [p for p in known if len(p) > CACHED_LENGTH]}
         self.young.update(known)
         get = (self.young | long if long else self.young).__getitem__
-        out = [list(chain.from_iterable(map(get, pieces))) for pieces in split]
+        out = [np.frombuffer(b"".join(map(get, pieces)), np.int32) for pieces in split]
         if len(self.young) > CACHE_SIZE:
             self.older, self.young = self.young, {}
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -301,7 +301,6 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a vocabulary file of base64 tokens and ranks, once for each Python worker."""
     if (path, pattern) not in _CODECS:
-        gc.disable()  # the caches hold millions of small lists and no cycles: collections would only walk them
         with open(path, "rb") as file:
             _CODECS[path, pattern] = Codec({base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}, pattern)
     return _CODECS[path, pattern]
@@ -318,7 +317,8 @@ def encode(df: DataFrame, text: str, vocabulary: str, pattern: str, keep: list[s
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(vocabulary, pattern)
         rows = own.encode(texts_of(batch.column(len(keep))))
-        out = [*batch.columns[: len(keep)], pa.array(rows, pa.list_(pa.int32()))]
+        edge = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        out = [*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))]
         if decoded:
             out.append(pa.array(list(map(own.decode, rows)), pa.binary()))
         return pa.record_batch(out, [*keep, ids] + [decoded] * bool(decoded))
@@ -334,7 +334,7 @@ def decode(df: DataFrame, ids: str, vocabulary: str, pattern: str, keep: list[st
     def run(batches):
         for batch in batches:
             own = codec(vocabulary, pattern)
-            rows = [own.decode(r or []) for r in batch.column(len(keep)).to_pylist()]
+            rows = [own.decode(np.array(r or [], np.int32)) for r in batch.column(len(keep)).to_pylist()]
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(rows, pa.binary())], [*keep, decoded])
 
     return df.select(*keep, ids).mapInArrow(run, schema)
