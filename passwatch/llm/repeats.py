@@ -35,7 +35,7 @@ WINDOW = 200
 GRAM = 48
 STRIDE = 200  # most windows in a segment
 MOST = 2048
-COLLECTION = 256
+COLLECTION = 512
 END = 0xFF  # never a byte of UTF-8
 NO_ID = -(1 << 63)
 
@@ -88,15 +88,14 @@ def window_runs(pieces: list[bytes], window: int) -> list[list[tuple[int, int]]]
     l = np.zeros(n, np.uint8)
     row = np.arange(n)  # where each piece's newest suffix stands
     live = np.arange(n)
+    count = np.bincount(b, minlength=256)  # of each symbol in the transform
     top = np.uint8(window - 1)
     length = 0
     while len(live):
         length += 1
         order = np.argsort(b, kind="stable")
-        rank = np.empty(len(b), np.int64)
-        rank[order] = np.arange(len(b))
         at = row[live]
-        new = rank[at]
+        new = sought(order, np.cumsum(count) - count, count, b[at], at)
         by = np.argsort(new)
         live, at, new = live[by], at[by], new[by]
         symbol = b[at]
@@ -118,6 +117,7 @@ def window_runs(pieces: list[bytes], window: int) -> list[list[tuple[int, int]]]
         common[new] = left
         common[new[has_after] + 1] = right
         b, l = bigger, common
+        count += np.bincount(b[new], minlength=256)
         row[live] = new
         live = live[more]
     # from each piece's empty suffix back to its front, one symbol a step
@@ -140,6 +140,16 @@ def window_runs(pieces: list[bytes], window: int) -> list[list[tuple[int, int]]]
     return out
 
 
+def sought(order: np.ndarray, begin: np.ndarray, count: np.ndarray, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the rows `at` of the given symbols stand in `order`, which holds the rows of each symbol in ascending order."""
+    low, high = begin[symbol], begin[symbol] + count[symbol]
+    for _ in range(int(count.max()).bit_length()):
+        middle = (low + high) >> 1
+        beyond = order[middle] > at
+        low, high = np.where(beyond, low, middle), np.where(beyond, middle, high)
+    return low
+
+
 def least(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """The minimum of values[start:stop] of each range; no range is empty."""
     if not len(start):
