@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from passwatch.llm.common import map_arrow, texts_of
 
 #: A worker keeps the ids of at most about three times this many different pre-tokens, each of at most CACHED_LENGTH characters.
-CACHE_SIZE = 250_000
+CACHE_SIZE = 150_000
 CACHED_LENGTH = 48
 #: Pre-tokens of at most LANE_BYTES bytes are merged LANES at a time in lock-step; longer ones one by one.
 LANES = 4096

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to a kernel in slices of about this many bytes, so that a task's memory follows the slice and the
 #: longest text, not the partition.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,6 +9,11 @@ pair of pieces. Within a bucket the trie of the sorted fingerprints is walked by
 carries the bits in which its two prefixes differ and is dropped once they exceed the budget. A bucket beyond BLOCK classes is cut into
 blocks, and pairs of blocks are dealt out instead. A bucket gives a spanning set of its links, not all of them.
 
+Two bits apart means a similarity of about 0.98, so a budget of two misses most near copies at a similarity of 0.8. near() serves that
+similarity: a sketch of SKETCH words of 64 such bits, whose first word walks the tries (budget NEAR_BUDGET) and whose other words settle
+a pair by the share of bits that differ. Classes meet in buckets of shared runs of words: each text is cut after words by their hash,
+into about eight words a run, and dealt by the RUNS runs of the smallest hashes.
+
 Edge cases: null and blank texts have fingerprint 0 and link with each other and with near fingerprints like any other;
 repeated rows of one id stay rows of their own; an empty table gives an empty result; other columns are not read.
 """
@@ -23,43 +28,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passwatch.llm.common import LOWER, SPACE, components, joined_bytes, map_arrow, star_of, words_of
+from passwatch.llm.common import LOWER, SPACE, components, joined_bytes, map_arrow, mix, prefix_hash, range_hash, star_of, words_of, written
 
 SEED = 42
 BLOCK = 1024
-_SPLIT_BLOCKS = 1 << 16
+SKETCH = 16
+NEAR_BUDGET = 20
+RUNS = 8
+#: The bits of each byte as eight 8-bit counters of a 64-bit word.
+COUNTERS = np.zeros(256, np.uint64)
+for _bit in range(8):
+    COUNTERS |= ((np.arange(256, dtype=np.uint64) >> np.uint64(_bit)) & np.uint64(1)) << np.uint64(8 * _bit)
 
 
 def fingerprint_bits(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The majority fingerprint of each run hashes[bounds[i]:bounds[i + 1]]; an empty run gives 0."""
-    n = len(bounds) - 1
-    out = np.zeros(n, np.uint64)
+    """The majority fingerprint of each run hashes[bounds[i]:bounds[i + 1]]; an empty run gives 0.
+
+    Bits are counted 255 hashes at a time in eight-bit counters, eight to a word, and these sums are then added up.
+    """
+    out = np.zeros(len(bounds) - 1, np.uint64)
     size = np.diff(bounds)
     full = np.flatnonzero(size)
     if not len(full):
         return out
-    for a in range(0, len(full), 256):  # bits are unpacked for a few texts at a time
-        part = full[a : a + 256]
-        lo, hi = bounds[part[0]], bounds[part[-1] + 1]
-        ones = np.zeros((len(part), 64), np.int64)
-        for b in range(lo, hi, _SPLIT_BLOCKS):
-            c = min(b + _SPLIT_BLOCKS, hi)
-            bits = np.unpackbits(hashes[b:c].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            first = np.searchsorted(bounds[part], b, side="right") - 1
-            last = np.searchsorted(bounds[part], c, side="left")
-            starts = np.maximum(bounds[part[first:last]], b) - b
-            ones[first:last] += np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        out[part] = np.packbits(ones * 2 > size[part][:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    parts = -(-size[full] // 255)
+    begin = np.cumsum(parts) - parts
+    first = np.repeat(bounds[:-1][full], parts) + 255 * (np.arange(parts.sum()) - np.repeat(begin, parts))
+    sums = np.empty((len(first), 64), np.uint8)
+    a = 0
+    while a < len(first):
+        b = int(np.searchsorted(first, first[a] + (1 << 15)))
+        end = first[b] if b < len(first) else len(hashes)
+        counted = COUNTERS[hashes[first[a] : end].view(np.uint8).reshape(-1, 8)]
+        sums[a:b] = np.add.reduceat(counted, first[a:b] - first[a], axis=0).view(np.uint8)
+        a = b
+    ones = np.add.reduceat(sums, begin, axis=0, dtype=np.int64)
+    out[full] = np.packbits(ones * 2 > size[full][:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
-    """The fingerprint of each text of a joined byte array."""
+def shingled(data: np.ndarray, offsets: np.ndarray, width: int):
+    """Hashes and bounds of the shingles of each text; the words, each followed by one blank, with their starts and owners."""
     start, end, owner = words_of(data, offsets, ~SPACE)
     n = len(offsets) - 1
-    # words of all texts, each followed by one blank
-    length = end - start
-    at = np.concatenate([[0], np.cumsum(length + 1)])
+    at = np.concatenate([[0], np.cumsum(end - start + 1)])
     flat = np.full(at[-1], 0x20, np.uint8)
     inside = np.ones(at[-1], bool)
     inside[at[1:] - 1] = False
@@ -73,9 +85,32 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int) -> np.nda
     stop = np.minimum(begin + width, first[which + 1])
     text, digest = flat.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(at[begin].tolist(), (at[stop] - 1).tolist())), np.uint64, bounds[-1])
+    return hashes, bounds, flat, at, owner
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """The fingerprint of each text of a joined byte array."""
+    hashes, bounds, *_ = shingled(data, offsets, width)
     return fingerprint_bits(hashes, bounds)
 
 
+def sketches_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SKETCH words of bits of each text, and the RUNS smallest hashes of its runs of words with their text numbers."""
+    hashes, bounds, flat, at, owner = shingled(data, offsets, width)
+    words = [fingerprint_bits(hashes if k == 0 else mix(hashes + np.uint64(0xD1B54A32D192ED03 * k & (1 << 64) - 1)), bounds) for k in range(SKETCH)]
+    prefix = prefix_hash(flat)
+    code = range_hash(prefix, at[:-1], at[1:] - 1)
+    last = np.flatnonzero((code % np.uint64(8) == 0) | np.append(owner[1:] != owner[:-1], True)[: len(owner)])
+    head = np.concatenate([[0], last[:-1] + 1])[: len(last)]
+    run, text = range_hash(prefix, at[head], at[last + 1] - 1), owner[last]
+    order = np.lexsort([run, text])
+    run, text = run[order], text[order]
+    new = np.append(True, (run[1:] != run[:-1]) | (text[1:] != text[:-1]))[: len(run)]
+    run, text = run[new], text[new]
+    rank = np.arange(len(text)) - np.searchsorted(text, text)
+    return np.stack(words, axis=1), run[rank < RUNS], text[rank < RUNS]
+
+
 def fingerprints(df: DataFrame, text: str, keep: list[str], width: int = 3, name: str = "fingerprint") -> DataFrame:
     """The columns `keep` and the fingerprint of `text` as a long (the same 64 bits)."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [f"`{name}` long"])
@@ -99,6 +134,7 @@ def trie_pairs(prints: np.ndarray, group: np.ndarray, other: np.ndarray, budget:
     met = group[lo[mate]] == other[lo]
     a0, a1, b0, b1 = lo[met], hi[met], lo[mate[met]], hi[mate[met]]
     gap = np.zeros(len(a0), np.int64)
+    done = []
     for depth in range(63, -1, -1):
         if not len(a0):
             break
@@ -114,8 +150,12 @@ def trie_pairs(prints: np.ndarray, group: np.ndarray, other: np.ndarray, budget:
             ok &= ~((x0 == y0) & (x1 == y1) & (x1 - x0 == 1))  # a leaf with itself
             next_.append((x0[ok], x1[ok], y0[ok], y1[ok], gap[ok] + differs))
         a0, a1, b0, b1, gap = (np.concatenate(c) for c in zip(*next_))
-    left = np.repeat(a0, a1 - a0)
-    return left, np.repeat(b0, a1 - a0) if len(b0) else left
+        # two leaves: the rest of their bits at once
+        leaves = (a1 - a0 == 1) & (b1 - b0 == 1)
+        near_ = np.bitwise_count(prints[a0[leaves]] ^ prints[b0[leaves]]) <= budget
+        done.append((a0[leaves][near_], b0[leaves][near_]))
+        a0, a1, b0, b1, gap = (c[~leaves] for c in (a0, a1, b0, b1, gap))
+    return tuple(np.concatenate(c) for c in zip((a0, b0), *done))
 
 
 def pieces(budget: int) -> list[tuple[int, int]]:
@@ -133,29 +173,71 @@ def bucketed(classes: DataFrame, budget: int) -> DataFrame:
     return classes.select("fingerprint", F.explode(F.array(*keys)).alias("bucket"))
 
 
-def links(classes: DataFrame, budget: int = 2, block: int = BLOCK) -> DataFrame:
-    """Links a, b between fingerprints (a column of distinct longs) within `budget` bits: a spanning set of every bucket's."""
-    dealt = bucketed(classes, budget)
+def in_blocks(dealt: DataFrame, node: str, columns: list[str], block: int) -> DataFrame:
+    """Rows of buckets with two classes or more, once for each pair of blocks that holds theirs: task, side, sides and `columns`.
+
+    A bucket of at most `block` classes is one task. The sizes are counted with map-side sums, and the join that brings them is one whose
+    skew AQE can split; a task holds two blocks at most.
+    """
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = dealt.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
-    # a row goes to every pair of blocks that holds its own block; with one block that is the bucket itself
-    spread = rows.withColumn("own", own).select(
-        "bucket", "fingerprint", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("x"), F.greatest("own", k).alias("y")))).alias("pair")
-    )
-    placed = spread.select(F.xxhash64("bucket", "pair.x", "pair.y").alias("task"), F.when(F.col("own") == F.col("pair.x"), 0).otherwise(1).alias("side"), F.when(F.col("pair.x") == F.col("pair.y"), 1).otherwise(2).alias("sides"), "fingerprint")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.least("own", "k"), F.greatest("own", "k")
+    placed = rows.select(F.xxhash64("bucket", x, y).alias("task"), F.when(F.col("own") == x, 0).otherwise(1).alias("side"), F.when(x == y, 1).otherwise(2).alias("sides"), *columns)
+    return placed.repartition("task").sortWithinPartitions("task")
+
+
+def links(classes: DataFrame, budget: int = 2, block: int = BLOCK) -> DataFrame:
+    """Links a, b between fingerprints (a column of distinct longs) within `budget` bits: a spanning set of every bucket's."""
 
     def join(batches):
-        for batch in carried(batches):
-            task, side, sides, prints = (batch[i] for i in range(4))
+        for task, side, sides, prints in carried(batches):
             u = prints.view(np.uint64)
-            order = np.lexsort([u, side, task])
-            task, side, sides, u = task[order], side[order], sides[order], u[order]
-            where = np.unique(task, return_inverse=True)[1] * 2
-            a, b = trie_pairs(u, where + side, np.where(side == 1, -1, where + sides - 1), budget)
+            a, b = task_pairs(task, side, sides, u, budget)
             yield pa.record_batch(star_of(u[a].view(np.int64), u[b].view(np.int64)), ["a", "b"])
 
-    return placed.repartition("task").sortWithinPartitions("task").mapInArrow(join, "a long, b long")
+    return in_blocks(bucketed(classes, budget), "fingerprint", ["fingerprint"], block).mapInArrow(join, "a long, b long")
+
+
+def task_pairs(task: np.ndarray, side: np.ndarray, sides: np.ndarray, prints: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of pairs within the budget: within a task of one side, and between the sides of a task of two."""
+    order = np.lexsort([prints, side, task])
+    where = np.unique(task[order], return_inverse=True)[1] * 2
+    side, sides = side[order], sides[order]
+    a, b = trie_pairs(prints[order], where + side, np.where(side == 1, -1, where + sides - 1), budget)
+    return order[a], order[b]
+
+
+def differing_bits(similarity: float) -> int:
+    """The most bits of a sketch that may differ for a link: those of a pair at this similarity of shingle sets, and two standard errors more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * SKETCH * share + 2 * np.sqrt(64 * SKETCH * share * (1 - share)))
+
+
+def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """key and component_id, the smallest key reachable by links between texts of at least this similarity of shingle sets."""
+
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, run, owner = sketches_of(*joined_bytes(batch.column(1)), width)
+        body = [w.tobytes() for w in words]
+        edge = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
+        return pa.record_batch([batch.column(0), pa.array(body, pa.binary()), pa.ListArray.from_arrays(pa.array(edge), pa.array(run.view(np.int64)))], ["key", "sketch", "runs"])
+
+    most = differing_bits(similarity)
+
+    def join(batches):
+        for task, side, sides, node, sketch_ in carried(batches):
+            bits = np.frombuffer(b"".join(sketch_), np.uint64).reshape(-1, SKETCH)
+            a, b = task_pairs(task, side, sides, np.ascontiguousarray(bits[:, 0]), NEAR_BUDGET)
+            good = np.concatenate([np.zeros(0, bool), *(np.bitwise_count(bits[a[i : i + (1 << 16)]] ^ bits[b[i : i + (1 << 16)]]).sum(axis=1, dtype=np.int64) <= most for i in range(0, len(a), 1 << 16))])
+            yield pa.record_batch(star_of(node[a[good]], node[b[good]]), ["a", "b"])
+
+    rows = written(map_arrow(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("__text")), sketch, "key long, sketch binary, runs array<long>", "__text"), "sketches")
+    classes = rows.groupBy("sketch").agg(F.min("key").alias("node"), F.min("runs").alias("runs"))
+    dealt = classes.select("node", "sketch", F.explode("runs").alias("bucket"))
+    found = components(in_blocks(dealt, "node", ["node", "sketch"], block).mapInArrow(join, "a long, b long"))
+    named = classes.join(found, "node", "left").select("sketch", F.coalesce("root", "node").alias("component_id"))
+    return rows.select("key", "sketch").join(named, "sketch").select(F.col("key").alias(key), "component_id")
 
 
 def carried(batches, rows: int = 1 << 14):

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passwatch.llm.common import SLICE_BYTES, slices, written
+from passwatch.llm.common import slices, written
 
 #: Fixed values of the formats: the skippable frame of a dictionary, record heads.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -34,6 +34,7 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DICTIONARY_BYTES = 16 << 10
 SAMPLE_BYTES = 1 << 20
 LEVEL = 3
+ARCHIVE_BYTES = 4 << 20
 
 
 def digest_of(payload: bytes) -> str:
@@ -124,7 +125,7 @@ def deduplicated(df: DataFrame, key: str, url: str, payload: str, least_bytes: i
     )
 
 
-def archives(records: DataFrame, archive_bytes: int = SLICE_BYTES) -> DataFrame:
+def archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """deduplicated() rows as archives of about `archive_bytes`: archive (name), n_records, content."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
