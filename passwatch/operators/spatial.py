@@ -90,13 +90,23 @@ def recurring_types(hits: DataFrame) -> DataFrame:
     return often.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_at", "type"))), lambda t: t["type"]), ", ").alias("recurring_types"))
 
 
-def risk_zone_join(detections: DataFrame, zones: DataFrame) -> DataFrame:
-    """detections with the first zone, in the declared order, whose bounds hold them; null outside all. zones is a fixed list of a few boxes."""
-    z = F.broadcast(zones.select("zone_order", "zone", "lat_min", "lat_max", "lon_min", "lon_max"))
-    inside = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
-    hits = detections.join(z, inside, "left").drop("lat_min", "lat_max", "lon_min", "lon_max")
-    one = W.partitionBy("det_id").orderBy("zone_order")
-    return hits.withColumn("__r", F.row_number().over(one)).where("__r = 1").drop("__r", "zone_order")
+def risk_zone_join(detections: DataFrame, zones: DataFrame, most: int = 256) -> DataFrame:
+    """detections with the first zone, in the declared order, whose bounds hold them; null outside all.
+
+    Up to `most` zones (they are counted) travel as one row to every task and the detections stay where they are. More zones are dealt to
+    grid cells, and the first hit is taken per detection.
+    """
+    names = ["zone_order", "zone", "lat_min", "lat_max", "lon_min", "lon_max"]
+    if zones.count() <= most:
+        one = zones.agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__zones"))
+        holds = lambda z: F.col("lat").between(z["lat_min"], z["lat_max"]) & F.col("lon").between(z["lon_min"], z["lon_max"])
+        return detections.join(F.broadcast(one)).withColumn("zone", F.get(F.filter("__zones", holds), F.lit(0))["zone"]).drop("__zones")
+    span = lambda a, z: F.explode(F.sequence(F.floor(a).cast("int"), F.floor(z).cast("int")))
+    dealt = zones.select(*names).withColumn("__y", span("lat_min", "lat_max")).withColumn("__x", span("lon_min", "lon_max"))
+    placed = detections.withColumns({"__y": F.floor("lat").cast("int"), "__x": F.floor("lon").cast("int")})
+    hits = placed.select("det_id", "lat", "lon", "__y", "__x").join(dealt, ["__y", "__x"]).where("lat between lat_min and lat_max and lon between lon_min and lon_max")
+    first = hits.groupBy("det_id").agg(F.min_by("zone", "zone_order").alias("zone"))
+    return detections.join(first, "det_id", "left")
 
 
 def split_track(tracks: DataFrame) -> DataFrame:

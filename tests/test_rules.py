@@ -87,6 +87,13 @@ def test_region_join_equals_plain(spark):
     assert sorted(map(tuple, spatial.region_join(q, det, 300.0).select("q_id", "det_id").collect())) == sorted(map(tuple, plain.select("q_id", "det_id").collect()))
 
 
+def test_zone_forms_agree(spark):
+    det = spark.createDataFrame([(k, 8 + (k * 7 % 100) / 20, 72 + (k * 13 % 100) / 15) for k in range(200)], "det_id bigint, lat double, lon double")
+    zones = spark.createDataFrame([(1, "b", 8.0, 10.0, 72.0, 75.0), (0, "a", 9.0, 12.0, 73.0, 77.0)], "zone_order int, zone string, lat_min double, lat_max double, lon_min double, lon_max double")
+    pairs = [sorted((r.det_id, r.zone or "") for r in spatial.risk_zone_join(det, zones, most).collect()) for most in (256, 0)]
+    assert pairs[0] == pairs[1] and {z for _, z in pairs[0]} == {"", "a", "b"}
+
+
 def test_parse_brief_forms(spark):
     good = '{"alert_level": "RED", "summary": "s", "anomaly_assessments": [{"type": "ship", "risk_tier": "HIGH"}]}'
     rows = [(1, good), (2, f"```json\n{good}\n```"), (3, f"Here: {good} Bye."), (4, good[:-20]), (5, ""), (6, None)]
