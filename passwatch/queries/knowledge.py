@@ -50,6 +50,13 @@ def build_vector_table(m):
     return retrieve.load_vector_table(made, 256, "hashing-tf-idf").select("id", F.round(geo.dot("embedding", "embedding"), 6).alias("norm"), "dim")
 
 
+@query("SELECT a.id, round(list_dot_product(a.embedding, b.embedding) + 1e-9, 6) AS dot FROM vectors a JOIN vectors b ON b.id = a.id + 1")
+def dot(m):
+    """Every vector with the next one."""
+    after = m.vectors.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("other"))
+    return m.vectors.join(after, "id").select("id", F.round(geo.dot("embedding", "other") + 1e-9, 6).alias("dot"))
+
+
 @query("SELECT id, round(sqrt(list_dot_product(embedding, embedding)), 6) AS norm, round(embedding[1] / sqrt(list_dot_product(embedding, embedding)), 6) AS first FROM vectors")
 def l2_normalize(m):
     return m.vectors.select("id", F.round(F.sqrt(geo.dot("embedding", "embedding")), 6).alias("norm"), F.round(geo.l2_normalize("embedding")[0], 6).alias("first"))
