@@ -35,6 +35,7 @@ BLOCK = 1024
 SKETCH = 16
 NEAR_BUDGET = 20
 RUNS = 8
+FEW = 256  # pairs below two nodes that are compared at once
 #: The bits of each byte as eight 8-bit counters of a 64-bit word.
 COUNTERS = np.zeros(256, np.uint64)
 for _bit in range(8):
@@ -150,14 +151,28 @@ def trie_pairs(prints: np.ndarray, group: np.ndarray, other: np.ndarray, budget:
             ok &= ~((x0 == y0) & (x1 == y1) & (x1 - x0 == 1))  # a leaf with itself
             next_.append((x0[ok], x1[ok], y0[ok], y1[ok], gap[ok] + differs))
         a0, a1, b0, b1, gap = (np.concatenate(c) for c in zip(*next_))
-        # two leaves: the rest of their bits at once
-        leaves = (a1 - a0 == 1) & (b1 - b0 == 1)
-        near_ = np.bitwise_count(prints[a0[leaves]] ^ prints[b0[leaves]]) <= budget
-        done.append((a0[leaves][near_], b0[leaves][near_]))
-        a0, a1, b0, b1, gap = (c[~leaves] for c in (a0, a1, b0, b1, gap))
+        small = (a1 - a0) * (b1 - b0) <= FEW
+        done += compared(prints, a0[small], a1[small], b0[small], b1[small], budget)
+        a0, a1, b0, b1, gap = (c[~small] for c in (a0, a1, b0, b1, gap))
     return tuple(np.concatenate(c) for c in zip((a0, b0), *done))
 
 
+def compared(prints: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The pairs within the budget below pairs of small nodes, by all their bits at once."""
+    out = []
+    wide = b1 - b0
+    total = (a1 - a0) * wide
+    step = np.cumsum(total) >> 19
+    edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(total)]
+    for x, y in zip(edges, edges[1:]):
+        of = np.repeat(np.arange(x, y), total[x:y])
+        place = np.arange(len(of)) - np.repeat(np.cumsum(total[x:y]) - total[x:y], total[x:y])
+        i, j = a0[of] + place // wide[of], b0[of] + place % wide[of]
+        near_ = (np.bitwise_count(prints[i] ^ prints[j]) <= budget) & ((a0[of] != b0[of]) | (i < j))
+        out.append((i[near_], j[near_]))
+    return out
+
+
 def pieces(budget: int) -> list[tuple[int, int]]:
     """(shift, bits) of budget + 2 pieces of 64 bits."""
     n = budget + 2
