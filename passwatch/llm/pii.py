@@ -14,8 +14,6 @@ however long; other columns pass through by position, and only the named output
 
 from __future__ import annotations
 
-import hashlib
-
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -155,7 +153,7 @@ def spans(t: str) -> list[tuple[int, int, int]]:
     if not _CUES:
         _CUES.append(automaton())
     found, free = [], [0] * len(KINDS)
-    lower_cue = {}
+    cues_at = {}
     for last, what in _CUES[0].iter(t):
         if what in DIGITS:
             if last >= free[1]:
@@ -180,16 +178,15 @@ def spans(t: str) -> list[tuple[int, int, int]]:
                 if ok:
                     found.append((3, a, b))
         else:
-            lower_cue.setdefault(what, []).append(last + 1)
-    for end in lower_cue.get("url", ()):
-        start = max(end - len(s) for s in SCHEMES if t.startswith(s, end - len(s))) if end >= 4 else end
-        start = min((end - len(s) for s in SCHEMES if end >= len(s) and t.startswith(s, end - len(s))), default=start)
+            cues_at.setdefault(what, []).append(last + 1)
+    for end in cues_at.get("url", ()):
+        start = min(end - len(s) for s in SCHEMES if end >= len(s) and t.startswith(s, end - len(s)))
         if start >= free[4]:
             ok, a, b = grow_url(t, end, start)
             if ok:
                 free[4] = b
                 found.append((4, a, b))
-    for end in lower_cue.get("account", ()):
+    for end in cues_at.get("account", ()):
         start = min(end - len(c) for c in CUES if end >= len(c) and t[end - len(c) : end].lower() == c)
         ok, a, b = grow_account(t, end, start)
         if ok and a >= free[5]:
@@ -236,7 +233,3 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         return batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     return map_arrow(df, kernel, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), text)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
