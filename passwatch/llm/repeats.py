@@ -19,8 +19,6 @@ equality of two 64-bit hashes.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -301,7 +299,3 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(kept, pa.binary())], [key, "n_bytes", "removed", "kept"])
 
     return joined.mapInArrow(cut, f"`{key}` long, n_bytes long, removed array<struct<a:long,b:long>>, kept binary")
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
