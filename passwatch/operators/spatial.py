@@ -49,7 +49,8 @@ def first_points(detections: DataFrame) -> DataFrame:
 def newest(joined: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The newest hits of each query, numbered from 0 (pass_number)."""
     order = W.partitionBy("q_id").orderBy(F.desc("timestamp_utc"), F.desc("det_id"))
-    return joined.withColumn("pass_number", F.row_number().over(order) - 1).where(F.col("pass_number") < limit)
+    # the filter on the rank itself lets Spark keep each task's best rows only, before the shuffle
+    return joined.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit).withColumn("pass_number", F.col("__r") - 1).drop("__r")
 
 
 def overfetched(joined_box: DataFrame, limit: int = LIMIT, radius_km: float = RADIUS_KM) -> DataFrame:
@@ -57,7 +58,7 @@ def overfetched(joined_box: DataFrame, limit: int = LIMIT, radius_km: float = RA
     order = W.partitionBy("q_id").orderBy(F.desc("timestamp_utc"), F.desc("det_id"))
     fetched = joined_box.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= 3 * limit)
     near = fetched.withColumn("distance_km", haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon"))).where(F.col("distance_km") <= radius_km)
-    return near.withColumn("pass_number", F.row_number().over(order) - 1).where(F.col("pass_number") < limit).drop("__r")
+    return near.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit).withColumn("pass_number", F.col("__r") - 1).drop("__r")
 
 
 def history_count(detections: DataFrame, radius_km: float = RADIUS_KM, limit: int = LIMIT, as_of: bool = False) -> DataFrame:
