@@ -73,6 +73,14 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands Arrow batches of at most 8 MB to Python unless it says otherwise: a batch of long texts is bounded, too."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str, limit: int = SLICE_BYTES) -> DataFrame:
     """Apply a kernel to slices of a DataFrame by the size of the `text` column."""
 
@@ -80,7 +88,7 @@ def map_arrow(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in slices(batches, text, limit):
             yield kernel(batch)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 #: The classes of bytes that op 7's contract and the word kernels use.

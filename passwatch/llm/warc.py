@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passwatch.llm.common import slices, written
+from passwatch.llm.common import slices, small_batches, written
 
 #: Fixed values of the formats: the skippable frame of a dictionary, record heads.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -134,7 +134,7 @@ def archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFram
             packed = write_archive([record_bytes(r["key"], r["url"], r["payload"] or b"", base64.b32encode(bytes.fromhex(r["sha1"])).decode(), r["payload_bytes"], r["refers_to"]) for r in rows])
             yield pa.record_batch([pa.array([f"{rows[0]['key']}-{hashlib.sha1(packed).hexdigest()[:16]}"]), pa.array([len(rows)], pa.int64()), pa.array([packed], pa.binary())], ["archive", "n_records", "content"])
 
-    return records.mapInArrow(write, "archive string, n_records long, content binary")
+    return small_batches(records).mapInArrow(write, "archive string, n_records long, content binary")
 
 
 def write(df: DataFrame, key: str, url: str, payload: str, least_bytes: int = 0) -> DataFrame:
