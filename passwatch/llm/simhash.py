@@ -154,7 +154,8 @@ def trie_pairs(prints: np.ndarray, group: np.ndarray, other: np.ndarray, budget:
         small = (a1 - a0) * (b1 - b0) <= FEW
         done += compared(prints, a0[small], a1[small], b0[small], b1[small], budget)
         a0, a1, b0, b1, gap = (c[~small] for c in (a0, a1, b0, b1, gap))
-    return tuple(np.concatenate(c) for c in zip((a0, b0), *done))
+    done += compared(prints, a0, a1, b0, b1, budget)  # leaves of many equal prints
+    return tuple(np.concatenate(c) for c in zip((np.zeros(0, np.int64),) * 2, *done))
 
 
 def compared(prints: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, budget: int) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -315,6 +315,16 @@ def test_near_copies(spark, monkeypatch):
     assert simhash.near(docs_of(spark, texts).limit(0), "doc_id", "text").count() == 0
 
 
+def test_trie_pairs_of_equal_first_words():
+    prints = np.sort(np.array([5] * 300 + [7] * 20 + [1 << 60], np.uint64))
+    zero = np.zeros(len(prints), np.int64)
+    a, b = simhash.trie_pairs(prints, zero, zero, 2)
+    assert sorted(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) == list(combinations(range(320), 2))
+    side = np.repeat([0, 1], [300, 21])  # a leaf of 300 against one of 20
+    a, b = simhash.trie_pairs(prints, side, np.where(side == 0, 1, -1), 2)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(i, j) for i in range(300) for j in range(300, 320)]
+
+
 def test_simhash_query(spark):
     prints = {i: fingerprint(t, 3) for i, t in connect().execute("SELECT doc_id, text FROM documents").fetchall()}
     roots = linked(prints)
