@@ -10,9 +10,9 @@ carries the bits in which its two prefixes differ and is dropped once they excee
 blocks, and pairs of blocks are dealt out instead. A bucket gives a spanning set of its links, not all of them.
 
 Two bits apart means a similarity of about 0.98, so a budget of two misses most near copies at a similarity of 0.8. near() serves that
-similarity: a sketch of SKETCH words of 64 such bits, whose first word walks the tries (budget NEAR_BUDGET) and whose other words settle
-a pair by the share of bits that differ. Classes meet in buckets of shared runs of words: each text is cut after words by their hash,
-into about eight words a run, and dealt by the RUNS runs of the smallest hashes.
+similarity: each text's set of shingle hashes is kept, and a pair is linked by the sets themselves, by whole numbers (a similarity of exactly
+0.8 counts). Classes meet in buckets of shared runs of words: each text is cut after words by their hash, into about eight words a run, and
+dealt by the RUNS runs of the smallest hashes.
 
 Edge cases: null and blank texts have fingerprint 0 and link with each other and with near fingerprints like any other;
 repeated rows of one id stay rows of their own; an empty table gives an empty result; other columns are not read.
@@ -20,6 +20,7 @@ repeated rows of one id stay rows of their own; an empty table gives an empty re
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -28,12 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passwatch.llm.common import LOWER, SPACE, components, joined_bytes, map_arrow, mix, prefix_hash, range_hash, star_of, words_of, written
+from passwatch.llm.common import LOWER, SPACE, components, discard, joined_bytes, map_arrow, prefix_hash, range_hash, star_of, words_of, written
 
 SEED = 42
 BLOCK = 1024
-SKETCH = 16
-NEAR_BUDGET = 20
 RUNS = 8
 FEW = 256  # pairs below two nodes that are compared at once
 #: The bits of each byte as eight 8-bit counters of a 64-bit word.
@@ -95,21 +94,27 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int) -> np.nda
     return fingerprint_bits(hashes, bounds)
 
 
-def sketches_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """SKETCH words of bits of each text, and the RUNS smallest hashes of its runs of words with their text numbers."""
+def sets_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted set of shingle hashes of each text with its bounds, and the RUNS smallest hashes of its runs of words with theirs."""
     hashes, bounds, flat, at, owner = shingled(data, offsets, width)
-    words = [fingerprint_bits(hashes if k == 0 else mix(hashes + np.uint64(0xD1B54A32D192ED03 * k & (1 << 64) - 1)), bounds) for k in range(SKETCH)]
+    n = len(offsets) - 1
+    hashes, bounds = distinct(hashes, np.repeat(np.arange(n), np.diff(bounds)), n)
     prefix = prefix_hash(flat)
     code = range_hash(prefix, at[:-1], at[1:] - 1)
     last = np.flatnonzero((code % np.uint64(8) == 0) | np.append(owner[1:] != owner[:-1], True)[: len(owner)])
     head = np.concatenate([[0], last[:-1] + 1])[: len(last)]
-    run, text = range_hash(prefix, at[head], at[last + 1] - 1), owner[last]
-    order = np.lexsort([run, text])
-    run, text = run[order], text[order]
-    new = np.append(True, (run[1:] != run[:-1]) | (text[1:] != text[:-1]))[: len(run)]
-    run, text = run[new], text[new]
-    rank = np.arange(len(text)) - np.searchsorted(text, text)
-    return np.stack(words, axis=1), run[rank < RUNS], text[rank < RUNS]
+    run, edge = distinct(range_hash(prefix, at[head], at[last + 1] - 1), owner[last], n)
+    text = np.repeat(np.arange(n), np.diff(edge))
+    keep = np.arange(len(run)) - edge[text] < RUNS
+    return hashes, bounds, run[keep], np.searchsorted(text[keep], np.arange(n + 1))
+
+
+def distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted different hashes of each of n owners, and their bounds."""
+    order = np.lexsort([hashes, owner])
+    hashes, owner = hashes[order], owner[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))[: len(hashes)]
+    return hashes[new], np.searchsorted(owner[new], np.arange(n + 1))
 
 
 def fingerprints(df: DataFrame, text: str, keep: list[str], width: int = 3, name: str = "fingerprint") -> DataFrame:
@@ -224,36 +229,105 @@ def task_pairs(task: np.ndarray, side: np.ndarray, sides: np.ndarray, prints: np
     return order[a], order[b]
 
 
-def differing_bits(similarity: float) -> int:
-    """The most bits of a sketch that may differ for a link: those of a pair at this similarity of shingle sets, and two standard errors more."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * SKETCH * share + 2 * np.sqrt(64 * SKETCH * share * (1 - share)))
+def shared_needed(m, n, num: int, den: int):
+    """The fewest common shingles of sets of m and n at a similarity of num / den."""
+    return -(-num * (m + n) // (num + den))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs x, y of nodes whose sets of shingles have a similarity of num / den at least, by the sets themselves."""
+
+    def check(batches):
+        for batch in batches:
+            x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            good = np.zeros(len(x), bool)
+            for i, (u, v) in enumerate(zip(x, y)):
+                both = np.concatenate([np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)])
+                both.sort(kind="stable")
+                good[i] = np.count_nonzero(both[1:] == both[:-1]) >= shared_needed(len(u) // 8, len(v) // 8, num, den)
+            yield pa.record_batch([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
+
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias("set_" + c))
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "set_x", "set_y").mapInArrow(check, "a long, b long")
+
+
+def firsts(batches):
+    """Rows bucket, node (whole buckets) of buckets with two nodes or more, with the bucket's first node."""
+    for bucket, node in carried(batches):
+        order = np.lexsort([node, bucket])
+        bucket, node = bucket[order], node[order]
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        size = np.diff(np.append(start, len(bucket)))
+        keep = np.repeat(size > 1, size)
+        yield pa.record_batch([bucket[keep], node[keep], np.repeat(node[start], size)[keep]], ["bucket", "node", "pivot"])
+
+
+def across(num: int, den: int):
+    """A kernel from the tasks of in_blocks() to pairs x < y of different roots, of sizes that allow the similarity, none a bucket's first node."""
+
+    def pairs(batches):
+        for task, side, sides, node, root, n, pivot in carried(batches):
+            order = np.lexsort([side, task])
+            task, side, sides, node, root, n, pivot = (c[order] for c in (task, side, sides, node, root, n, pivot))
+            start = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+            end = np.append(start[1:], len(task))
+            cut = start + np.add.reduceat((side == 0).astype(np.int64), start)
+            two = sides[start] == 2
+            a0, a1, b0, b1 = start, np.where(two, cut, end), np.where(two, cut, start), end
+            wide = b1 - b0
+            total = (a1 - a0) * wide
+            step = np.cumsum(total) >> 19
+            edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(total)]
+            for lo, hi in zip(edges, edges[1:]):
+                of = np.repeat(np.arange(lo, hi), total[lo:hi])
+                place = np.arange(len(of)) - np.repeat(np.cumsum(total[lo:hi]) - total[lo:hi], total[lo:hi])
+                i, j = a0[of] + place // wide[of], b0[of] + place % wide[of]
+                ok = (root[i] != root[j]) & (two[of] | (i < j)) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+                ok &= (node[i] != pivot[i]) & (node[j] != pivot[j])
+                if not ok.any():
+                    continue
+                i, j = i[ok], j[ok]
+                found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+                yield pa.record_batch([np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])], ["x", "y"])
+
+    return pairs
 
 
 def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """key and component_id, the smallest key reachable by links between texts of at least this similarity of shingle sets."""
-
-    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, run, owner = sketches_of(*joined_bytes(batch.column(1)), width)
-        body = [w.tobytes() for w in words]
-        edge = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
-        return pa.record_batch([batch.column(0), pa.array(body, pa.binary()), pa.ListArray.from_arrays(pa.array(edge), pa.array(run.view(np.int64)))], ["key", "sketch", "runs"])
+    """key and component_id, the smallest key reachable by links between texts of at least this similarity of shingle sets.
 
-    most = differing_bits(similarity)
-
-    def join(batches):
-        for task, side, sides, node, sketch_ in carried(batches):
-            bits = np.frombuffer(b"".join(sketch_), np.uint64).reshape(-1, SKETCH)
-            a, b = task_pairs(task, side, sides, np.ascontiguousarray(bits[:, 0]), NEAR_BUDGET)
-            good = np.concatenate([np.zeros(0, bool), *(np.bitwise_count(bits[a[i : i + (1 << 16)]] ^ bits[b[i : i + (1 << 16)]]).sum(axis=1, dtype=np.int64) <= most for i in range(0, len(a), 1 << 16))])
-            yield pa.record_batch(star_of(node[a[good]], node[b[good]]), ["a", "b"])
-
-    rows = written(map_arrow(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("__text")), sketch, "key long, sketch binary, runs array<long>", "__text"), "sketches")
-    classes = rows.groupBy("sketch").agg(F.min("key").alias("node"), F.min("runs").alias("runs"))
-    dealt = classes.select("node", "sketch", F.explode("runs").alias("bucket"))
-    found = components(in_blocks(dealt, "node", ["node", "sketch"], block).mapInArrow(join, "a long, b long"))
-    named = classes.join(found, "node", "left").select("sketch", F.coalesce("root", "node").alias("component_id"))
-    return rows.select("key", "sketch").join(named, "sketch").select(F.col("key").alias(key), "component_id")
+    Texts of one set of shingles are one class, whose node is the number of one of its rows. Each bucket's classes are first compared with the
+    bucket's smallest node; what these links join is not compared again, and all pairs that they leave apart are.
+    """
+    num, den = Fraction(str(similarity)).as_integer_ratio()
+
+    def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, bounds, buckets, edge = sets_of(*joined_bytes(batch.column(2)), width)
+        body = [hashes[x:y].tobytes() for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
+        digest = pa.array([xxhash.xxh3_128_digest(x) for x in body], pa.binary())
+        lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(buckets.view(np.int64)))
+        return pa.record_batch([*batch.columns[:2], digest, pa.array(np.diff(bounds)), pa.array(body, pa.binary()), lists], ["key", "node", "digest", "n", "hashes", "buckets"])
+
+    kind = df.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
+    numbered = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("node"), F.col(text).alias("__text"))
+    rows = written(map_arrow(numbered, shingle, f"key {kind}, node long, digest binary, n long, hashes binary, buckets array<long>", "__text"), "sets")
+    classes = written(rows.groupBy("digest").agg(F.min("key").alias("least"), F.min("node").alias("node"), F.first("n").alias("n")), "classes")
+    dealt = rows.join(classes.select("node"), "node", "left_semi").select(F.explode("buckets").alias("bucket"), "node")
+    met = written(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(firsts, "bucket long, node long, pivot long"), "met")
+    first = written(met.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
+    some = written(confirmed(first, rows, num, den), "links")
+    root = components(some)
+    named = met.join(classes.select("node", F.col("n").alias("words")), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("bucket")
+    left = in_blocks(named.join(apart, "bucket"), "node", ["node", "root", "words", "pivot"], block)
+    rest = written(left.mapInArrow(across(num, den), "x long, y long").distinct(), "pairs")
+    root = components(some.unionByName(confirmed(rest, rows, num, den)))
+    grouped_ = classes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = grouped_.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = written(rows.select("key", "digest").join(grouped_.join(least, "root").select("digest", "component_id"), "digest").select(F.col("key").alias(key), "component_id"), "groups")
+    for done in (rows, classes, met, first, some, rest):
+        discard(done)
+    return out
 
 
 def carried(batches, rows: int = 1 << 14):

@@ -315,6 +315,17 @@ def test_near_copies(spark, monkeypatch):
     assert simhash.near(docs_of(spark, texts).limit(0), "doc_id", "text").count() == 0
 
 
+def test_near_copies_are_exact(spark):
+    """Pairs at a similarity of exactly 0.8 are linked, pairs just below are not."""
+    texts = []
+    for k in range(40):
+        for common_, own in ((80, 10), (800, 100), (776, 112), (80, 11)):  # shingles in both, and in each alone
+            stem = [f"p{k}c{common_}o{own}w{i}" for i in range(common_ + 4)]
+            texts += [" ".join(stem + [f"{side}{i}" for i in range(own)]) for side in "ab"]
+    got = [r.component_id for r in simhash.near(docs_of(spark, texts), "doc_id", "text").orderBy("doc_id").collect()]
+    assert [got[i] == got[i + 1] for i in range(0, len(texts), 2)] == [True, True, False, False] * 40
+
+
 def test_trie_pairs_of_equal_first_words():
     prints = np.sort(np.array([5] * 300 + [7] * 20 + [1 << 60], np.uint64))
     zero = np.zeros(len(prints), np.int64)
