@@ -11,8 +11,8 @@ blocks, and pairs of blocks are dealt out instead. A bucket gives a spanning set
 
 Two bits apart means a similarity of about 0.98, so a budget of two misses most near copies at a similarity of 0.8. near() serves that
 similarity: each text's set of shingle hashes is kept, and a pair is linked by the sets themselves, by whole numbers (a similarity of exactly
-0.8 counts). Classes meet in buckets of shared runs of words: each text is cut after words by their hash, into about eight words a run, and
-dealt by the RUNS runs of the smallest hashes.
+0.8 counts). Classes meet by the prefix principle: sets of n and m hashes at a similarity of 4/5 share one of
+the first n - ceil(4n/5) + 1 (and m - ceil(4m/5) + 1) hashes in any order common to all, so that no pair is lost; rare hashes come first.
 
 Edge cases: null and blank texts have fingerprint 0 and link with each other and with near fingerprints like any other;
 repeated rows of one id stay rows of their own; an empty table gives an empty result; other columns are not read.
@@ -29,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passwatch.llm.common import LOWER, SPACE, components, discard, joined_bytes, map_arrow, prefix_hash, range_hash, star_of, words_of, written
+from passwatch.llm.common import LOWER, SPACE, components, discard, joined_bytes, map_arrow, star_of, words_of, written
 
 SEED = 42
 BLOCK = 1024
-RUNS = 8
+SAMPLE = 10_000
+OFTEN = 1 << 16
 FEW = 256  # pairs below two nodes that are compared at once
 #: The bits of each byte as eight 8-bit counters of a 64-bit word.
 COUNTERS = np.zeros(256, np.uint64)
@@ -94,19 +95,43 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int) -> np.nda
     return fingerprint_bits(hashes, bounds)
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted set of shingle hashes of each text with its bounds, and the RUNS smallest hashes of its runs of words with theirs."""
-    hashes, bounds, flat, at, owner = shingled(data, offsets, width)
+def sets_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted set of shingle hashes of each text, and the bounds of the sets."""
+    hashes, bounds, *_ = shingled(data, offsets, width)
     n = len(offsets) - 1
-    hashes, bounds = distinct(hashes, np.repeat(np.arange(n), np.diff(bounds)), n)
-    prefix = prefix_hash(flat)
-    code = range_hash(prefix, at[:-1], at[1:] - 1)
-    last = np.flatnonzero((code % np.uint64(8) == 0) | np.append(owner[1:] != owner[:-1], True)[: len(owner)])
-    head = np.concatenate([[0], last[:-1] + 1])[: len(last)]
-    run, edge = distinct(range_hash(prefix, at[head], at[last + 1] - 1), owner[last], n)
-    text = np.repeat(np.arange(n), np.diff(edge))
-    keep = np.arange(len(run)) - edge[text] < RUNS
-    return hashes, bounds, run[keep], np.searchsorted(text[keep], np.arange(n + 1))
+    return distinct(hashes, np.repeat(np.arange(n), np.diff(bounds)), n)
+
+
+def prefixes(hashes: np.ndarray, bounds: np.ndarray, often: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first hashes of each set, in an order that all sets share, and their bounds: two sets at num / den have one of these in common.
+
+    Any order will do. In this one the hashes of `often` (the most frequent last) come after all others.
+    """
+    size = np.diff(bounds)
+    text = np.repeat(np.arange(len(size)), size)
+    rank = np.zeros(len(hashes), np.int64)
+    if len(often):
+        by = np.argsort(often)
+        at = np.minimum(np.searchsorted(often[by], hashes), len(often) - 1)
+        hit = often[by][at] == hashes
+        rank[hit] = by[at[hit]] + 1
+    hashes = hashes[np.lexsort([rank, text])]
+    least = np.where(size > 0, size - -(-size * num // den) + 1, 0)
+    keep = np.arange(len(hashes)) - bounds[text] < least[text]
+    return hashes[keep], np.concatenate([[0], np.cumsum(least)])
+
+
+def often_met(df: DataFrame, text: str, width: int) -> np.ndarray:
+    """Hashes of shingles that several texts of about SAMPLE have, at most OFTEN, by rising counts. They only order the work: no result depends on them."""
+
+    def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(sets_of(*joined_bytes(batch.column(0)), width)[0].view(np.int64))], ["hash"])
+
+    every = max(1, df.count() // SAMPLE)
+    some = df.select(F.col(text).alias("__text")).where(F.pmod(F.xxhash64("__text"), F.lit(every)) == 0).dropDuplicates()
+    counted = map_arrow(some, shingle, "hash long", "__text").groupBy("hash").count().where("count >= 4")
+    found = counted.orderBy(F.desc("count"), "hash").limit(OFTEN).toPandas()["hash"].to_numpy(np.int64)
+    return np.ascontiguousarray(found[::-1]).view(np.uint64)
 
 
 def distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,9 +325,11 @@ def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float =
     bucket's smallest node; what these links join is not compared again, and all pairs that they leave apart are.
     """
     num, den = Fraction(str(similarity)).as_integer_ratio()
+    often = often_met(df, text, width)
 
     def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, bounds, buckets, edge = sets_of(*joined_bytes(batch.column(2)), width)
+        hashes, bounds = sets_of(*joined_bytes(batch.column(2)), width)
+        buckets, edge = prefixes(hashes, bounds, often, num, den)
         body = [hashes[x:y].tobytes() for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
         digest = pa.array([xxhash.xxh3_128_digest(x) for x in body], pa.binary())
         lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(buckets.view(np.int64)))

@@ -326,6 +326,25 @@ def test_near_copies_are_exact(spark):
     assert [got[i] == got[i + 1] for i in range(0, len(texts), 2)] == [True, True, False, False] * 40
 
 
+def test_near_copies_of_short_texts(spark, monkeypatch):
+    """Every pair at 0.8 or more meets, also in texts without an inner end of a run of words, and with frequent shingles."""
+    texts = []
+    for k in range(60):
+        for n in (8, 13, 20, 30):
+            stem = [f"s{k}n{n}w{i}" for i in range(n)]
+            texts += [" ".join(stem), " ".join(stem + ["more"])]
+    texts += [" ".join([f"line{i}" for i in range(12)] + [f"t{k}x{i}" for i in range(4 + k % 3)]) for k in range(60)]
+    sets = [shingles(t, 5) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            root = [root[i] if r == root[j] else r for r in root] if root[i] < root[j] else [root[j] if r == root[i] else r for r in root]
+    assert all(root[i] == root[i + 1] for i in range(0, 480, 2))
+    for block in (simhash.BLOCK, 6):
+        got = [r.component_id for r in simhash.near(docs_of(spark, texts), "doc_id", "text", block=block).orderBy("doc_id").collect()]
+        assert got == root
+
+
 def test_trie_pairs_of_equal_first_words():
     prints = np.sort(np.array([5] * 300 + [7] * 20 + [1 << 60], np.uint64))
     zero = np.zeros(len(prints), np.int64)
