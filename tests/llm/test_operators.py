@@ -500,3 +500,12 @@ def test_pipeline_edges(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() >= 0
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_copies_without_ids(spark):
+    """Rows with a null id stay unless they are copies; of copies without an id one stays."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    rows = [(7, text["a"]), (None, text["a"]), (None, text["b"]), (None, text["c"]), (None, text["c"]), (None, text["c"] + " more"), (3, text["d"]), (5, text["d"] + " more"), (None, text["d"] + " last")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r.doc_id, r.text[0]) for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == [(3, "d"), (7, "a"), (None, "b"), (None, "c")]
