@@ -29,12 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passwatch.llm.common import LOWER, SPACE, components, discard, joined_bytes, map_arrow, star_of, words_of, written
+from passwatch.llm.common import LOWER, SPACE, components, discard, joined_bytes, map_arrow, small_batches, star_of, words_of, written
 
 SEED = 42
 BLOCK = 1024
-SAMPLE = 10_000
+SAMPLE = 4_000
 OFTEN = 1 << 16
+CELLS = 512
 FEW = 256  # pairs below two nodes that are compared at once
 #: The bits of each byte as eight 8-bit counters of a 64-bit word.
 COUNTERS = np.zeros(256, np.uint64)
@@ -259,21 +260,48 @@ def shared_needed(m, n, num: int, den: int):
     return -(-num * (m + n) // (num + den))
 
 
+def cells_of(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many hashes of each set fall into each of CELLS cells, 255 at most."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    counts = np.bincount(text * CELLS + (hashes % np.uint64(CELLS)).astype(np.int64), minlength=(len(bounds) - 1) * CELLS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, CELLS)
+
+
+def most_shared(x, y, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A certain upper bound of the common shingles of pairs of sets, from their cells and sizes."""
+    x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, CELLS) for c in (x, y))
+    over = np.minimum(m - x.sum(axis=1, dtype=np.int64), n - y.sum(axis=1, dtype=np.int64))  # beyond 255 in a cell
+    return np.minimum(x, y).sum(axis=1, dtype=np.int64) + over
+
+
+def shared(x, y, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The common shingles of pairs of sets."""
+    out = np.zeros(len(x), np.int64)
+    for i, (u, v) in enumerate(zip(x, y)):
+        both = np.concatenate([np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)])
+        both.sort(kind="stable")
+        out[i] = np.count_nonzero(both[1:] == both[:-1])
+    return out
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs x, y of nodes whose sets of shingles have a similarity of num / den at least, by the sets themselves."""
+    """The pairs x, y of nodes whose sets of shingles have a similarity of num / den at least: those that the cells allow, by the sets themselves."""
+    for column, count in (("cells", most_shared), ("hashes", shared)):
+
+        def check(batches, count=count):
+            for batch in batches:
+                if batch.num_rows:
+                    x, y, m, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
+                    good = pa.array(count(x, y, m, n) >= shared_needed(m, n, num, den))
+                    yield pa.record_batch([c.filter(good) for c in batch.columns[:2]], ["x", "y"])
 
-    def check(batches):
-        for batch in batches:
-            x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            good = np.zeros(len(x), bool)
-            for i, (u, v) in enumerate(zip(x, y)):
-                both = np.concatenate([np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)])
-                both.sort(kind="stable")
-                good[i] = np.count_nonzero(both[1:] == both[:-1]) >= shared_needed(len(u) // 8, len(v) // 8, num, den)
-            yield pa.record_batch([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
+        def side(c, column=column, pairs=pairs):  # only the sets that pairs name are moved
+            named = sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi")
+            return named.select(F.col("node").alias(c), F.col(column).alias("set_" + c), F.col("n").alias("n_" + c))
 
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias("set_" + c))
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "set_x", "set_y").mapInArrow(check, "a long, b long")
+        joined = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "set_x", "set_y", "n_x", "n_y")
+        pairs = written(small_batches(joined).mapInArrow(check, "x long, y long"), "pairs")
+    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def firsts(batches):
@@ -301,11 +329,11 @@ def across(num: int, den: int):
             a0, a1, b0, b1 = start, np.where(two, cut, end), np.where(two, cut, start), end
             wide = b1 - b0
             total = (a1 - a0) * wide
-            step = np.cumsum(total) >> 19
-            edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(total)]
-            for lo, hi in zip(edges, edges[1:]):
-                of = np.repeat(np.arange(lo, hi), total[lo:hi])
-                place = np.arange(len(of)) - np.repeat(np.cumsum(total[lo:hi]) - total[lo:hi], total[lo:hi])
+            ends = np.cumsum(total)
+            for lo in range(0, int(ends[-1]), 1 << 17):
+                at = np.arange(lo, min(lo + (1 << 17), int(ends[-1])))
+                of = np.searchsorted(ends, at, "right")
+                place = at - (ends[of] - total[of])
                 i, j = a0[of] + place // wide[of], b0[of] + place % wide[of]
                 ok = (root[i] != root[j]) & (two[of] | (i < j)) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
                 ok &= (node[i] != pivot[i]) & (node[j] != pivot[j])
@@ -332,17 +360,18 @@ def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float =
         buckets, edge = prefixes(hashes, bounds, often, num, den)
         body = [hashes[x:y].tobytes() for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
         digest = pa.array([xxhash.xxh3_128_digest(x) for x in body], pa.binary())
+        cells = pa.array([c.tobytes() for c in cells_of(hashes, bounds)], pa.binary())
         lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(buckets.view(np.int64)))
-        return pa.record_batch([*batch.columns[:2], digest, pa.array(np.diff(bounds)), pa.array(body, pa.binary()), lists], ["key", "node", "digest", "n", "hashes", "buckets"])
+        return pa.record_batch([*batch.columns[:2], digest, pa.array(np.diff(bounds)), pa.array(body, pa.binary()), cells, lists], ["key", "node", "digest", "n", "hashes", "cells", "buckets"])
 
     kind = df.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
     numbered = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("node"), F.col(text).alias("__text"))
-    rows = written(map_arrow(numbered, shingle, f"key {kind}, node long, digest binary, n long, hashes binary, buckets array<long>", "__text"), "sets")
+    rows = written(map_arrow(numbered, shingle, f"key {kind}, node long, digest binary, n long, hashes binary, cells binary, buckets array<long>", "__text"), "sets")
     classes = written(rows.groupBy("digest").agg(F.min("key").alias("least"), F.min("node").alias("node"), F.first("n").alias("n")), "classes")
     dealt = rows.join(classes.select("node"), "node", "left_semi").select(F.explode("buckets").alias("bucket"), "node")
     met = written(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(firsts, "bucket long, node long, pivot long"), "met")
     first = written(met.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
-    some = written(confirmed(first, rows, num, den), "links")
+    some = confirmed(first, rows, num, den)
     root = components(some)
     named = met.join(classes.select("node", F.col("n").alias("words")), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("bucket")
@@ -352,7 +381,7 @@ def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float =
     grouped_ = classes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped_.groupBy("root").agg(F.min("least").alias("component_id"))
     out = written(rows.select("key", "digest").join(grouped_.join(least, "root").select("digest", "component_id"), "digest").select(F.col("key").alias(key), "component_id"), "groups")
-    for done in (rows, classes, met, first, some, rest):
+    for done in (rows, classes, met, first, rest):
         discard(done)
     return out
 
