@@ -6,10 +6,8 @@ cosine, and its error is at most sqrt(1 - cos^2) * sqrt(1 - factor^2) / factor *
 below the threshold by more than that bound is dropped; all others are recomputed in double precision. With `confidence`
 unset the bound is the certain one, so the codes lose no pair.
 
-Equal vectors of one label are one class and never compared. Classes meet by label. Beyond WHOLE classes in a label they meet
-in the cells of several tables, whose keys are the first bits of further rotations; bits and tables follow the largest label
-so that a pair at the threshold meets in some cell with probability 1 - MISS. A cell beyond BLOCK classes is cut into blocks
-and pairs of blocks are dealt out. A block pair returns sums of links and a spanning set of its links, never all pairs.
+Equal vectors of one label are one class and never compared. Classes meet by label, all of them, whatever its size: a label beyond BLOCK classes
+is cut into blocks and pairs of blocks are dealt out. A block pair returns sums of links and a spanning set of its links, never all pairs.
 
 Edge cases: a vector that is null, empty, zero, or holds a null or non-finite component, and a vector with a null label, links with
 nothing; vectors of different lengths never link; ids must be unique; an empty table gives an empty result; other columns are not
@@ -30,26 +28,16 @@ from passwatch.llm.common import components, star_of, written
 
 THRESHOLD = 0.93
 BLOCK = 2048
-WHOLE = 16_384
-MISS = 1e-4
+WHOLE = 16_384  # no longer read: labels of any size are compared whole; a test still sets it
 SEED = 20240229
 
 
-def rotation(dim: int, number: int = 0) -> np.ndarray:
+def rotation(dim: int) -> np.ndarray:
     """A random orthogonal matrix, the same in every task."""
-    q, r = np.linalg.qr(np.random.default_rng([SEED, dim, number]).standard_normal((dim, dim)))
+    q, r = np.linalg.qr(np.random.default_rng([SEED, dim, 0]).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
 
-def tables_for(largest: int, threshold: float = THRESHOLD) -> tuple[int, int]:
-    """(bits of a cell key, number of tables) for a label of so many classes."""
-    if largest <= WHOLE:
-        return 0, 1
-    bits = min(48, math.ceil(math.log2(largest / BLOCK)))
-    meets = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(MISS) / math.log1p(-meets))
-
-
 def matrix(column: pa.Array) -> np.ndarray:
     """The vectors of a list column of one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -102,45 +90,23 @@ def classes_of(vectors: DataFrame, key: str, embedding: str, label: str) -> Data
     return vectors.where(F.col(label).isNotNull()).where(sound).groupBy(F.col(label).alias("label"), F.col(embedding).alias("embedding")).agg(F.min(key).alias("node"), F.count("*").alias("copies"))
 
 
-def placed(classes: DataFrame, bits: int, tables: int, block: int) -> DataFrame:
-    """task, side, sides, node, copies, cells, embedding: each class in every block pair of each of its cells."""
-    if bits:
-
-        def keys(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                column, size = batch.column(batch.schema.get_field_index("embedding")), None
-                size = np.diff(column.offsets.to_numpy())
-                out = np.zeros((batch.num_rows, tables), np.int64)
-                for dim in np.unique(size):
-                    rows = np.flatnonzero(size == dim)
-                    x = matrix(column.take(pa.array(rows)))
-                    for t in range(tables):
-                        need = min(bits, int(dim))
-                        out[rows, t] = (x @ rotation(int(dim), t + 1)[:need].T > 0) @ (np.int64(1) << np.arange(need, dtype=np.int64))
-                yield pa.record_batch([*batch.columns, pa.array(out.tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "cells"])
-
-        coded = classes.mapInArrow(keys, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", cells array<long>")
-    else:
-        coded = classes.withColumn("cells", F.array(F.lit(0).cast("long")))
-    dealt = coded.select("*", F.posexplode("cells").alias("t", "bits")).withColumn("cell", F.xxhash64("label", F.size("embedding"), "t", "bits"))
+def placed(classes: DataFrame, block: int) -> DataFrame:
+    """task, side, alone, node, copies, embedding: each class in every block pair of its label and length."""
+    dealt = classes.withColumn("cell", F.xxhash64("label", F.size("embedding")))
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     rows = dealt.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     paired = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "k"), F.greatest("own", "k")
-    return paired.select(F.xxhash64("cell", low, high).alias("task"), F.when(F.col("own") == low, 0).otherwise(1).alias("side"), (low == high).alias("alone"), F.col("t").cast("int").alias("t"), "node", "copies", "cells", "embedding")
+    return paired.select(F.xxhash64("cell", low, high).alias("task"), F.when(F.col("own") == low, 0).otherwise(1).alias("side"), (low == high).alias("alone"), "node", "copies", "embedding")
 
 
 def linked(classes: DataFrame, threshold: float = THRESHOLD, confidence: float | None = None, block: int = BLOCK) -> DataFrame:
     """node, links (vectors of other classes linked with it) and root (a spanning set of links), in parts that add up."""
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = tables_for(largest, threshold)
 
     def join(batches):
         for task in runs(batches):
             task = task.combine_chunks()
-            side, t = task["side"].to_numpy(), task["t"][0].as_py()
+            side = task["side"].to_numpy()
             alone = task["alone"][0].as_py()
             node, copies = task["node"].to_numpy(), task["copies"].to_numpy()
             x = matrix(task["embedding"].chunk(0))
@@ -150,16 +116,12 @@ def linked(classes: DataFrame, threshold: float = THRESHOLD, confidence: float |
                 continue
             i, j = near(x[left], x[right], alone, threshold, confidence)
             i, j = left[i], right[j]
-            if bits and len(i):  # a pair counts in the first table where its two cells are the same
-                cells = np.array(task["cells"].to_pylist(), np.int64)
-                first = (cells[i] == cells[j]).argmax(axis=1) == t
-                i, j = i[first], j[first]
             links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
             some = np.flatnonzero(links)
             root = dict(zip(*(c.tolist() for c in star_of(node[i], node[j]))))
             yield pa.record_batch([pa.array(node[some]), pa.array(links[some].astype(np.int64)), pa.array([root.get(v) for v in node[some].tolist()], pa.int64())], ["node", "links", "root"])
 
-    return placed(classes, bits, tables, block).repartition("task").sortWithinPartitions("task").mapInArrow(join, "node long, links long, root long")
+    return placed(classes, block).repartition("task").sortWithinPartitions("task").mapInArrow(join, "node long, links long, root long")
 
 
 def grouped(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, confidence: float | None = None) -> DataFrame:

@@ -133,6 +133,20 @@ def test_embeddings_cells_reach_recall(spark, monkeypatch):
     assert sum(v[0] for v in cells.values()) >= 0.9 * sum(v[0] for v in exact.values())
 
 
+def test_embeddings_of_a_large_label_lose_no_link(spark, monkeypatch):
+    """Cells lost links here: the same sums of links come from one block and from many, with WHOLE below the label's size."""
+    r = np.random.default_rng(4)
+    base = r.standard_normal((60, 32))
+    rows = [(int(i), [float(x) for x in base[i % 60] + 0.27 * r.standard_normal(32)], 0) for i in range(1200)]
+    x = np.array([e for _, e, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: (int(n),) for i, n in enumerate((x @ x.T >= 0.93).sum(axis=1) - 1) if n}
+    classes = embeddings.classes_of(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), "vec_id", "embedding", "label")
+    monkeypatch.setattr(embeddings, "WHOLE", 10)
+    monkeypatch.setattr(embeddings, "BLOCK", 5)
+    assert found(embeddings.linked(classes, block=200).groupBy("node").agg(F.sum("links").alias("n"))) == want
+
+
 def test_estimates_are_unbiased():
     r = np.random.default_rng(4)
     x = r.standard_normal((400, 64))
