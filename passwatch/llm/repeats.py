@@ -1,6 +1,6 @@
 """Removal of every byte that a repeated string of `window` bytes covers.
 
-Suffixes are dealt by content: a window's key is the smallest hash of its GRAM-byte strings, so equal windows have equal keys wherever
+Suffixes are dealt by content: a window's key is the smallest hash of its strings of GRAMS[0] bytes, so equal windows have equal keys wherever
 they lie, and consecutive windows of one key form one segment. A key that occurs once, and whose string
 stands once in its windows, has no repeated window. Segments of
 one key with equal bytes are copies, and all their windows are repeated. The different segments of a key that are left
@@ -8,13 +8,15 @@ meet in one task, which builds the Burrows-Wheeler transform of the collection o
 inserts one symbol for each segment, from the right, into the transform and updates the common prefixes of neighbouring suffixes. A window is
 repeated where its suffix shares `window` bytes with a neighbour.
 
-The transform and the common prefixes are read and rewritten from front to back once a round, as the method's files are; a
-collection is bounded by COLLECTION segments of at most STRIDE + window bytes, so the streams stay in the task. A key with more than
-MOST different segments is settled by hashes of its windows instead, grouped by Spark, which no key can overload.
+The transform, the common prefixes and the piles of first symbols are two sequential streams that each round reads and rewrites from front to
+back, as the method's files are; a collection is bounded by COLLECTION segments (or one key's) of at most STRIDE + window bytes, so the streams
+stay in the task, where no lost executor takes a file with it. A key with more than MOST different segments is dealt anew by longer strings, the
+next of GRAMS, and its smaller segments go the same way. The last is the window itself: then only runs of one byte leave a key with
+more than one segment, fewer than STRIDE of them, so no key is left too large for a task.
 
 Edge cases: a null text is empty; texts shorter than the window are kept whole; windows never run across texts; equal rows
-are documents of their own, so all they hold is repeated; other columns are not read. Equality of segments and, beyond MOST, of windows is
-equality of two 64-bit hashes.
+are documents of their own, so all they hold is repeated; a text is walked CHUNK bytes at a time, however long it is; other columns are not
+read. Rows of one id (or of none) are told apart by a 64-bit hash of their texts. Equality of segments is equality of two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,19 +28,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passwatch.llm.common import joined_bytes, map_arrow, mix, powers, prefix_hash, range_hash, written
+from passwatch.llm.common import discard, joined_bytes, map_arrow, mix, powers, prefix_hash, written
 from passwatch.llm.embeddings import runs
 
 WINDOW = 200
-GRAM = 48
+GRAMS = (96, 160, WINDOW)
 STRIDE = 200  # most windows in a segment
 MOST = 2048
 COLLECTION = 512
+CHUNK = 1 << 21
 END = 0xFF  # never a byte of UTF-8
 NO_ID = -(1 << 63)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows and key of each segment of the texts of a joined byte array, and whether its key's string
     leaves one of its windows and stands in the next: only then can windows of the segment equal each other."""
     gram = min(gram, window)
@@ -70,115 +73,147 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int = GRA
     return first, last - first, least[first], twice[last] > twice[first + 1]
 
 
-def window_runs(pieces: list[bytes], window: int) -> list[list[tuple[int, int]]]:
-    """For each piece the runs [a, b) of window starts whose window occurs once more in the collection.
+def walked(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """segments() of CHUNK windows at a time, so that its memory doesn't follow the longest text."""
+    parts = []
+    for a in range(0, max(len(data) - window + 1, 1), CHUNK):
+        part = data[a : a + CHUNK + window - 1]
+        start, *rest = segments(part, np.clip(offsets - a, 0, len(part)), window, gram)
+        parts.append((start + a, *rest))
+    return tuple(np.concatenate(c) for c in zip(*parts))
+
+
+#: A row of the transform is label << 8 | symbol; an entry of the piles is first symbol << PILE | label << 8 | common prefix, where the label is
+#: that of the suffix behind the first symbol. Labels ascend in the order of the suffixes and leave room between each other.
+PILE = 54
+LABELS = 1 << 46
+
 
-    Builds the transform b (END: a piece has no symbol left) and the common prefixes l of the collection's suffixes, l[r]
-    between rows r - 1 and r and never above the window.
+def spread(n: int) -> np.ndarray:
+    """n labels at even distances, in place."""
+    return (np.arange(1, n + 1) * (LABELS // (n + 1))) << 8
+
+
+def transform(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transform of the collection (END: a piece has no symbol left) and the common prefixes of its suffixes, each with the row before
+    and never above the window. The first rows are the empty suffixes, in the order of the pieces.
+
+    Row r holds a suffix, and entry r of the piles that suffix cut into its first symbol and the label of the rest, so a new suffix finds its
+    place among the piles by the symbol before an old one and the old one's label. Neighbours in a pile lead back to the rows between
+    which the common prefix is the least of a range.
     """
     n = len(pieces)
     size = np.array([len(p) for p in pieces])
     text = np.frombuffer(b"".join(pieces), np.uint8)
     first = np.cumsum(size) - size
     last = first + size - 1
-    # round 0: the empty suffixes, in the order of the pieces
-    b = text[last].copy()
-    l = np.zeros(n, np.uint8)
-    row = np.arange(n)  # where each piece's newest suffix stands
-    live = np.arange(n)
-    count = np.bincount(b, minlength=256)  # of each symbol in the transform
-    top = np.uint8(window - 1)
-    length = 0
-    while len(live):
+    rows = np.append(spread(n) | text[last], LABELS << 8 | END)  # the last row and entry only bound the others
+    piles = np.append(np.full(n, -256), np.iinfo(np.int64).max)
+    live, at, length = np.arange(n), np.arange(n), 0
+    while m := len(live):
         length += 1
-        order = np.argsort(b, kind="stable")
-        at = row[live]
-        new = sought(order, np.cumsum(count) - count, count, b[at], at)
-        by = np.argsort(new)
-        live, at, new = live[by], at[by], new[by]
-        symbol = b[at]
-        # the rows of the same symbol just before and after give the neighbours of the new suffixes
-        before = order[np.maximum(new - 1, 0)]
-        has_before = (new > 0) & (b[before] == symbol)
-        after = order[np.minimum(new + 1, len(b) - 1)]
-        has_after = (new + 1 < len(b)) & (b[after] == symbol)
-        left = np.zeros(len(new), np.uint8)
-        left[has_before] = np.minimum(least(l, before[has_before] + 1, at[has_before] + 1), top) + 1
-        right = np.minimum(least(l, at[has_after] + 1, after[has_after] + 1), top) + 1
-        old = np.ones(len(b) + len(new), bool)
+        symbol = rows[at] & 255
+        entry = symbol << PILE | rows[at] & -256
+        by = np.argsort(entry)
+        place = piles.searchsorted(entry[by])
+        start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        many, gap = np.diff(start, append=m), place[start]
+        if (((rows[gap] >> 8) - (rows[gap - 1] >> 8)) <= many).any():  # no room for new labels
+            order = np.argsort((rows[:-1] & 255).astype(np.uint8), kind="stable")
+            extended = rows[:-1] & 255 != END
+            extended[at] = False
+            order = order[extended[order]]
+            rows[:-1] = spread(len(rows) - 1) | rows[:-1] & 255
+            piles[n:-1] = (rows[order] & 255) << PILE | rows[order] & -256 | piles[n:-1] & 255
+            entry = symbol << PILE | rows[at] & -256
+        entry, symbol = entry[by], symbol[by]
+        low = rows[gap - 1] >> 8
+        step = ((rows[gap] >> 8) - low) // (many + 1)
+        label = np.repeat(low, many) + np.repeat(step, many) * (np.arange(1, m + 1) - np.repeat(start, many))
+        new = place + np.arange(m)
+        old = np.ones(len(rows) + m, bool)
         old[new] = False
-        bigger, common = np.empty(len(old), np.uint8), np.empty(len(old), np.uint8)
-        bigger[old], common[old] = b, l
-        position = last[live] - length
-        more = position >= first[live]
-        bigger[new] = np.where(more, text[np.maximum(position, 0)], END)
-        common[new] = left
-        common[new[has_after] + 1] = right
-        b, l = bigger, common
-        count += np.bincount(b[new], minlength=256)
-        row[live] = new
-        live = live[more]
-    # from each piece's empty suffix back to its front, one symbol a step
+        common = piles.view(np.uint8)[::8].copy()
+        piles = merged(piles, entry, old, new)
+        # for each old row, in their order: the row that leads to the neighbour before, itself, the row that leads to the one behind
+        edge = np.empty((m, 3), np.int64)
+        before, behind = piles[new - 1], piles[new + 1]
+        has_before, has_behind = before >> PILE == symbol, behind >> PILE == symbol
+        edge[:, 1] = at + 1
+        edge[by, 0] = np.where(has_before, rows.searchsorted(before & ((LABELS - 1) << 8)) + 1, at[by])
+        edge[by, 2] = np.where(has_behind, rows.searchsorted(behind & ((LABELS - 1) << 8)) + 1, at[by] + 2)
+        least = np.minimum.reduceat(common, np.minimum(edge.ravel(), len(common) - 1)).reshape(m, 3)[by]
+        shared = np.minimum(least, window - 1).astype(np.int64) + 1
+        piles[new[has_before]] |= shared[has_before, 0]
+        next_ = new[has_behind] + 1
+        piles[next_] = piles[next_] & -256 | shared[has_behind, 1]
+        live = live[by]
+        more = length < size[live]
+        rows = merged(rows, label << 8 | np.where(more, text[np.maximum(last[live] - length, 0)], END), old, new)
+        live, at = live[more], new[more]
+    return (rows[:-1] & 255).astype(np.uint8), piles[:-1].view(np.uint8)[::8]
+
+
+def merged(stream: np.ndarray, added: np.ndarray, old: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """A stream written anew with rows added."""
+    out = np.empty(len(old), stream.dtype)
+    out[old] = stream
+    out[new] = added
+    return out
+
+
+def window_runs(pieces: list[bytes], window: int) -> list[list[tuple[int, int]]]:
+    """For each piece the runs [a, b) of window starts whose window occurs once more in the collection."""
+    n = len(pieces)
+    b, common = transform(pieces, window)
     order = np.argsort(b, kind="stable")
     rank = np.empty(len(b), np.int64)
-    rank[order] = np.arange(len(b))
-    shared = np.zeros(len(b) + 1, bool)
-    shared[:-1] = l >= window
+    rank[order] = np.arange(n, n + len(b))
+    shared = np.append(common >= window, False)
     shared[:-1] |= shared[1:]
-    here = len(b) - n + np.arange(n)
-    repeated = np.zeros(len(text), bool)
+    # from each piece's empty suffix back to its front, one symbol a step
+    size = np.array([len(p) for p in pieces])
+    end = np.cumsum(size)
+    here = np.arange(n)
+    repeated = np.zeros(end[-1], bool)
     for step in range(int(size.max())):
         on = size > step
         here[on] = rank[here[on]]
-        repeated[last[on] - step] = shared[here[on]]
+        repeated[end[on] - 1 - step] = shared[here[on]]
     out = []
-    for a, m in zip(first.tolist(), size.tolist()):
-        edge = np.flatnonzero(np.diff(repeated[a : a + max(m - window + 1, 0)].astype(np.int8), prepend=0, append=0))
+    for z, m in zip(end.tolist(), size.tolist()):
+        edge = np.flatnonzero(np.diff(repeated[z - m : z - m + max(m - window + 1, 0)].astype(np.int8), prepend=0, append=0))
         out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist())))
     return out
 
 
-def sought(order: np.ndarray, begin: np.ndarray, count: np.ndarray, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where the rows `at` of the given symbols stand in `order`, which holds the rows of each symbol in ascending order."""
-    low, high = begin[symbol], begin[symbol] + count[symbol]
-    for _ in range(int(count.max()).bit_length()):
-        middle = (low + high) >> 1
-        beyond = order[middle] > at
-        low, high = np.where(beyond, low, middle), np.where(beyond, middle, high)
-    return low
-
-
-def least(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """The minimum of values[start:stop] of each range; no range is empty."""
-    if not len(start):
-        return np.zeros(0, values.dtype)
-    pairs = np.empty(2 * len(start), np.int64)
-    pairs[::2], pairs[1::2] = start, stop
-    return np.minimum.reduceat(np.append(values, values.dtype.type(255)), pairs)[::2]
+def tag_of(body: bytes) -> int:
+    """64 bits that tell rows of one id apart."""
+    return xxhash.xxh3_64_intdigest(body) - (1 << 63)
 
 
-def tag_of(body: bytes) -> int:
-    """23 bits that tell rows of one id apart."""
-    return xxhash.xxh32_intdigest(body) & 0x7FFFFF
+def hashes_of(body: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each body[start:end]."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(body[a:z]) for a, z in zip(start.tolist(), end.tolist())), np.uint64, len(start)).view(np.int64)
 
 
 def keyed(docs: DataFrame, window: int, with_content: bool) -> DataFrame:
-    """key, and with_content also content (a hash), doc and place (tag, inner, first window, windows - 1) of every segment."""
-    schema = "key long" + ", content long, doc long, place long" * with_content
+    """key, and with_content also content (a hash), doc, tag and place (inner, first window, windows - 1) of every segment."""
+    schema = "key long" + ", content long, doc long, tag long, place long" * with_content
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = joined_bytes(batch.column(1))
-        start, windows, key, inner = segments(data, offsets, window)
+        start, windows, key, inner = walked(data, offsets, window, GRAMS[0])
         if not with_content:
             key = np.concatenate([key, key[inner]])  # a key that may repeat within one segment counts as one that does
             return pa.record_batch([pa.array(key.view(np.int64))], ["key"])
-        body = data.tobytes()
-        digest = xxhash.xxh3_64_intdigest
-        content = np.fromiter((digest(body[a:z]) for a, z in zip(start.tolist(), (start + windows + window - 1).tolist())), np.uint64, len(start))
+        body = memoryview(np.ascontiguousarray(data))
+        content = hashes_of(body, start, start + windows + window - 1)
         tags = np.array([tag_of(body[a:z]) for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())], np.int64)
         owner = np.searchsorted(offsets, start, side="right") - 1
-        place = (tags[owner] << 40) | (inner.astype(np.int64) << 39) | ((start - offsets[owner]) << 8) | (windows - 1)
-        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(place)], ["key", "content", "doc", "place"])
+        place = (inner.astype(np.int64) << 39) | ((start - offsets[owner]) << 8) | (windows - 1)
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(content), batch.column(0).take(pa.array(owner)), pa.array(tags[owner]), pa.array(place)], ["key", "content", "doc", "tag", "place"])
 
     return map_arrow(docs, kernel, schema, "text")
 
@@ -195,23 +230,35 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def pieces_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """key, content, copies, rivals and piece (bytes) of the segments `wanted` (also doc, place), cut from their texts."""
-    lists = wanted.groupBy("doc", F.shiftright("place", 40).alias("tag")).agg(F.collect_list(F.struct("key", "content", "copies", "rivals", "place")).alias("parts"))
+    """key, content, copies, rivals, longest and piece (bytes) of the segments `wanted` (also doc, tag, place), cut from their texts."""
+    lists = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "content", "copies", "rivals", "longest", "place")).alias("parts"))
     joined = packed(docs).join(lists, ["doc", "tag"]).select("body", "parts")
+    names = ["key", "content", "copies", "rivals", "longest"]
 
     def cut(batches):
         for batch in batches:
             for body, parts in zip(batch.column(0), batch.column(1)):
                 text = zstandard.ZstdDecompressor().decompress(body.as_py())
-                rows = [(p["key"], p["content"], p["copies"], p["rivals"], text[(a := p["place"] >> 8 & 0x7FFFFFFF) : a + (p["place"] & 255) + window]) for p in parts.as_py()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(),) * 4 + (pa.binary(),))], ["key", "content", "copies", "rivals", "piece"])
+                rows = [(*(p[c] for c in names), text[(a := p["place"] >> 8 & 0x7FFFFFFF) : a + (p["place"] & 255) + window]) for p in parts.as_py()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(),) * 5 + (pa.binary(),))], [*names, "piece"])
+
+    return joined.mapInArrow(cut, "key long, content long, copies long, rivals long, longest long, piece binary").dropDuplicates(["key", "content"])
+
+
+def rivals_of(contents: DataFrame) -> DataFrame:
+    """key, rivals (different segments) and longest of the keys whose windows aren't settled yet. contents: key, content, copies, inner, windows."""
+    own = F.col("inner") & (F.col("copies") == 1)
+    keys = contents.groupBy("key").agg(F.count("*").alias("rivals"), F.min("copies").alias("fewest"), F.max(own).alias("inner"), F.max("windows").cast("long").alias("longest"))
+    return keys.where("fewest = 1 and (rivals > 1 or inner)").select("key", "rivals", "longest")
 
-    return joined.mapInArrow(cut, "key long, content long, copies long, rivals long, piece binary").dropDuplicates(["key", "content"])
 
+RUNS = "array<struct<a:int,b:int>>"
 
-def settled(pieces: DataFrame, window: int) -> DataFrame:
-    """key, content and runs (window starts from, to) of the pieces without a copy that share some window with a rival."""
-    shape = "key long, content long, runs array<struct<a:int,b:int>>"
+
+def constructed(pieces: DataFrame, window: int) -> DataFrame:
+    """key, content and runs (window starts from, to) of the pieces without a copy that share some window with a rival.
+
+    Keys are taken by the length of their segments, so that the segments of a collection end in about the same round."""
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def build(batches):
@@ -230,43 +277,66 @@ def settled(pieces: DataFrame, window: int) -> DataFrame:
         if held:
             yield flush()
 
-    few = pieces.where(F.col("rivals") <= MOST).repartition("key").sortWithinPartitions("key").mapInArrow(build, shape)
+    return pieces.repartition("key").sortWithinPartitions("longest", "key").select("key", "content", "copies", "piece").mapInArrow(build, f"key long, content long, runs {RUNS}")
+
+
+def finer(pieces: DataFrame, window: int, gram: int) -> DataFrame:
+    """key and content of the pieces, and their segments by longer strings: sub, part (key and content), copies, start, windows, inner, body."""
+    names = ["key", "content", "sub", "part", "copies", "start", "windows", "inner", "body"]
 
-    def hashes(batches):
+    def cut(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 data = np.frombuffer(row["piece"], np.uint8)
-                start = np.arange(len(data) - window + 1)
-                one = range_hash(prefix_hash(data), start, start + window).view(np.int64)
-                two = np.array([xxhash.xxh3_64_intdigest(row["piece"][a : a + window]) for a in start.tolist()], np.uint64).view(np.int64)
+                start, windows, key, inner = segments(data, np.array([0, len(data)]), window, gram)
+                sub = mix(key ^ np.uint64(row["key"] & ((1 << 64) - 1))).view(np.int64)
+                end = start + windows + window - 1
                 same = [pa.array(np.full(len(start), row[c]), pa.int64()) for c in ("key", "content", "copies")]
-                yield pa.record_batch([*same, pa.array(start.astype(np.int32)), pa.array(one), pa.array(two)], ["key", "content", "copies", "start", "one", "two"])
-
-    many = pieces.where(F.col("rivals") > MOST).mapInArrow(hashes, "key long, content long, copies long, start int, one long, two long")
-    often = many.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    single = F.struct(F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
-    rest = many.where("copies = 1").join(often, ["one", "two"], "left_semi").groupBy("key", "content").agg(F.collect_list(single).alias("runs"))
-    return few.unionByName(rest)
+                body = pa.array([row["piece"][a:z] for a, z in zip(start.tolist(), end.tolist())], pa.binary())
+                yield pa.record_batch([same[0], same[1], pa.array(sub), pa.array(hashes_of(row["piece"], start, end)), same[2], pa.array(start.astype(np.int32)), pa.array(windows), pa.array(inner), body], names)
+
+    return pieces.mapInArrow(cut, "key long, content long, sub long, part long, copies long, start int, windows long, inner boolean, body binary")
+
+
+def settled(pieces: DataFrame, window: int, rung: int = 0) -> DataFrame:
+    """key, content and runs of the pieces without a copy that share some window with a rival; keys with very many rivals by longer strings."""
+    if rung + 1 == len(GRAMS):
+        return constructed(pieces, window)
+    few, many = constructed(pieces.where(F.col("rivals") <= MOST), window), pieces.where(F.col("rivals") > MOST)
+    if many.isEmpty():
+        return few
+    subs = written(finer(many, window, GRAMS[rung + 1]), "subs")
+    contents = subs.groupBy(F.col("sub").alias("key"), F.col("part").alias("content")).agg(F.sum("copies").alias("copies"), F.max("inner").alias("inner"), F.max("windows").alias("windows"), F.min("body").alias("piece"))
+    contents = written(contents, "parts")
+    partly = settled(contents.join(rivals_of(contents), "key"), window, rung + 1)
+    found = contents.where("copies > 1").select("key", "content", F.lit(None).cast(RUNS).alias("runs")).unionByName(partly)
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("windows").cast("int").alias("b")))
+    shifted = F.transform(F.coalesce("runs", whole), lambda r: F.struct((F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"]).alias("b")))
+    joined = subs.where("copies = 1").join(found.select(F.col("key").alias("sub"), F.col("content").alias("part"), "runs"), ["sub", "part"])
+    return few.unionByName(joined.groupBy("key", "content").agg(F.flatten(F.collect_list(shifted)).alias("runs")))
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, tag and runs (window starts from, to) of every text that has a repeated window. docs: doc, text."""
     often = keyed(docs, window, False).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = written(keyed(docs, window, True).join(often, "key", "left_semi"), "segments")
-    contents = written(shared.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "place")).alias("one")), "contents")
-    inner = (F.shiftright("one.place", 39) % 2 != 0) & (F.col("copies") == 1)
-    rivals = contents.groupBy("key").agg(F.count("*").alias("rivals"), F.min("copies").alias("fewest"), F.max(inner).alias("inner")).where("fewest = 1 and (rivals > 1 or inner)").select("key", "rivals")
-    wanted = contents.join(rivals, "key").select("key", "content", "copies", "rivals", "one.doc", "one.place")
-    partly = settled(written(pieces_of(docs, wanted, window), "pieces"), window)
-    whole = contents.where("copies > 1").select("key", "content", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
-    found = written(whole.unionByName(partly), "repeats")
+    counted = shared.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "tag", "place")).alias("one"))
+    place = F.col("one.place")
+    contents = written(counted.select("key", "content", "copies", "one", (F.shiftright(place, 39) != 0).alias("inner"), (place.bitwiseAND(F.lit(255)) + 1).alias("windows")), "contents")
+    wanted = contents.join(rivals_of(contents), "key").select("key", "content", "copies", "rivals", "longest", "one.doc", "one.tag", "one.place")
+    pieces = written(pieces_of(docs, wanted, window), "pieces")
+    whole = contents.where("copies > 1").select("key", "content", F.lit(None).cast(RUNS).alias("runs"))
+    found = written(whole.unionByName(settled(pieces, window)), "repeats")
     start, all_of = F.shiftright("place", 8).bitwiseAND(F.lit(0x7FFFFFFF)), F.col("place").bitwiseAND(F.lit(255)) + 1
     placed = shared.join(found, ["key", "content"]).select(
         "doc",
-        F.shiftright("place", 40).alias("tag"),
+        "tag",
         F.when(F.col("runs").isNull(), F.array(F.struct(start.alias("a"), (start + all_of).alias("b")))).otherwise(F.transform("runs", lambda r: F.struct((start + r["a"]).alias("a"), (start + r["b"]).alias("b")))).alias("runs"),
     )
-    return placed.groupBy("doc", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    out = written(placed.groupBy("doc", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs")), "spans")
+    for done in (shared, contents, pieces, found):
+        discard(done)
+    return out
 
 
 def removed(size: int, runs_: list[dict], window: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:

@@ -69,13 +69,36 @@ def test_repeats(spark, monkeypatch):
     word = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
     shared, near = word(320), word(700)
     texts = [*TEXTS, shared + word(90), word(150) + shared, shared[:150] + word(40) + shared[150:], near, near[:300] + "#" + near[300:], near[:500] + "#" + near[501:], near, "xyz" * 300, word(199), word(1000)]
-    for most in (repeats.MOST, 1):  # 1: every key with rivals is settled by hashes
+    for most in (repeats.MOST, 1, 0):  # 1 and 0: keys with rivals are dealt anew by longer strings, down to the window itself
         monkeypatch.setattr(repeats, "MOST", most)
         got = {r_.doc_id: (r_.n_bytes, sum(s.b - s.a for s in r_.removed), bytes(r_.kept)) for r_ in repeats.deduplicate(docs_of(spark, texts, True)).collect()}
         assert [got[i] for i in range(len(texts))] == cut_plainly(texts, 200)
     assert repeats.deduplicate(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_repeats_of_one_id(spark):
+    """Rows without an id, or with the same id, keep their own texts apart."""
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    shared = word(400)
+    texts = [word(300) + shared, shared[100:] + word(500), word(900), word(250) + shared[:250], None, shared, shared]
+    for ids in ([None] * 7, [5] * 7, [None, 5, 5, None, 5, 1, 1]):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string")
+        got = sorted((str(x.doc_id), x.n_bytes, sum(s.b - s.a for s in x.removed), bytes(x.kept)) for x in repeats.deduplicate(df).collect())
+        assert got == sorted((str(i), *c) for i, c in zip(ids, cut_plainly(texts, 200)))
+
+
+def test_repeats_of_a_long_text(spark):
+    """A text longer than a chunk, with a passage on a chunk's edge that stands elsewhere, too."""
+    r = np.random.default_rng(6)
+    body = r.integers(97, 123, 5_000_000).astype(np.uint8)
+    body[4_000_000:4_000_600] = body[repeats.CHUNK - 300 : repeats.CHUNK + 300]
+    text = body.tobytes().decode()
+    got = repeats.deduplicate(docs_of(spark, [text, "short"])).orderBy("doc_id").first()
+    assert [(s.a, s.b) for s in got.removed] == [(repeats.CHUNK - 300, repeats.CHUNK + 300), (4_000_000, 4_000_600)]
+    assert got.n_bytes == len(text) and len(got.kept) == len(text) - 1200
+
+
 def test_repeats_query(spark):
     rows = connect().execute("SELECT doc_id, text FROM documents").fetchall()
     want = {i: (n, gone, hashlib.sha256(kept).hexdigest()) for (i, _), (n, gone, kept) in zip(rows, cut_plainly([t for _, t in rows], 200))}
