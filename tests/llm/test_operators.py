@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -274,7 +275,7 @@ def overlaps(doc, item):
     return False
 
 
-def test_decontaminate(spark):
+def test_decontaminate(spark, monkeypatch):
     r = random.Random(3)
     words = [f"w{i}" for i in range(30)]
     items = [" ".join(r.choice(words) for _ in range(r.choice([3, 5, 7, 9, 10, 12, 13, 20, 40]))) for _ in range(30)] + ["", None]
@@ -289,12 +290,34 @@ def test_decontaminate(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").withColumn("doc_id", F.lit("clash"))
     docs = docs_of(spark, texts, True)
     want = {(a, b) for a, t in enumerate(texts) for b, i in enumerate(items) if overlaps(t, i)}
-    for block in (decontaminate.BLOCK_BYTES, 500):
-        assert {(x.doc_id, x.item_id) for x in decontaminate.find(docs, bench, block_bytes=block).collect()} == want
-    assert {x.doc_id for x in decontaminate.clean(docs, bench, block_bytes=900).collect()} == set(range(len(texts))) - {a for a, _ in want}
+    for bits in (decontaminate.FILTER_BITS, 1 << 12):  # a filter that lets nearly all seeds through changes nothing
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+        assert {(x.doc_id, x.item_id) for x in decontaminate.find(docs, bench).collect()} == want
+    assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == set(range(len(texts))) - {a for a, _ in want}
     assert decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_query(spark):
+    con = connect()
+    items = con.execute("SELECT item_id, text FROM benchmark").fetchall()
+    want = {(a, b) for a, t in con.execute("SELECT doc_id, text FROM documents").fetchall() for b, i in items if overlaps(t, i)}
+    got = queries.op6_decontaminate(spark, SF).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert all(r.similarity == r.matched_words / r.window_words >= 0.8 for r in got)
+
+
+def test_decontaminate_long_items(spark):
+    """An item longer than a part, a document longer than a tile, and the place of the best window."""
+    r = random.Random(4)
+    item = [f"i{r.randrange(10**6)}" for _ in range(1500)]
+    docs = [[f"d{k}" for k in range(700)] + item[a : a + 13] + [f"e{k}" for k in range(50)] for a in (0, 495, 500, 505, 1487)]
+    docs.append([f"d{k}" for k in range(90)] + item[600:605] + ["x"] + item[606:609] + ["y"] + item[610:613])
+    docs.append([f"d{k}" for k in range(90)] + item[600:610])
+    bench = spark.createDataFrame([(None, " ".join(item)), (2, "short one here")], "item_id bigint, text string")
+    got = decontaminate.find(docs_of(spark, [" ".join(d) for d in docs]), bench).orderBy("doc_id").collect()
+    assert [(x.doc_id, x.item_id, x.start_word, x.matched_words, x.window_words) for x in got] == [*((k, None, 700, 13, 13) for k in range(5)), (5, None, 90, 11, 13)]
+
+
 # op 7
 
 
@@ -471,6 +494,80 @@ def test_html_cases():
     assert html.main_text(long).count("\n") == 4999
 
 
+PROSE = "Text, with some commas, in it, that is long enough to score here."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article><h1>T</h1><p>{PROSE}</p><ul><li><a href=x>one link</a></li><li><a href=y>two links</a></li></ul></article>", ["T", PROSE, "one link", "two links"]),
+        (f"<article><p>{PROSE}</p><div class='social impact'>On impact.</div><p class='notice'>A notice.</p><div class='cookie-notice'>Cookies!</div></article>", [PROSE, "On impact.", "A notice."]),
+        (f"<nav><a href=x>a</a></nav><article><p>{PROSE}</p></article><article><p>Second.</p></article><footer>f</footer>", [PROSE, "Second."]),
+        (f"<div class=top><a href=a>Home</a> <a href=b>More</a></div><div><p>{PROSE}</p><p>{PROSE}</p></div><div>A short end.</div><p>Bye</p><div>Site X</div>", [PROSE, PROSE, "A short end.", "Bye"]),
+        (f"<article><h1>T</h1><div><div><p>{PROSE}</p></div></div><section id=comments><p>{PROSE}</p></section></article>", ["T", PROSE]),
+        (f"<div><h2>Links</h2><ul><li><a>aaaa</a><li><a>bbbb</a></ul></div><h1>Head</h1><div><p>{PROSE}</p></div>", ["Head", PROSE]),
+    ],
+)
+def test_html_keeps_the_article(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>") == "\n".join(want)
+
+
+def test_html_score_decides(spark):
+    """The best container of random pages, with and without <article>, is that of the plain definition of the score."""
+    r = random.Random(2)
+
+    def block(depth):
+        if depth == 0 or r.random() < 0.3:
+            text = "words, " * r.randrange(12) + "x" * r.randrange(60)
+            return f"<p>{text}</p>" if r.random() < 0.7 else f"<p><a href=x>{text}</a> {text[:20]}</p>"
+        tag = r.choice(["div", "div class=content", "section", "article", "blockquote", "span"])
+        return f"<{tag}>" + "".join(block(depth - 1) for _ in range(r.randrange(1, 4))) + f"</{tag.split()[0]}>"
+
+    def below(node):
+        return [x for c in node.children if isinstance(c, html.Node) for x in (c, *below(c))]
+
+    def text(node):
+        return "".join(c if isinstance(c, str) else text(c) for c in node.children)
+
+    def size(node):
+        return sum(len(c.strip()) if isinstance(c, str) else size(c) for c in node.children)
+
+    def linked(node):
+        return size(node) if node.tag == "a" else sum(linked(c) for c in node.children if isinstance(c, html.Node))
+
+    def plain(root):
+        nodes, points = [root, *below(root)], {}
+        for node in nodes:
+            if node.tag in html.SCORED and size(node) >= 25 and not any(x.tag in html.BLOCK for x in below(node)):
+                worth = (1 + text(node).count(",") + min(len(text(node)) // 100, 3)) * (1 - linked(node) / size(node))
+                above = node.parent
+                for share in (1, 1 / 2, 1 / 6, 1 / 9, 1 / 12):
+                    if above is not None:
+                        points[above] = points.get(above, 0) + worth * share
+                        above = above.parent
+        weigh = lambda n: 1.25 if n.tag in ("article", "main") or n.words & html.BODY_WORDS else 1
+        return [points.get(n, 0) * (1 - linked(n) / max(size(n), 1)) * weigh(n) for n in nodes]
+
+    for _ in range(300):
+        root = html.tree("<body>" + "".join(block(3) for _ in range(3)) + "</body>")
+        want = plain(root)
+        nodes = html.score(root)
+        assert [round(n.points, 9) for n in nodes] == [round(x, 9) for x in want]
+        best = max(nodes, key=lambda n: n.points)
+        got = "\n".join(line for run, article in html.kept(best) for line in html.lines(run, article))
+        if best.points and not any(html.is_menu(x) for x in [best, *below(best)]):
+            assert "".join(text(best).split()) in "".join(got.split())
+
+
+@pytest.mark.parametrize("parts", [["<div>", "x</span>"], ["<b>", "<p>", "x"], ["<div>", "Deep text, long enough, to be scored."], ["<b><table><td>", "<i>", "</b>", "x"], ["<ul><li>", "x"], ["<div><span>", "Deep text, long enough."]])
+def test_html_is_linear_in_depth(parts):
+    """100,000 open elements: a quadratic reader would take minutes."""
+    page = "".join(p * (1 if p == parts[-1] or p.startswith("<b><") else 100_000) for p in parts)
+    began = time.process_time()
+    assert html.main_text(page)
+    assert time.process_time() - began < 30
+
+
 def test_html_query(spark):
     pages = connect().execute("SELECT page_id, url, html FROM pages").fetchall()
     got = found(queries.op9_html(spark, SF))
@@ -503,6 +600,15 @@ def test_warc(spark, tmp_path):
     warc.files(table, str(tmp_path / "out"))
     assert sum(len(list(warc.read_archive(p.read_bytes()))) for p in (tmp_path / "out").iterdir()) == len(pages)
     assert warc.read(warc.write(df.limit(0), "page_id", "url", "html")).count() == 0
+    odd = spark.createDataFrame([(None, "u", "same"), (1, None, "same"), (2, "a\r\nb", "same"), (2, "c", "other"), (3, "d", "same"), (None, None, None)], "page_id bigint, url string, html string")
+    got = sorted(((x.key, x.url, x.record_type, x.refers_to) for x in warc.read(warc.write(odd, "page_id", "url", "html")).collect()), key=str)
+    assert got == sorted([(None, "u", "response", None), (1, None, "revisit", 3), (2, "a%0D%0Ab", "revisit", 3), (2, "c", "response", None), (3, "d", "response", None), (None, None, "response", None)], key=str)
+
+
+def test_warc_moves_no_payload(spark):
+    """Pages are shuffled without their payloads: these stand only on the side that isn't exchanged."""
+    plan = warc.deduplicated(spark.read.parquet(f"{SF}/pages.parquet"), "page_id", "url", "html")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
 # pipeline
