@@ -1,15 +1,17 @@
 """Main text of web pages by tree scoring.
 
-A tolerant reader builds a page's tree. Parts that are never the article (menus, headers and footers of the page, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are cut by element and by the words of class, id and role.
+A tolerant reader builds a page's tree in one pass. Parts that are never the article (menus, headers and footers of the page, sidebars,
+notices, adverts, forms, scripts, styles, reader comments) are cut by element and by the words of class, id and role; inside an <article> or
+<main> only boxes are cut by words, and only where all their words name such parts.
 Every paragraph-like block passes points for its length and its commas to its parent in full, to its grandparent by half and
-to further ancestors by less; a container's sum is discounted by the share of its text that lies in links. The best container
-(its <article> or <main>, where it has one around it) and those siblings that read like text are kept, and give one line a
-block in page order, references decoded and white space collapsed.
+to further ancestors by less; a container's sum is discounted by the share of its text that lies in links. The best container is kept, and at
+each level from it up to the page those siblings that read like text: all of them inside an <article> or <main>, elsewhere headings of what
+follows, paragraphs, lists, tables and boxes of sentences, unless links make up most of them. Blocks give one line each in page order,
+references decoded and white space collapsed. Names of elements weigh in the score and choose among siblings, but don't choose the container.
 
 Edge cases: a null or blank page, or one without text outside the cut parts, gives an empty text; a page cut off in a tag
-loses that tag, and a reference without its semicolon is decoded where HTML has it; nothing is capped, however long the page;
-repeated rows are read each for itself; other columns are not read.
+loses that tag, and a reference without its semicolon is decoded where HTML has it; nothing is capped, however long or deep the page (the time
+is linear in both); repeated rows are read each for itself; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ PART_WORDS = frozenset(
     " related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget widgets".split()
 )
 PART_ROLES = frozenset("banner navigation complementary contentinfo search alert dialog menu menubar form".split())
+#: Words that say nothing about a box's content.
+PLAIN_WORDS = frozenset("area articles bar block box button buttons container content form group icon icons inner item items section link links list module panel posts reader row stories thread user wrap wrapper".split())
+BOXES = frozenset("article aside div dl figure footer header ol section table ul".split())
+PROSE = frozenset("blockquote dl figure ol p pre table ul".split())
+TABLES = frozenset("table tr tbody thead tfoot body html div article section main".split())
 BODY_WORDS = frozenset("article body content entry main post story text".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
@@ -46,24 +53,28 @@ WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "children", "text", "linked", "points")
+    __slots__ = ("tag", "words", "parent", "children", "text", "linked", "links", "blocks", "points")
 
     def __init__(self, tag: str, words: frozenset, parent: Node | None):
         self.tag, self.words, self.parent = tag, words, parent
         self.children: list[Node | str] = []
-        self.text = self.linked = 0  # characters below, and those of them inside links
+        self.text = self.linked = self.links = 0  # characters below, those of them inside links, and links
+        self.blocks = False  # whether a block lies below
         self.points = 0.0
 
 
 def is_part(tag: str, words: frozenset, in_article: bool) -> bool:
     """Whether an element is a part of the page that is not the article."""
-    if tag in NEVER or "__hidden" in words:
+    if tag in NEVER or "__hidden" in words or "__part" in words:
         return True
-    if tag in ("html", "body", "article", "main"):
-        return bool(words & {"comment", "comments"}) and tag == "article"
-    if tag == "header" and not in_article:
-        return True
-    return bool(words & PART_WORDS) and not words & {"article", "main"} or "__part" in words
+    if tag in ("html", "body", "main"):
+        return False
+    if tag == "article":
+        return bool(words & {"comment", "comments", "reply", "replies"})
+    if in_article:
+        named = words - PLAIN_WORDS
+        return tag in BOXES and bool(named) and named <= PART_WORDS
+    return tag == "header" or bool(words & PART_WORDS) and not words & {"article", "main"}
 
 
 def names(attributes: str) -> frozenset:
@@ -82,15 +93,57 @@ def names(attributes: str) -> frozenset:
     return frozenset(out)
 
 
+class Open:
+    """The open elements by name: in all, since the last table or cell, and since the last element that bounds paragraphs and items."""
+
+    def __init__(self):
+        self.all, self.cell, self.scope = {}, [{}], [{}]
+
+    def add(self, tag: str) -> None:
+        if tag in ("td", "th", "table"):
+            self.cell.append({})
+        if tag in SCOPE:
+            self.scope.append({})
+        for counts in (self.all, self.cell[-1], self.scope[-1]):
+            counts[tag] = counts.get(tag, 0) + 1
+
+    def remove(self, tag: str) -> None:
+        for counts in (self.all, self.cell[-1], self.scope[-1]):
+            counts[tag] -= 1
+        if tag in ("td", "th", "table"):
+            self.cell.pop()
+        if tag in SCOPE:
+            self.scope.pop()
+
+
 def tree(page: str) -> Node:
     """The page's tree without the parts that are never the article."""
     root = Node("html", frozenset(), None)
     at, here, n = 0, root, len(page)
-    depth_cut = None  # the node whose subtree is thrown away
-    in_article = 0
+    cut = None  # the node whose subtree is thrown away
+    open_ = Open()
+
+    def leave(last: Node) -> Node:
+        """End every open element up to and with `last`; each element ends once, so that all ends together are linear."""
+        nonlocal cut
+        step = here
+        while True:
+            open_.remove(step.tag)
+            if step is cut:
+                cut = None
+            if step is last:
+                return last.parent
+            step = step.parent
+
+    def nearest(names_) -> Node:
+        node = here
+        while node.tag not in names_:
+            node = node.parent
+        return node
+
     while at < n:
         found = TOKEN.search(page, at)
-        if depth_cut is None and (end := found.start() if found else n) > at:
+        if cut is None and (end := found.start() if found else n) > at:
             here.children.append(page[at:end])
         if not found:
             break
@@ -99,60 +152,36 @@ def tree(page: str) -> Node:
         if not tag or not (found[4] or found[8]):
             continue  # a comment, a declaration, or a tag that the end of the page cuts off
         tag = tag.lower()
-        if closing:
-            node = here
-            while node is not None and node.tag != tag:
-                if node.tag in ("td", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html", "div", "article", "section", "main"):
-                    node = None
-                    break
-                node = node.parent
-            if node is None or node is root or tag == "body":
-                continue
-            step = here
-            while True:  # leave everything up to the element that ends
-                in_article -= step.tag in ("article", "main")
-                if step is depth_cut:
-                    depth_cut = None
-                if step is node:
-                    break
-                step = step.parent
-            here = node.parent
-            continue
         if tag in ("html", "body"):
             continue
+        if closing:
+            # a cell or table keeps the ends of what stands around it out
+            if (open_.all if tag in TABLES or tag in ("td", "th") else open_.cell[-1]).get(tag):
+                here = leave(nearest((tag,)))
+            continue
         if tag in BLOCK:
-            # a block ends an open paragraph, and an item ends the item before it
-            ends = CLOSED_BY.get(tag, ())
-            node, target = here, None
-            while node is not root and (node.tag not in SCOPE or node.tag in ends):
-                if node.tag == "p" or node.tag in ends or tag in HEADINGS and node.tag in HEADINGS:
-                    target = node
-                node = node.parent
-            if target is not None:
-                step = here
-                while step is not target.parent:
-                    if step is depth_cut:
-                        depth_cut = None
-                    in_article -= step.tag in ("article", "main")
-                    step = step.parent
-                here = target.parent
+            # a block ends an open paragraph, a heading a heading, and an item the item before it
+            ends = {"p", *CLOSED_BY.get(tag, ()), *(HEADINGS if tag in HEADINGS else ())}
+            counts = open_.scope[-1]
+            while open_ends := [e for e in ends if counts.get(e)]:
+                here = leave(nearest(open_ends))
         words = names(attributes) if attributes.strip(" /") else frozenset()
-        cut = depth_cut is None and is_part(tag, words, in_article > 0)
+        part = cut is None and is_part(tag, words, bool(open_.all.get("article") or open_.all.get("main")))
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
             inner, at = (page[at : end.start()], end.end()) if end else (page[at:], n)
-            if depth_cut is None and not cut:
+            if cut is None and not part:
                 here.children.append(inner)
             continue
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
-            if depth_cut is None and tag in ("br", "hr", "wbr"):
+            if cut is None and tag in ("br", "hr", "wbr"):
                 here.children.append(Node(tag, frozenset(), here))
             continue
         node = Node(tag, words, here)
-        in_article += tag in ("article", "main")
-        if cut:
-            depth_cut = node
-        elif depth_cut is None:
+        open_.add(tag)
+        if part:
+            cut = node
+        elif cut is None:
             here.children.append(node)
         here = node
     return root
@@ -172,16 +201,16 @@ def score(root: Node) -> list[Node]:
     """Fill in texts, links and points; returns every element."""
     nodes = walk(root)
     for node in reversed(nodes):
-        own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        node.text += own
+        node.text += sum(len(c.strip()) for c in node.children if isinstance(c, str))
         if node.tag == "a":
-            node.linked = node.text
-        if node.parent is not None:
-            node.parent.text += node.text
-            node.parent.linked += node.linked
+            node.linked, node.links = node.text, node.links + 1
+        if (above := node.parent) is not None:
+            above.text += node.text
+            above.linked += node.linked
+            above.links += node.links
+            above.blocks |= node.blocks or node.tag in BLOCK
     for node in nodes:
-        inner = any(isinstance(c, Node) and c.tag in BLOCK for c in node.children)
-        if node.tag not in SCORED or inner or node.text < 25:
+        if node.tag not in SCORED or node.blocks or node.text < 25:
             continue
         plain = flat(node)
         points = (1 + plain.count(",") + min(len(plain) // 100, 3)) * (1 - node.linked / node.text)
@@ -191,7 +220,7 @@ def score(root: Node) -> list[Node]:
             above, level = above.parent, level + 1
     for node in nodes:
         node.points *= 1 - node.linked / max(node.text, 1)
-        if node.points and (node.tag in ("article", "main") or node.words & BODY_WORDS):
+        if node.tag in ("article", "main") or node.words & BODY_WORDS:
             node.points *= 1.25
     return nodes
 
@@ -210,11 +239,11 @@ def flat(node: Node) -> str:
 
 def is_menu(node: Node) -> bool:
     """A list or box that is nearly all links."""
-    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.text > 0 and node.linked > 0.8 * node.text and sum(x.tag == "a" for x in walk(node)) > 1
+    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links > 1 and node.linked > 0.8 * node.text
 
 
-def lines(nodes: list[Node]) -> list[str]:
-    """One line for each run of inline content, in page order."""
+def lines(nodes: list[Node | str], menus: bool) -> list[str]:
+    """One line for each run of inline content, in page order; lists of links outside an <article> or <main> only with `menus`."""
     out, run = [], []
 
     def flush() -> None:
@@ -225,10 +254,12 @@ def lines(nodes: list[Node]) -> list[str]:
 
     stack = [iter(nodes)]
     blocks = [False]
+    inside = [menus]
     while stack:
         item = next(stack[-1], None)
         if item is None:
             stack.pop()
+            inside.pop()
             if blocks.pop():
                 flush()
         elif isinstance(item, str):
@@ -237,37 +268,66 @@ def lines(nodes: list[Node]) -> list[str]:
             run.append(" " * (item.tag == "br"))
         elif item.tag == "hr":
             flush()
-        elif not is_menu(item):
+        elif inside[-1] or not is_menu(item):
             if item.tag in BLOCK:
                 flush()
             blocks.append(item.tag in BLOCK)
+            inside.append(inside[-1] or item.tag in ("article", "main"))
             stack.append(iter(item.children))
     flush()
     return out
 
 
+def reads(item: Node | str) -> bool:
+    """Whether a sibling outside an <article> reads like a part of the text."""
+    if isinstance(item, str):
+        return len(item.strip()) >= 25 or item.strip().endswith((".", "!", "?"))
+    if not item.text or item.linked > 0.5 * item.text:
+        return False
+    if item.tag in PROSE or item.tag in ("article", "main") or item.points > 0:
+        return True
+    return flat(item).rstrip().endswith((".", "!", "?", ":", "…", '"', "”"))
+
+
+def kept(best: Node) -> list[tuple[list[Node | str], bool]]:
+    """The best container and, at each level above it, what is kept of its siblings: runs in page order, and whether an <article> or
+    <main> holds them."""
+    held = []  # whether an <article> or <main> holds the level, from the best container up
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    inside = False
+    for node in reversed(path[1:]):
+        inside |= node.tag in ("article", "main")
+        held.append(inside)
+    held.reverse()
+    before, after = [], []
+    for node, article in zip(path, held):
+        level = node.parent.children
+        at = next(i for i, c in enumerate(level) if c is node)
+        good, follows = [], False
+        for k in range(len(level) - 1, -1, -1):
+            item = level[k]
+            if k == at:
+                follows = True
+                continue
+            heads = not isinstance(item, str) and item.tag in HEADINGS
+            if article or (follows and item.linked <= 0.5 * item.text if heads else reads(item)):
+                good.append((k, item))
+                follows = True
+        good.reverse()
+        before.append(([c for k, c in good if k < at], article))
+        after.append(([c for k, c in good if k > at], article))
+    return [*reversed(before), ([best], held[0] if held else False), *after]
+
+
 def main_text(page: str) -> str:
     root = tree(page)
     nodes = score(root)
     best = max(nodes, key=lambda x: x.points)
-    around = best
-    while around is not None and around.tag not in ("article", "main") and "main" not in around.words:
-        around = around.parent
-    if around is not None:
-        best = around
-    elif best.points == 0:
-        article = next((x for x in nodes if x.tag in ("article", "main")), None)
-        best = article or root
-    if best.parent is None:
-        return "\n".join(lines([best]))
-    siblings = [c for c in best.parent.children if isinstance(c, Node)]
-    keep, least = [], max(10.0, 0.2 * best.points)
-    for k, node in enumerate(siblings):
-        heads = node.tag in HEADINGS and node.text and siblings[k + 1 : k + 2] == [best]
-        reads = node.tag == "p" and node.text > 80 and node.linked < 0.25 * node.text
-        if node is best or heads or best.tag not in ("main",) and (node.points >= least and node.tag == best.tag or reads and best.tag not in ("article",)):
-            keep.append(node)
-    return "\n".join(lines(keep))
+    if best.points == 0:
+        return "\n".join(lines([root], False))
+    return "\n".join(line for run, article in kept(best) for line in lines(run, article))
 
 
 def extract(df: DataFrame, html: str, keep: list[str], name: str = "text") -> DataFrame:
