@@ -6,11 +6,13 @@ record can be read from its offset. Archives are rows of a table in the shared f
 unloads them as .warc.zst files.
 
 Equal payloads (same SHA-1 and length) of at least `least_bytes` bytes are stored once: the record with the largest id is
-the response, the others revisit it. Digests are grouped with map-side maxima and joined back as ids, so a payload shared by
-a third of all rows is no single task's.
+the response, the others revisit it. Only ids, digests and lengths are grouped, with map-side maxima, so a payload shared by
+a third of all rows is no single task's; the ids of revisits then meet the rows, which stay where they are while Spark finds those ids small
+enough to broadcast, and else move once, by their ids.
 
-Edge cases: a null payload is an empty one; ids must not be null or repeat (a repeated id gives a record for each row, and a
-group's response is then each row with the largest id); an empty table gives no archives; extra columns are not written.
+A response's block is an HTTP head and the payload. Edge cases: a null payload is an empty one; a null url has no target header and
+reads back as null; a row without an id is always a response; a repeated id gives a record for each row, and a group's response is each row
+with the largest id; an empty table gives no archives; extra columns are not written.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from passwatch.llm.common import slices, small_batches, written
 #: Fixed values of the formats: the skippable frame of a dictionary, record heads.
 DICTIONARY_MAGIC = 0x184D2A5D
 VERSION = "WARC/1.1"
+DATE = "1970-01-01T00:00:00Z"  # pages carry no date of their own
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DICTIONARY_BYTES = 16 << 10
 SAMPLE_BYTES = 1 << 20
@@ -42,22 +46,23 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(key: int, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def record_bytes(key: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC record. A revisit has no block and names the response that has it."""
+    block = b"" if refers_to is not None else HTTP.format(len(payload)).encode() + payload
     head = [
         VERSION,
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:record:{key}>",
-        "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
-        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Record-ID: <urn:record:{'' if key is None else key}>",
+        *(["WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")] if url is not None else []),
+        f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Block-Digest: sha1:{digest_of(block)}",
         f"X-Payload-Length: {size}",
-        "Content-Type: text/html",
+        "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
         head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:record:{refers_to}>"]
-        payload = b""
-    return "\r\n".join([*head, f"Content-Length: {len(payload)}", "", ""]).encode() + payload + b"\r\n\r\n"
+    return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
 def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -116,10 +121,11 @@ def deduplicated(df: DataFrame, key: str, url: str, payload: str, least_bytes: i
     """key, url, payload (binary), payload_bytes, sha1 (hex) and refers_to: null for a response."""
     rows = df.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     marked = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    groups = marked.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1", "payload_bytes").agg(F.max("key").alias("response"), F.count("*").alias("n")).where("n > 1")
+    ids = marked.where(F.col("payload_bytes") >= least_bytes).select("key", "sha1", "payload_bytes")
+    groups = ids.groupBy("sha1", "payload_bytes").agg(F.max("key").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = written(ids.join(groups, ["sha1", "payload_bytes"]).where("response > key").select("key", "sha1", F.col("response").alias("refers_to")).distinct(), "revisits")
     return (
-        marked.join(groups.drop("n"), ["sha1", "payload_bytes"], "left")
-        .withColumn("refers_to", F.when(F.col("response") > F.col("key"), F.col("response")))
+        marked.join(revisits, ["key", "sha1"], "left")
         .withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
         .select("key", "url", "payload", "payload_bytes", "sha1", "refers_to")
     )
@@ -144,7 +150,10 @@ def write(df: DataFrame, key: str, url: str, payload: str, least_bytes: int = 0)
 
 def read(table: DataFrame) -> DataFrame:
     """The records of a table of archives: key, url, payload (null for a revisit), payload_bytes, payload_digest, record_type, refers_to."""
-    number = lambda text: int(text.rpartition(":")[2].rstrip(">")) if text else None
+
+    def number(text: str | None) -> int | None:
+        digits = (text or "").rpartition(":")[2].rstrip(">")
+        return int(digits) if digits else None
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +162,10 @@ def read(table: DataFrame) -> DataFrame:
                 for f, block in map(parse_record, read_archive(content.as_py())):
                     response = f["WARC-Type"] == "response"
                     size = int(f["X-Payload-Length"])
-                    if response and (len(block) != size or "sha1:" + digest_of(block) != f["WARC-Payload-Digest"]):
+                    body = block.partition(b"\r\n\r\n")[2]
+                    if "sha1:" + digest_of(block) != f["WARC-Block-Digest"] or response and (len(body) != size or "sha1:" + digest_of(body) != f["WARC-Payload-Digest"]):
                         raise ValueError(f"damaged record {f['WARC-Record-ID']}")
-                    out.append((number(f["WARC-Record-ID"]), f["WARC-Target-URI"], block if response else None, size, f["WARC-Payload-Digest"][5:], f["WARC-Type"], number(f.get("WARC-Refers-To"))))
+                    out.append((number(f["WARC-Record-ID"]), f.get("WARC-Target-URI"), body if response else None, size, f["WARC-Payload-Digest"][5:], f["WARC-Type"], number(f.get("WARC-Refers-To"))))
                 kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["key", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
