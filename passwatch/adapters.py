@@ -28,7 +28,7 @@ FROM events GROUP BY user_id, CAST(ts AS DATE)""",
     "empty_scenes": """
 SELECT CONCAT('E', CAST(o_orderkey AS STRING)) AS scene_id, CAST(o_orderdate AS TIMESTAMP) AS ts, 0 AS anomaly_count, ((o_orderkey * 13) % 100) / 100.0E0 AS cloud_cover,
  (o_orderkey % 900) / 1.0E0 AS inference_ms, CAST(30000 + o_orderkey % 5000 AS BIGINT) AS compression_ratio
-FROM orders WHERE o_orderkey % 10 = 0""",
+FROM orders""",
     "scenes": """
 SELECT scene_id, CAST(ts AS TIMESTAMP) AS ts, {iso:ts} AS timestamp_utc, anomaly_count, cloud_cover, inference_ms, compression_ratio FROM found_scenes
 UNION ALL SELECT scene_id, ts, {iso:ts} AS timestamp_utc, anomaly_count, cloud_cover, inference_ms, compression_ratio FROM empty_scenes""",

@@ -107,7 +107,7 @@ def analyst_message(payload: Column, context: Column, history: Column) -> Column
     """The message for an advisory provider; empty parts leave no gap."""
     some = lambda c: F.when(F.coalesce(c, F.lit("")) != "", c)
     past = F.when(some(history).isNotNull(), F.concat(F.lit("\n--- HISTORICAL CONTEXT (prior orbital passes) ---\n"), history, F.lit("\n--- END HISTORICAL CONTEXT ---")))
-    return F.concat_ws("\n\n", F.lit("Analyse this OSP telemetry payload and return your structured brief:\n"), F.concat(F.lit("TELEMETRY PAYLOAD:\n"), payload), some(context), past)
+    return F.concat_ws("\n\n", F.lit("Analyse this telemetry payload and return your structured brief:\n"), F.concat(F.lit("TELEMETRY PAYLOAD:\n"), payload), some(context), past)
 
 
 def mission_log(decisions: DataFrame, assessments: DataFrame, requests: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def mission_log(decisions: DataFrame, assessments: DataFrame, requests: DataFram
     tasks = requests.groupBy("scene_id").agg(ordered("place", task).alias("tasks"))
     d = decisions.join(found, "scene_id", "left").join(tasks, "scene_id", "left")
     head = F.array(
-        F.lit(HEAVY), F.concat(F.lit("  OSP MISSION LOG — "), "scene_id"), F.concat(F.lit("  "), "timestamp_utc"), F.lit(HEAVY), F.lit(""), F.lit("  SENSOR REPORT"), F.lit(THIN),
+        F.lit(HEAVY), F.concat(F.lit("  MISSION LOG — "), "scene_id"), F.concat(F.lit("  "), "timestamp_utc"), F.lit(HEAVY), F.lit(""), F.lit("  SENSOR REPORT"), F.lit(THIN),
         F.concat(F.lit("  Detections    : "), F.col("n").cast("string")),
         F.concat(F.lit("  Cloud Cover   : "), percent("cloud_cover")),
         F.concat(F.lit("  Inference     : "), fixed("inference_ms", 0), F.lit("ms on-board")),

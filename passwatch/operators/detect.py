@@ -77,9 +77,9 @@ def nms_kernel(boxes: DataFrame, scene: str = "scene_id", iou_most: float = IOU_
     return boxes.select(*columns).groupBy(*keys).applyInPandas(keep, f"{scene} {kinds[scene]}, det_id {kinds['det_id']}")
 
 
-def scene_hash_id(tiles: DataFrame, body: str = "body", scene: str = "scene_id") -> DataFrame:
+def scene_hash_id(tiles: DataFrame, body: str = "body", scene: str = "scene_id", prefix: str = "SCENE-") -> DataFrame:
     """An id from the tile's bytes where there is none."""
-    made = F.concat(F.lit("OSP-"), F.upper(F.substring(F.md5(F.col(body).cast("binary")), 1, 8)))
+    made = F.concat(F.lit(prefix), F.upper(F.substring(F.md5(F.col(body).cast("binary")), 1, 8)))
     return tiles.withColumn(scene, F.coalesce(F.col(scene), made) if scene in tiles.columns else made)
 
 

@@ -119,7 +119,7 @@ def compression_text(report: DataFrame) -> DataFrame:
     bar, met = "─" * 52, lambda c: F.when(F.col(c), "✓ MET").otherwise("✗ MISSED")
     wide = lambda c, n: F.lpad(thousands(c), n, " ")
     lines = [
-        F.lit(""), F.lit(bar), F.concat(F.lit("  OSP Compression Report — "), "scene_id"), F.lit(bar),
+        F.lit(""), F.lit(bar), F.concat(F.lit("  Compression Report — "), "scene_id"), F.lit(bar),
         F.concat(F.lit("  Raw tile  (640×640×6 float32): "), wide(F.lit(RAW_TILE), 10), F.lit(f" B  ({RAW_TILE / 1e6:.2f} MB)")),
         F.concat(F.lit("  Raw scene (100 MB Sentinel-2): "), wide(F.lit(RAW_SCENE), 10), F.lit(" B  (100.00 MB)")),
         F.concat(F.lit("  JSON payload               :   "), wide("json_bytes", 10), F.lit(" B")),

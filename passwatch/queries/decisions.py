@@ -213,7 +213,7 @@ def fallback_brief(m):
     return made.select("scene_id", "alert_level", "summary", "scene_narrative", F.col("reasoning_trace")[1].alias("trace"), risks.alias("risks"))
 
 
-@query("""WITH m AS (SELECT scene_id, 'Analyse this OSP telemetry payload and return your structured brief:' || chr(10) || chr(10) || chr(10) || 'TELEMETRY PAYLOAD:' || chr(10) || scene_id AS head, CASE WHEN compression_ratio % 2 = 0 THEN 'CONTEXT' END AS c, CASE WHEN compression_ratio % 3 = 0 THEN 'PAST' END AS h FROM scenes)
+@query("""WITH m AS (SELECT scene_id, 'Analyse this telemetry payload and return your structured brief:' || chr(10) || chr(10) || chr(10) || 'TELEMETRY PAYLOAD:' || chr(10) || scene_id AS head, CASE WHEN compression_ratio % 2 = 0 THEN 'CONTEXT' END AS c, CASE WHEN compression_ratio % 3 = 0 THEN 'PAST' END AS h FROM scenes)
 SELECT scene_id, concat_ws(chr(10) || chr(10), head, c, chr(10) || '--- HISTORICAL CONTEXT (prior orbital passes) ---' || chr(10) || h || chr(10) || '--- END HISTORICAL CONTEXT ---') AS message FROM m""")
 def analyst_message(m):
     context = F.when(F.col("compression_ratio") % 2 == 0, "CONTEXT").otherwise("")

@@ -100,7 +100,7 @@ def boxed(m):
     return dealt.join(placed, ["cy", "cx"]).where((F.col("scene_id") != F.col("q_scene")) & F.col("lat").between(F.col("q_lat") - y, F.col("q_lat") + y) & F.col("lon").between(F.col("q_lon") - x, F.col("q_lon") + x))
 
 
-LINE = "'  • ' || upper(type) || ' at (' || printf('%.4f', lat) || '°, ' || printf('%.4f', lon) || '°), conf=' || CAST(round(conf * 100) AS INT) || '%, observed ' || CASE WHEN pass_number > 0 THEN pass_number || ' pass(es) ago' ELSE 'current pass' END || coalesce(' [ORION: ' || alert_level || ']', '') || ' [' || substr(timestamp_utc, 1, 10) || ']'"
+LINE = "'  • ' || upper(type) || ' at (' || printf('%.4f', lat) || '°, ' || printf('%.4f', lon) || '°), conf=' || CAST(round(conf * 100) AS INT) || '%, observed ' || CASE WHEN pass_number > 0 THEN pass_number || ' pass(es) ago' ELSE 'current pass' END || coalesce(' [ADVISORY: ' || alert_level || ']', '') || ' [' || substr(timestamp_utc, 1, 10) || ']'"
 
 
 @query(f"WITH {HITS} SELECT n.q_id, n.pass_number, {LINE} AS line FROM n LEFT JOIN advisories a ON a.scene_id = n.scene_id")
@@ -139,12 +139,12 @@ def memory_totals(m):
     return memory.memory_totals(m.scenes, m.detections)
 
 
-@query("""WITH fresh AS (SELECT scene_id, timestamp_utc, 0 AS anomaly_count FROM scenes WHERE compression_ratio % 4 = 0), old AS (SELECT scene_id, timestamp_utc, anomaly_count FROM scenes WHERE compression_ratio % 2 = 0)
+@query("""WITH fresh AS (SELECT scene_id, timestamp_utc, 0 AS anomaly_count FROM scenes WHERE compression_ratio % 4 = 0), old AS (SELECT scene_id, timestamp_utc, anomaly_count FROM scenes)
 SELECT * FROM old WHERE scene_id NOT IN (SELECT scene_id FROM fresh) UNION ALL SELECT * FROM fresh""")
 def scene_replace(m):
     s = m.scenes.select("scene_id", "timestamp_utc", "anomaly_count", "compression_ratio")
     fresh = s.where("compression_ratio % 4 = 0").withColumn("anomaly_count", F.lit(0))
-    return memory.scene_replace(s.where("compression_ratio % 2 = 0"), fresh).drop("compression_ratio")
+    return memory.scene_replace(s, fresh).drop("compression_ratio")
 
 
 @query("""WITH learned AS (SELECT scene_id FROM scenes WHERE compression_ratio % 3 = 0)

@@ -77,8 +77,7 @@ def stream_alerts(briefs: DataFrame, decide: Callable[[DataFrame], DataFrame], t
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         decide(batch).write.mode("overwrite").parquet(f"{tables}/decisions/batch={batch_id}")
-        newest = batch.withColumn("date", F.to_date("ts")).dropDuplicates(["scene_id"])
-        newest.write.mode("overwrite").parquet(f"{tables}/scenes/batch={batch_id}")
+        memory.newest(batch.withColumn("date", F.to_date("ts"))).write.mode("overwrite").parquet(f"{tables}/scenes/batch={batch_id}")
         batch.unpersist()
 
     return briefs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -92,9 +91,9 @@ def stored_scenes(spark: SparkSession, tables: str) -> DataFrame:
 
 
 def remembering(scenes_path: str):
-    """A foreachBatch function that keeps the last brief of every scene in date partitions."""
+    """A foreachBatch function that keeps the last brief of every scene in date partitions, also of scenes that change their date."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        memory.save(batch.withColumn("date", F.to_date("ts")), scenes_path)
+        memory.upsert(memory.newest(batch.withColumn("date", F.to_date("ts"))), scenes_path, f"batch-{batch_id}")
 
     return each

@@ -53,8 +53,8 @@ def test_three_detections(spark):
     asked = policy.ovv_dedupe(policy.ovv_triggers(zoned)).collect()
     assert [(r.det_id, r.priority) for r in asked] == [(1, 2)]
     foot = spark.createDataFrame([("A", 8.0, 9.0, 77.0, 78.0)], "scene_id string, lat_min double, lat_max double, lon_min double, lon_max double")
-    made = detect.assemble_brief(scene.withColumn("scene_id", F.lit("A")), det, foot).withColumn("scene_id", F.lit("OSP-COMPRESS-CHECK"))
-    assert reports.compression_report(made).first().wire_bytes == 226 - len("osp-yolov8n-int8-v1") + len("detector-1")
+    made = detect.assemble_brief(scene.withColumn("scene_id", F.lit("A")), det, foot).withColumn("scene_id", F.lit("ABC-COMPRESS-CHECK"))
+    assert reports.compression_report(made).first().wire_bytes == 226 - 19 + len("detector-1")
 
 
 def test_geometry(spark):

@@ -43,6 +43,26 @@ def test_remember_and_save(spark, tmp_path):
     assert sorted((r.scene_id, r.v) for r in memory.scene_replace(rows, new).collect()) == [("a", 7), ("b", 2), ("c", 3), ("q", 8)]
 
 
+def test_remembering_keeps_every_scene(spark, tmp_path):
+    """Two batches of one date keep both scenes; a scene that comes again moves its date, also off a date that it leaves empty."""
+    path = f"file://{tmp_path}/scenes"
+    each = stream.remembering(path)
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "scene_id string, ts string, v int").withColumn("ts", F.to_timestamp("ts"))
+
+    def stored():
+        return sorted((r.scene_id, str(r.date), r.v) for r in spark.read.parquet(path).collect())
+
+    each(batch(("a", "2026-01-01 05:00:00", 1), ("m", "2026-01-07 05:00:00", 5)), 0)
+    each(batch(("b", "2026-01-01 06:00:00", 2)), 1)
+    assert stored() == [("a", "2026-01-01", 1), ("b", "2026-01-01", 2), ("m", "2026-01-07", 5)]
+    again = batch(("a", "2026-01-02 05:00:00", 4), ("a", "2026-01-02 03:00:00", 3), ("m", "2026-01-01 09:00:00", 6))
+    for _ in range(2):  # a batch that is run twice changes nothing
+        each(again, 2)
+        assert stored() == [("a", "2026-01-02", 4), ("b", "2026-01-01", 2), ("m", "2026-01-01", 6)]
+
+
 def test_streams(spark, tmp_path):
     folder, out = tmp_path / "in", tmp_path / "out"
     folder.mkdir()
