@@ -33,8 +33,8 @@ from passwatch.llm.common import LOWER, SPACE, components, discard, joined_bytes
 
 SEED = 42
 BLOCK = 1024
-SAMPLE = 4_000
-OFTEN = 1 << 16
+SAMPLE = 40_000
+OFTEN = 1 << 20
 CELLS = 512
 FEW = 256  # pairs below two nodes that are compared at once
 #: The bits of each byte as eight 8-bit counters of a 64-bit word.
@@ -103,27 +103,26 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarr
     return distinct(hashes, np.repeat(np.arange(n), np.diff(bounds)), n)
 
 
-def prefixes(hashes: np.ndarray, bounds: np.ndarray, often: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(hashes: np.ndarray, bounds: np.ndarray, often: tuple[np.ndarray, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The first hashes of each set, in an order that all sets share, and their bounds: two sets at num / den have one of these in common.
 
-    Any order will do. In this one the hashes of `often` (the most frequent last) come after all others.
+    Any order will do. In this one the hashes of `often` (sorted, with their ranks from 1) come after all others.
     """
     size = np.diff(bounds)
     text = np.repeat(np.arange(len(size)), size)
     rank = np.zeros(len(hashes), np.int64)
-    if len(often):
-        by = np.argsort(often)
-        at = np.minimum(np.searchsorted(often[by], hashes), len(often) - 1)
-        hit = often[by][at] == hashes
-        rank[hit] = by[at[hit]] + 1
+    if len(often[0]):
+        at = np.minimum(np.searchsorted(often[0], hashes), len(often[0]) - 1)
+        hit = often[0][at] == hashes
+        rank[hit] = often[1][at[hit]]
     hashes = hashes[np.lexsort([rank, text])]
     least = np.where(size > 0, size - -(-size * num // den) + 1, 0)
     keep = np.arange(len(hashes)) - bounds[text] < least[text]
     return hashes[keep], np.concatenate([[0], np.cumsum(least)])
 
 
-def often_met(df: DataFrame, text: str, width: int) -> np.ndarray:
-    """Hashes of shingles that several texts of about SAMPLE have, at most OFTEN, by rising counts. They only order the work: no result depends on them."""
+def often_met(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several texts of about SAMPLE have, at most OFTEN, and their ranks by counts. They only order the work: no result depends on them."""
 
     def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([pa.array(sets_of(*joined_bytes(batch.column(0)), width)[0].view(np.int64))], ["hash"])
@@ -132,7 +131,9 @@ def often_met(df: DataFrame, text: str, width: int) -> np.ndarray:
     some = df.select(F.col(text).alias("__text")).where(F.pmod(F.xxhash64("__text"), F.lit(every)) == 0).dropDuplicates()
     counted = map_arrow(some, shingle, "hash long", "__text").groupBy("hash").count().where("count >= 4")
     found = counted.orderBy(F.desc("count"), "hash").limit(OFTEN).toPandas()["hash"].to_numpy(np.int64)
-    return np.ascontiguousarray(found[::-1]).view(np.uint64)
+    hashes = np.ascontiguousarray(found[::-1]).view(np.uint64)
+    by = np.argsort(hashes)
+    return hashes[by], by.astype(np.int32) + 1
 
 
 def distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,11 +285,12 @@ def shared(x, y, m: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, columns=("cells", "hashes")) -> DataFrame:
     """The pairs x, y of nodes whose sets of shingles have a similarity of num / den at least: those that the cells allow, by the sets themselves."""
-    for column, count in (("cells", most_shared), ("hashes", shared)):
+    counts = {"cells": most_shared, "hashes": shared}
+    for column in columns:
 
-        def check(batches, count=count):
+        def check(batches, count=counts[column]):
             for batch in batches:
                 if batch.num_rows:
                     x, y, m, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
@@ -315,14 +317,44 @@ def firsts(batches):
         yield pa.record_batch([bucket[keep], node[keep], np.repeat(node[start], size)[keep]], ["bucket", "node", "pivot"])
 
 
-def across(num: int, den: int):
-    """A kernel from the tasks of in_blocks() to pairs x < y of different roots, of sizes that allow the similarity, none a bucket's first node."""
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Positions of a heaviest spanning forest of the edges (a, b): each group takes its heaviest edge outwards, until none is left."""
+    label = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    a, b, at, taken = label[: len(a)], label[len(a) :], np.arange(len(a)), []
+    while len(at):
+        order = np.lexsort([at, -weight])  # one order of all edges, so that no circle closes
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        best = np.full(int(max(a.max(), b.max())) + 1, len(at))
+        np.minimum.at(best, a, place)
+        np.minimum.at(best, b, place)
+        some = np.unique(best[best < len(at)])
+        taken.append(at[order[some]])
+        up = np.arange(len(best))
+        nodes, roots = star_of(a[order[some]], b[order[some]])
+        up[nodes] = roots
+        a, b = up[a], up[b]
+        apart = a != b
+        a, b, at, weight = a[apart], b[apart], at[apart], weight[apart]
+    return np.concatenate([np.zeros(0, np.int64), *taken])
+
+
+def across(num: int, den: int, whole: bool):
+    """A kernel from the tasks of in_blocks() to pairs x < y of different roots, none a bucket's first node, that their sizes and cells allow.
+
+    The pairs of a task are looked at 2**15 at a time where they lie. With `whole` all that may be links leave it, else those of a spanning
+    forest of the roots, by the shingles that the cells allow beyond those needed.
+    """
 
     def pairs(batches):
-        for task, side, sides, node, root, n, pivot in carried(batches):
+        for task, side, sides, node, root, n, pivot, cells in carried(batches, 1 << 13):
             order = np.lexsort([side, task])
-            task, side, sides, node, root, n, pivot = (c[order] for c in (task, side, sides, node, root, n, pivot))
+            task, side, sides, node, root, n, pivot, cells = (c[order] for c in (task, side, sides, node, root, n, pivot, cells))
+            cells = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, CELLS)
+            over = n - cells.sum(axis=1, dtype=np.int64)  # beyond 255 in a cell
             start = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+            group = np.cumsum(np.append(0, task[1:] != task[:-1]))
+            own = np.unique(np.stack([group, root]), axis=1, return_inverse=True)[1].ravel()  # a root in a task
             end = np.append(start[1:], len(task))
             cut = start + np.add.reduceat((side == 0).astype(np.int64), start)
             two = sides[start] == 2
@@ -330,18 +362,26 @@ def across(num: int, den: int):
             wide = b1 - b0
             total = (a1 - a0) * wide
             ends = np.cumsum(total)
-            for lo in range(0, int(ends[-1]), 1 << 17):
-                at = np.arange(lo, min(lo + (1 << 17), int(ends[-1])))
+            held = np.zeros((3, 0), np.int64)
+            for lo in range(0, int(ends[-1]), 1 << 15):
+                at = np.arange(lo, min(lo + (1 << 15), int(ends[-1])))
                 of = np.searchsorted(ends, at, "right")
                 place = at - (ends[of] - total[of])
                 i, j = a0[of] + place // wide[of], b0[of] + place % wide[of]
                 ok = (root[i] != root[j]) & (two[of] | (i < j)) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
                 ok &= (node[i] != pivot[i]) & (node[j] != pivot[j])
-                if not ok.any():
-                    continue
                 i, j = i[ok], j[ok]
-                found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
-                yield pa.record_batch([np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])], ["x", "y"])
+                spare = np.minimum(cells[i], cells[j]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[j]) - shared_needed(n[i], n[j], num, den)
+                held = np.concatenate([held, np.stack([i, j, spare])[:, spare >= 0]], axis=1)
+                if not whole and held.shape[1] > 1 << 18:
+                    held = held[:, forest(own[held[0]], own[held[1]], held[2])]
+                if whole and held.shape[1] > 1 << 18 or lo + (1 << 15) >= int(ends[-1]):
+                    if not whole:
+                        held = held[:, forest(own[held[0]], own[held[1]], held[2])]
+                    x, y = node[held[0]], node[held[1]]
+                    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                    held = held[:, :0]
+                    yield pa.record_batch([np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])], ["x", "y"])
 
     return pairs
 
@@ -350,14 +390,16 @@ def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float =
     """key and component_id, the smallest key reachable by links between texts of at least this similarity of shingle sets.
 
     Texts of one set of shingles are one class, whose node is the number of one of its rows. Each bucket's classes are first compared with the
-    bucket's smallest node; what these links join is not compared again, and all pairs that they leave apart are.
+    bucket's smallest node. Pairs of what these links leave apart are looked at inside tasks, by their cells; a spanning forest of those that may be
+    links is settled by the sets, and again for the groups it leaves, until a forest brings no link. Then all pairs left that may be links are
+    settled, so that none is lost. Groups that no such pair touches are left out of later rounds.
     """
     num, den = Fraction(str(similarity)).as_integer_ratio()
-    often = often_met(df, text, width)
+    often = df.sparkSession.sparkContext.broadcast(often_met(df, text, width))
 
     def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, bounds = sets_of(*joined_bytes(batch.column(2)), width)
-        buckets, edge = prefixes(hashes, bounds, often, num, den)
+        buckets, edge = prefixes(hashes, bounds, often.value, num, den)
         body = [hashes[x:y].tobytes() for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
         digest = pa.array([xxhash.xxh3_128_digest(x) for x in body], pa.binary())
         cells = pa.array([c.tobytes() for c in cells_of(hashes, bounds)], pa.binary())
@@ -372,16 +414,29 @@ def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float =
     met = written(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(firsts, "bucket long, node long, pivot long"), "met")
     first = written(met.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
     some = confirmed(first, rows, num, den)
-    root = components(some)
-    named = met.join(classes.select("node", F.col("n").alias("words")), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("bucket")
-    left = in_blocks(named.join(apart, "bucket"), "node", ["node", "root", "words", "pivot"], block)
-    rest = written(left.mapInArrow(across(num, den), "x long, y long").distinct(), "pairs")
-    root = components(some.unionByName(confirmed(rest, rows, num, den)))
+    links, spent, active, whole = some, [met, first], None, False
+    while True:
+        root = components(links)
+        named = met.join(classes.select("node", F.col("n").alias("words")), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if active is not None:
+            named = named.join(active.join(root, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct(), "root", "left_semi")
+        apart = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where(F.expr("low <> high") & (F.col("size") > (2 if active is None else 1))).select("bucket")
+        open_ = written(named.join(apart, "bucket").select("bucket", "node", "root", "words", "pivot"), "open")
+        cells = rows.select("node", "cells").join(open_.select("node").distinct(), "node", "left_semi")
+        dealt = in_blocks(open_.join(cells, "node"), "node", ["node", "root", "words", "pivot", "cells"], block)
+        pairs = written(small_batches(dealt).mapInArrow(across(num, den, whole), "x long, y long").distinct(), "pairs")
+        found = confirmed(pairs, rows, num, den, ("hashes",))
+        spent += [open_, pairs, found]
+        links = links.unionByName(found)
+        if whole:
+            break
+        whole = found.isEmpty()
+        active = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    root = components(links)
     grouped_ = classes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped_.groupBy("root").agg(F.min("least").alias("component_id"))
     out = written(rows.select("key", "digest").join(grouped_.join(least, "root").select("digest", "component_id"), "digest").select(F.col("key").alias(key), "component_id"), "groups")
-    for done in (rows, classes, met, first, rest):
+    for done in (rows, classes, *spent):
         discard(done)
     return out
 
