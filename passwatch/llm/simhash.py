@@ -285,25 +285,37 @@ def shared(x, y, m: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, columns=("cells", "hashes")) -> DataFrame:
-    """The pairs x, y of nodes whose sets of shingles have a similarity of num / den at least: those that the cells allow, by the sets themselves."""
-    counts = {"cells": most_shared, "hashes": shared}
-    for column in columns:
+def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, column: str) -> DataFrame:
+    """The pairs x, y of nodes whose sets of shingles may have a similarity of num / den by their cells, or have it by their hashes."""
+    count = {"cells": most_shared, "hashes": shared}[column]
 
-        def check(batches, count=counts[column]):
-            for batch in batches:
-                if batch.num_rows:
-                    x, y, m, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
-                    good = pa.array(count(x, y, m, n) >= shared_needed(m, n, num, den))
-                    yield pa.record_batch([c.filter(good) for c in batch.columns[:2]], ["x", "y"])
+    def check(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y, m, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
+                good = pa.array(count(x, y, m, n) >= shared_needed(m, n, num, den))
+                yield pa.record_batch([c.filter(good) for c in batch.columns[:2]], ["x", "y"])
 
-        def side(c, column=column, pairs=pairs):  # only the sets that pairs name are moved
-            named = sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi")
-            return named.select(F.col("node").alias(c), F.col(column).alias("set_" + c), F.col("n").alias("n_" + c))
+    def side(c):  # only the sets that pairs name are moved
+        named = sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi")
+        return named.select(F.col("node").alias(c), F.col(column).alias("set_" + c), F.col("n").alias("n_" + c))
 
-        joined = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "set_x", "set_y", "n_x", "n_y")
-        pairs = written(small_batches(joined).mapInArrow(check, "x long, y long"), "pairs")
-    return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    joined = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "set_x", "set_y", "n_x", "n_y")
+    return written(small_batches(joined).mapInArrow(check, "x long, y long"), "pairs")
+
+
+def whole_sets(df: DataFrame, text: str, width: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, n and hashes (the whole set) of the nodes of pairs, made from their texts, which `rows` names by a hash (body)."""
+
+    def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, bounds = sets_of(*joined_bytes(batch.column(1)), width)
+        body = [hashes[x:y].tobytes() for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
+        return pa.record_batch([batch.column(0), pa.array(body, pa.binary())], ["body", "hashes"])
+
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    named = written(rows.join(nodes, "node", "left_semi").select("node", "n", "body"), "named")
+    texts = df.select(F.xxhash64(text).alias("body"), F.col(text).alias("__text")).join(named.select("body").distinct(), "body", "left_semi").dropDuplicates(["body"])
+    return written(named.join(map_arrow(texts, shingle, "body long, hashes binary", "__text"), "body").select("node", "n", "hashes"), "whole")
 
 
 def firsts(batches):
@@ -398,22 +410,27 @@ def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float =
     often = df.sparkSession.sparkContext.broadcast(often_met(df, text, width))
 
     def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, bounds = sets_of(*joined_bytes(batch.column(2)), width)
+        hashes, bounds = sets_of(*joined_bytes(batch.column(3)), width)
         buckets, edge = prefixes(hashes, bounds, often.value, num, den)
-        body = [hashes[x:y].tobytes() for x, y in zip(bounds.tolist(), bounds[1:].tolist())]
-        digest = pa.array([xxhash.xxh3_128_digest(x) for x in body], pa.binary())
+        digest = pa.array([xxhash.xxh3_128_digest(hashes[x:y].tobytes()) for x, y in zip(bounds.tolist(), bounds[1:].tolist())], pa.binary())
         cells = pa.array([c.tobytes() for c in cells_of(hashes, bounds)], pa.binary())
         lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(buckets.view(np.int64)))
-        return pa.record_batch([*batch.columns[:2], digest, pa.array(np.diff(bounds)), pa.array(body, pa.binary()), cells, lists], ["key", "node", "digest", "n", "hashes", "cells", "buckets"])
+        return pa.record_batch([*batch.columns[:3], digest, pa.array(np.diff(bounds)), cells, lists], ["key", "node", "body", "digest", "n", "cells", "buckets"])
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        sets = whole_sets(df, text, width, rows, pairs)
+        out = confirmed(pairs, sets, num, den, "hashes")
+        discard(sets)
+        return out
 
     kind = df.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
-    numbered = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("node"), F.col(text).alias("__text"))
-    rows = written(map_arrow(numbered, shingle, f"key {kind}, node long, digest binary, n long, hashes binary, cells binary, buckets array<long>", "__text"), "sets")
+    numbered = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("node"), F.xxhash64(text).alias("body"), F.col(text).alias("__text"))
+    rows = written(map_arrow(numbered, shingle, f"key {kind}, node long, body long, digest binary, n long, cells binary, buckets array<long>", "__text"), "sets")
     classes = written(rows.groupBy("digest").agg(F.min("key").alias("least"), F.min("node").alias("node"), F.first("n").alias("n")), "classes")
     dealt = rows.join(classes.select("node"), "node", "left_semi").select(F.explode("buckets").alias("bucket"), "node")
     met = written(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(firsts, "bucket long, node long, pivot long"), "met")
     first = written(met.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
-    some = confirmed(first, rows, num, den)
+    some = settle(confirmed(first, rows, num, den, "cells")).select(F.col("x").alias("a"), F.col("y").alias("b"))
     links, spent, active, whole = some, [met, first], None, False
     while True:
         root = components(links)
@@ -425,9 +442,9 @@ def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float =
         cells = rows.select("node", "cells").join(open_.select("node").distinct(), "node", "left_semi")
         dealt = in_blocks(open_.join(cells, "node"), "node", ["node", "root", "words", "pivot", "cells"], block)
         pairs = written(small_batches(dealt).mapInArrow(across(num, den, whole), "x long, y long").distinct(), "pairs")
-        found = confirmed(pairs, rows, num, den, ("hashes",))
+        found = settle(pairs)
         spent += [open_, pairs, found]
-        links = links.unionByName(found)
+        links = links.unionByName(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
         if whole:
             break
         whole = found.isEmpty()
