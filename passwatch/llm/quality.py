@@ -8,8 +8,8 @@ gets the score `threshold`, so a document is kept when its worth lies above that
 The fit reads a bounded sample of labelled rows (`sample`, 20,000 by default, the smallest hashes of doc_id); features of all
 documents are computed where they lie, without a shuffle, and only the weights travel.
 
-Edge cases: a null text is an empty one; an empty text has all features 0 and still gets a score; labels with a null mark or
-without a document are skipped; without both marks among the labels every score is 1; a doc_id that repeats is scored each
+Edge cases: a null text is an empty one; an empty text has all features 0 and still gets a score; labels with a null mark, with two marks
+that differ for one id, or without a document are skipped; without both marks among the labels every score is 1; a doc_id that repeats is scored each
 time; documents' other columns are never read.
 """
 
@@ -133,7 +133,8 @@ def fit(x: np.ndarray, mark: np.ndarray, pairs: int = PAIRS, threshold: float =
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, sample: int, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    chosen = labels.select(key, F.col("quality").alias("__mark")).where("__mark in (0, 1)").dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(sample)
+    marks = labels.where("quality in (0, 1)").groupBy(key).agg(F.min("quality").alias("__mark"), F.max("quality").alias("__most"))
+    chosen = marks.where("__mark = __most").drop("__most").orderBy(F.xxhash64(key), key).limit(sample)
     picked = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
