@@ -11,9 +11,12 @@ SCHEMA = (
 )
 
 
-def read_briefs(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Briefs of one or several paths (files or folders of *.json), and the quarantine: source file and text of what isn't a brief."""
-    rows = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(paths).withColumn("source_file", F.col("_metadata.file_path"))
+def read_briefs(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Briefs of one or several paths (files or folders of *.json), and the quarantine: source file and text of what isn't a brief.
+
+    A line is a document; with multi_line a file is one, over as many lines as it likes.
+    """
+    rows = spark.read.schema(SCHEMA).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("pathGlobFilter", "*.json").json(paths).withColumn("source_file", F.col("_metadata.file_path"))
     bad = F.col("_corrupt_record").isNotNull() | F.col("scene_id").isNull()
     return rows.where(~bad).drop("_corrupt_record"), rows.where(bad).select("source_file", F.col("_corrupt_record").alias("text"))
 

@@ -16,9 +16,9 @@ WATERMARK = "6 hours"
 PASS = "92 minutes"
 
 
-def stream_briefs(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """New JSON briefs of a folder, with ts; what isn't a brief goes (read_briefs() shows it)."""
-    rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.json").json(folder)
+def stream_briefs(spark: SparkSession, folder: str, files_per_trigger: int = 100, multi_line: bool = False) -> DataFrame:
+    """New JSON briefs of a folder, with ts; what isn't a brief goes (read_briefs() shows it). With multi_line a file is one document."""
+    rows = spark.readStream.schema(SCHEMA).option("multiLine", multi_line).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.json").json(folder)
     return rows.where("_corrupt_record is null and scene_id is not null").drop("_corrupt_record").withColumn("ts", F.to_timestamp("timestamp_utc"))
 
 

@@ -24,6 +24,18 @@ def test_read_briefs(spark, tmp_path):
     assert [r.source_file.rsplit("/", 1)[1] for r in bad.collect()] == ["bad.json"]
 
 
+def test_briefs_over_several_lines(spark, tmp_path):
+    (tmp_path / "1.json").write_text(json.dumps(json.loads(doc("s1", 2)), indent=2))
+    (tmp_path / "2.json").write_text(doc("s2"))
+    (tmp_path / "3.json").write_text("{ broken")
+    good, bad = briefs.read_briefs(spark, str(tmp_path), multi_line=True)
+    assert sorted((r.scene_id, len(r.anomalies)) for r in good.collect()) == [("s1", 2), ("s2", 1)]
+    assert [r.source_file.rsplit("/", 1)[1] for r in bad.collect()] == ["3.json"]
+    rows = stream.stream_briefs(spark, str(tmp_path), multi_line=True).select("scene_id")
+    rows.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.scene_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["s1", "s2"]
+
+
 def test_labels_and_tiles(spark, tmp_path):
     (tmp_path / "a.txt").write_text("0 0.5 0.5 0.1 0.1\n1 2 3\nx y z v w\n\n3 0.1 0.2 0.3 0.4\n")
     (tmp_path / "b.txt").write_text("")
