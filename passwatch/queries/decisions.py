@@ -221,12 +221,15 @@ def analyst_message(m):
     return m.scenes.select("scene_id", brief.analyst_message(F.col("scene_id"), context, past).alias("message"))
 
 
-@query()
+@query("""WITH w AS (SELECT a.scene_id, a.alert_level, a.summary, s.compression_ratio % 5 AS way FROM advisories a JOIN scenes s ON s.scene_id = a.scene_id),
+j AS (SELECT *, '{"alert_level":"' || alert_level || '","summary":"' || summary || '","anomaly_assessments":[{"type":"ship","risk_tier":"HIGH"}]}' AS doc FROM w)
+SELECT scene_id, way < 3 AS parsed, CASE WHEN way < 4 THEN alert_level ELSE 'UNKNOWN' END AS alert_level, CASE WHEN way < 4 THEN summary ELSE 'Parse error. Salvaged data shown.' END AS summary,
+ CAST(CASE WHEN way < 4 THEN 1 ELSE 0 END AS INT) AS assessments, CAST(CASE WHEN way = 3 THEN least(500, length(doc) - 3) WHEN way = 4 THEN 0 END AS INT) AS kept FROM j""")
 def parse_brief_json(m):
     """Advisories as JSON in five forms: clean, fenced, inside other text, cut off, and empty."""
     doc = F.to_json(F.struct("alert_level", "summary", F.array(F.struct(F.lit("ship").alias("type"), F.lit("HIGH").alias("risk_tier"))).alias("anomaly_assessments")))
-    way = F.pmod(F.xxhash64("scene_id"), F.lit(5))
+    way = F.col("compression_ratio") % 5
     raw = F.when(way == 0, doc).when(way == 1, F.concat(F.lit("```json\n"), doc, F.lit("\n```"))).when(way == 2, F.concat(F.lit("Here it is: "), doc, F.lit(" Done."))).when(way == 3, F.substring(doc, 1, 1000).substr(F.lit(1), F.length(doc) - 3)).otherwise("")
-    parsed = brief.parse_brief_json(m.advisories.select("scene_id", raw.alias("raw")))
+    parsed = brief.parse_brief_json(m.advisories.join(m.scenes.select("scene_id", "compression_ratio"), "scene_id").select("scene_id", raw.alias("raw")))
     return parsed.select("scene_id", "parsed", "brief.alert_level", "brief.summary", F.size("brief.anomaly_assessments").alias("assessments"), F.length("raw_head").alias("kept"))
 

@@ -146,25 +146,35 @@ def band_interpretation(m):
 UNPIVOT = " UNION ALL ".join(f"SELECT det_id, {i} AS i, '{n}' AS band, round(abs(c_{b}) / total, 3) AS s FROM means" for i, (n, b) in enumerate(zip(spectral.BAND_NAMES, BANDS)))
 
 
-@query(f"WITH {MEANS}, u AS ({UNPIVOT}), r AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY s DESC, i) AS r FROM u) SELECT det_id, string_agg(band, ', ' ORDER BY r) AS dominant_bands FROM r WHERE r <= 2 GROUP BY det_id")
+DOMINANT = f"u AS ({UNPIVOT}), r AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY s DESC, i) AS r FROM u), dominant AS (SELECT det_id, string_agg(band, ', ' ORDER BY r) AS dominant_bands FROM r WHERE r <= 2 GROUP BY det_id)"
+
+
+@query(f"WITH {MEANS}, {DOMINANT} SELECT * FROM dominant")
 def dominant_bands(m):
     return spectral.dominant_bands(spectral.band_contribution(means(m)))
 
 
-@query(f"WITH {MEANS} SELECT det_id, round(conf + 1e-9, 3) AS model_score, round({STRENGTH} + 1e-9, 3) AS spectral_strength, round((conf + {STRENGTH}) / 2 + 1e-9, 3) AS combined_estimate FROM means")
+SCORES = f"scores AS (SELECT det_id, round(conf + 1e-9, 3) AS model_score, round({STRENGTH} + 1e-9, 3) AS spectral_strength, round((conf + {STRENGTH}) / 2 + 1e-9, 3) AS combined_estimate FROM means)"
+GRADES = f"grades AS (SELECT det_id, CASE WHEN conf >= 0.75 AND {STRENGTH} >= 0.3 THEN 'high' WHEN conf >= 0.55 OR {STRENGTH} >= 0.2 THEN 'medium' ELSE 'low' END AS quality FROM means)"
+
+
+@query(f"WITH {MEANS}, {SCORES} SELECT * FROM scores")
 def confidence_breakdown(m):
     return spectral.confidence_breakdown(means(m), m.boxes).drop("quality")
 
 
-@query(f"WITH {MEANS} SELECT det_id, CASE WHEN conf >= 0.75 AND {STRENGTH} >= 0.3 THEN 'high' WHEN conf >= 0.55 OR {STRENGTH} >= 0.2 THEN 'medium' ELSE 'low' END AS quality FROM means")
+@query(f"WITH {MEANS}, {GRADES} SELECT * FROM grades")
 def detection_quality(m):
     return spectral.confidence_breakdown(means(m), m.boxes).select("det_id", "quality")
 
 
-@query(f"""WITH {MEANS}, p AS (SELECT det_id, type, concat_ws('; ', CASE WHEN c_b11 > 0.05 OR c_b12 > 0.05 THEN 'strong SWIR signature (metallic/man-made material confirmed)' END, CASE WHEN c_b8 > 0.03 THEN 'NIR boundary contrast (consistent with moving vessel wake)' END,
- CASE WHEN (c_b2 > 0.05 OR c_b3 > 0.05 OR c_b4 > 0.05) AND NOT (c_b11 > 0.05 OR c_b12 > 0.05) THEN 'visible-band dominant (painted surface or cloud contamination)' END) AS t FROM means)
-SELECT det_id, CASE WHEN t = '' THEN 'weak spectral contrast across all bands (low-confidence detection)' ELSE t END || CASE type WHEN 'ship' THEN ' Consistent with vessel hull reflectance profile.' WHEN 'airplane' THEN ' Consistent with aluminium fuselage SWIR signature.'
- WHEN 'harbor' THEN ' Consistent with concrete/steel port infrastructure.' WHEN 'storage-tank' THEN ' Consistent with metallic tank surface reflectance.' ELSE '' END AS signature FROM p""")
+SIGNED = f"""p AS (SELECT det_id, type, concat_ws('; ', CASE WHEN c_b11 > 0.05 OR c_b12 > 0.05 THEN 'strong SWIR signature (metallic/man-made material confirmed)' END, CASE WHEN c_b8 > 0.03 THEN 'NIR boundary contrast (consistent with moving vessel wake)' END,
+ CASE WHEN (c_b2 > 0.05 OR c_b3 > 0.05 OR c_b4 > 0.05) AND NOT (c_b11 > 0.05 OR c_b12 > 0.05) THEN 'visible-band dominant (painted surface or cloud contamination)' END) AS t FROM means),
+signed AS (SELECT det_id, CASE WHEN t = '' THEN 'weak spectral contrast across all bands (low-confidence detection)' ELSE t END || CASE type WHEN 'ship' THEN ' Consistent with vessel hull reflectance profile.' WHEN 'airplane' THEN ' Consistent with aluminium fuselage SWIR signature.'
+ WHEN 'harbor' THEN ' Consistent with concrete/steel port infrastructure.' WHEN 'storage-tank' THEN ' Consistent with metallic tank surface reflectance.' ELSE '' END AS signature FROM p)"""
+
+
+@query(f"WITH {MEANS}, {SIGNED} SELECT * FROM signed")
 def spectral_signature(m):
     return spectral.spectral_signature(means(m), m.boxes)
 
@@ -182,10 +192,13 @@ def band_quality(m):
     return spectral.band_quality(m.pixels)
 
 
-@query(f"""WITH {MEANS}, {STATS}, p AS (SELECT m.det_id, concat_ws('; ', CASE WHEN s.b3_mean > 0.55 THEN 'Cloud contamination (B3 mean=' || printf('%.2f', s.b3_mean) || ' > 0.55 threshold)' END,
+FACTORS = f"""{STATS}, w AS (SELECT m.det_id, concat_ws('; ', CASE WHEN s.b3_mean > 0.55 THEN 'Cloud contamination (B3 mean=' || printf('%.2f', s.b3_mean) || ' > 0.55 threshold)' END,
  CASE WHEN m.conf < 0.55 THEN 'Low model confidence (' || CAST(round(m.conf * 100) AS INT) || '% < 55% threshold)' END, CASE WHEN (abs(c_b11) + abs(c_b12)) / 2 < 0.03 THEN 'Weak SWIR contrast — no metallic signature confirmation' END,
- CASE WHEN s.std_b8 > 0.2 THEN 'High NIR variability (std=' || printf('%.2f', s.std_b8) || ') — possible sun glint' END) AS t FROM means m JOIN stats s ON s.scene_no = m.scene_no)
-SELECT det_id, CASE WHEN t = '' THEN 'No significant uncertainty factors identified' ELSE t END AS factors FROM p""")
+ CASE WHEN s.std_b8 > 0.2 THEN 'High NIR variability (std=' || printf('%.2f', s.std_b8) || ') — possible sun glint' END) AS t FROM means m JOIN stats s ON s.scene_no = m.scene_no),
+doubts AS (SELECT det_id, CASE WHEN t = '' THEN 'No significant uncertainty factors identified' ELSE t END AS factors FROM w)"""
+
+
+@query(f"WITH {MEANS}, {FACTORS} SELECT * FROM doubts")
 def uncertainty_factors(m):
     return spectral.uncertainty_factors(means(m), m.boxes, spectral.scene_band_stats(m.pixels))
 
@@ -202,12 +215,17 @@ def uncertainty_report(m):
     return spectral.uncertainty_report(m.scenes, m.detections)
 
 
-@query()
+EXPLAINED = f"""{MEANS}, {DOMINANT}, {SCORES}, {GRADES}, {SIGNED}, {FACTORS}, explained AS (SELECT b.det_id, b.type, b.lat, b.lon, scores.model_score, scores.spectral_strength, scores.combined_estimate, grades.quality, dominant.dominant_bands, signed.signature, doubts.factors
+ FROM boxes b JOIN scores ON scores.det_id = b.det_id JOIN grades ON grades.det_id = b.det_id JOIN dominant ON dominant.det_id = b.det_id JOIN signed ON signed.det_id = b.det_id JOIN doubts ON doubts.det_id = b.det_id)"""
+
+
+@query(f"WITH {EXPLAINED} SELECT * FROM explained")
 def explain_batch(m):
     return spectral.explain_batch(m.boxes, m.pixels).drop("text")
 
 
-@query()
+@query(f"""WITH {EXPLAINED} SELECT det_id, 'Spectral analysis [' || upper(type) || ' @ (' || printf('%.4f', lat) || '°, ' || printf('%.4f', lon) || '°)]: ' || signature || ' Quality: ' || quality || '. Dominant bands: ' || dominant_bands ||
+ '. Uncertainty: ' || array_to_string(string_split(factors, '; ')[1:2], '; ') || '.' AS text FROM explained""")
 def explanation_text(m):
     return spectral.explain_batch(m.boxes, m.pixels).select("det_id", "text")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passwatch.adapters import rounded
 from passwatch.operators import raster, reports
 from passwatch.queries import query
-from passwatch.queries.detections import briefs
+from passwatch.queries.detections import JSON_SQL, briefs
 from passwatch.sources import briefs as brief_files
 from passwatch.sources import tiles as tile_files
 
@@ -25,18 +25,19 @@ def place(spark) -> str:
 def damaged(m) -> str:
     """All briefs as JSON lines; every tenth is cut off."""
     folder = place(m.spark)
-    text = F.when(F.xxhash64("scene_id") % 10 == 0, F.expr("left(json, 40)")).otherwise(F.col("json"))
+    text = F.when(F.col("meta.compression_ratio") % 10 == 0, F.expr("left(json, 40)")).otherwise(F.col("json"))
     reports.brief_json(briefs(m)).select(text.alias("value")).write.option("compression", "none").format("text").save(folder + "/lines")
     return folder + "/lines"
 
 
-@query()
+@query("""WITH d AS (SELECT scene_id, count(*) AS n FROM detections GROUP BY scene_id)
+SELECT s.scene_id, s.timestamp_utc, s.cloud_cover, CAST(coalesce(d.n, 0) AS INT) AS anomaly_count FROM scenes s LEFT JOIN d ON d.scene_id = s.scene_id WHERE s.compression_ratio % 10 <> 0""")
 def read_briefs(m):
     good, _ = brief_files.read_briefs(m.spark, renamed(m, damaged(m)))
     return good.select("scene_id", "timestamp_utc", "cloud_cover", F.size("anomalies").alias("anomaly_count"))
 
 
-@query()
+@query(f"WITH {JSON_SQL} SELECT left(head, 40) AS text, 2 * count(*) AS times FROM t WHERE compression_ratio % 10 = 0 GROUP BY 1")
 def read_briefs_multi(m):
     """Two folders at once, and what could not be read of each."""
     paths = [renamed(m, damaged(m)), renamed(m, damaged(m))]
