@@ -47,12 +47,12 @@ def pixels_in_bbox(boxes: DataFrame, pixels: DataFrame, scene: str = "scene_no",
 def region_band_means(boxes: DataFrame, pixels: DataFrame, scene: str = "scene_no", exclude_target: bool = False) -> DataFrame:
     """Per detection: mean of each band in the box (t_*) and in the margin box (g_*; the box itself belongs to it unless excluded), and contrast (c_*).
 
-    A box without a pixel has no row.
+    A contrast is rounded to 12 digits, so that one at a limit of the rules does not hang on the order of its sums. A box without a pixel has no row.
     """
     hit = pixels_in_bbox(boxes, pixels, scene)
     around = F.when(~F.col("in_box"), F.lit(1)) if exclude_target else F.lit(1)
     means = hit.groupBy("det_id").agg(*[F.avg(F.when(F.col("in_box"), F.col(b))).alias(f"t_{b}") for b in BANDS], *[F.avg(F.when(around == 1, F.col(b))).alias(f"g_{b}") for b in BANDS])
-    return means.where("t_b2 is not null").withColumns({f"c_{b}": F.col(f"t_{b}") - F.col(f"g_{b}") for b in BANDS})
+    return means.where("t_b2 is not null").withColumns({f"c_{b}": F.round(F.col(f"t_{b}") - F.col(f"g_{b}"), 12) for b in BANDS})
 
 
 def contrasts() -> Column:

@@ -109,7 +109,7 @@ CLAMPED = "c AS (SELECT * EXCLUDE (x1, y1, x2, y2), greatest(0, least(x1, 639))
 HIT = f"""{CLAMPED}, k AS (SELECT *, greatest(30, (x2 - x1) * 2) AS g FROM c), hit AS (SELECT k.det_id, k.type, k.conf, k.scene_no, p.b2, p.b3, p.b4, p.b8, p.b11, p.b12, p.y >= k.y1 AND p.y < k.y2 AND p.x >= k.x1 AND p.x < k.x2 AS in_box
  FROM k JOIN pixels p ON p.scene_no = k.scene_no AND p.y >= greatest(0, y1 - g) AND p.y < least(640, y2 + g) AND p.x >= greatest(0, x1 - g) AND p.x < least(640, x2 + g))"""
 MEANS = f"""{HIT}, m1 AS (SELECT det_id, any_value(type) AS type, any_value(conf) AS conf, any_value(scene_no) AS scene_no, {', '.join(f'avg({b}) FILTER (in_box) AS t_{b}, avg({b}) AS g_{b}' for b in BANDS)} FROM hit GROUP BY det_id),
-means AS (SELECT *, {', '.join(f't_{b} - g_{b} AS c_{b}' for b in BANDS)}, abs(t_b2 - g_b2) + abs(t_b3 - g_b3) + abs(t_b4 - g_b4) + abs(t_b8 - g_b8) + abs(t_b11 - g_b11) + abs(t_b12 - g_b12) + 1e-8 AS total FROM m1 WHERE t_b2 IS NOT NULL)"""
+means AS (SELECT *, {', '.join(f'round(t_{b} - g_{b}, 12) AS c_{b}' for b in BANDS)}, abs(t_b2 - g_b2) + abs(t_b3 - g_b3) + abs(t_b4 - g_b4) + abs(t_b8 - g_b8) + abs(t_b11 - g_b11) + abs(t_b12 - g_b12) + 1e-8 AS total FROM m1 WHERE t_b2 IS NOT NULL)"""
 STRENGTH = "least(greatest(abs(c_b8) + abs(c_b11) + abs(c_b12), 0), 1)"
 
 
