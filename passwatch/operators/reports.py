@@ -117,7 +117,7 @@ def compression_report(briefs: DataFrame) -> DataFrame:
 def compression_text(report: DataFrame) -> DataFrame:
     """scene_id and the fixed-width text of its report."""
     bar, met = "─" * 52, lambda c: F.when(F.col(c), "✓ MET").otherwise("✗ MISSED")
-    wide = lambda c, n: F.lpad(thousands(c), n, " ")
+    wide = lambda c, n: F.lpad(thousands(c), F.greatest(F.lit(n), F.length(thousands(c))), F.lit(" "))
     lines = [
         F.lit(""), F.lit(bar), F.concat(F.lit("  Compression Report — "), "scene_id"), F.lit(bar),
         F.concat(F.lit("  Raw tile  (640×640×6 float32): "), wide(F.lit(RAW_TILE), 10), F.lit(f" B  ({RAW_TILE / 1e6:.2f} MB)")),

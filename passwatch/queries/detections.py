@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from passwatch.adapters import rounded
 from passwatch.functions import geo, rules, text
 from passwatch.operators import detect, reports
 from passwatch.queries import query
@@ -219,7 +220,18 @@ def compression_report(m):
     return reports.compression_report(briefs(m))
 
 
-@query()
+_BAR = "'" + "─" * 52 + "'"
+_WIDE = "lpad(format('{{:,}}', {0}), CAST(greatest({1}, length(format('{{:,}}', {0}))) AS INT), ' ')"
+_RATIO = "CAST(round_even({}, 0) AS BIGINT)"
+_MET = "CASE WHEN {} THEN '✓ MET' ELSE '✗ MISSED' END"
+
+
+@query(f"""WITH {JSON_SQL}, {SIZES_SQL}, r AS (SELECT scene_id, CAST(json_bytes AS BIGINT) AS jb, CAST(wire_bytes AS BIGINT) AS wb, round(json_bytes / wire_bytes, 6) AS wj, {_RATIO.format('round(9830400 / json_bytes, 6)')} AS jt,
+ {_RATIO.format('round(9830400 / wire_bytes, 6)')} AS wt, {_RATIO.format('round(104857600 / wire_bytes, 6)')} AS ws, inference_ms < 800 AS lat, wire_bytes < 2048 AS small FROM w)
+SELECT scene_id, concat_ws(chr(10), '', {_BAR}, '  Compression Report — ' || scene_id, {_BAR}, '  Raw tile  (640×640×6 float32):  9,830,400 B  (9.83 MB)', '  Raw scene (100 MB Sentinel-2): 104,857,600 B  (100.00 MB)',
+ '  JSON payload               :   ' || {_WIDE.format('jb', 10)} || ' B', '  Proto binary               :   ' || {_WIDE.format('wb', 10)} || ' B', {_BAR}, '  Proto vs JSON              :   ' || printf('%8.1f', {rounded('wj', 1)}) || '× smaller',
+ '  JSON  vs raw tile          :   ' || {_WIDE.format('jt', 8)} || ':1', '  Proto vs raw tile          :   ' || {_WIDE.format('wt', 8)} || ':1', '  Proto vs raw scene (100MB) :   ' || {_WIDE.format('ws', 8)} || ':1', {_BAR},
+ '  <800ms latency target      :   ' || {_MET.format('lat')}, '  <2KB proto size target     :   ' || {_MET.format('small')}, {_BAR}, '') AS text FROM r""")
 def compression_text(m):
     return reports.compression_text(reports.compression_report(briefs(m)))
 
