@@ -128,11 +128,6 @@ def mission_cycle(m):
     return cycle(m)[0].select("scene_id", "timestamp_utc", "n", "history_count", "policy_alert", "final_alert", "basis", "n_requests", "first_priority", "actions")
 
 
-@query()
-def mission_log(m):
-    return mission.mission_logs(m.scenes, m.detections, m.zones, m.advisories, m.footprints)
-
-
 @query("SELECT s.scene_id, s.anomaly_count, a.alert_level, a.summary FROM scenes s LEFT JOIN advisories a ON a.scene_id = s.scene_id")
 def brief_join(m):
     return m.scenes.select("scene_id", "anomaly_count").join(m.advisories.select("scene_id", "alert_level", "summary"), "scene_id", "left")
@@ -180,19 +175,41 @@ def scene_type_counts(m):
     return brief.scene_type_counts(m.detections)
 
 
-NARRATED = f"""
+def narrated(table: str, alert: str) -> str:
+    """The narratives of all scenes, with alerts from a table."""
+    return f"""
 t AS (SELECT scene_id, type, count(*) AS n, min(det_idx) AS f FROM detections GROUP BY scene_id, type), l AS (SELECT scene_id, string_agg(n || ' ' || type || CASE WHEN n > 1 THEN 's' ELSE '' END, ', ' ORDER BY f) AS types FROM t GROUP BY scene_id),
-s2 AS (SELECT s.scene_id, s.cloud_cover, a.alert_level, l.types, (coalesce(f.lat_min, 0) + coalesce(f.lat_max, 0)) / 2 AS la, (coalesce(f.lon_min, 0) + coalesce(f.lon_max, 0)) / 2 AS lo FROM scenes s LEFT JOIN advisories a ON a.scene_id = s.scene_id LEFT JOIN footprints f ON f.scene_id = s.scene_id LEFT JOIN l ON l.scene_id = s.scene_id),
+s2 AS (SELECT s.scene_id, s.cloud_cover, a.{alert} AS alert_level, l.types, (coalesce(f.lat_min, 0) + coalesce(f.lat_max, 0)) / 2 AS la, (coalesce(f.lon_min, 0) + coalesce(f.lon_max, 0)) / 2 AS lo FROM scenes s LEFT JOIN {table} a ON a.scene_id = s.scene_id LEFT JOIN footprints f ON f.scene_id = s.scene_id LEFT JOIN l ON l.scene_id = s.scene_id),
 narrated AS (SELECT scene_id, CASE WHEN types IS NULL THEN 'No anomalies detected in scene ' || scene_id || CASE WHEN cloud_cover > 0.3 THEN ' (sensing degraded by ' || {PCT.format('cloud_cover')} || ' cloud cover)' ELSE '' END || '.'
  ELSE lower(types) || ' detected at (' || printf('%.3f', la) || '°N, ' || printf('%.3f', lo) || '°E)' || CASE WHEN cloud_cover > 0.2 THEN ' under ' || {PCT.format('cloud_cover')} || ' cloud cover' ELSE '' END ||
  CASE alert_level WHEN 'RED' THEN ' — IMMEDIATE ATTENTION REQUIRED' WHEN 'ORANGE' THEN ' — elevated activity flagged' WHEN 'YELLOW' THEN ' — monitoring recommended' ELSE '' END || '.' END AS narrative FROM s2)"""
 
 
+NARRATED = narrated("advisories", "alert_level")
+
+
 def narratives(m):
     s = m.scenes.select("scene_id", "cloud_cover").join(m.advisories.select("scene_id", "alert_level"), "scene_id", "left").join(m.footprints, "scene_id", "left")
     return brief.scene_narrative(s, m.detections)
 
 
+def _spot(lat: str, lon: str) -> str:
+    return f"' | (' || printf('%.4f', {rounded(lat, 4)}) || '°, ' || printf('%.4f', {rounded(lon, 4)}) || '°)'"
+
+
+@query(f"""WITH {DECIDED}, {narrated("decided", "final_alert")},
+found AS (SELECT scene_id, string_agg('  ' || upper(type) || ' @ ' || substr({_spot("lat", "lon")}, 4) || ' | conf=' || {PCT.format("conf")} || ' | risk=' || CASE WHEN conf > 0.6 THEN 'MEDIUM' ELSE 'LOW' END || chr(10) || '    → Policy rule applied; LLM assessment unavailable.', chr(10) ORDER BY det_idx) AS lines FROM detections GROUP BY scene_id),
+planned AS (SELECT scene_id, string_agg('  [' || request_id || '] Priority ' || priority || {_spot("lat", "lon")} || ' | Source: ' || upper(source) || chr(10) || '    → ' || reason, chr(10) ORDER BY priority, seq) AS lines FROM requests GROUP BY scene_id)
+SELECT d.scene_id, concat_ws(chr(10), repeat('═', 60), '  MISSION LOG — ' || d.scene_id, '  ' || d.timestamp_utc, repeat('═', 60), '', '  SENSOR REPORT', repeat('─', 60), '  Detections    : ' || d.n, '  Cloud Cover   : ' || {PCT.format("s.cloud_cover")},
+ '  Inference     : ' || CAST(CAST(round(s.inference_ms) AS BIGINT) AS VARCHAR) || 'ms on-board', '  Compression   : ' || format('{{:,}}', CAST(s.compression_ratio AS BIGINT)) || ':1', '', '  INTELLIGENCE ASSESSMENT', repeat('─', 60), '  Alert Level   : ' || d.final_alert, '  Decision Basis: ' || upper(d.basis),
+ '  LLM Available : ' || CASE WHEN d.basis = 'hybrid' THEN 'Yes' ELSE 'No (policy fallback)' END, chr(10) || '  Summary: ' || coalesce(a.summary, 'Policy-only analysis: ' || d.n || ' anomaly(s) detected. LLM analyst unavailable.'), '  Narrative: ' || t.narrative,
+ chr(10) || '  ANOMALY ASSESSMENTS' || chr(10) || repeat('─', 60) || chr(10) || f.lines, coalesce(chr(10) || '  OVV SCHEDULE' || chr(10) || repeat('─', 60) || chr(10) || p.lines, chr(10) || '  OVV SCHEDULE: None required'),
+ chr(10) || '  ACTIONS TAKEN' || chr(10) || repeat('─', 60) || chr(10) || '  • ' || replace(d.actions, '; ', chr(10) || '  • '), repeat('═', 60)) AS log
+ FROM decided d JOIN scenes s ON s.scene_id = d.scene_id JOIN narrated t ON t.scene_id = d.scene_id LEFT JOIN advisories a ON a.scene_id = d.scene_id LEFT JOIN found f ON f.scene_id = d.scene_id LEFT JOIN planned p ON p.scene_id = d.scene_id""")
+def mission_log(m):
+    return mission.mission_logs(m.scenes, m.detections, m.zones, m.advisories, m.footprints)
+
+
 @query(f"WITH {NARRATED} SELECT * FROM narrated")
 def scene_narrative(m):
     return narratives(m)

@@ -62,25 +62,52 @@ def resize_bilinear(m):
     return raster.resize_bilinear(coarse(m), 40, 40, 80, 80).withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
-@query()
+UP = """t AS (SELECT CAST(unnest(range(0, 80)) AS INT) AS t), s AS (SELECT t, greatest(0, least(39, (t + 0.5E0) * 0.5E0 - 0.5E0)) AS p FROM t),
+w AS (SELECT s.t, k.k, 1 - abs(s.p - k.k) AS w FROM s JOIN (SELECT CAST(unnest(range(0, 40)) AS INT) AS k) k ON abs(s.p - k.k) < 1)"""
+
+
+@query(f"""WITH f AS (SELECT scene_no, CAST(y // 8 AS INT) AS y, CAST(x // 8 AS INT) AS x, {", ".join(f"avg({b}) AS {b}" for b in BANDS[:4])} FROM pixels GROUP BY 1, 2, 3),
+g AS (SELECT scene_no, CAST(y // 16 AS INT) AS y, CAST(x // 16 AS INT) AS x, avg(b11) AS b11, avg(b12) AS b12 FROM pixels GROUP BY 1, 2, 3), {UP},
+u AS (SELECT g.scene_no, a.t AS y, b.t AS x, sum(g.b11 * a.w * b.w) AS b11, sum(g.b12 * a.w * b.w) AS b12 FROM g JOIN w a ON a.k = g.y JOIN w b ON b.k = g.x GROUP BY 1, 2, 3)
+SELECT f.scene_no, f.y, f.x, {", ".join(f"round({b} + 1e-9, 6) AS {b}" for b in BANDS)} FROM f JOIN u ON u.scene_no = f.scene_no AND u.y = f.y AND u.x = f.x""")
 def stack_bands(m):
     """Four fine bands at 80 x 80 and two coarse ones at 40 x 40, on the fine grid."""
     at = [(F.col("y") / 8).cast("int").alias("y"), (F.col("x") / 8).cast("int").alias("x")]
     fine = m.pixels.groupBy("scene_no", *at).agg(*[F.avg(b).alias(b) for b in BANDS[:4]])
     fine = fine.select("scene_no", "y", "x", F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("value")) for b in BANDS[:4]])))
     low = coarse(m, "b11").withColumn("band", F.lit("b11")).unionByName(coarse(m, "b12").withColumn("band", F.lit("b12")))
-    return raster.stack_bands(fine, low, 80, 80).select("scene_no", "y", "x", *[F.round(b, 6).alias(b) for b in BANDS])
+    return raster.stack_bands(fine, low, 80, 80).select("scene_no", "y", "x", *[F.round(F.col(b) + 1e-9, 6).alias(b) for b in BANDS])
 
 
-@query()
-def batch_tensor(m):
-    """Pixels as 8 x 8 tiles of float32 bytes through the scoring hook, with a detector that reports each tile's band means as one box."""
+#: Cells of 8 x 8 tiles of whole 256ths, so that float32 sums are exact.
+CELLS = f"""cells AS (SELECT scene_no || '_' || CAST(y // 80 AS INT) || '_' || CAST(x // 80 AS INT) AS scene_id, CAST(y // 10 % 8 AS INT) AS py, CAST(x // 10 % 8 AS INT) AS px,
+ {", ".join(f"CAST(floor(avg({b}) * 256 + 1e-9) AS BIGINT) AS {b}" for b in BANDS)} FROM pixels GROUP BY 1, 2, 3)"""
+
+
+def tile_frames(m):
+    """scene_id, h, w, bands: pixels as 8 x 8 tiles of float32 bytes, in whole 256ths; an empty cell is dark."""
     cell = [(F.col("y") / 80).cast("int").alias("ty"), (F.col("x") / 80).cast("int").alias("tx"), (F.col("y") / 10 % 8).cast("int").alias("py"), (F.col("x") / 10 % 8).cast("int").alias("px")]
-    grid = m.pixels.groupBy("scene_no", *cell).agg(*[F.avg(b).alias(b) for b in BANDS])
+    grid = m.pixels.groupBy("scene_no", *cell).agg(*[(F.floor(F.avg(b) * 256 + 1e-9) / 256).alias(b) for b in BANDS])
     tiles = grid.groupBy("scene_no", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct(F.col("py") * 8 + F.col("px"), F.array(*BANDS)))).alias("cells"))
     dense = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.get(F.array(F.col("cells")[i]), F.lit(0)), F.array(*[F.lit(0.0)] * 6))))
-    frames = tiles.select(F.concat_ws("_", F.col("scene_no").cast("string"), F.col("ty").cast("string"), F.col("tx").cast("string")).alias("scene_id"), dense.alias("values"))
-    return raster.score_tiles(packed(frames), _mean_detector).select("scene_id", "anchor", F.round(F.col("scores")[0].cast("double"), 4).alias("b8_mean"))
+    return packed(tiles.select(F.concat_ws("_", F.col("scene_no").cast("string"), F.col("ty").cast("string"), F.col("tx").cast("string")).alias("scene_id"), dense.alias("values")))
+
+
+@query(f"""WITH {CELLS} SELECT scene_id, CAST(b AS INT) AS band_no, sum([{", ".join(BANDS)}][b + 1] * (py * 8 + px))::BIGINT AS place, sum([{", ".join(BANDS)}][b + 1])::BIGINT AS total
+ FROM cells CROSS JOIN (SELECT unnest(range(0, 6)) AS b) GROUP BY scene_id, b""")
+def batch_tensor(m):
+    """Every tile's tensor, band by band: its 256ths, and their sum by place."""
+
+    def planes(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for row in b.itertuples(index=False):
+                plane = np.rint(raster.batch_tensor(np.frombuffer(row.bands, np.float32).reshape(row.h, row.w, 6))[0].reshape(6, -1) * 256).astype(np.int64)
+                yield pd.DataFrame({"scene_id": row.scene_id, "band_no": np.arange(6, dtype=np.int32), "place": plane @ np.arange(plane.shape[1]), "total": plane.sum(axis=1)})
+
+    return tile_frames(m).mapInPandas(planes, "scene_id string, band_no int, place long, total long")
 
 
 def packed(frames):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from passwatch.adapters import rounded
 from passwatch.operators import raster, reports
-from passwatch.queries import query
+from passwatch.queries import query, rasters
 from passwatch.queries.detections import JSON_SQL, briefs
 from passwatch.sources import briefs as brief_files
 from passwatch.sources import tiles as tile_files
@@ -90,8 +90,9 @@ def scan_tiles(m):
     return found.select(F.regexp_extract("path", "name=([^/]+)", 1).alias("scene_id")).agg(F.count_distinct("scene_id").alias("n"))
 
 
-@query()
+@query(f"""WITH {rasters.CELLS} SELECT scene_id, 0 AS anchor, 4.0E0 AS cx, 4.0E0 AS cy, 8.0E0 AS w, 8.0E0 AS h, {", ".join(f"round(sum({b}) / 16384.0E0, 6) AS {b}_mean" for b in ("b8", "b11", "b12", "b2"))} FROM cells GROUP BY scene_id""")
 def score_tiles(m):
-    from passwatch.queries.rasters import batch_tensor
-
-    return batch_tensor(m)
+    """The scoring hook with a detector that reports each tile's band means as the scores of one box."""
+    scored = raster.score_tiles(rasters.tile_frames(m), rasters._mean_detector)
+    means = [F.round(F.col("scores")[i].cast("double"), 6).alias(f"{b}_mean") for i, b in enumerate(("b8", "b11", "b12", "b2"))]
+    return scored.select("scene_id", "anchor", *[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h")], *means)
