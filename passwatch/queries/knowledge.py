@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from passwatch.adapters import rounded
 from passwatch.functions import geo
 from passwatch.operators import brief, reports, retrieve
 from passwatch.plans import mission
 from passwatch.queries import query
-from passwatch.queries.detections import PCT, briefs
+from passwatch.queries.detections import JSON_SQL, PCT, briefs
+from passwatch.queries.history import LINE, NEAR
 
 TAGGED = "tagged AS (SELECT id, category, title, content, list_distinct(string_split(lower(title), ' ')) AS tags FROM chunks)"
 #: The stated query set of a search: every vector whose id divides by 20, against all vectors.
@@ -97,7 +99,24 @@ def retrieval_query_text(m):
     return retrieve.retrieval_query_text(m.scenes.select("scene_id", "cloud_cover").join(m.footprints, "scene_id", "left"), m.detections)
 
 
-@query()
+#: The history of each of a scene's regions, without alerts, as one text a scene.
+REGIONAL = f"""keys AS (SELECT scene_id || '#' || det_idx AS q_id, scene_id AS q_scene, det_idx AS q_idx, lat, lon FROM detections WHERE det_idx < 3 QUALIFY row_number() OVER (PARTITION BY scene_id, {rounded('lat', 1)}, {rounded('lon', 1)} ORDER BY det_idx) = 1),
+h AS (SELECT q.q_id, q.lat AS q_lat, q.lon AS q_lon, d.*, CAST(NULL AS VARCHAR) AS alert_level, row_number() OVER (PARTITION BY q.q_id ORDER BY d.timestamp_utc DESC, d.det_id DESC) - 1 AS pass_number FROM keys q JOIN detections d ON d.scene_id <> q.q_scene AND {NEAR}),
+l AS (SELECT *, {LINE} AS line FROM h WHERE pass_number < 20),
+again AS (SELECT q_id, string_agg(type, ', ' ORDER BY f) AS again FROM (SELECT q_id, type, min(pass_number) AS f FROM l GROUP BY q_id, type HAVING count(*) >= 2) GROUP BY q_id),
+seen AS (SELECT q_id, any_value(q_lat) AS a, any_value(q_lon) AS o, count(*) AS k, count(DISTINCT scene_id) AS p, min(timestamp_utc) AS first_seen, max(timestamp_utc) AS last_seen, string_agg(line, chr(10) ORDER BY pass_number) FILTER (pass_number < 5) AS lines FROM l GROUP BY q_id),
+texts AS (SELECT seen.q_id, concat_ws(chr(10), 'Regional history (≈50km around (' || printf('%.3f', a) || '°, ' || printf('%.3f', o) || '°)): ' || k || ' anomaly detection(s) across ' || p || ' orbital pass(es).', '  Recurring object types: ' || upper(again) || '.',
+ '  Observed from ' || substr(first_seen, 1, 10) || ' to ' || substr(last_seen, 1, 10) || '.', lines) AS text FROM seen LEFT JOIN again ON again.q_id = seen.q_id),
+histories AS (SELECT k.q_scene AS scene_id, string_agg(x.text, chr(10) || chr(10) ORDER BY k.q_idx) AS history FROM texts x JOIN keys k ON k.q_id = x.q_id GROUP BY k.q_scene)"""
+
+
+@query(f"""WITH {JSON_SQL}, {REGIONAL}, units AS (SELECT id, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS e FROM vectors),
+named AS (SELECT scene_id, compression_ratio * 7919 % (SELECT count(*) FROM vectors) AS vid FROM scenes), scored AS (SELECT q.id AS vid, v.id, round(list_dot_product(q.e, v.e), 6) AS score FROM units q, units v WHERE q.id IN (SELECT vid FROM named)),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 4 AND score >= 0),
+found AS (SELECT r.vid, chr(10) || '--- RETRIEVED MARITIME KNOWLEDGE CONTEXT ---' || chr(10) || string_agg(chr(10) || '[' || r.id || '] ' || c.title || chr(10) || c.content, chr(10) ORDER BY r.rank) || chr(10) || '--- END CONTEXT ---' || chr(10) AS context FROM ranked r JOIN chunks c ON c.id = r.id GROUP BY r.vid),
+said AS (SELECT t.scene_id, concat_ws(chr(10) || chr(10), 'Analyse this telemetry payload and return your structured brief:' || chr(10), 'TELEMETRY PAYLOAD:' || chr(10) || t.head || t.compression_ratio || '}}}}', f.context, chr(10) || '--- HISTORICAL CONTEXT (prior orbital passes) ---' || chr(10) || p.history || chr(10) || '--- END HISTORICAL CONTEXT ---') AS message
+ FROM t LEFT JOIN named n ON n.scene_id = t.scene_id LEFT JOIN found f ON f.vid = n.vid LEFT JOIN histories p ON p.scene_id = t.scene_id)
+SELECT scene_id, md5(message) AS digest, CAST(length(message) AS INT) AS n_chars FROM said""")
 def analyst_context(m):
     """Every scene's message; its search vector is that of the vector whose id its ratio names, among all there are."""
     many = m.vectors.count()
