@@ -143,3 +143,23 @@ def test_text_helpers(spark):
     row = spark.createDataFrame([("B11 (SWIR1)", 0.005, "2026-04-24T09:12:44Z"), ("plain", 0.8, None)], "n string, x double, t string")
     got = [tuple(r) for r in row.select(text.short_band_name("n"), text.percent("x"), text.display_ts("t", 19), text.conf_color("x")).collect()]
     assert got == [("SWIR1", "1%", "2026-04-24 09:12:44", "#f5f5f5"), ("plain", "80%", None, "#d4d4d4")]
+
+
+def test_build_vector_table_equals_plain_tf_idf(spark):
+    """Counts of hashed words times ln((n + 1) / (df + 1)), of unit length; null parts are empty."""
+    from pyspark.ml.feature import HashingTF
+
+    chunks = [(1, "a b", "c C d"), (2, None, "b x"), (3, "q", None), (4, "a b", "b b c")]
+    made = {r["id"]: r for r in retrieve.build_vector_table(spark.createDataFrame(chunks, "id long, title string, content string"), 64).collect()}
+    hashed = HashingTF(inputCol="words", outputCol="tf", numFeatures=64)
+    counts = {}
+    for i, title, content in chunks:
+        row = counts.setdefault(i, [0] * 64)
+        for word in f"{title or ''}. {content or ''}".lower().split():
+            row[hashed.indexOf(word)] += 1
+    weight = [math.log(5 / (1 + sum(c[k] > 0 for c in counts.values()))) for k in range(64)]
+    for i, c in counts.items():
+        plain = [a * b for a, b in zip(c, weight)]
+        size = math.sqrt(sum(v * v for v in plain))
+        assert made[i]["embedding"] == pytest.approx([v / size for v in plain])
+        assert made[i]["dim"] == 64
