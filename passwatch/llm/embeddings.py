@@ -28,7 +28,6 @@ from passwatch.llm.common import components, star_of, written
 
 THRESHOLD = 0.93
 BLOCK = 2048
-WHOLE = 16_384  # no longer read: labels of any size are compared whole; a test still sets it
 SEED = 20240229
 
 

@@ -143,22 +143,18 @@ def test_embeddings_edges_and_blocks(spark, monkeypatch):
     assert found(by_blocks) == found(want)
 
 
-def test_embeddings_cells_reach_recall(spark, monkeypatch):
-    """Beyond WHOLE classes a label is searched by cells: every link found is one, and at least nine in ten are found."""
+def test_embeddings_blocks_lose_nothing(spark):
+    """A label of fifteen blocks gives the sums of links that one block gives."""
     r = np.random.default_rng(3)
     base = r.standard_normal((60, 32))
     rows = [(int(i), [float(x) for x in base[i % 60] + 0.2 * r.standard_normal(32)], 0) for i in range(600)]
     classes = embeddings.classes_of(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), "vec_id", "embedding", "label")
     exact = found(embeddings.linked(classes).groupBy("node").agg(F.sum("links").alias("n")))
-    monkeypatch.setattr(embeddings, "WHOLE", 100)
-    monkeypatch.setattr(embeddings, "BLOCK", 40)
-    cells = found(embeddings.linked(classes, block=40).groupBy("node").agg(F.sum("links").alias("n")))
-    assert all(cells[k][0] <= exact[k][0] for k in cells)
-    assert sum(v[0] for v in cells.values()) >= 0.9 * sum(v[0] for v in exact.values())
+    assert exact and found(embeddings.linked(classes, block=40).groupBy("node").agg(F.sum("links").alias("n"))) == exact
 
 
-def test_embeddings_of_a_large_label_lose_no_link(spark, monkeypatch):
-    """Cells lost links here: the same sums of links come from one block and from many, with WHOLE below the label's size."""
+def test_embeddings_of_a_large_label_lose_no_link(spark):
+    """The sums of links of many blocks are those of all products."""
     r = np.random.default_rng(4)
     base = r.standard_normal((60, 32))
     rows = [(int(i), [float(x) for x in base[i % 60] + 0.27 * r.standard_normal(32)], 0) for i in range(1200)]
@@ -166,9 +162,6 @@ def test_embeddings_of_a_large_label_lose_no_link(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     want = {i: (int(n),) for i, n in enumerate((x @ x.T >= 0.93).sum(axis=1) - 1) if n}
     classes = embeddings.classes_of(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), "vec_id", "embedding", "label")
-    monkeypatch.setattr(embeddings, "WHOLE", 10)
-    monkeypatch.setattr(embeddings, "BLOCK", 5)
-    monkeypatch.setattr(embeddings, "MISS", 0.3, raising=False)  # the cells' planned loss, raised so that few rows show it
     assert found(embeddings.linked(classes, block=200).groupBy("node").agg(F.sum("links").alias("n"))) == want
 
 
