@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passwatch.llm import bpe, decontaminate, embeddings, html, licenses, pii, quality, repeats, simhash, warc
+from passwatch.llm import bpe, decontaminate, embeddings, html, licenses, pii, quality, repeats, runs, simhash, warc
 from passwatch.llm.common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -81,6 +81,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; with h the crc32 of the id, in texts with h % 10 = 0 the words from a on repeat the p words that begin there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    n = F.size("words")
+    rows = docs.select("doc_id", "text", g.alias("g"), words.alias("words")).withColumn("n", n).withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    length = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(length / F.col("p")).cast("int")))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), length)), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 #: The digest in base32: of each five hex digits, four groups of five bits.
 OP10_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
@@ -103,5 +126,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_html": op9_html,
     "op10_warc": op10_warc,
+    "op11_runs": op11_runs,
 }
 ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op3_licenses": licenses.oracle_sql(), "op10_warc": OP10_SQL}
