@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passwatch.llm import bpe, decontaminate, embeddings, html, licenses, pii, quality, repeats, runs, simhash, warc
+from passwatch.llm import bpe, collocations, decontaminate, embeddings, html, licenses, pii, quality, repeats, runs, simhash, warc
 from passwatch.llm.common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -104,6 +104,30 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+f1 AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY lang, x),
+f2 AS (SELECT lang, x[1] AS w1, x[2] AS w2, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: ws[i:i + 1])) AS x FROM w) GROUP BY lang, x HAVING count(*) >= 10),
+f3 AS (SELECT lang, x[1] AS w1, x[2] AS w2, x[3] AS w3, count(*) AS n FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) AS x FROM w) GROUP BY lang, x HAVING count(*) >= 10),
+c AS (SELECT lang, w1, w2, max(n) AS longer FROM (SELECT lang, w1, w2, n FROM f3 UNION ALL SELECT lang, w2, w3, n FROM f3) GROUP BY ALL),
+two AS (SELECT a.lang, a.w1 || ' ' || a.w2 AS phrase, a.n AS a, l.n AS l, r.n AS r FROM f2 a LEFT JOIN c ON c.lang = a.lang AND c.w1 = a.w1 AND c.w2 = a.w2
+  JOIN f1 l ON l.lang = a.lang AND l.x = a.w1 JOIN f1 r ON r.lang = a.lang AND r.x = a.w2 WHERE c.longer IS NULL OR 100 * c.longer < 50 * a.n),
+cuts AS (SELECT lang, phrase, a, l, r, 1 AS k FROM two
+  UNION ALL SELECT a.lang, a.w1 || ' ' || a.w2 || ' ' || a.w3, a.n, l.n, r.n, 1 FROM f3 a JOIN f1 l ON l.lang = a.lang AND l.x = a.w1 JOIN f2 r ON r.lang = a.lang AND r.w1 = a.w2 AND r.w2 = a.w3
+  UNION ALL SELECT a.lang, a.w1 || ' ' || a.w2 || ' ' || a.w3, a.n, l.n, r.n, 2 FROM f3 a JOIN f2 l ON l.lang = a.lang AND l.w1 = a.w1 AND l.w2 = a.w2 JOIN f1 r ON r.lang = a.lang AND r.x = a.w3),
+s AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS best FROM s) WHERE best = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM one)
+SELECT t.lang, t.rank, t.phrase, t.a, t.l, t.r, CAST(n.n AS BIGINT) AS n, t.score FROM t JOIN (SELECT lang, sum(n) AS n FROM f1 GROUP BY lang) n ON n.lang = t.lang WHERE t.rank <= 2000
+"""
+
+
 #: The digest in base32: of each five hex digits, four groups of five bits.
 OP10_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
@@ -127,5 +151,6 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_warc": op10_warc,
     "op11_runs": op11_runs,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op3_licenses": licenses.oracle_sql(), "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op3_licenses": licenses.oracle_sql(), "op10_warc": OP10_SQL, "op13_collocations": OP13_SQL}
