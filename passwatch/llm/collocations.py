@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from passwatch.llm.common import slices, small_batches, written
 from passwatch.llm.decontaminate import filter_of
-from passwatch.llm.tally import MOST_WORDS, SLICE, Lexicon, Tally, Words, by_group, hash_of, pair_hash, passes
+from passwatch.llm.tally import MOST_WORDS, SLICE, Lexicon, Tally, Words, by_group, counted, of_group, pair_hash, passes, ranked, seeds, word_counts
 
 LEAST = 10
 TOP = 2000
 COVER = 50  # a longer candidate with this share (in percent) of a phrase's occurrences covers it
 SCALE = 1_000_000
-HEAD = 1 << 16  # ranked words, and ranked pairs, of all languages together
+HEAD = 1 << 18  # ranked words, and ranked pairs, of all languages together
 
 #: What ends a piece, and what parts words.
 BREAK = np.zeros(256, bool)
@@ -47,150 +47,140 @@ def neighbours(words: Words) -> np.ndarray:
     return (words.owner[1:] == words.owner[:-1]) & (breaks[words.start[1:]] == breaks[words.end[:-1]])
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """lang, word, n; a row without a word has the number of all words of lang. texts: lang (no nulls), __text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[str, tuple[Lexicon, list[np.ndarray]]] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, (lexicon, counts) in state.items():
-                n = np.zeros(len(lexicon), np.int64)
-                for c in counts:
-                    n[: len(c)] += c
-                names = pa.concat_arrays([pa.array([None], pa.string()), pa.array(lexicon.words, pa.binary()).cast(pa.string())])
-                yield pa.record_batch([pa.array([lang] * len(names)), names, pa.array(np.append(n.sum(), n))], ["lang", "word", "n"])
-            state.clear()
-
-        for batch in slices(batches, "__text", SLICE):
-            for lang, rows in by_group(batch, 0):
-                lexicon, counts = state.setdefault(lang, (Lexicon(lang, []), []))
-                words = Words(rows.column(1), WORD)
-                counts.append(np.bincount(lexicon.of(words.dictionary), np.bincount(words.at, minlength=len(words.dictionary)), len(lexicon)).astype(np.int64))
-                if len(counts) > 16:
-                    total = np.zeros(len(lexicon), np.int64)
-                    for c in counts:
-                        total[: len(c)] += c
-                    counts[:] = [total]
-            if sum(len(x) for x, _ in state.values()) > MOST_WORDS:
-                yield from out()
-        yield from out()
-
-    found = small_batches(texts).mapInArrow(run, "lang string, word string, n long")
-    return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-
-def ranked(counts: DataFrame, names: list[str]) -> dict[str, list]:
-    """The HEAD most frequent rows of a table of counts by language, the most frequent first. At most HEAD rows reach the driver."""
-    out: dict[str, list] = {}
-    for row in counts.orderBy(F.desc("n"), "lang", *names).limit(HEAD).collect():
-        out.setdefault(row["lang"], []).append(tuple(row[c].encode() for c in names))
-    return out
-
-
-def seeds(counts: DataFrame, names: list[str]) -> DataFrame:
-    """The hash of each word or pair, as the tasks that count know it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(0).to_pylist()
-            own = [np.array([hash_of(x, w.encode()) for x, w in zip(langs, batch.column(k).to_pylist())], np.uint64) for k in range(1, len(names) + 1)]
-            yield pa.record_batch([pa.array((own[0] if len(own) == 1 else pair_hash(*own)).view(np.int64))], ["seed"])
-
-    return counts.select("lang", *names).mapInArrow(run, "seed long")
-
-
-def pair_counts(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """lang, w1, w2, n of neighbours that both are in words; with other rows, too, of words that pass its filter by chance."""
-    head = ranked(words, ["word"])
+def pair_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """lang, w1, w2, n of neighbours that stand together `least` times or more; words: those with as many occurrences."""
+    head = ranked(words, ["word"], HEAD)
     shared = texts.sparkSession.sparkContext.broadcast((head, filter_of(seeds(words, ["word"]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, bits = shared.value
-        state: dict[str, tuple[Lexicon, Tally]] = {}
+        state: dict[str, tuple[np.ndarray, Lexicon, Tally]] = {}
+        tallies: list[Tally] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, (lexicon, tally) in state.items():
+            for lang, (rank, lexicon, tally) in state.items():
                 a, b, n = tally.take()
-                yield pa.record_batch([pa.array([lang] * len(n), pa.string()), lexicon.texts(a), lexicon.texts(b), pa.array(n)], ["lang", "w1", "w2", "n"])
+                yield from counted([rank, rank], [a, b], lambda own: [lexicon.texts(a[own]), lexicon.texts(b[own])], lang, n)
             state.clear()
+            tallies.clear()
 
         for batch in slices(batches, "__text", SLICE):
             for lang, rows in by_group(batch, 0):
                 if lang not in state:
-                    state[lang] = Lexicon(lang, [w for (w,) in heads.get(lang, [])], lambda h: passes(bits, h)), Tally()
-                lexicon, tally = state[lang]
+                    rank, (own,) = of_group(heads, lang)
+                    state[lang] = rank, Lexicon(lang, own, lambda h: passes(bits, h)), Tally(tallies)
+                _, lexicon, tally = state[lang]
                 found = Words(rows.column(1), WORD)
                 ids = lexicon.of(found.dictionary)[found.at]
                 at = np.flatnonzero(neighbours(found) & (ids[:-1] >= 0) & (ids[1:] >= 0)) if len(ids) else np.zeros(0, np.int64)
                 tally.add(ids[at], ids[at + 1])
-            if sum(len(x) for x, _ in state.values()) > len(head) + MOST_WORDS or any(x.full for _, x in state.values()):
+            if sum(len(x) for _, x, _ in state.values()) > HEAD + MOST_WORDS or any(x.full for x in tallies):
                 yield from out()
         yield from out()
 
-    found = small_batches(texts).mapInArrow(run, "lang string, w1 string, w2 string, n long")
-    return found.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, known = (one(shared.value[0].column(k)) for k in (0, 1))
+        for batch in batches:
+            code, n = batch.column(0), batch.column(2)
+            at = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+            a = code.take(pa.array(at)).to_numpy()
+            yield pa.record_batch([langs.take(pa.array(a >> 32)), known.take(pa.array(a >> 32)), known.take(pa.array(a & 0xFFFFFFFF)), n.take(pa.array(at))], ["lang", "w1", "w2", "n"])
+            yield listed(batch, 3)
 
+    found = small_batches(texts).mapInArrow(run, "code long, words array<string>, n long")
+    return found.groupBy("code", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least).mapInArrow(name, "lang string, w1 string, w2 string, n long")
 
-def triple_counts(texts: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
-    """lang, w1, w2, w3, n of three neighbours whose two pairs both are in pairs; with rows, too, that pass its filter by chance.
 
-    The first pair is one unit, ranked among the pairs, and is counted with the third word by tiles of ranks.
-    """
-    head, units = ranked(words, ["word"]), ranked(pairs, ["w1", "w2"])
-    shared = texts.sparkSession.sparkContext.broadcast((head, units, filter_of(seeds(words, ["word"])), filter_of(seeds(pairs, ["w1", "w2"]))))
+def listed(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """The rows (code, words, n) without a code, their `width` words as columns."""
+    rest = batch.filter(batch.column(0).is_null())
+    flat = rest.column(1).flatten()
+    cols = [flat.take(pa.array(np.arange(k, len(flat), width))) for k in range(width)]
+    return pa.record_batch([*cols, rest.column(2)], ["lang", *(f"w{k}" for k in range(1, width)), "n"])
+
+
+class Units:
+    """Numbers of pairs of a lexicon's words: the ranked ones in their order, then others as they come."""
 
-    class Units:
-        """Numbers of pairs of a lexicon's words: the ranked ones in their order, then others as they come."""
+    def __init__(self, lexicon: Lexicon, first: list[bytes], second: list[bytes]) -> None:
+        self.codes = (lexicon.of(first) << 32 | lexicon.of(second)).tolist()
+        self.ids = {c: i for i, c in enumerate(self.codes)}
 
-        def __init__(self, lexicon: Lexicon, known: list[tuple[bytes, bytes]]) -> None:
-            flat = lexicon.of([w for pair in known for w in pair]).reshape(-1, 2) if known else np.zeros((0, 2), np.int64)
-            self.codes = (flat[:, 0] << 32 | flat[:, 1]).tolist()
-            self.ids = {c: i for i, c in enumerate(self.codes)}
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        used, back = np.unique(codes, return_inverse=True)
+        for c in used.tolist():
+            if c not in self.ids:
+                self.ids[c] = len(self.codes)
+                self.codes.append(c)
+        return np.fromiter((self.ids[c] for c in used.tolist()), np.int64, len(used))[back]
 
-        def of(self, codes: np.ndarray) -> np.ndarray:
-            used, back = np.unique(codes, return_inverse=True)
-            out = []
-            for c in used.tolist():
-                if (i := self.ids.get(c)) is None:
-                    i = self.ids[c] = len(self.codes)
-                    self.codes.append(c)
-                out.append(i)
-            return np.array(out, np.int64)[back]
+
+def triple_counts(texts: DataFrame, words: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """lang, w1, w2, w3, n of three neighbours that stand together `least` times or more; pairs: those with as many occurrences.
+
+    The first pair is one unit, ranked among the pairs, and is counted with the third word by tiles of ranks.
+    """
+    head, units = ranked(words, ["word"], HEAD), ranked(pairs, ["w1", "w2"], HEAD)
+    shared = texts.sparkSession.sparkContext.broadcast((head, units, filter_of(seeds(words, ["word"])), filter_of(seeds(pairs, ["w1", "w2"]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, known, word_bits, pair_bits = shared.value
         state: dict[str, list] = {}
+        tallies: list[Tally] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, (lexicon, unit, tally, _) in state.items():
+            for lang, (rank, rank_of_units, lexicon, unit, tally, _) in state.items():
                 a, b, n = tally.take()
-                code = np.array(unit.codes, np.int64)[a] if len(a) else a
-                yield pa.record_batch([pa.array([lang] * len(n), pa.string()), lexicon.texts(code >> 32), lexicon.texts(code & 0xFFFFFFFF), lexicon.texts(b), pa.array(n)], ["lang", "w1", "w2", "w3", "n"])
+
+                def names(own: np.ndarray) -> list[pa.Array]:
+                    code = np.array(unit.codes, np.int64)[a[own]]
+                    return [lexicon.texts(code >> 32), lexicon.texts(code & 0xFFFFFFFF), lexicon.texts(b[own])]
+
+                yield from counted([rank_of_units, rank], [a, b], names, lang, n)
             state.clear()
+            tallies.clear()
 
         for batch in slices(batches, "__text", SLICE):
             for lang, rows in by_group(batch, 0):
                 if lang not in state:
-                    lexicon = Lexicon(lang, [w for (w,) in heads.get(lang, [])], lambda h: passes(word_bits, h))
-                    state[lang] = [lexicon, Units(lexicon, known.get(lang, [])), Tally(), np.zeros(0, np.uint64)]
-                lexicon, unit, tally, hashes = state[lang]
+                    rank, (own,) = of_group(heads, lang)
+                    rank_of_units, both = of_group(known, lang)
+                    lexicon = Lexicon(lang, own, lambda h: passes(word_bits, h))
+                    state[lang] = [rank, rank_of_units, lexicon, Units(lexicon, *both), Tally(tallies), np.zeros(0, np.uint64)]
+                _, _, lexicon, unit, tally, hashes = state[lang]
                 found = Words(rows.column(1), WORD)
                 ids = lexicon.of(found.dictionary)[found.at]
                 if len(lexicon.hashes) > len(hashes):
-                    hashes = state[lang][3] = np.array(lexicon.hashes, np.uint64)
+                    hashes = state[lang][5] = np.array(lexicon.hashes, np.uint64)
                 if len(ids) < 3 or not len(hashes):
                     continue
                 good = np.flatnonzero(neighbours(found) & (ids[:-1] >= 0) & (ids[1:] >= 0))
                 good = good[passes(pair_bits, pair_hash(hashes[ids[good]], hashes[ids[good + 1]]))]
                 at = good[:-1][np.diff(good) == 1]
                 tally.add(unit.of(ids[at] << 32 | ids[at + 1]), ids[at + 2])
-            if sum(len(x[0]) + len(x[1].codes) for x in state.values()) > 2 * HEAD + MOST_WORDS or any(x[2].full for x in state.values()):
+            if sum(len(x[2]) + len(x[3].codes) for x in state.values()) > 2 * HEAD + MOST_WORDS or any(x.full for x in tallies):
                 yield from out()
         yield from out()
 
-    found = small_batches(texts).mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long")
-    return found.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, known = (x.combine_chunks() for x in shared.value[:2])
+        for batch in batches:
+            code, n = batch.column(0), batch.column(2)
+            at = np.flatnonzero(code.is_valid().to_numpy(zero_copy_only=False))
+            a = code.take(pa.array(at)).to_numpy()
+            pair, third = known.take(pa.array(a >> 32)), heads.take(pa.array(a & 0xFFFFFFFF))
+            cols = [pair.column(c) for c in ("lang", "w1", "w2")] + [third.column("word")]
+            yield pa.record_batch([*(one(c.combine_chunks()) for c in cols), n.take(pa.array(at))], ["lang", "w1", "w2", "w3", "n"])
+            yield listed(batch, 4)
+
+    found = small_batches(texts).mapInArrow(run, "code long, words array<string>, n long")
+    return found.groupBy("code", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least).mapInArrow(name, "lang string, w1 string, w2 string, w3 string, n long")
+
+
+def one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    if isinstance(column, pa.Array):
+        return column
+    return column.combine_chunks() if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def scored(a: str, left: str, right: str) -> F.Column:
@@ -202,11 +192,11 @@ def scored(a: str, left: str, right: str) -> F.Column:
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the `top` phrases of each language."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("__text"))
-    counted = written(word_counts(texts).where(F.col("word").isNull() | (F.col("n") >= least)), "words")
-    total = counted.where("word is null").select("lang", F.col("n").alias("n"))
-    words = counted.where("word is not null")
-    pairs = written(pair_counts(texts, words).where(F.col("n") >= least), "pairs")
-    triples = written(triple_counts(texts, words, pairs).where(F.col("n") >= least), "triples")
+    known = written(word_counts(texts, WORD).where(F.col("word").isNull() | (F.col("n") >= least)), "words")
+    total = known.where("word is null").select("lang", F.col("n").alias("n"))
+    words = known.where("word is not null")
+    pairs = written(pair_counts(texts, words, least), "pairs")
+    triples = written(triple_counts(texts, words, pairs, least), "triples")
 
     f = lambda out, *on: (words if len(on) == 1 else pairs).select("lang", *(F.col(c).alias(x) for c, x in zip(["word"] if len(on) == 1 else ["w1", "w2"], on)), F.col("n").alias(out))
     covered = triples.select("lang", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "n")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passwatch.llm import bpe, collocations, decontaminate, embeddings, html, licenses, pii, quality, repeats, runs, simhash, warc
+from passwatch.llm import bpe, classes, collocations, decontaminate, embeddings, html, licenses, pii, quality, repeats, runs, simhash, warc
 from passwatch.llm.common import table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -104,6 +104,13 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    done = classes.score(docs, learn=~held_out)
+    return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
@@ -151,6 +158,7 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_warc": op10_warc,
     "op11_runs": op11_runs,
+    "op12_lm": op12_lm,
     "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {"op2_embeddings": OP2_SQL, "op3_licenses": licenses.oracle_sql(), "op10_warc": OP10_SQL, "op13_collocations": OP13_SQL}

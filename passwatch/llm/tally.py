@@ -2,7 +2,7 @@
 
 Pairs are counted by direct address: words have numbers in the order of their frequency, so that frequent pairs lie in a few square tiles of
 SIDE x SIDE counters, which numpy's bincount fills. A tile is made once a slice of text brings it DENSE pairs, TILES of them at most in a
-task; the pairs of all other tiles are kept as sorted codes with counts. What exceeds a bound goes out and is summed by Spark, so that a
+task (32 MB); the pairs of all other tiles are kept as sorted codes with counts. What exceeds a bound goes out and is summed by Spark, so that a
 task's memory has a bound and no pair is lost.
 """
 
@@ -12,28 +12,38 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from passwatch.llm.common import LOWER, joined_bytes, mix, words_of
+from passwatch.llm.common import LOWER, joined_bytes, mix, slices, small_batches, words_of
 from passwatch.llm.decontaminate import SHIFTS, slots
 
 BITS = 9
 SIDE = 1 << BITS
-TILES = 96
-DENSE = 8192
+TILES = 32
+DENSE = 4096
 MOST_CODES = 1 << 20
 MOST_WORDS = 1 << 19
-SLICE = 1 << 22
+MOST_SEEN = 1 << 30
+SLICE = 1 << 21
+CHUNK = 1 << 17
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Tally:
-    """Counts of pairs of numbers below 2**31."""
+    """Counts of pairs of numbers below 2**31. others: the tallies of the same task, itself among them, that share TILES and MOST_CODES."""
 
-    def __init__(self) -> None:
+    def __init__(self, others: list[Tally] | None = None) -> None:
+        self.others = [] if others is None else others
+        self.others.append(self)
+        self.clear()
+
+    def clear(self) -> None:
         self.tiles: dict[int, np.ndarray] = {}
         self.loose: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.held = self.seen = 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         """Count every (a[i], b[i])."""
@@ -41,22 +51,23 @@ class Tally:
         tile = (np.minimum(a >> BITS, edge) << 8 | np.minimum(b >> BITS, edge)).astype(np.uint16)
         sizes = np.bincount(tile, minlength=1 << 16)
         for t in np.flatnonzero(sizes >= DENSE).tolist():
-            if t not in self.tiles and len(self.tiles) < TILES and t >> 8 != edge and t & 255 != edge:
-                self.tiles[t] = np.zeros(SIDE * SIDE, np.int64)
+            if t not in self.tiles and t >> 8 != edge and t & 255 != edge and sum(len(x.tiles) for x in self.others) < TILES:
+                self.tiles[t] = np.zeros(SIDE * SIDE, np.int32)
         order, ends = np.argsort(tile, kind="stable"), np.cumsum(sizes)
         rest = np.ones(len(a), bool)
         for t, counts in self.tiles.items():
             if sizes[t]:
                 own = order[ends[t] - sizes[t] : ends[t]]
-                counts += np.bincount((a[own] & (SIDE - 1)) << BITS | b[own] & (SIDE - 1), minlength=SIDE * SIDE)
+                counts += np.bincount((a[own] & (SIDE - 1)) << BITS | b[own] & (SIDE - 1), minlength=SIDE * SIDE).astype(np.int32)
                 rest[own] = False
+        self.seen += len(a)
         if rest.any():
             self.merge(a[rest].astype(np.int64) << 32 | b[rest], np.ones(int(rest.sum()), np.int64))
 
     def merge(self, codes: np.ndarray, counts: np.ndarray) -> None:
         self.loose.append((codes, counts))
         self.held += len(codes)
-        if self.held > 2 * MOST_CODES:
+        if self.held > MOST_CODES * 3 // 2:
             self.sort()
 
     def sort(self) -> None:
@@ -69,18 +80,19 @@ class Tally:
 
     @property
     def full(self) -> bool:
-        return self.held > MOST_CODES and (self.sort() or self.held > MOST_CODES)
+        """Whether the tallies of the task hold so much that they should go out."""
+        return sum(x.held for x in self.others) > MOST_CODES or self.seen > MOST_SEEN
 
     def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pairs and their counts; the tally is empty afterwards."""
         for t, counts in self.tiles.items():
             at = np.flatnonzero(counts)
             a, b = (t >> 8 << BITS) + (at >> BITS), ((t & 255) << BITS) + (at & (SIDE - 1))
-            self.loose.append((a << 32 | b, counts[at]))
+            self.loose.append((a << 32 | b, counts[at].astype(np.int64)))
         if self.loose:
             self.sort()
         codes, counts = self.loose[0] if self.loose else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.__init__()
+        self.clear()
         return codes >> 32, codes & 0xFFFFFFFF, counts
 
 
@@ -155,3 +167,81 @@ class Words:
         self.at, self.dictionary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
+def word_counts(texts: DataFrame, is_word: np.ndarray) -> DataFrame:
+    """lang, word, n; a row without a word has the number of all words of lang. texts: lang (no nulls), __text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[str, tuple[Lexicon, list[np.ndarray]]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, (lexicon, counts) in state.items():
+                n = np.zeros(len(lexicon), np.int64)
+                for c in counts:
+                    n[: len(c)] += c
+                names = pa.concat_arrays([pa.array([None], pa.string()), pa.array(lexicon.words, pa.binary()).cast(pa.string())])
+                yield pa.record_batch([pa.array([lang] * len(names)), names, pa.array(np.append(n.sum(), n))], ["lang", "word", "n"])
+            state.clear()
+
+        for batch in slices(batches, "__text", SLICE):
+            for lang, rows in by_group(batch, 0):
+                lexicon, counts = state.setdefault(lang, (Lexicon(lang, []), []))
+                words = Words(rows.column(1), is_word)
+                counts.append(np.bincount(lexicon.of(words.dictionary), np.bincount(words.at, minlength=len(words.dictionary)), len(lexicon)).astype(np.int64))
+                if len(counts) > 16:
+                    total = np.zeros(len(lexicon), np.int64)
+                    for c in counts:
+                        total[: len(c)] += c
+                    counts[:] = [total]
+            if sum(len(x) for x, _ in state.values()) > MOST_WORDS:
+                yield from out()
+        yield from out()
+
+    found = small_batches(texts).mapInArrow(run, "lang string, word string, n long")
+    return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def ranked(counts: DataFrame, names: list[str], most: int) -> pa.Table:
+    """lang and names of the `most` most frequent rows of a table of counts, the most frequent first. At most `most` rows reach the driver."""
+    return counts.orderBy(F.desc("n"), "lang", *names).limit(most).select("lang", *names).toArrow().combine_chunks()
+
+
+def of_group(rank: pa.Table, group: str) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Of the ranked rows those of a group, in their order: their places in the table, and each further column."""
+    if not rank.num_rows:
+        return np.zeros(0, np.int64), [[] for _ in rank.column_names[1:]]
+    at = np.flatnonzero(pc.equal(rank.column(0), group).to_numpy(zero_copy_only=False))
+    own = rank.take(pa.array(at))
+    return at, [own.column(k).combine_chunks().cast(pa.binary()).to_pylist() for k in range(1, own.num_columns)]
+
+
+def pieces(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A record batch for each CHUNK rows."""
+    whole = pa.record_batch(columns, names)
+    for a in range(0, whole.num_rows, CHUNK):
+        yield whole.slice(a, CHUNK)
+
+
+def counted(ranks: list[np.ndarray], columns: list[np.ndarray], texts: Callable[[np.ndarray], list[pa.Array]], group: str, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows code, words, n of a tally's two columns: a pair of ranked numbers by the ranks of all groups, any other by its group and words."""
+    known = (columns[0] < len(ranks[0])) & (columns[1] < len(ranks[1]))
+    a, b = (r[c[known]] for r, c in zip(ranks, columns))
+    yield from pieces([pa.array(a << 32 | b), pa.nulls(len(a), pa.list_(pa.string())), pa.array(n[known])], ["code", "words", "n"])
+    rest = np.flatnonzero(~known)
+    for k in range(0, len(rest), CHUNK):
+        own = rest[k : k + CHUNK]
+        parts = [pa.array([group] * len(own), pa.string()), *texts(own)]
+        flat = pa.concat_arrays(parts).take(pa.array(np.arange(len(parts) * len(own)).reshape(len(parts), -1).T.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(own) + 1) * len(parts)).astype(np.int32)), flat)
+        yield pa.record_batch([pa.nulls(len(own), pa.int64()), lists, pa.array(n[own])], ["code", "words", "n"])
+
+
+def seeds(counts: DataFrame, names: list[str]) -> DataFrame:
+    """The hash of each word or pair, as the tasks that count know it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            own = [np.array([hash_of(x, w.encode()) for x, w in zip(langs, batch.column(k).to_pylist())], np.uint64) for k in range(1, len(names) + 1)]
+            yield pa.record_batch([pa.array((own[0] if len(own) == 1 else pair_hash(*own)).view(np.int64))], ["seed"])
+
+    return counts.select("lang", *names).mapInArrow(run, "seed long")
