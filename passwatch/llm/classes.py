@@ -61,7 +61,7 @@ def gains(matrix: np.ndarray, of_matrix: np.ndarray, before: np.ndarray, behind:
     diagonal = matrix[move, move]
     gain -= xlogx(diagonal + behind[:CLASSES]) + xlogx(diagonal + before[:CLASSES]) - 2 * of_matrix[move, move]
     gain += xlogx(diagonal + behind[:CLASSES] + before[:CLASSES] + own) - of_matrix[move, move]
-    for side, n in ((matrix.sum(axis=1), behind.sum() + own), (matrix.sum(axis=0), before.sum() + own)):
+    for side, n in ((matrix.sum(axis=1) + before, behind.sum() + own), (matrix.sum(axis=0) + behind, before.sum() + own)):
         gain -= xlogx(side[:CLASSES] + n) - xlogx(side[:CLASSES])
     return gain
 
@@ -308,7 +308,7 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: list[str] |
             which = pa.ListArray.from_arrays(pa.array(holes.astype(np.int32)), pa.array((back - begin[text_of[back]]).astype(np.int32)))
             body = row.tobytes()
             seq = pa.array([body[a:z] for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())
-            sums_of = [np.bincount(words.owner, x[words.at], n) for x in (own, base, ~hole)]
+            sums_of = [np.bincount(words.owner, x[words.at], n).astype(np.float64) for x in (own, base, ~hole)]  # of no words numpy counts in whole numbers
             yield pa.record_batch(
                 [*batch.columns[: len(names) + 1], seq, pa.array(sums_of[0]), pa.array(sums_of[1] + (np.log10(ends + 1.0) - below)), pa.array(sums_of[2].astype(np.int64) + (ends > 0)), spare, which],
                 [*names, "__learn", "__seq", "__own", "__base", "__known", "__spare", "__which"],
@@ -357,7 +357,7 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: list[str] |
             seqs = batch.column("__seq").to_pylist()
             size = np.array([len(x) for x in seqs], np.int64)
             row = np.frombuffer(bytes([END]) + b"".join(seqs), np.uint8).astype(np.int64)
-            way = np.bincount(np.repeat(np.arange(len(seqs)), size), step[row[:-1], row[1:]], len(seqs))
+            way = np.bincount(np.repeat(np.arange(len(seqs)), size), step[row[:-1], row[1:]], len(seqs)).astype(np.float64)
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(size), batch.column("__known"), pa.array(np.full(len(seqs), total)), batch.column("__base"), pa.array(way + batch.column("__own").to_numpy())], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return filled.mapInArrow(walk, f"{kept}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
