@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from passwatch.functions.geo import half_box, haversine_km
+from passwatch.functions.geo import DEGREE_KM, EARTH_KM, half_box, haversine_km
 
 CELL = 0.5
+CELL_OF_COUNTS = 0.125
 RADIUS_KM = 50.0
 LIMIT = 20
 
@@ -30,7 +31,7 @@ def region_join(queries: DataFrame, detections: DataFrame, radius_km: float = RA
     """
     y, x = half_box(F.col("q_lat"), radius_km)
     span = lambda at, half: F.sequence(F.floor((at - half) / cell).cast("int"), F.floor((at + half) / cell).cast("int"))
-    dealt = queries.withColumn("__y", y).withColumn("__x", x).withColumn("__cy", F.explode(span(F.col("q_lat"), F.col("__y")))).withColumn("__cx", F.explode(span(F.col("q_lon"), F.col("__x"))))
+    dealt = queries.withColumn("__y", y).withColumn("__x", x).withColumn("__cy", F.explode(span(F.col("q_lat"), F.col("__y")))).withColumn("__cx", F.explode(span(F.col("q_lon"), F.least(F.col("__x"), F.lit(360.0)))))  # near a pole the box is the globe
     placed = detections.withColumn("__cy", F.floor(F.col("lat") / cell).cast("int")).withColumn("__cx", F.floor(F.col("lon") / cell).cast("int"))
     keep: Column = F.col("lat").between(F.col("q_lat") - F.col("__y"), F.col("q_lat") + F.col("__y")) & F.col("lon").between(F.col("q_lon") - F.col("__x"), F.col("q_lon") + F.col("__x"))
     if exclude_self:
@@ -61,13 +62,77 @@ def overfetched(joined_box: DataFrame, limit: int = LIMIT, radius_km: float = RA
     return near.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit).withColumn("pass_number", F.col("__r") - 1).drop("__r")
 
 
-def history_count(detections: DataFrame, radius_km: float = RADIUS_KM, limit: int = LIMIT, as_of: bool = False) -> DataFrame:
-    """scene_id and its history: detections of other scenes near its first detection, at most `limit`.
+def in_cell(at: Column, cell: float) -> Column:
+    return F.floor(at / cell).cast("int")
+
+
+def wholly_near(qy: Column, qx: Column, cy: Column, cx: Column, cell: float, radius_km: float) -> Column:
+    """Whether every point of the grid cell (cy, cx) lies within the radius, and the box, of every point of the cell (qy, qx)."""
+    least_lat = lambda y: F.greatest(F.lit(0.0), y * cell, -(y + 1) * cell)  # noqa: E731  that nearest to the equator
+    high, wide = (F.abs(qy - cy) + 1) * cell, (F.abs(qx - cx) + 1) * cell
+    cos_q, cos_c = (F.cos(F.radians(least_lat(v))) for v in (qy, cy))
+    part = F.pow(F.sin(F.radians(high) / 2), 2) + cos_q * cos_c * F.pow(F.sin(F.radians(wide) / 2), 2)
+    farthest = F.asin(F.sqrt(F.least(part, F.lit(1.0)))) * (2 * EARTH_KM)
+    box_y, box_x = F.lit(radius_km / DEGREE_KM), F.lit(radius_km) / (cos_q * DEGREE_KM + 1e-9)
+    sure = 1 - 1e-9
+    return (farthest <= radius_km * sure) & (high <= box_y * sure) & (wide <= box_x * sure) & (wide <= 180)
+
+
+def cells_around(y: Column, x: Column, lat: Column, cell: float, radius_km: float) -> tuple[Column, Column]:
+    """Arrays of the rows and columns of cells that the box of a point in the cell (y, x), whose latitude is lat, can touch."""
+    half_y, half_x = half_box(lat, radius_km)
+    rows = F.ceil(half_y / cell)
+    cols = F.ceil(F.least(half_x, F.lit(360.0)) / cell)  # no wider than the globe
+    edge = lambda v: F.greatest(F.lit(int(-180 // cell) - 1), F.least(F.lit(int(180 // cell) + 1), v)).cast("int")
+    return F.sequence((y - rows).cast("int"), (y + rows).cast("int")), F.sequence(edge(x - cols), edge(x + cols))
+
+
+def thinned(rows: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """The earliest rows (scene_id, ts) of each place that a count up to `limit`, as of any time and without any one scene, can need.
+
+    Of a scene the `limit` earliest rows, and of these the 2 * limit earliest of the place: whoever counts a row that is left out has counted
+    `limit` earlier ones, at most `limit` of the rest being of the scene that isn't counted. Tasks keep as many before the shuffle.
+    """
+    first = lambda *keys: F.row_number().over(W.partitionBy(*by, *keys).orderBy("ts"))
+    some = rows.withColumn("__r", first("scene_id")).where(F.col("__r") <= limit)
+    return some.withColumn("__r", first()).where(F.col("__r") <= 2 * limit).drop("__r")
+
 
-    Counts are combined before their shuffle; no list of neighbours is kept.
+def capped_count(queries: DataFrame, detections: DataFrame, radius_km: float = RADIUS_KM, limit: int = LIMIT, as_of: bool = False, cell: float = CELL_OF_COUNTS) -> DataFrame:
+    """q_id and n: detections of other scenes around the query points (q_id, q_scene, q_lat, q_lon, q_ts), at most `limit`; none: no row.
+
+    as_of counts only detections from before the query. No row is made for a query and a detection where the count is sure without: each
+    cell keeps its earliest detections (thinned()), and all queries of a cell share those of the cells that lie wholly within the radius. A
+    query that these bring to the limit is done. The others, of which a cell has few since its own detections count for each other, test the
+    detections of the cells on the border. Rows thus grow with the detections and the cells that hold queries, not with the density's square.
     """
-    hits = region_join(first_points(detections), detections.select("scene_id", "lat", "lon", "ts"), radius_km, as_of=as_of)
-    return hits.groupBy(F.col("q_id").alias("scene_id")).agg(F.least(F.count("*"), F.lit(limit)).cast("int").alias("history_count"))
+    there = F.col("scene_id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    placed = detections.where(there & F.col("ts").isNotNull() if as_of else there).select("scene_id", "lat", "lon", "ts", in_cell(F.col("lat"), cell).alias("__cy"), in_cell(F.col("lon"), cell).alias("__cx"))
+    held = thinned(placed.select("__cy", "__cx", "scene_id", "ts"), ["__cy", "__cx"], limit).groupBy("__cy", "__cx").agg(F.collect_list(F.struct("ts", "scene_id")).alias("__held"))
+    asked = queries.where("q_lat is not null and q_lon is not null").withColumns({"__qy": in_cell(F.col("q_lat"), cell), "__qx": in_cell(F.col("q_lon"), cell)})
+    sure = wholly_near(F.col("__qy"), F.col("__qx"), F.col("__cy"), F.col("__cx"), cell, radius_km)
+
+    farthest = F.least(F.lit(90.0), F.greatest(F.abs(F.col("__qy") * cell), F.abs((F.col("__qy") + 1) * cell)))
+    rows, cols = cells_around(F.col("__qy"), F.col("__qx"), farthest, cell, radius_km)
+    within = asked.select("__qy", "__qx").distinct().withColumn("__cy", F.explode(rows)).withColumn("__cx", F.explode(cols)).where(sure)
+    shared = within.join(held, ["__cy", "__cx"]).select("__qy", "__qx", F.explode("__held").alias("h")).select("__qy", "__qx", "h.ts", "h.scene_id")
+    shared = thinned(shared, ["__qy", "__qx"], limit).groupBy("__qy", "__qx").agg(F.collect_list(F.struct("ts", "scene_id")).alias("__held"))
+    counts = lambda h: (h["scene_id"] != F.col("q_scene")) & (h["ts"] < F.col("q_ts") if as_of else F.lit(True))
+    met = asked.join(shared, ["__qy", "__qx"], "left").withColumn("__known", F.coalesce(F.size(F.filter("__held", counts)), F.lit(0))).drop("__held")
+
+    y, x = half_box(F.col("q_lat"), radius_km)
+    rows, cols = cells_around(F.col("__qy"), F.col("__qx"), F.col("q_lat"), cell, radius_km)
+    border = met.where(F.col("__known") < limit).withColumn("__cy", F.explode(rows)).withColumn("__cx", F.explode(cols)).where(~sure)
+    near = F.col("lat").between(F.col("q_lat") - y, F.col("q_lat") + y) & F.col("lon").between(F.col("q_lon") - x, F.col("q_lon") + x) & (F.col("scene_id") != F.col("q_scene"))
+    near &= haversine_km(F.col("q_lat"), F.col("q_lon"), F.col("lat"), F.col("lon")) <= radius_km
+    tested = border.join(placed, ["__cy", "__cx"]).where(near & (F.col("ts") < F.col("q_ts")) if as_of else near).groupBy("q_id").agg(F.count("*").alias("__more"))
+    total = met.groupBy("q_id").agg(F.sum("__known").alias("__known")).join(tested, "q_id", "left")
+    return total.select("q_id", F.least(F.col("__known") + F.coalesce("__more", F.lit(0)), F.lit(limit)).cast("int").alias("n")).where("n > 0")
+
+
+def history_count(detections: DataFrame, radius_km: float = RADIUS_KM, limit: int = LIMIT, as_of: bool = False) -> DataFrame:
+    """scene_id and its history: detections of other scenes near its first detection, at most `limit`. A scene without any has no row."""
+    return capped_count(first_points(detections), detections, radius_km, limit, as_of).select(F.col("q_id").alias("scene_id"), F.col("n").alias("history_count"))
 
 
 def region_summary(hits: DataFrame) -> DataFrame:
