@@ -28,8 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passwatch.llm.common import SPACE, discard, slices, small_batches, written
-from passwatch.llm.decontaminate import filter_of
-from passwatch.llm.tally import MOST_WORDS, SLICE, Lexicon, Tally, Words, of_group, passes, ranked, seeds, word_counts
+from passwatch.llm.tally import MOST_WORDS, SLICE, Lexicon, Tally, Words, filter_of, of_group, passes, ranked, seeds, word_counts
 
 CLASSES = 128  # besides the end and the few
 END = CLASSES

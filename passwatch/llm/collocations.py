@@ -24,14 +24,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from passwatch.llm.common import slices, small_batches, written
-from passwatch.llm.decontaminate import filter_of
-from passwatch.llm.tally import MOST_WORDS, SLICE, Lexicon, Tally, Words, by_group, counted, of_group, pair_hash, passes, ranked, seeds, word_counts
+from passwatch.llm.tally import MOST_WORDS, SLICE, Lexicon, Tally, Words, by_group, counted, filter_of, of_group, pair_hash, passes, ranked, seeds, word_counts
 
 LEAST = 10
 TOP = 2000
 COVER = 50  # a longer candidate with this share (in percent) of a phrase's occurrences covers it
 SCALE = 1_000_000
-HEAD = 1 << 18  # ranked words, and ranked pairs, of all languages together
+HEAD = 1 << 17  # ranked words, and ranked pairs, of all languages together
 
 #: What ends a piece, and what parts words.
 BREAK = np.zeros(256, bool)
@@ -88,7 +87,9 @@ def pair_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
             yield listed(batch, 3)
 
     found = small_batches(texts).mapInArrow(run, "code long, words array<string>, n long")
-    return found.groupBy("code", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least).mapInArrow(name, "lang string, w1 string, w2 string, n long")
+    out = written(found.groupBy("code", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least).mapInArrow(name, "lang string, w1 string, w2 string, n long"), "pairs")
+    shared.destroy()
+    return out
 
 
 def listed(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
@@ -174,7 +175,9 @@ def triple_counts(texts: DataFrame, words: DataFrame, pairs: DataFrame, least: i
             yield listed(batch, 4)
 
     found = small_batches(texts).mapInArrow(run, "code long, words array<string>, n long")
-    return found.groupBy("code", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least).mapInArrow(name, "lang string, w1 string, w2 string, w3 string, n long")
+    out = written(found.groupBy("code", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least).mapInArrow(name, "lang string, w1 string, w2 string, w3 string, n long"), "triples")
+    shared.destroy()
+    return out
 
 
 def one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -195,8 +198,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     known = written(word_counts(texts, WORD).where(F.col("word").isNull() | (F.col("n") >= least)), "words")
     total = known.where("word is null").select("lang", F.col("n").alias("n"))
     words = known.where("word is not null")
-    pairs = written(pair_counts(texts, words, least), "pairs")
-    triples = written(triple_counts(texts, words, pairs, least), "triples")
+    pairs = pair_counts(texts, words, least)
+    triples = triple_counts(texts, words, pairs, least)
 
     f = lambda out, *on: (words if len(on) == 1 else pairs).select("lang", *(F.col(c).alias(x) for c, x in zip(["word"] if len(on) == 1 else ["w1", "w2"], on)), F.col("n").alias(out))
     covered = triples.select("lang", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"), "n")

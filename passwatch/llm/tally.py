@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passwatch.llm.common import LOWER, joined_bytes, mix, slices, small_batches, words_of
-from passwatch.llm.decontaminate import SHIFTS, slots
 
 BITS = 9
 SIDE = 1 << BITS
@@ -29,6 +28,7 @@ MOST_WORDS = 1 << 19
 MOST_SEEN = 1 << 30
 SLICE = 1 << 21
 CHUNK = 1 << 17
+FILTER_BITS = 1 << 25
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,11 +105,26 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _FACTOR + mix(b))
 
 
+#: The bits of a hash that its two slots in a filter begin at.
+SHIFTS = (0, 32)
+
+
+def filter_of(seed: DataFrame) -> np.ndarray:
+    """A Bloom filter (64-bit words) of the column `seed`: 64 bits a seed, FILTER_BITS in all at most (4 MB). Its words are combined in Spark."""
+    size = min(max(1 << 12, 1 << (64 * seed.count()).bit_length()), FILTER_BITS)
+    slot = [F.shiftrightunsigned("seed", k).bitwiseAND(F.lit(size - 1)) for k in SHIFTS]
+    words = seed.select(F.explode(F.array(*slot)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    found = words.agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    out = np.zeros(size // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes a filter of decontaminate.filter_of() may hold."""
+    """Which hashes a filter may hold: all that it was made of, and few others while it is not full."""
     out = np.ones(len(hashes), bool)
     for shift in SHIFTS:
-        slot = slots(hashes, shift, len(bits))
+        slot = ((hashes >> np.uint64(shift)) & np.uint64(len(bits) * 64 - 1)).astype(np.int64)
         out &= ((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
     return out
 
