@@ -28,34 +28,6 @@ def save(df: DataFrame, path: str, partition: str = "date") -> None:
     ordered.write.option("partitionOverwriteMode", "dynamic").partitionBy(partition).mode("overwrite").parquet(path)
 
 
-def upsert(incoming: DataFrame, path: str, batch: str, key: str = "scene_id", partition: str = "date") -> None:
-    """Bring the rows of incoming into the stored table: its keys' old rows go, on whatever date they were, and all other rows stay.
-
-    Only dates that lose or gain rows are read and written. They are staged first, under the name `batch`: a batch that is run again after a
-    failure finds its staged rows and only repeats the swap. A table that doesn't exist yet is made.
-    """
-    spark = incoming.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    staged, gone = f"{path}-staged/{batch}/rows", f"{path}-staged/{batch}/dates"
-    if not files.exists(at(f"{gone}/_SUCCESS")):
-        keys, kept = incoming.select(key).distinct(), incoming.limit(0)
-        dates = incoming.select(F.col(partition).cast("string").alias(partition)).distinct()
-        if files.exists(at(path)):
-            stored = spark.read.schema(incoming.schema).parquet(path)
-            dates = dates.union(stored.join(keys, key, "left_semi").select(F.col(partition).cast("string"))).distinct()
-            touched = stored.withColumn("__date", F.col(partition).cast("string")).join(dates.withColumnRenamed(partition, "__date"), "__date", "left_semi")
-            kept = touched.drop("__date").select(*incoming.columns).join(keys, key, "left_anti").select(*incoming.columns)
-        kept.unionByName(incoming).write.mode("overwrite").parquet(staged)
-        dates.write.mode("overwrite").parquet(gone)
-    rows = spark.read.schema(incoming.schema).parquet(staged)
-    empty = spark.read.parquet(gone).join(rows.select(F.col(partition).cast("string").alias(partition)).distinct(), partition, "left_anti")
-    for (date,) in empty.collect():  # one row for each date that a batch empties
-        files.delete(at(f"{path}/{partition}={date}"), True)
-    save(rows, path, partition)
-    files.delete(at(f"{path}-staged/{batch}"), True)
-
-
 def newest(rows: DataFrame, key: str = "scene_id", ts: str = "ts") -> DataFrame:
     """The row of each key with the largest ts."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), ts).alias("__row")).select("__row.*")

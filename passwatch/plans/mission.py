@@ -11,13 +11,13 @@ from passwatch.functions.rules import reconcile_alert, risk_tier
 from passwatch.operators import brief, memory, policy, reports, retrieve, spatial
 
 
-def mission_cycle(scenes: DataFrame, detections: DataFrame, zones: DataFrame, advisories: DataFrame, as_of: bool = False) -> tuple[DataFrame, DataFrame]:
+def mission_cycle(scenes: DataFrame, detections: DataFrame, zones: DataFrame, advisories: DataFrame, as_of: bool = False, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(decisions, requests). A decision is one row a scene: history_count, policy_alert, final_alert, basis, n_requests, first_priority, actions.
 
-    as_of counts only detections from before the scene; otherwise all that are stored. A scene without an advisory is decided by policy alone.
+    as_of counts only detections from before the scene; otherwise all that are stored; history (scene_id, history_count) gives the counts. A scene without an advisory is decided by policy alone.
     """
     zoned = policy.zoned_detections(detections, zones)
-    history = spatial.history_count(detections, as_of=as_of)
+    history = spatial.history_count(detections, as_of=as_of) if history is None else history
     alerts = policy.alert_level(scenes, policy.alert_features(zoned), history)
     joined = alerts.join(advisories.select("scene_id", F.col("alert_level").alias("advisory_alert"), F.col("summary").alias("advisory_summary")), "scene_id", "left")
     final = F.when(F.col("advisory_alert").isNull(), F.col("policy_alert")).otherwise(reconcile_alert(F.col("policy_alert"), F.col("advisory_alert")))

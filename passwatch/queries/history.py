@@ -7,6 +7,9 @@ from passwatch.adapters import rounded
 from passwatch.functions import geo
 from passwatch.operators import memory, spatial
 from passwatch.queries import query
+from passwatch.queries.sources import place
+from passwatch.sources import versioned
+from passwatch.sources.versioned import Change
 
 KM = "6371.0E0 * 2 * asin(sqrt(pow(sin(radians({b}.lat - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {o}) / 2), 2)))"
 BOX = "d.lat BETWEEN {a} - 50.0E0 / 111.0E0 AND {a} + 50.0E0 / 111.0E0 AND d.lon BETWEEN {o} - 50.0E0 / (111.0E0 * cos(radians({a})) + 1e-9) AND {o} + 50.0E0 / (111.0E0 * cos(radians({a})) + 1e-9)"
@@ -150,7 +153,23 @@ def scene_replace(m):
 @query("""WITH learned AS (SELECT scene_id FROM scenes WHERE compression_ratio % 3 = 0)
 SELECT d.det_id, CASE WHEN l.scene_id IS NULL THEN d.conf ELSE round(d.conf / 2, 4) END AS conf FROM detections d LEFT JOIN learned l ON l.scene_id = d.scene_id WHERE l.scene_id IS NULL OR d.det_idx = 0""")
 def remember(m):
-    """Scenes whose ratio divides by three come again, with their first detection only and half its confidence."""
+    """Scenes whose ratio divides by three come again, with their first detection only and half its confidence; both tables are stored as versions."""
+    s = m.scenes.select("scene_id", "compression_ratio")
+    again = s.where("compression_ratio % 3 = 0")
+    d = m.detections.select("scene_id", "det_id", "det_idx", "conf")
+    new = d.join(again, "scene_id", "left_semi").where("det_idx = 0").withColumn("conf", F.round(F.col("conf") / 2, 4))
+    store, spark = place(m.spark), m.spark
+    tables = lambda scenes, found: {"scenes": Change(scenes.withColumn("date", F.substring("scene_id", -10, 10))), "detections": Change(found.withColumn("date", F.substring("scene_id", -10, 10)), keys=scenes)}
+    versioned.apply(spark, store, tables(s, d), "first", 0)
+    for _ in range(2):  # a batch that is run again changes nothing
+        versioned.apply(spark, store, tables(again, new), "again", 0)
+    return versioned.read(spark, store, "detections").select("det_id", "conf")
+
+
+@query("""WITH learned AS (SELECT scene_id FROM scenes WHERE compression_ratio % 3 = 0)
+SELECT d.det_id, CASE WHEN l.scene_id IS NULL THEN d.conf ELSE round(d.conf / 2, 4) END AS conf FROM detections d LEFT JOIN learned l ON l.scene_id = d.scene_id WHERE l.scene_id IS NULL OR d.det_idx = 0""")
+def remember_tables(m):
+    """The same between tables that are not stored."""
     s = m.scenes.select("scene_id", "compression_ratio")
     again = s.where("compression_ratio % 3 = 0")
     d = m.detections.select("scene_id", "det_id", "det_idx", "conf")

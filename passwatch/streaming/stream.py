@@ -1,19 +1,28 @@
-"""Streams of briefs: reading, de-duplication, windows, recurrence and alerts."""
+"""Streams of briefs: reading, de-duplication, windows, recurrence and alerts.
+
+State that outlives a batch is bounded by event time: timers close what the watermark has passed. The stateful processors need the RocksDB
+state store.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from passwatch.operators import memory
+from passwatch.operators import memory, spatial
+from passwatch.plans import mission
+from passwatch.sources import versioned
 from passwatch.sources.briefs import SCHEMA
 
 WATERMARK = "6 hours"
 PASS = "92 minutes"
+EXPIRES = 30 * 24 * 3600  # seconds after which a quiet cell starts anew
+BLOCK = 4.0  # degrees of the stored history's partitions
 
 
 def stream_briefs(spark: SparkSession, folder: str, files_per_trigger: int = 100, multi_line: bool = False) -> DataFrame:
@@ -23,7 +32,7 @@ def stream_briefs(spark: SparkSession, folder: str, files_per_trigger: int = 100
 
 
 def stream_dedupe(briefs: DataFrame, delay: str = WATERMARK) -> DataFrame:
-    """The first brief of each scene within the watermark; foreachBatch(remember) gives the last instead."""
+    """The first brief of each scene within the watermark; stream_latest() gives the last instead."""
     return briefs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["scene_id"])
 
 
@@ -40,60 +49,192 @@ def pass_windows(detections: DataFrame, width: str = PASS, key: str = "zone") ->
     return by.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n", "max_conf")
 
 
+def late_rows(arrived: DataFrame, windows: DataFrame) -> DataFrame:
+    """A row '(late)' with the number of rows that arrived and are in no window: they came behind the watermark. windows: all that were closed."""
+    both = arrived.agg(F.count("*").alias("n")).unionByName(windows.agg((-F.coalesce(F.sum("n"), F.lit(0))).alias("n")))
+    return both.agg(F.sum("n").alias("n")).select(*[(F.lit("(late)") if c == "zone" else F.col("n") if c == "n" else F.lit(None).cast(t)).alias(c) for c, t in windows.dtypes])
+
+
 def sessions(detections: DataFrame, gap: str = "3 hours", key: str = "cell") -> DataFrame:
     """Runs of detections of each key without a gap; works on a batch and, with a watermark on ts, on a stream."""
     by = detections.groupBy(F.session_window("ts", gap).alias("w"), F.col(key)).agg(F.count("*").alias("n"))
     return by.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "n")
 
 
+class Latest(StatefulProcessor):
+    """Holds the time of the newest version of a key and gives out rows that are newer. The state goes when the watermark passes it."""
+
+    def __init__(self, keep_seconds: float) -> None:
+        self.keep_ms = int(keep_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(rows)
+        last = frame.sort_values(["ms", "value"]).iloc[-1]
+        before = self.newest.get()[0] if self.newest.exists() else None
+        if before is None or int(last.ms) >= before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.keep_ms)
+            self.newest.update((int(last.ms),))
+            self.handle.registerTimer(int(last.ms) + self.keep_ms)
+            yield pd.DataFrame({"value": [last.value]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_latest(briefs: DataFrame, delay: str = WATERMARK, keep_seconds: float = 6 * 3600) -> DataFrame:
+    """The newest brief of each scene, again each time that a newer one comes (update mode): the later brief wins, as when it is remembered.
+
+    Of equal times that with the larger JSON text wins within a batch, and the later batch wins between batches. A scene's state goes when the
+    watermark is keep_seconds past its newest brief. Briefs behind the watermark, and without a time, go.
+    """
+    packed = briefs.where("ts is not null").withWatermark("ts", delay).select("scene_id", "ts", F.unix_millis("ts").alias("ms"), F.to_json(F.struct(*briefs.columns)).alias("value"))
+    out = packed.groupBy("scene_id").transformWithStateInPandas(Latest(keep_seconds), "value string", "Update", "EventTime")
+    return out.select(F.from_json("value", briefs.schema).alias("b")).select("b.*")
+
+
 class Recurrence(StatefulProcessor):
-    """Counts the detections of a cell. The state is one number for each cell of the grid, so it is bounded by the area watched."""
+    """Counts the detections of a cell until none has come for some time; then the cell is closed and starts anew."""
+
+    def __init__(self, expires_seconds: float) -> None:
+        self.expires_ms = int(expires_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long")
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "n long, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        before = self.seen.get()[0] if self.seen.exists() else 0
-        new = sum(len(frame) for frame in rows)
-        self.seen.update((before + new,))
-        yield pd.DataFrame({"cell": [key[0]], "new": [new], "total": [before + new], "recurring": [before + new >= 2]})
+        times = sorted(int(ms) for frame in rows for ms in frame["ms"])
+        n, last = self.seen.get() if self.seen.exists() else (0, None)
+        if last is not None:
+            self.handle.deleteTimer(last + self.expires_ms)
+        new, out = 0, []
+        for ms in times:
+            if last is not None and ms > last + self.expires_ms:
+                out.append((new, n, True))  # its time has passed, though the watermark hasn't come so far
+                new = n = 0
+            new, n, last = new + 1, n + 1, ms if last is None else max(last, ms)
+        self.seen.update((n, last))
+        self.handle.registerTimer(last + self.expires_ms)
+        yield self.row(key, [*out, (new, n, False)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n = self.seen.get()[0]
+        self.seen.clear()
+        yield self.row(key, [(0, n, True)])
+
+    @staticmethod
+    def row(key, found: list[tuple[int, int, bool]]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], new, n, n >= 2, closed) for new, n, closed in found], columns=["cell", "new", "total", "recurring", "closed"])
 
     def close(self) -> None:
         pass
 
 
-def stream_recurrence(detections: DataFrame) -> DataFrame:
-    """For each trigger and cell: new detections, all so far, and whether the cell recurs. Needs the RocksDB state store."""
-    return detections.groupBy("cell").transformWithStateInPandas(Recurrence(), "cell string, new long, total long, recurring boolean", "Update", "None")
+def stream_recurrence(detections: DataFrame, delay: str = WATERMARK, expires_seconds: float = EXPIRES) -> DataFrame:
+    """For each trigger and cell: new detections, all since the cell was last closed, whether it recurs, and whether this row closes it.
+
+    A cell is closed once the watermark is expires_seconds past its last detection. Detections behind the watermark, and without a time, go.
+    """
+    rows = detections.where("ts is not null and cell is not null").withWatermark("ts", delay).select("cell", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("cell").transformWithStateInPandas(Recurrence(expires_seconds), "cell string, new long, total long, recurring boolean, closed boolean", "Update", "EventTime")
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream gave itself when its checkpoint began; another checkpoint is another stream, even with the same batch numbers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint, "metadata")
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()
+
+
+def block(lat, lon):
+    """The partition of the stored history that a place lies in."""
+    return F.concat_ws(":", F.floor(lat / BLOCK).cast("string"), F.floor(lon / BLOCK).cast("string"))
+
 
+def history_near(spark: SparkSession, store: str, version: int, queries: DataFrame) -> DataFrame | None:
+    """The stored detections of the blocks that circles around the query points can touch, as of a version; None while nothing is stored."""
+    entry = versioned.manifest(spark, store, version)["tables"].get("detections") if version else None
+    if entry is None:
+        return None
+    y, x = spatial.half_box(F.col("q_lat"), spatial.RADIUS_KM)
+    span = lambda at, half: F.explode(F.sequence(F.floor((at - half) / BLOCK), F.floor((at + half) / BLOCK)))
+    reach = queries.where("q_lat is not null and q_lon is not null").select(span(F.col("q_lat"), y).alias("y"), "q_lon", F.least(x, F.lit(360.0)).alias("x")).select("y", span(F.col("q_lon"), F.col("x")).alias("x"))
+    near = {r.b for r in reach.select(F.concat_ws(":", F.col("y").cast("string"), F.col("x").cast("string")).alias("b")).distinct().collect()}  # blocks of the globe
+    return versioned.read(spark, store, "detections", version, near)
 
-def stream_alerts(briefs: DataFrame, decide: Callable[[DataFrame], DataFrame], tables: str, checkpoint: str):
-    """Start a query that decides each micro-batch against the stored history and then stores it.
 
-    `decide` takes a batch of briefs and returns its decisions. A batch writes its decisions under its own id and replaces only the
-    scenes that it brings, so that a repeated batch changes nothing.
+def decide_batch(batch: DataFrame, batch_id: int, zones: DataFrame, store: str, writer: str, advisories: DataFrame | None = None) -> int:
+    """Decide the scenes of a batch by the rules against what the store held before, and bring decisions, requests and the batch itself into it.
+
+    All four tables change in one version, which also names the batch: a batch that is run again changes nothing, and after a crash nothing of
+    it is there. Of a scene that comes twice in a batch the newest brief counts; one that has come in an earlier batch is replaced in all tables.
     """
+    spark = batch.sparkSession
+    base = versioned.manifest(spark, store)
+    if base["batches"].get(writer, -1) >= batch_id:
+        return base["version"]
+    briefs = memory.newest(batch).persist()
+    try:
+        at = [F.lit(batch_id).cast("long").alias("batch"), F.lit(base["version"]).cast("long").alias("history_version")]
+        scenes = briefs.select("scene_id", "ts", "timestamp_utc", "cloud_cover", F.to_date("ts").alias("date"))
+        found = briefs.select("scene_id", "ts", "timestamp_utc", F.posexplode("anomalies").alias("det_idx", "a"))
+        a = lambda c: F.col(f"a.{c}").alias(c)
+        found = found.select("scene_id", "ts", "timestamp_utc", "det_idx", F.concat_ws("#", "scene_id", F.col("det_idx").cast("string")).alias("det_id"), a("type"), F.get("a.lat_lon", F.lit(0)).alias("lat"), F.get("a.lat_lon", F.lit(1)).alias("lon"), a("conf"))
+        points = spatial.first_points(found)
+        stored = history_near(spark, store, base["version"], points)
+        counts = spatial.capped_count(points, found.limit(0) if stored is None else stored).select(F.col("q_id").alias("scene_id"), F.col("n").alias("history_count"))
+        if advisories is None:
+            advisories = spark.createDataFrame([], "scene_id string, alert_level string, summary string, ovv_trigger boolean, ovv_lat double, ovv_lon double, ovv_priority int, ovv_reason string")
+        decisions, requests = mission.mission_cycle(scenes, found, zones, advisories, history=counts)
+        keys = briefs.select("scene_id")
+        dated = requests.join(scenes.select("scene_id", "date"), "scene_id")
+        return versioned.apply(
+            spark,
+            store,
+            {
+                "decisions": versioned.Change(decisions.select("*", *at), keys=keys),
+                "requests": versioned.Change(dated.select("*", *at), keys=keys),
+                "scenes": versioned.Change(scenes, keys=keys),
+                "detections": versioned.Change(found.withColumn("block", block(F.col("lat"), F.col("lon"))), partition="block", keys=keys),
+            },
+            writer,
+            batch_id,
+        )
+    finally:
+        briefs.unpersist()
+
+
+def stream_alerts(briefs: DataFrame, zones: DataFrame, store: str, checkpoint: str, advisories: DataFrame | None = None):
+    """Start a query that decides each micro-batch against the stored history and stores it (decide_batch); store: a folder of versions."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        decide(batch).write.mode("overwrite").parquet(f"{tables}/decisions/batch={batch_id}")
-        memory.newest(batch.withColumn("date", F.to_date("ts"))).write.mode("overwrite").parquet(f"{tables}/scenes/batch={batch_id}")
-        batch.unpersist()
+        decide_batch(batch, batch_id, zones, store, query_id(batch.sparkSession, checkpoint), advisories)
 
     return briefs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored_scenes(spark: SparkSession, tables: str) -> DataFrame:
-    """The history that stream_alerts() has stored: of a scene that came again, the rows of the last batch that brought it."""
-    rows = spark.read.parquet(f"{tables}/scenes")
-    last = rows.groupBy("scene_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["scene_id", "batch"]).drop("batch")
-
+def remembering(store: str, checkpoint: str | None = None, writer: str | None = None):
+    """A foreachBatch function that keeps the last brief of every scene, laid out by date, also of scenes that change their date.
 
-def remembering(scenes_path: str):
-    """A foreachBatch function that keeps the last brief of every scene in date partitions, also of scenes that change their date."""
+    The stream is known by its checkpoint, or by a name of its own.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        memory.upsert(memory.newest(batch.withColumn("date", F.to_date("ts"))), scenes_path, f"batch-{batch_id}")
+        name = query_id(batch.sparkSession, checkpoint) if writer is None else writer
+        rows = memory.newest(batch.withColumn("date", F.to_date("ts"))).persist()
+        versioned.apply(batch.sparkSession, store, {"scenes": versioned.Change(rows)}, name, batch_id)
+        rows.unpersist()
 
     return each

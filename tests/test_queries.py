@@ -5,8 +5,8 @@ import pytest
 from passwatch.queries import ORACLES, QUERIES
 from tests.oracle import SF, same
 
-#: These go through files and streams and have tests of their own, or are covered by the queries that they are made of.
-SLOW = {"stream_recurrence", "stream_alerts"}
+#: Covered by the queries that they are made of.
+SLOW: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES.keys() - SLOW))
