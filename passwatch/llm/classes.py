@@ -8,7 +8,8 @@ stands before the first word, too. All probabilities behind a class add up to on
 Clustering is the exchange algorithm, run by rounds. The CORE most frequent words begin in classes dealt by rank; a round moves every
 second one to the class in which the likelihood of the training texts' class pairs is largest, given all others, and the best round
 counts. The tasks that decide get each word's neighbours (of a table), and the matrix of class pairs; at most CORE classes and the
-matrix pass the driver. All other words with FEW occurrences or more then go by the same gain, once, where their neighbours are grouped.
+matrix pass the driver. All other words with FEW occurrences or more then go, once, where their neighbours are grouped, to the class with
+the largest gain, taken as linear since each has few occurrences against a class's.
 
 A word's count and class reach a text in two ways: the HEAD most frequent words travel to every task; the others are listed by text, joined
 with the table of words and brought together again by the row of the text, so that no vocabulary has to fit in memory and a frequent word is no
@@ -28,17 +29,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passwatch.llm.common import SPACE, discard, slices, small_batches, written
-from passwatch.llm.tally import MOST_WORDS, SLICE, Lexicon, Tally, Words, filter_of, of_group, passes, ranked, seeds, word_counts
+from passwatch.llm.tally import SLICE, Tally, Words, filter_of, of_group, passes, ranked, word_counts, word_hashes
 
 CLASSES = 128  # besides the end and the few
 END = CLASSES
 RARE = CLASSES + 1
 SIZE = CLASSES + 2
 HOLE = 255
-CORE = 1 << 15
+CORE = 1 << 14
 HEAD = 1 << 18
-FEW = 3
-ROUNDS = 12
+FEW = 10
+ROUNDS = 8
 WORD = ~SPACE
 
 
@@ -77,13 +78,12 @@ def tokens(words: Words, ids: np.ndarray, end: int, n: int) -> np.ndarray:
     return out
 
 
-def core_pairs(texts: DataFrame, core: list[bytes]) -> DataFrame:
+def core_pairs(texts: DataFrame, core: pa.Array) -> DataFrame:
     """a, b, n of all neighbouring tokens: places in the core, len(core) for any other word and len(core) + 1 for the end."""
     shared = texts.sparkSession.sparkContext.broadcast(core)
     rare, end = len(core), len(core) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w: i for i, w in enumerate(shared.value)}
         tally = Tally()
 
         def out() -> pa.RecordBatch:
@@ -92,8 +92,7 @@ def core_pairs(texts: DataFrame, core: list[bytes]) -> DataFrame:
 
         for batch in slices(batches, "__text", SLICE):
             words = Words(batch.column(0), WORD)
-            known = np.fromiter((ids.get(w, rare) for w in words.dictionary), np.int64, len(words.dictionary))
-            row = tokens(words, known[words.at], end, batch.num_rows)
+            row = tokens(words, words.places(shared.value, rare)[words.at], end, batch.num_rows)
             tally.add(row[:-1], row[1:])
             if tally.full:
                 yield out()
@@ -187,60 +186,53 @@ def exchange(pairs: DataFrame, n_core: int, rounds: int = ROUNDS) -> tuple[np.nd
     return best[1], best[2]
 
 
-def class_of_others(texts: DataFrame, core: list[bytes], classes: np.ndarray, matrix: np.ndarray, others: DataFrame) -> DataFrame:
-    """lang, word, n, class of the words `others` (lang, word, n), which aren't in the core: the class with the largest gain, by their neighbours."""
-    shared = texts.sparkSession.sparkContext.broadcast((core, classes, filter_of(seeds(others, ["word"]))))
+def hashed(words: DataFrame) -> DataFrame:
+    """words (word, n) with hash, the hash that the tasks know a word by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of, bits = shared.value
-        ids = {w: int(of[i]) for i, w in enumerate(known)}
-        lexicon, tally = Lexicon("", [], lambda h: passes(bits, h)), Tally()
+        for batch in batches:
+            yield pa.record_batch([*batch.columns, pa.array(word_hashes(batch.column(0)).view(np.int64))], ["word", "n", "hash"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n long, hash long")
 
-        def out() -> pa.RecordBatch:
-            a, b, n = tally.take()
-            return pa.record_batch([lexicon.texts(a), pa.array(b.astype(np.int32)), pa.array(n)], ["word", "code", "m"])
 
+def class_of_others(texts: DataFrame, core: pa.Array, classes: np.ndarray, matrix: np.ndarray, others: DataFrame) -> DataFrame:
+    """word, n, class of the words `others` (word, n), which aren't in the core.
+
+    Neighbours are grouped by the words' hashes; should two hashes agree, both words get the class of their neighbours together.
+    """
+    named = written(hashed(others), "others")
+    shared = texts.sparkSession.sparkContext.broadcast((core, classes, filter_of(named.select(F.col("hash").alias("seed")))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of, bits = shared.value
         for batch in slices(batches, "__text", SLICE):
             words = Words(batch.column(0), WORD)
-            kind = np.fromiter((ids.get(w, RARE) for w in words.dictionary), np.int64, len(words.dictionary))
-            foreign = np.flatnonzero(kind == RARE)
-            number = np.full(len(kind), -1, np.int64)
-            number[foreign] = lexicon.of([words.dictionary[k] for k in foreign.tolist()])
-            row, named = (tokens(words, x[words.at], e, batch.num_rows) for x, e in ((kind, END), (number, -1)))
-            at = np.flatnonzero(named >= 0)
-            tally.add(np.concatenate([named[at], named[at]]), np.concatenate([row[at - 1], SIZE + row[at + 1]]))
-            if tally.full or len(lexicon) > MOST_WORDS:
-                yield out()
-                lexicon = Lexicon("", [], lexicon.alive)
-        yield out()
+            kind = of[words.places(known, len(known))]
+            hashes = word_hashes(words.dictionary)
+            number = np.where((kind == RARE) & passes(bits, hashes), np.arange(len(kind)), -1)
+            row, own = (tokens(words, x[words.at], e, batch.num_rows) for x, e in ((kind, END), (number, -1)))
+            at = np.flatnonzero(own >= 0)
+            code, n = np.unique(np.concatenate([own[at] * (2 * SIZE) + row[at - 1], own[at] * (2 * SIZE) + SIZE + row[at + 1]]), return_counts=True)
+            yield pa.record_batch([pa.array(hashes[code // (2 * SIZE)].view(np.int64)), pa.array((code % (2 * SIZE)).astype(np.int32)), pa.array(n)], ["hash", "code", "m"])
+
+    logs = np.log(matrix + 0.5)
+    left, right = np.log(matrix.sum(axis=1) + 0.5)[:CLASSES], np.log(matrix.sum(axis=0) + 0.5)[:CLASSES]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = xlogx(matrix)
         for batch in batches:
             edge = batch.column(1).offsets.to_numpy()
-            code, m = batch.column(1).values.to_numpy(), batch.column(2).values.to_numpy()
-            to = []
-            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                both = np.bincount(code[a:z], m[a:z], 2 * SIZE)
-                to.append(int(gains(matrix, logs, both[:SIZE], both[SIZE:]).argmax()))
-            yield pa.record_batch([batch.column(0), pa.array(to, pa.int64())], ["word", "class"])
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(edge))
+            code, m = (batch.column(k).values.to_numpy()[edge[0] : edge[-1]] for k in (1, 2))
+            both = np.bincount(owner * (2 * SIZE) + code, m, batch.num_rows * 2 * SIZE).reshape(-1, 2 * SIZE)
+            before, behind = both[:, :SIZE], both[:, SIZE:]
+            gain = before @ logs[:, :CLASSES] + behind @ logs[:CLASSES].T - before.sum(axis=1, keepdims=True) * right - behind.sum(axis=1, keepdims=True) * left
+            yield pa.record_batch([batch.column(0), pa.array(gain.argmax(axis=1))], ["hash", "class"])
 
     # dealt by the word once: both groupings stay where the rows are; a word has at most 2 * SIZE codes
-    near = small_batches(texts).mapInArrow(run, "word string, code int, m long").repartition("word").groupBy("word", "code").agg(F.sum("m").alias("m"))
-    near = near.groupBy("word").agg(F.collect_list(F.struct("code", "m")).alias("o")).select("word", "o.code", "o.m")
-    return others.join(near, "word").mapInArrow(paired(choose), "lang string, word string, n long, class long")
-
-
-def paired(choose):
-    """choose() over (word, code, m) of rows (word, lang, n, code, m), with lang and n put back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = {c: batch.column(c) for c in batch.schema.names}
-            (found,) = choose(iter([pa.record_batch([col["word"], col["code"], col["m"]], ["word", "code", "m"])]))
-            yield pa.record_batch([col["lang"], col["word"], col["n"], found.column(1)], ["lang", "word", "n", "class"])
-
-    return run
+    near = small_batches(texts).mapInArrow(run, "hash long, code int, m long").repartition("hash").groupBy("hash", "code").agg(F.sum("m").alias("m"))
+    near = near.groupBy("hash").agg(F.collect_list(F.struct("code", "m")).alias("o")).select("hash", "o.code", "o.m").mapInArrow(choose, "hash long, class long")
+    return named.join(near, "hash").select("word", "n", "class")
 
 
 def word_classes(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -249,12 +241,12 @@ def word_classes(texts: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> D
     pairs = written(core_pairs(texts, core), "pairs")
     classes, matrix = exchange(pairs, len(core), rounds)
     spark = texts.sparkSession
-    settled = spark.createDataFrame([(w.decode(), int(c)) for w, c in zip(core, classes)], "word string, class long")
+    settled = spark.createDataFrame(pa.table({"word": core.cast(pa.large_string()).cast(pa.string()), "class": classes[: len(core)]}))
     others = counts.where(F.col("n") >= FEW).join(settled, "word", "left_anti")
     return (
         counts.join(settled, "word")
         .select("word", "n", "class")
-        .unionByName(class_of_others(texts, core, classes, matrix, others.select("lang", "word", "n")).select("word", "n", "class"))
+        .unionByName(class_of_others(texts, core, classes, matrix, others))
         .unionByName(counts.where(F.col("n") < FEW).select("word", "n", F.lit(RARE).cast("long").alias("class")))
     )
 
@@ -286,11 +278,12 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: list[str] |
         return np.log10(np.where(rare, n + 1, n) / np.where(rare, sums[0, RARE] + sums[1, RARE] + 1, np.maximum(sums[0], 1)[of]))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(zip(head.value[0].cast(pa.binary()).to_pylist(), zip(head.value[1].to_pylist(), head.value[2].to_pylist())))
+        known = head.value[0].cast(pa.large_string()).cast(pa.large_binary())
+        n_of, class_of = (np.append(head.value[k].to_numpy(), x) for k, x in ((1, 0), (2, HOLE)))
         for batch in slices(batches, "__text", SLICE):
             words, n = Words(batch.column(len(names) + 1), WORD), batch.num_rows
-            pair = [known.get(w, (0, HOLE)) for w in words.dictionary]
-            count, of = (np.array([p[k] for p in pair], np.int64) for k in (0, 1))
+            place = words.places(known, len(known))
+            count, of = n_of[place], class_of[place]
             hole = of == HOLE
             own = np.where(hole, 0.0, emission(count, np.where(hole, RARE, of)))
             base = np.where(hole, 0.0, np.log10(count + 1.0) - below)
@@ -299,12 +292,12 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: list[str] |
             row[np.arange(len(words.at)) + words.owner] = of[words.at]
             edge = np.append(0, np.cumsum(size + 1))
             # the words that only the table of words knows: each once a text, and which of them stands in each hole
-            at = np.flatnonzero(hole[words.at])
-            pairs, back = np.unique(words.owner[at] * len(pair) + words.at[at], return_inverse=True)
-            text_of, begin = pairs // max(len(pair), 1), np.searchsorted(pairs // max(len(pair), 1), np.arange(n + 1))
-            spare = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array([words.dictionary[k] for k in (pairs % max(len(pair), 1)).tolist()], pa.binary()).cast(pa.string()))
+            at, kinds_of = np.flatnonzero(hole[words.at]), max(len(place), 1)
+            pairs, back = np.unique(words.owner[at] * kinds_of + words.at[at], return_inverse=True)
+            begin = np.searchsorted(pairs // kinds_of, np.arange(n + 1))
+            spare = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), words.dictionary.take(pa.array(pairs % kinds_of)).cast(pa.large_string()).cast(pa.string()))
             holes = np.searchsorted(words.owner[at], np.arange(n + 1))
-            which = pa.ListArray.from_arrays(pa.array(holes.astype(np.int32)), pa.array((back - begin[text_of[back]]).astype(np.int32)))
+            which = pa.ListArray.from_arrays(pa.array(holes.astype(np.int32)), pa.array((back - begin[pairs[back] // kinds_of]).astype(np.int32)))
             body = row.tobytes()
             seq = pa.array([body[a:z] for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())
             sums_of = [np.bincount(words.owner, x[words.at], n).astype(np.float64) for x in (own, base, ~hole)]  # of no words numpy counts in whole numbers

@@ -103,7 +103,7 @@ def listed(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
 class Units:
     """Numbers of pairs of a lexicon's words: the ranked ones in their order, then others as they come."""
 
-    def __init__(self, lexicon: Lexicon, first: list[bytes], second: list[bytes]) -> None:
+    def __init__(self, lexicon: Lexicon, first: pa.Array, second: pa.Array) -> None:
         self.codes = (lexicon.of(first) << 32 | lexicon.of(second)).tolist()
         self.ids = {c: i for i, c in enumerate(self.codes)}
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passwatch.llm.common import LOWER, joined_bytes, mix, slices, small_batches, words_of
+from passwatch.llm.common import LOWER, joined_bytes, mix, prefix_hash, range_hash, slices, small_batches, words_of
 
 BITS = 9
 SIDE = 1 << BITS
@@ -26,7 +26,7 @@ DENSE = 4096
 MOST_CODES = 1 << 20
 MOST_WORDS = 1 << 19
 MOST_SEEN = 1 << 30
-SLICE = 1 << 21
+SLICE = 1 << 22
 CHUNK = 1 << 17
 FILTER_BITS = 1 << 25
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -132,28 +132,30 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 class Lexicon:
     """Numbers of the words of a group: first the given ones in their order, then others as they come; -1 for words that `alive` refuses."""
 
-    def __init__(self, group: str, head: list[bytes], alive: Callable[[np.ndarray], np.ndarray] | None = None) -> None:
-        self.group, self.alive = group, alive
-        self.ids = {w: i for i, w in enumerate(head)}
-        self.words = list(head)
-        self.hashes = [hash_of(group, w) for w in head]
+    def __init__(self, group: str, head: pa.Array, alive: Callable[[np.ndarray], np.ndarray]) -> None:
+        self.group, self.alive, self.head = group, alive, head
+        self.ids: dict[bytes, int] = {}
+        self.words = bytes_of(head)
+        self.hashes = [hash_of(group, w) for w in self.words]
 
     def __len__(self) -> int:
-        return len(self.ids)
+        return len(self.words) + len(self.ids)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        ids = self.ids
-        if new := [w for w in words if w not in ids]:
+    def of(self, words: pa.Array) -> np.ndarray:
+        out = pc.fill_null(pc.index_in(words, value_set=self.head), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        rest, ids = np.flatnonzero(out < 0), self.ids
+        names = bytes_of(words.take(pa.array(rest)))
+        if new := [w for w in names if w not in ids]:
             hashes = [hash_of(self.group, w) for w in new]
-            good = self.alive(np.array(hashes, np.uint64)).tolist() if self.alive else [True] * len(new)
-            for w, h, keep in zip(new, hashes, good):
+            for w, h, keep in zip(new, hashes, self.alive(np.array(hashes, np.uint64)).tolist()):
                 if keep:
                     ids[w] = len(self.words)
                     self.words.append(w)
                     self.hashes.append(h)
                 else:
                     ids[w] = -1
-        return np.fromiter((ids[w] for w in words), np.int64, len(words))
+        out[rest] = np.fromiter((ids[w] for w in names), np.int64, len(names))
+        return out
 
     def texts(self, at: np.ndarray) -> pa.Array:
         used, back = np.unique(at, return_inverse=True)
@@ -168,6 +170,19 @@ def by_group(batch: pa.RecordBatch, column: int) -> Iterator[tuple[str, pa.Recor
         yield group, batch if len(coded.dictionary) == 1 else batch.take(pa.array(np.flatnonzero(at == k)))
 
 
+def bytes_of(words: pa.Array) -> list[bytes]:
+    """The values of a large binary array without nulls."""
+    edge = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    body = words.buffers()[2].to_pybytes() if len(words) else b""
+    return [body[a:z] for a, z in zip(edge, edge[1:])]
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each value of a binary array without nulls."""
+    data, edge = joined_bytes(words)
+    return range_hash(prefix_hash(data), edge[:-1], edge[1:])
+
+
 class Words:
     """The lower-cased words of an Arrow column: number in `dictionary`, owner (row), start and end in `data`."""
 
@@ -179,36 +194,44 @@ class Words:
         np.cumsum(self.end - self.start, out=edge[1:])
         body = np.ascontiguousarray(self.data[is_word[self.data]])
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(edge), pa.py_buffer(body)]).dictionary_encode()
-        self.at, self.dictionary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self.at, self.dictionary = coded.indices.to_numpy(), coded.dictionary
+
+    def places(self, known: pa.Array, default: int) -> np.ndarray:
+        """The place in `known` (large binary) of each word of the dictionary."""
+        return pc.fill_null(pc.index_in(self.dictionary, value_set=known), default).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def word_counts(texts: DataFrame, is_word: np.ndarray) -> DataFrame:
     """lang, word, n; a row without a word has the number of all words of lang. texts: lang (no nulls), __text."""
 
+    def merged(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        coded = pa.concat_arrays([words for words, _ in parts]).dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), np.concatenate([c for _, c in parts]), len(coded.dictionary))
+        return coded.dictionary, n.astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[str, tuple[Lexicon, list[np.ndarray]]] = {}
+        state: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, (lexicon, counts) in state.items():
-                n = np.zeros(len(lexicon), np.int64)
-                for c in counts:
-                    n[: len(c)] += c
-                names = pa.concat_arrays([pa.array([None], pa.string()), pa.array(lexicon.words, pa.binary()).cast(pa.string())])
-                yield pa.record_batch([pa.array([lang] * len(names)), names, pa.array(np.append(n.sum(), n))], ["lang", "word", "n"])
+            for lang, parts in state.items():
+                words, n = merged(parts)
+                names = pa.concat_arrays([pa.array([None], pa.string()), words.cast(pa.large_string()).cast(pa.string())])
+                yield from pieces([pa.array([lang] * len(names)), names, pa.array(np.append(n.sum(), n))], ["lang", "word", "n"])
             state.clear()
 
+        held = 0
         for batch in slices(batches, "__text", SLICE):
             for lang, rows in by_group(batch, 0):
-                lexicon, counts = state.setdefault(lang, (Lexicon(lang, []), []))
                 words = Words(rows.column(1), is_word)
-                counts.append(np.bincount(lexicon.of(words.dictionary), np.bincount(words.at, minlength=len(words.dictionary)), len(lexicon)).astype(np.int64))
-                if len(counts) > 16:
-                    total = np.zeros(len(lexicon), np.int64)
-                    for c in counts:
-                        total[: len(c)] += c
-                    counts[:] = [total]
-            if sum(len(x) for x, _ in state.values()) > MOST_WORDS:
-                yield from out()
+                state.setdefault(lang, []).append((words.dictionary, np.bincount(words.at, minlength=len(words.dictionary))))
+                held += len(words.dictionary)
+            if held > MOST_WORDS:
+                for lang, parts in state.items():
+                    state[lang] = [merged(parts)]
+                held = sum(len(words) for parts in state.values() for words, _ in parts)
+                if held > MOST_WORDS // 2:
+                    yield from out()
+                    held = 0
         yield from out()
 
     found = small_batches(texts).mapInArrow(run, "lang string, word string, n long")
@@ -220,13 +243,13 @@ def ranked(counts: DataFrame, names: list[str], most: int) -> pa.Table:
     return counts.orderBy(F.desc("n"), "lang", *names).limit(most).select("lang", *names).toArrow().combine_chunks()
 
 
-def of_group(rank: pa.Table, group: str) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Of the ranked rows those of a group, in their order: their places in the table, and each further column."""
+def of_group(rank: pa.Table, group: str) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of the ranked rows those of a group, in their order: their places in the table, and each further column as large binary."""
     if not rank.num_rows:
-        return np.zeros(0, np.int64), [[] for _ in rank.column_names[1:]]
+        return np.zeros(0, np.int64), [pa.array([], pa.large_binary()) for _ in rank.column_names[1:]]
     at = np.flatnonzero(pc.equal(rank.column(0), group).to_numpy(zero_copy_only=False))
     own = rank.take(pa.array(at))
-    return at, [own.column(k).combine_chunks().cast(pa.binary()).to_pylist() for k in range(1, own.num_columns)]
+    return at, [pa.concat_arrays(own.column(k).cast(pa.large_string()).chunks or [pa.array([], pa.large_string())]).cast(pa.large_binary()) for k in range(1, own.num_columns)]
 
 
 def pieces(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
