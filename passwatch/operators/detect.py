@@ -56,21 +56,25 @@ def nms(boxes: DataFrame, scene: str = "scene_id", iou_most: float = IOU_MOST) -
     return grouped.select(scene, F.explode(F.transform(kept, lambda b: b["det_id"])).alias("det_id"))
 
 
+def kept_boxes(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, iou_most: float = IOU_MOST) -> np.ndarray:
+    """Places of the boxes that greedy suppression keeps; the boxes come best first."""
+    area = (x2 - x1) * (y2 - y1)
+    left, out = np.arange(len(x1)), []
+    while len(left):
+        i, rest = left[0], left[1:]
+        out.append(i)
+        inter = np.maximum(0, np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest])) * np.maximum(0, np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest]))
+        left = rest[inter / (area[i] + area[rest] - inter + 1e-8) <= iou_most]
+    return np.array(out, np.int64)
+
+
 def nms_kernel(boxes: DataFrame, scene: str = "scene_id", iou_most: float = IOU_MOST, per_class: bool = False) -> DataFrame:
     """The same for scenes of thousands of boxes (a detector has at most 8,400 anchors a tile), one Arrow batch a scene."""
     keys = [scene, "type"] if per_class else [scene]
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["conf", "det_id"], ascending=False)
-        x1, y1, x2, y2 = (pdf[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
-        area = (x2 - x1) * (y2 - y1)
-        left, out = np.arange(len(pdf)), []
-        while len(left):
-            i, rest = left[0], left[1:]
-            out.append(i)
-            inter = np.maximum(0, np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest])) * np.maximum(0, np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest]))
-            left = rest[inter / (area[i] + area[rest] - inter + 1e-8) <= iou_most]
-        return pdf.iloc[out][[scene, "det_id"]]
+        return pdf.iloc[kept_boxes(*(pdf[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2")), iou_most)][[scene, "det_id"]]
 
     columns = list(dict.fromkeys([*keys, scene, "det_id", "conf", "x1", "y1", "x2", "y2"]))
     kinds = dict(boxes.dtypes)

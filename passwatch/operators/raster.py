@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passwatch.operators.detect import CLASSES, CONF_LEAST, IOU_MOST, kept_boxes
+
 BANDS = ("b2", "b3", "b4", "b8", "b11", "b12")  # fixed values: the six bands in their order
 #: Simulated bands as (red, green, blue) weights.
 MIXES = {"b8": (0.25, 0.45, 0.30), "b11": (0.80, 0.30, -0.20), "b12": (0.70, 0.20, -0.10)}
@@ -112,6 +115,41 @@ def score_tiles(tiles: DataFrame, load: Callable[[], Callable[[np.ndarray], np.n
     return tiles.select("scene_id", "h", "w", body).mapInPandas(run, "scene_id string, anchor int, cx float, cy float, w float, h float, scores array<float>")
 
 
+def detect_tiles(tiles: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], conf_least: float = CONF_LEAST, iou_most: float = IOU_MOST, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """One row a tile, from tensor to detections in one pass: its other columns, inference_ms, and found (type, conf, x1, y1, x2, y2; best first).
+
+    tiles: scene_id, h, w, bands and any others. `load` as in score_tiles(). A box's class is its first best score; boxes below conf_least go,
+    corners are cut to whole pixels and suppressed across classes. Of equal confidences the later anchor comes first, as in nms().
+    """
+    others = [c for c in tiles.columns if c not in ("scene_id", "h", "w", "bands")]
+    kinds = [(c, tiles.schema[c].dataType.simpleString()) for c in others]
+
+    def found(raw: np.ndarray) -> list[dict]:
+        scores = raw[4:]
+        best, conf = scores.argmax(axis=0), scores.max(axis=0)
+        at = np.flatnonzero(conf.astype(np.float64) >= conf_least)
+        at = at[np.lexsort([-at, -conf[at]])]
+        cx, cy, w, h = raw[:4, at]
+        corners = [np.trunc(x).astype(np.int32) for x in (cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2)]
+        keep = kept_boxes(*(c.astype(float) for c in corners), iou_most) if len(at) else at
+        names = [CLASSES[k] if k < len(CLASSES) else "unknown" for k in best[at][keep].tolist()]
+        return [{"type": t, "conf": float(c), "x1": int(a), "y1": int(b), "x2": int(d), "y2": int(e)} for t, c, a, b, d, e in zip(names, conf[at][keep], *(c[keep] for c in corners))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for batch in batches:
+            out, took = [], []
+            for h, w, body in zip(batch["h"], batch["w"], batch["bands"]):
+                began = clock()
+                raw = model(batch_tensor(np.frombuffer(body, np.float32).reshape(h, w, -1)))[0]
+                took.append((clock() - began) * 1000)
+                out.append(found(raw))
+            yield batch[["scene_id", *others]].assign(inference_ms=took, found=out)
+
+    schema = ", ".join(["scene_id string", *(f"`{c}` {k}" for c, k in kinds), "inference_ms double, found array<struct<type: string, conf: double, x1: int, y1: int, x2: int, y2: int>>"])
+    return tiles.mapInPandas(run, schema)
+
+
 def tile_label_join(tiles: DataFrame, labels: DataFrame, key: str = "stem") -> DataFrame:
     """Tiles with their label rows; a tile without labels keeps one row of nulls."""
     return tiles.join(labels, key, "left")

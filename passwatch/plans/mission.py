@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passwatch.functions.geo import pixel_to_latlon
 from passwatch.functions.rules import reconcile_alert, risk_tier
-from passwatch.operators import brief, memory, policy, reports, retrieve, spatial
+from passwatch.operators import brief, detect, memory, policy, raster, reports, retrieve, spatial
 
 
 def mission_cycle(scenes: DataFrame, detections: DataFrame, zones: DataFrame, advisories: DataFrame, as_of: bool = False, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -54,11 +56,27 @@ def advise(messages: DataFrame, provider: Callable) -> DataFrame:
     return messages.mapInPandas(provider, "scene_id string, raw string")
 
 
-def tile_batch(predictions: DataFrame, scenes: DataFrame, footprints: DataFrame) -> DataFrame:
-    """Raw boxes (scene_id, anchor, cx, cy, w, h, scores) to briefs with their JSON."""
-    from passwatch.operators import detect
+def tile_batch(tiles: DataFrame, footprints: DataFrame, load: Callable, timestamp: Column, model_version: str = "detector-1", tile_size: int = 640, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """Tiles (decode_tiles) to nested briefs: detections, places, cloud cover and the ratio of a tile's bytes to those of its brief.
 
-    found = detect.bbox_trunc(detect.xywh_to_xyxy(detect.best_class(predictions))).withColumn("det_id", F.col("anchor").cast("bigint"))
-    kept = found.join(detect.nms_kernel(found), ["scene_id", "det_id"])
-    placed = detect.geo_project(kept.join(footprints, "scene_id", "left")).withColumn("det_idx", F.col("anchor"))
-    return reports.brief_json(detect.assemble_brief(scenes, placed, footprints))
+    Everything about a tile is made in one pass over it; only the footprints are joined. timestamp: the ISO text of a scene.
+    """
+    rows = detect.default_footprint(raster.detect_tiles(tiles, load, clock=clock).join(footprints, "scene_id", "left"))
+    bounds = [F.col(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")]
+
+    def one(d: Column) -> Column:
+        lat, lon = pixel_to_latlon(d["x1"], d["y1"], d["x2"], d["y2"], *bounds, tile_size)
+        return F.struct(d["type"].alias("type"), F.array(F.round(lat, 6), F.round(lon, 6)).alias("lat_lon"), F.round(d["conf"], 4).alias("conf"), F.array(d["x1"], d["y1"], d["x2"], d["y2"]).alias("bbox_px"))
+
+    briefs = rows.select(
+        "scene_id",
+        "raw_bytes",
+        timestamp.alias("timestamp_utc"),
+        F.struct(*bounds).alias("tile_footprint"),
+        F.round("cloud_cover", 3).alias("cloud_cover"),
+        F.size("found").alias("anomaly_count"),
+        F.transform("found", one).alias("anomalies"),
+        F.struct(F.lit(model_version).alias("model_version"), F.round("inference_ms", 1).alias("inference_ms"), F.lit(0).cast("bigint").alias("compression_ratio")).alias("meta"),
+    )
+    ratio = F.greatest(F.lit(1), F.expr("raw_bytes div octet_length(json)")).cast("bigint")
+    return reports.brief_json(briefs).withColumn("meta", F.col("meta").withField("compression_ratio", ratio)).drop("json", "raw_bytes")

@@ -6,6 +6,7 @@ from passwatch.adapters import rounded
 from passwatch.functions import geo, rules, text
 from passwatch.operators import detect, reports
 from passwatch.queries import query
+from passwatch.sources import briefs as brief_files
 
 #: Raw predictions derived from detections: four scores that depend on the confidence.
 PREDICTIONS = "SELECT scene_id, det_id AS anchor, x1, y1, x2, y2, [conf, ((det_id * 17) % 1000) / 1000.0E0, ((det_id * 43) % 1000) / 1000.0E0, conf / 2] AS scores FROM detections"
@@ -187,7 +188,12 @@ t AS (SELECT *, '{{"scene_id":"' || scene_id || '","timestamp_utc":"' || timesta
 
 @query(f"WITH {JSON_SQL} SELECT scene_id, head || compression_ratio || '}}}}' AS json FROM t".replace("}}}}", "}}"))
 def write_briefs(m):
-    return reports.brief_json(briefs(m)).select("scene_id", "json")
+    """The documents as they stand in the files."""
+    from passwatch.queries.sources import place
+
+    folder = place(m.spark)
+    brief_files.write_briefs(briefs(m), folder)
+    return m.spark.read.text(folder).select(F.get_json_object("value", "$.scene_id").alias("scene_id"), F.col("value").alias("json"))
 
 
 @query(f"WITH {JSON_SQL} SELECT scene_id, CAST(greatest(1, 9830400 // octet_length(encode(head || '0}}}}'))) AS BIGINT) AS ratio FROM t".replace("}}}}", "}}"))

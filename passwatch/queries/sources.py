@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passwatch.adapters import rounded
 from passwatch.operators import raster, reports
+from passwatch.plans import mission
 from passwatch.queries import query, rasters
 from passwatch.queries.detections import JSON_SQL, briefs
 from passwatch.sources import briefs as brief_files
@@ -58,18 +59,20 @@ def renamed(m, folder: str) -> str:
 
 @query(f"SELECT CAST(stem AS VARCHAR) AS stem, cls, {', '.join(f'{rounded(c, 6)} AS {c}' for c in ('cx', 'cy', 'w', 'h'))} FROM box_labels")
 def scan_labels(m):
-    """Label lines, written and parsed again; each stem also has a line of four numbers, which goes."""
-    lines = tile_files.label_lines(m.box_labels)
-    bad = m.box_labels.select("stem", F.lit("1 2 3 4").alias("value")).distinct()
+    """Label files, written and scanned again; beside them lie a file of lines of four numbers and an empty one, which give nothing."""
     folder = place(m.spark)
-    lines.unionByName(bad).select(F.concat_ws("|", F.col("stem").cast("string"), "value").alias("value")).write.text(folder)
-    back = m.spark.read.text(folder).select(F.split("value", r"\|")[0].alias("stem"), F.split("value", r"\|")[1].alias("value"))
-    return tile_files.parse_labels(back)
+    tile_files.write_labels(m.box_labels, folder)
+    m.box_labels.select(F.lit("1 2 3 4").alias("value")).distinct().write.mode("append").text(folder)
+    m.box_labels.select(F.lit("").alias("value")).distinct().write.mode("append").text(folder)
+    return tile_files.scan_labels(m.spark, folder)
 
 
-@query(f"SELECT stem, format('{{:d}} {{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', cls, {', '.join(rounded(c, 6) for c in ('cx', 'cy', 'w', 'h'))}) AS value FROM box_labels")
+@query(f"SELECT CAST(stem AS VARCHAR) AS stem, format('{{:d}} {{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', cls, {', '.join(rounded(c, 6) for c in ('cx', 'cy', 'w', 'h'))}) AS value FROM box_labels")
 def write_labels(m):
-    return tile_files.label_lines(m.box_labels)
+    folder = place(m.spark)
+    tile_files.write_labels(m.box_labels, folder)
+    parts = F.split("value", "\t")
+    return m.spark.read.text(folder).select(parts[0].alias("stem"), parts[1].alias("value"))
 
 
 @query("""WITH t AS (SELECT CAST(unnest(range(0, 10)) AS INT) AS t) SELECT p.scene_no || '_' || lpad(CAST(a.t AS VARCHAR), 4, '0') || '_' || lpad(CAST(b.t AS VARCHAR), 4, '0') AS tile_id, count(*) AS n
@@ -81,13 +84,59 @@ def write_tiles(m):
     return m.spark.read.parquet(folder).groupBy("tile_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT scene_no FROM pixels)")
-def scan_tiles(m):
-    """The scenes' pixel rows as files, and the scan of those whose names end in .npy."""
+def array_files(m) -> str:
+    """A folder with an array file for each tile of the scenes."""
     folder = place(m.spark)
-    m.pixels.groupBy("scene_no").agg(F.array_join(F.array_sort(F.collect_list(F.col("b2").cast("string"))), ",").alias("value")).withColumn("name", F.col("scene_no")).select("name", "value").write.partitionBy("name").option("compression", "none").text(folder)
-    found = m.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
-    return found.select(F.regexp_extract("path", "name=([^/]+)", 1).alias("scene_id")).agg(F.count_distinct("scene_id").alias("n"))
+    tile_files.write_npy(rasters.tile_frames(m), folder).count()
+    return folder
+
+
+@query(f"""WITH {rasters.CELLS} SELECT scene_id, 8 AS h, 8 AS w, CAST(sum({" + ".join(rasters.BANDS)}) AS BIGINT) AS total, CAST(sum(b11 * (py * 8 + px)) AS BIGINT) AS place, round(count(*) FILTER (b3 > 204) / 64.0E0, 6) AS cloud_cover FROM cells GROUP BY scene_id""")
+def scan_tiles(m):
+    """Array files, scanned and decoded: size, sum of all values in 256ths, those of a band by place, and the cloud cover."""
+
+    def sums(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            tiles = [np.rint(np.frombuffer(v, np.float32).reshape(h, w, 6) * 256).astype(np.int64) for v, h, w in zip(b.bands, b.h, b.w)]
+            yield pd.DataFrame({"scene_id": b.scene_id, "h": b.h, "w": b.w, "total": [int(t.sum()) for t in tiles], "place": [int((t[:, :, 4].ravel() * np.arange(t.shape[0] * t.shape[1])).sum()) for t in tiles], "cloud_cover": b.cloud_cover.round(6)})
+
+    good, _ = tile_files.decode_tiles(tile_files.scan_tiles(m.spark, array_files(m)))
+    return good.mapInPandas(sums, "scene_id string, h int, w int, total long, place long, cloud_cover double")
+
+
+def _box_detector():
+    """Three boxes by a tile's band means: the whole tile, a weaker one that it covers, and a small one in the corner."""
+    import numpy as np
+
+    def model(tensor):
+        means = tensor[0].mean(axis=(1, 2))
+        scores = means[[3, 4, 5, 0]][:, None] * np.array([[1, 0.875, 0.75]], np.float32)
+        return np.concatenate([np.array([[4, 4, 1], [4, 4, 1], [8, 7, 2], [8, 7, 2]], np.float32), scores])[None].astype(np.float32)
+
+    return model
+
+
+@query(f"""WITH {rasters.CELLS}, s AS (SELECT scene_id, {", ".join(f"sum({b}) / 16384.0E0 AS {b}" for b in ("b8", "b11", "b12", "b2"))}, count(*) FILTER (b3 > 204) / 64.0E0 AS cloud FROM cells GROUP BY scene_id),
+b AS (SELECT *, greatest(b8, b11, b12, b2) AS conf, CASE WHEN scene_id LIKE '%0' THEN 10.0E0 ELSE 8.0E0 END AS south, CASE WHEN scene_id LIKE '%0' THEN 70.0E0 ELSE 77.0E0 END AS west FROM s),
+t AS (SELECT *, CASE WHEN b8 = conf THEN 'ship' WHEN b11 = conf THEN 'airplane' WHEN b12 = conf THEN 'storage-tank' ELSE 'harbor' END AS type FROM b)
+SELECT scene_id, '2026-04-24T09:12:44Z' AS timestamp_utc, round(cloud, 3) AS cloud_cover, CAST(CASE WHEN conf * 0.75 >= 0.35 THEN 2 WHEN conf >= 0.35 THEN 1 ELSE 0 END AS INT) AS anomaly_count,
+ concat_ws(';', CASE WHEN conf >= 0.35 THEN type || ' ' || {rounded('conf', 4)} || ' ' || (south + 0.5E0) || ' ' || (west + 0.5E0) || ' 0 8' END, CASE WHEN conf * 0.75 >= 0.35 THEN type || ' ' || {rounded('conf * 0.75', 4)} || ' ' || (south + 0.875E0) || ' ' || (west + 0.125E0) || ' 0 2' END) AS found FROM t""")
+def tile_batch(m):
+    """From array files to brief files: scanned, decoded, scored, suppressed, placed, assembled, written and read again."""
+    spark = m.spark
+    tiles, _ = tile_files.decode_tiles(tile_files.scan_tiles(spark, array_files(m)))
+    part = lambda c: (F.col(c) / 80).cast("int").cast("string")
+    named = m.pixels.where("x < 80").select(F.concat_ws("_", F.col("scene_no").cast("string"), part("y"), part("x")).alias("scene_id")).distinct()
+    footprints = named.select("scene_id", F.lit(10.0).alias("lat_min"), F.lit(11.0).alias("lat_max"), F.lit(70.0).alias("lon_min"), F.lit(71.0).alias("lon_max"))
+    briefs_made = mission.tile_batch(tiles, footprints, _box_detector, F.lit("2026-04-24T09:12:44Z"), tile_size=8)
+    folder = place(spark)
+    brief_files.write_briefs(briefs_made, folder)
+    good, _ = brief_files.read_briefs(spark, folder)
+    one = lambda a: F.concat_ws(" ", a["type"], a["conf"].cast("string"), a["lat_lon"][0].cast("string"), a["lat_lon"][1].cast("string"), a["bbox_px"][0].cast("string"), a["bbox_px"][3].cast("string"))
+    return good.select("scene_id", "timestamp_utc", "cloud_cover", "anomaly_count", F.array_join(F.transform("anomalies", one), ";").alias("found"))
 
 
 @query(f"""WITH {rasters.CELLS} SELECT scene_id, 0 AS anchor, 4.0E0 AS cx, 4.0E0 AS cy, 8.0E0 AS w, 8.0E0 AS h, {", ".join(f"round(sum({b}) / 16384.0E0, 6) AS {b}_mean" for b in ("b8", "b11", "b12", "b2"))} FROM cells GROUP BY scene_id""")

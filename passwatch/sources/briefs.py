@@ -22,5 +22,6 @@ def read_briefs(spark: SparkSession, paths: str | list[str], multi_line: bool =
 
 
 def write_briefs(briefs: DataFrame, path: str) -> None:
-    """One compact document a line, partitioned by date; briefs has json (reports.brief_json)."""
-    briefs.select(F.substring("timestamp_utc", 1, 10).alias("date"), F.col("json").alias("value")).write.partitionBy("date").mode("overwrite").text(path)
+    """One compact document a line, keys in their fixed order, in *.json files laid out by date. briefs: nested, as assemble_brief() gives them."""
+    columns = ("scene_id", "timestamp_utc", "tile_footprint", "cloud_cover", "anomaly_count", "anomalies", "meta")
+    briefs.select(F.substring("timestamp_utc", 1, 10).alias("date"), *columns).write.partitionBy("date").mode("overwrite").json(path)

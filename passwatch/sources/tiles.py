@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+from urllib.parse import urlparse
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BANDS = 6
+CLOUD = 0.8  # reflectance of the green band from which a pixel counts as cloud
+BATCH = "32m"  # bytes of files that go to Python at a time
+
 
 def scan_tiles(spark: SparkSession, folder: str, first_n: int | None = None) -> DataFrame:
     """*.npy files in the order of their paths: path, scene_id (the file's stem) and body."""
@@ -13,6 +24,66 @@ def scan_tiles(spark: SparkSession, folder: str, first_n: int | None = None) ->
     return rows if first_n is None else rows.orderBy("path").limit(first_n)
 
 
+def decode_tiles(files: DataFrame, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """Tiles (scene_id, h, w, bands as float32 bytes, cloud_cover, raw_bytes) of scan_tiles() rows, and the quarantine: path and reason.
+
+    A body must be an array file of shape (h, w, bands) of numbers; a file without bytes has no row. Bodies come from Spark's own reader, so that any store that it reads will
+    do, and go to Python BATCH bytes at a time. cloud_cover is the share of pixels over CLOUD in the second band, 0 for a tile without pixels.
+    """
+    conf = files.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+    def one(body: bytes | None) -> tuple[np.ndarray | None, str | None]:
+        try:
+            tile = np.load(io.BytesIO(body or b""), allow_pickle=False)
+        except (ValueError, EOFError, OSError) as e:
+            return None, f"not an array file: {type(e).__name__}"
+        if tile.ndim != 3 or tile.shape[2] != bands:
+            return None, f"shape {tile.shape}"
+        if tile.dtype.kind not in "fiu":
+            return None, f"type {tile.dtype}"
+        return np.ascontiguousarray(tile, np.float32), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, scene, body in zip(*(c.to_pylist() for c in batch.columns)):
+                tile, reason = one(body)
+                h, w = (None, None) if tile is None else tile.shape[:2]
+                cloud = None if tile is None else float((tile[:, :, 1] > CLOUD).mean()) if tile.size else 0.0
+                row = (path, scene, h, w, None if tile is None else tile.tobytes(), cloud, None if tile is None else tile.nbytes, reason)
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.int64(), pa.string())
+                yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds)], ["path", "scene_id", "h", "w", "bands", "cloud_cover", "raw_bytes", "reason"])
+
+    rows = files.select("path", "scene_id", "body").mapInArrow(run, "path string, scene_id string, h int, w int, bands binary, cloud_cover double, raw_bytes long, reason string")
+    return rows.where("reason is null").drop("path", "reason"), rows.where("reason is not null").select("path", "reason")
+
+
+def write_npy(tiles: DataFrame, folder: str, bands: int = BANDS) -> DataFrame:
+    """Write each tile (scene_id, h, w, bands as float32 bytes) as an array file of a shared folder; one row for each file: scene_id, path.
+
+    The files are written as the result is read. A file gets its name when it is whole, so that a task that is run again leaves no half of one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for scene, h, w, body in zip(*(c.to_pylist() for c in batch.columns)):
+                store, root = fs.FileSystem.from_uri(folder if urlparse(folder).scheme else f"file://{folder}")
+                store.create_dir(root, recursive=True)
+                out = io.BytesIO()
+                np.save(out, np.frombuffer(body, np.float32).reshape(h, w, bands))
+                part = f"{root}/.{scene}.{id(batch)}"
+                with store.open_output_stream(part) as sink:
+                    sink.write(out.getvalue())
+                store.move(part, f"{root}/{scene}.npy")
+                made.append((scene, f"{root}/{scene}.npy"))
+            cols = list(zip(*made)) or [[], []]
+            yield pa.record_batch([pa.array(c, pa.string()) for c in cols], ["scene_id", "path"])
+
+    return tiles.select("scene_id", "h", "w", "bands").mapInArrow(run, "scene_id string, path string")
+
+
 def write_tiles(tiles: DataFrame, path: str) -> None:
     """Tile rows as Parquet; a tile's id comes from its scene and place."""
     tiles.withColumn("tile_id", F.concat_ws("_", "scene_id", F.lpad(F.col("ty").cast("string"), 4, "0"), F.lpad(F.col("tx").cast("string"), 4, "0"))).write.mode("overwrite").parquet(path)
@@ -28,9 +99,14 @@ def parse_labels(lines: DataFrame) -> DataFrame:
 
 
 def scan_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Label files of a folder; the stem is the file's name. A missing or empty file gives no rows."""
+    """Label files of a folder. The stem is what stands before a tab in a line (write_labels), else the file's name.
+
+    An empty file gives no rows, nor does a folder without label files; a missing folder is an error.
+    """
     lines = spark.read.option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").text(folder)
-    return parse_labels(lines.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("stem"), "value"))
+    named = F.col("value").contains("\t")
+    stem = F.when(named, F.substring_index("value", "\t", 1)).otherwise(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", ""))
+    return parse_labels(lines.select(stem.alias("stem"), F.when(named, F.expr("substring(value, instr(value, '\\t') + 1)")).otherwise(F.col("value")).alias("value")))
 
 
 def label_lines(labels: DataFrame) -> DataFrame:
@@ -39,4 +115,6 @@ def label_lines(labels: DataFrame) -> DataFrame:
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
-    label_lines(labels).write.partitionBy("stem").mode("overwrite").text(path)
+    """Label lines with their stem before a tab; the lines of a stem share a file, and a file holds many stems."""
+    lines = label_lines(labels).repartition("stem").sortWithinPartitions("stem")
+    lines.select(F.concat(F.col("stem").cast("string"), F.lit("\t"), "value").alias("value")).write.mode("overwrite").text(path)

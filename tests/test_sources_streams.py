@@ -2,9 +2,11 @@
 
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from passwatch.operators import memory
+from passwatch.operators import detect, memory, raster, reports
+from passwatch.plans import mission
 from passwatch.sources import briefs, tiles, versioned
 from passwatch.streaming import stream
 
@@ -45,6 +47,46 @@ def test_labels_and_tiles(spark, tmp_path):
     assert [r.scene_id for r in tiles.scan_tiles(spark, str(tmp_path), 2).collect()] == ["t0", "t1"]
 
 
+def test_array_files(spark, tmp_path):
+    """Tiles of several sizes and types go through files; what isn't a tile is named, with the reason."""
+    r = np.random.default_rng(1)
+    made = {f"t{k}": r.random((h, w, 6)).astype(np.float32) for k, (h, w) in enumerate([(8, 8), (3, 5), (1, 1), (0, 4)])}
+    rows = spark.createDataFrame([(k, t.shape[0], t.shape[1], t.tobytes()) for k, t in made.items()], "scene_id string, h int, w int, bands binary")
+    folder = f"file://{tmp_path}/tiles"
+    assert {r.scene_id for r in tiles.write_npy(rows, folder).collect()} == set(made)
+    np.save(tmp_path / "tiles" / "ints.npy", np.arange(24).reshape(2, 2, 6))
+    for name, body in (("flat", np.zeros((4, 6))), ("seven", np.zeros((2, 2, 7))), ("text", np.full((1, 1, 6), "x"))):
+        np.save(tmp_path / "tiles" / f"{name}.npy", body)
+    (tmp_path / "tiles" / "empty.npy").write_bytes(b"")
+    (tmp_path / "tiles" / "cut.npy").write_bytes((tmp_path / "tiles" / "t0.npy").read_bytes()[:200])
+    np.save(tmp_path / "tiles" / "pickle.npy", np.array([{"a": 1}], object), allow_pickle=True)
+    good, bad = tiles.decode_tiles(tiles.scan_tiles(spark, folder))
+    got = {r.scene_id: r for r in good.collect()}
+    assert set(got) == {*made, "ints"}
+    for k, t in made.items():
+        assert (np.frombuffer(got[k].bands, np.float32).reshape(got[k].h, got[k].w, 6) == t).all()
+        assert got[k].cloud_cover == (float((t[:, :, 1] > 0.8).mean()) if t.size else 0.0) and got[k].raw_bytes == t.nbytes
+    assert {r.path.rsplit("/", 1)[1][:-4] for r in bad.collect()} == {"flat", "seven", "text", "cut", "pickle"}  # Spark reads no row from an empty file
+
+
+def test_detections_of_tiles(spark):
+    """Every box of a random detector, against the operators one by one."""
+    load = lambda: lambda tensor: np.random.default_rng(int(tensor.sum() * 1000)).random((1, 8, 60), np.float32) * np.array([30, 30, 9, 9, 1, 1, 1, 1], np.float32)[None, :, None]
+    r = np.random.default_rng(3)
+    rows = spark.createDataFrame([(f"t{k}", 4, 4, r.random((4, 4, 6)).astype(np.float32).tobytes(), k) for k in range(5)], "scene_id string, h int, w int, bands binary, extra int")
+    found = raster.detect_tiles(rows, load)
+    got = {(x.scene_id, d.type, round(d.conf, 6), d.x1, d.y1, d.x2, d.y2) for x in found.collect() for d in x.found}
+    boxes = detect.bbox_trunc(detect.xywh_to_xyxy(detect.best_class(raster.score_tiles(rows, load)))).withColumn("det_id", F.col("anchor").cast("long"))
+    kept = boxes.join(detect.nms_kernel(boxes), ["scene_id", "det_id"])
+    assert got == {(x.scene_id, x.type, round(x.conf, 6), x.x1, x.y1, x.x2, x.y2) for x in kept.collect()} and len(got) > 20
+    assert {x.extra for x in found.collect()} == set(range(5))
+    footprints = spark.createDataFrame([("t1", 10.0, 11.0, 70.0, 71.0)], "scene_id string, lat_min double, lat_max double, lon_min double, lon_max double")
+    made = mission.tile_batch(rows.withColumns({"cloud_cover": F.lit(0.25), "raw_bytes": F.lit(10**6).cast("long")}), footprints, load, F.lit("2026-01-01T00:00:00Z"), clock=lambda: 1.0).collect()
+    assert {x.scene_id: (x.anomaly_count, x.tile_footprint.lat_min) for x in made} == {f"t{k}": (sum(g[0] == f"t{k}" for g in got), 10.0 if k == 1 else 8.0) for k in range(5)}
+    zero = reports.brief_json(spark.createDataFrame(made).withColumn("meta", F.col("meta").withField("compression_ratio", F.lit(0))))
+    assert {x.scene_id: 10**6 // len(x.json) for x in zero.collect()} == {x.scene_id: x.meta.compression_ratio for x in made}
+
+
 def test_remember_and_save(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, "d1"), ("b", 2, "d1"), ("c", 3, "d2")], "scene_id string, v int, date string")
     path = str(tmp_path / "t")
