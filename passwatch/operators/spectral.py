@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ TYPE_NOTES = {
     "storage-tank": "Consistent with metallic tank surface reflectance.",
 }
 PART = 64  # rows and columns of a cell of the pixel join
+SIDE = 640  # rows and columns of a tile
+BOXES = 50_000  # boxes of a tile that a task takes
+TABLE_FROM = 1 << 25  # pairs of a box and a pixel from which a summed-area table is made
 
 
 def pixels_in_bbox(boxes: DataFrame, pixels: DataFrame, scene: str = "scene_no", part: int = PART) -> DataFrame:
@@ -34,9 +39,7 @@ def pixels_in_bbox(boxes: DataFrame, pixels: DataFrame, scene: str = "scene_no",
 
     Boxes are dealt to the cells that their margins touch, so that the join has equal keys (scene and cell) on both sides.
     """
-    b = clamp_bbox(boxes)
-    margin = F.greatest(F.lit(30), (F.col("x2") - F.col("x1")) * 2)
-    b = b.withColumns({"bx1": F.greatest(F.lit(0), F.col("x1") - margin), "bx2": F.least(F.lit(640), F.col("x2") + margin), "by1": F.greatest(F.lit(0), F.col("y1") - margin), "by2": F.least(F.lit(640), F.col("y2") + margin)})
+    b = margins(boxes)
     cells = lambda a, z: F.sequence((F.col(a) / part).cast("int"), ((F.col(z) - 1) / part).cast("int"))
     dealt = b.withColumn("cy", F.explode(cells("by1", "by2"))).withColumn("cx", F.explode(cells("bx1", "bx2")))
     placed = pixels.withColumns({"cy": (F.col("y") / part).cast("int"), "cx": (F.col("x") / part).cast("int")})
@@ -44,15 +47,71 @@ def pixels_in_bbox(boxes: DataFrame, pixels: DataFrame, scene: str = "scene_no",
     return hit.withColumn("in_box", F.expr("y >= y1 and y < y2 and x >= x1 and x < x2"))
 
 
-def region_band_means(boxes: DataFrame, pixels: DataFrame, scene: str = "scene_no", exclude_target: bool = False) -> DataFrame:
+def margins(boxes: DataFrame) -> DataFrame:
+    """boxes, clamped, with the corners bx1, by1, bx2, by2 of their margin boxes."""
+    b = clamp_bbox(boxes)
+    margin = F.greatest(F.lit(30), (F.col("x2") - F.col("x1")) * 2)
+    return b.withColumns({"bx1": F.greatest(F.lit(0), F.col("x1") - margin), "bx2": F.least(F.lit(SIDE), F.col("x2") + margin), "by1": F.greatest(F.lit(0), F.col("y1") - margin), "by2": F.least(F.lit(SIDE), F.col("y2") + margin)})
+
+
+def box_sums(corners: np.ndarray, y: np.ndarray, x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each box (x1, y1, x2, y2) the sum of each column of values over the places (y, x) in it.
+
+    Few places or boxes are compared in blocks; else a summed-area table of the tile is made for each column, and a box costs its four corners.
+    """
+    x1, y1, x2, y2 = corners.T
+    out = np.zeros((len(corners), values.shape[1]))
+    if len(corners) * len(y) <= TABLE_FROM:
+        step = max(1, (1 << 22) // max(len(y), 1))
+        for a in range(0, len(corners), step):
+            z = slice(a, a + step)
+            inside = (y >= y1[z, None]) & (y < y2[z, None]) & (x >= x1[z, None]) & (x < x2[z, None])
+            out[z] = inside.astype(float) @ values
+        return out
+    for k in range(values.shape[1]):
+        table = np.zeros((SIDE + 1, SIDE + 1), np.longdouble)  # longer than the sums that it holds, so that differences lose nothing
+        table[y + 1, x + 1] = values[:, k]
+        table = table.cumsum(axis=0).cumsum(axis=1)
+        out[:, k] = table[y2, x2] - table[y1, x2] - table[y2, x1] + table[y1, x1]
+    return out
+
+
+def region_band_means(boxes: DataFrame, pixels: DataFrame, scene: str = "scene_no", exclude_target: bool = False, block: int = BOXES) -> DataFrame:
     """Per detection: mean of each band in the box (t_*) and in the margin box (g_*; the box itself belongs to it unless excluded), and contrast (c_*).
 
-    A contrast is rounded to 12 digits, so that one at a limit of the rules does not hang on the order of its sums. A box without a pixel has no row.
+    A contrast is rounded to 12 digits, so that one at a limit of the rules does not hang on the order of its sums. A box without a pixel has no
+    row. No row is made for a box and a pixel: the pixels of a tile, SIDE x SIDE at most since repeated ones are added up before, meet its boxes
+    once, and box_sums() does the rest. A tile with more than `block` boxes is dealt to several tasks.
     """
-    hit = pixels_in_bbox(boxes, pixels, scene)
-    around = F.when(~F.col("in_box"), F.lit(1)) if exclude_target else F.lit(1)
-    means = hit.groupBy("det_id").agg(*[F.avg(F.when(F.col("in_box"), F.col(b))).alias(f"t_{b}") for b in BANDS], *[F.avg(F.when(around == 1, F.col(b))).alias(f"g_{b}") for b in BANDS])
-    return means.where("t_b2 is not null").withColumns({f"c_{b}": F.round(F.col(f"t_{b}") - F.col(f"g_{b}"), 12) for b in BANDS})
+    parts = [e for b in BANDS for e in (F.sum(b).alias(f"s_{b}"), F.count(b).alias(f"n_{b}"))]
+    sums = pixels.where(f"y >= 0 and y < {SIDE} and x >= 0 and x < {SIDE}").groupBy(scene, "y", "x").agg(*parts)
+    held = margins(boxes).select("det_id", scene, "x1", "y1", "x2", "y2", "bx1", "by1", "bx2", "by2")
+    blocks = held.groupBy(scene).agg(F.ceil(F.count("*") / block).cast("int").alias("__n"))
+    held = held.join(blocks, scene).withColumn("__block", F.pmod(F.xxhash64("det_id"), F.col("__n")).cast("int")).drop("__n")
+    sums = sums.join(blocks, scene).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+
+    def means(pixel: pa.Table, box: pa.Table) -> pa.Table:
+        ids, pixel, box = box.column("det_id"), pixel.to_pandas(), box.to_pandas()
+        n = pixel[[f"n_{b}" for b in BANDS]].to_numpy(float)
+        total = np.where(n > 0, pixel[[f"s_{b}" for b in BANDS]].to_numpy(float), 0.0)
+        odd = ~np.isfinite(total)
+        values = np.concatenate([np.where(odd, 0.0, total), n, odd], axis=1) if len(pixel) else np.zeros((0, 18))
+        y, x = (pixel[c].to_numpy(int) for c in ("y", "x"))
+        inner, outer = (box_sums(box[list(c)].to_numpy(int), y, x, values) for c in (("x1", "y1", "x2", "y2"), ("bx1", "by1", "bx2", "by2")))
+        if exclude_target:
+            outer = outer - inner
+        out = {"det_id": ids}
+        for name, found in (("t", inner), ("g", outer)):
+            count = found[:, 6:12]
+            mean = np.divide(found[:, :6], count, out=np.zeros_like(count), where=count > 0)
+            mean[found[:, 12:] > 0] = np.nan
+            for k, b in enumerate(BANDS):
+                out[f"{name}_{b}"] = pa.array(mean[:, k], mask=count[:, k] == 0)
+        return pa.table(out)
+
+    schema = f"det_id {boxes.schema['det_id'].dataType.simpleString()}, " + ", ".join(f"{p}_{b} double" for p in "tg" for b in BANDS)
+    found = sums.groupBy(scene, "__block").cogroup(held.groupBy(scene, "__block")).applyInArrow(means, schema)
+    return found.where("t_b2 is not null").withColumns({f"c_{b}": F.round(F.col(f"t_{b}") - F.col(f"g_{b}"), 12) for b in BANDS})
 
 
 def contrasts() -> Column:
@@ -89,15 +148,19 @@ def spectral_strength() -> Column:
     return F.least(F.greatest((F.abs("c_b8") + F.abs("c_b11") + F.abs("c_b12")) / 3 * 3.0, F.lit(0.0)), F.lit(1.0))
 
 
+def breakdown() -> dict[str, Column]:
+    """The scores of a detection by its conf and contrasts."""
+    s = spectral_strength()
+    return {"model_score": steady(F.col("conf"), 3), "spectral_strength": steady(s, 3), "combined_estimate": steady((F.col("conf") + s) / 2, 3), "quality": detection_quality(F.col("conf"), s)}
+
+
 def confidence_breakdown(means: DataFrame, boxes: DataFrame) -> DataFrame:
     """det_id, model_score, spectral_strength, combined_estimate and quality."""
-    s = spectral_strength()
-    rows = means.join(boxes.select("det_id", "conf"), "det_id")
-    return rows.select("det_id", steady(F.col("conf"), 3).alias("model_score"), steady(s, 3).alias("spectral_strength"), steady((F.col("conf") + s) / 2, 3).alias("combined_estimate"), detection_quality(F.col("conf"), s).alias("quality"))
+    return means.join(boxes.select("det_id", "conf"), "det_id").select("det_id", *(c.alias(n) for n, c in breakdown().items()))
 
 
-def spectral_signature(means: DataFrame, boxes: DataFrame) -> DataFrame:
-    rows = means.join(boxes.select("det_id", "type"), "det_id")
+def signature() -> Column:
+    """The text of a detection's contrasts and type."""
     swir = (F.col("c_b11") > 0.05) | (F.col("c_b12") > 0.05)
     nir = F.col("c_b8") > 0.03
     visible = (F.col("c_b2") > 0.05) | (F.col("c_b3") > 0.05) | (F.col("c_b4") > 0.05)
@@ -109,7 +172,11 @@ def spectral_signature(means: DataFrame, boxes: DataFrame) -> DataFrame:
     )
     note = F.create_map(*[F.lit(x) for kv in TYPE_NOTES.items() for x in kv])[F.col("type")]
     text = F.when(parts == "", "weak spectral contrast across all bands (low-confidence detection)").otherwise(parts)
-    return rows.select("det_id", F.concat_ws(" ", text, note).alias("signature"))
+    return F.concat_ws(" ", text, note)
+
+
+def spectral_signature(means: DataFrame, boxes: DataFrame) -> DataFrame:
+    return means.join(boxes.select("det_id", "type"), "det_id").select("det_id", signature().alias("signature"))
 
 
 def scene_band_stats(pixels: DataFrame, scene: str = "scene_no") -> DataFrame:
@@ -124,9 +191,8 @@ def band_quality(pixels: DataFrame, scene: str = "scene_no") -> DataFrame:
     return out.withColumn("overall", F.round(sum((F.col(f"q_{b}") for b in BANDS), F.lit(0.0)) / 6, 2))
 
 
-def uncertainty_factors(means: DataFrame, boxes: DataFrame, stats: DataFrame, scene: str = "scene_no") -> DataFrame:
-    """det_id and its factors, joined; stats: scene_band_stats()."""
-    rows = means.join(boxes.select("det_id", "conf", scene), "det_id").join(stats, scene)
+def factors() -> Column:
+    """The doubts about a detection by its contrasts and conf, and its scene's statistics."""
     weak = (F.abs("c_b11") + F.abs("c_b12")) / 2 < 0.03
     text = F.concat_ws(
         "; ",
@@ -135,7 +201,12 @@ def uncertainty_factors(means: DataFrame, boxes: DataFrame, stats: DataFrame, sc
         F.when(weak, "Weak SWIR contrast — no metallic signature confirmation"),
         F.when(F.col("std_b8") > 0.2, F.concat(F.lit("High NIR variability (std="), fixed("std_b8", 2), F.lit(") — possible sun glint"))),
     )
-    return rows.select("det_id", F.when(text == "", "No significant uncertainty factors identified").otherwise(text).alias("factors"))
+    return F.when(text == "", "No significant uncertainty factors identified").otherwise(text)
+
+
+def uncertainty_factors(means: DataFrame, boxes: DataFrame, stats: DataFrame, scene: str = "scene_no") -> DataFrame:
+    """det_id and its factors, joined; stats: scene_band_stats()."""
+    return means.join(boxes.select("det_id", "conf", scene), "det_id").join(stats, scene).select("det_id", factors().alias("factors"))
 
 
 def uncertainty_report(scenes: DataFrame, detections: DataFrame) -> DataFrame:
@@ -171,10 +242,11 @@ def uncertainty_report(scenes: DataFrame, detections: DataFrame) -> DataFrame:
 
 
 def explain_batch(boxes: DataFrame, pixels: DataFrame, scene: str = "scene_no") -> DataFrame:
-    """All spectral facts of every detection whose box holds pixels, with a one-line text."""
-    means = region_band_means(boxes, pixels, scene)
-    bands = dominant_bands(band_contribution(means))
-    out = boxes.select("det_id", "type", "lat", "lon").join(confidence_breakdown(means, boxes), "det_id").join(bands, "det_id").join(spectral_signature(means, boxes), "det_id").join(uncertainty_factors(means, boxes, scene_band_stats(pixels, scene), scene), "det_id")
+    """All spectral facts of every detection whose box holds pixels, with a one-line text: one join with the boxes, one with the scenes' statistics."""
+    rows = boxes.select("det_id", "type", "lat", "lon", "conf", scene).join(region_band_means(boxes, pixels, scene), "det_id").join(scene_band_stats(pixels, scene), scene)
+    shares = F.array(*[F.struct((-F.round(F.abs(F.col(f"c_{b}")) / total_contrast(), 3)).alias("s"), F.lit(i).alias("i"), F.lit(BAND_NAMES[i]).alias("band")) for i, b in enumerate(BANDS)])
+    dominant = F.array_join(F.transform(F.slice(F.array_sort(shares), 1, 2), lambda x: x["band"]), ", ")
+    out = rows.select("det_id", "type", "lat", "lon", *(c.alias(n) for n, c in breakdown().items()), dominant.alias("dominant_bands"), signature().alias("signature"), factors().alias("factors"))
     first = F.array_join(F.slice(F.split("factors", "; "), 1, 2), "; ")
     text = F.concat(F.lit("Spectral analysis ["), F.upper("type"), F.lit(" @ ("), fixed("lat", 4), F.lit("°, "), fixed("lon", 4), F.lit("°)]: "), "signature", F.lit(" Quality: "), "quality", F.lit(". Dominant bands: "), "dominant_bands", F.lit(". Uncertainty: "), first, F.lit("."))
     return out.withColumn("text", text)
