@@ -133,9 +133,10 @@ def fit(x: np.ndarray, mark: np.ndarray, pairs: int = PAIRS, threshold: float =
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, sample: int, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and marks of at most `sample` labelled ids, a row for each; of an id with several texts that with the least hash is taken."""
     marks = labels.where("quality in (0, 1)").groupBy(key).agg(F.min("quality").alias("__mark"), F.max("quality").alias("__most"))
     chosen = marks.where("__mark = __most").drop("__most").orderBy(F.xxhash64(key), key).limit(sample)
-    picked = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key)
+    picked = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key).groupBy(key, "__mark").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = features(*joined_bytes(batch.column(0)))

@@ -54,7 +54,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     ranker = quality.train(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = quality.score(docs, ranker, "text", ["doc_id"])
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

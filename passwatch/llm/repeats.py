@@ -333,7 +333,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "tag",
         F.when(F.col("runs").isNull(), F.array(F.struct(start.alias("a"), (start + all_of).alias("b")))).otherwise(F.transform("runs", lambda r: F.struct((start + r["a"]).alias("a"), (start + r["b"]).alias("b")))).alias("runs"),
     )
-    out = written(placed.groupBy("doc", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs")), "spans")
+    # a set: the segments of rows that are equal in id and text come once, however many such rows there are
+    out = written(placed.groupBy("doc", "tag").agg(F.flatten(F.collect_set("runs")).alias("runs")), "spans")
     for done in (shared, contents, pieces, found):
         discard(done)
     return out
