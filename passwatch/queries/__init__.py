@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return add
 
 
-from passwatch.queries import decisions, detections, history, knowledge, rasters, sources, streams  # noqa: E402, F401
+from passwatch.queries import decisions, detections, history, knowledge, rasters, sources, sqls, streams  # noqa: E402, F401
