@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from passwatch.adapters import rounded
 from passwatch.functions import geo
-from passwatch.operators import brief, reports, retrieve
+from passwatch.operators import brief, index, reports, retrieve
 from passwatch.plans import mission
 from passwatch.queries import query
 from passwatch.queries.detections import JSON_SQL, PCT, briefs
 from passwatch.queries.history import LINE, NEAR
+from passwatch.queries.sources import place
+from passwatch.sources import versioned
 
 TAGGED = "tagged AS (SELECT id, category, title, content, list_distinct(string_split(lower(title), ' ')) AS tags FROM chunks)"
 #: The stated query set of a search: every vector whose id divides by 20, against all vectors.
@@ -48,8 +50,10 @@ def categories(m):
 
 @query()
 def build_vector_table(m):
-    made = retrieve.build_vector_table(m.chunks)
-    return retrieve.load_vector_table(made, 256, "hashing-tf-idf").select("id", F.round(geo.dot("embedding", "embedding"), 6).alias("norm"), "dim")
+    made, store = retrieve.build_vector_table(m.chunks), place(m.spark)
+    index.load_or_build(made, store, "hashing-tf-idf")
+    stored = versioned.read(m.spark, store, "vectors").select("id", "embedding", F.lit(256).alias("dim"), F.lit("hashing-tf-idf").alias("backend"))
+    return retrieve.load_vector_table(stored, 256, "hashing-tf-idf").select("id", F.round(geo.dot("embedding", "embedding"), 6).alias("norm"), "dim")
 
 
 @query("SELECT a.id, round(list_dot_product(a.embedding, b.embedding) + 1e-9, 6) AS dot FROM vectors a JOIN vectors b ON b.id = a.id + 1")
@@ -69,6 +73,16 @@ def retrieve_topk(m):
     return retrieve.retrieve_topk(asked(m), m.vectors, k=3, score_threshold=-1.0)
 
 
+@query(f"WITH {SCORED} SELECT q_id, id, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3")
+def retrieve_indexed(m):
+    """The same by a stored index, which is built, found to fit, and searched with cells left out."""
+    store = place(m.spark)
+    index.load_or_build(m.vectors, store)
+    if index.load_or_build(m.vectors, store):
+        raise ValueError("the stored index does not fit its own vectors")
+    return index.search(asked(m), store, k=3, score_threshold=-1.0)[0]
+
+
 @query(f"WITH {SCORED} SELECT q_id, id, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 4")
 def vector_topk(m):
     return retrieve.retrieve_topk(asked(m), m.vectors, k=4, score_threshold=-1.0)

@@ -36,13 +36,14 @@ class Conflict(Exception):
 class Change:
     """Rows that replace those of their keys in a table. keys: a DataFrame of the key column; default: the keys of the rows.
 
-    Keys without rows are deletions. The table is laid out by the values of `partition`.
+    Keys without rows are deletions. With replace the rows are the whole table. The table is laid out by the values of `partition`.
     """
 
     rows: DataFrame
     key: str = "scene_id"
     partition: str = "date"
     keys: DataFrame | None = None
+    replace: bool = False
 
 
 def _path(spark: SparkSession, *parts: str):
@@ -105,7 +106,7 @@ def _read(spark: SparkSession, path: str, entry: dict, parts: set[str] | None =
 
 def _staged(spark: SparkSession, path: str, base: dict, name: str, change: Change, folder: str) -> dict:
     """The table's entry of the next manifest; its files are written, but not yet visible."""
-    rows, old = change.rows, base["tables"].get(name)
+    rows, old = change.rows, None if change.replace else base["tables"].get(name)
     keys = (change.rows if change.keys is None else change.keys).select(change.key).distinct()
     value = F.coalesce(F.col(change.partition).cast("string"), F.lit(NO_VALUE))
     touched = rows.select(value.alias("v"))
