@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A tolerant reader builds a page's tree in one pass. Parts that are never the article (menus, headers and footers of the page, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) are cut by element and by the words of class, id and role; inside an <article> or
-<main> only boxes are cut by words, and only where all their words name such parts.
+notices, adverts, forms, scripts, styles, reader comments) are cut by element, by role, and by class or id where all its words name such
+parts; inside an <article> or <main> only boxes, and paragraphs that advertise, are cut by words. An element that merely mentions a part among other words
+(`with-sidebar`), and a form, is cut unless it holds most of the page's text outside links: then it is the article's wrapper.
 Every paragraph-like block passes points for its length and its commas to its parent in full, to its grandparent by half and
 to further ancestors by less; a container's sum is discounted by the share of its text that lies in links. The best container is kept, and at
 each level from it up to the page those siblings that read like text: all of them inside an <article> or <main>, elsewhere headings of what
@@ -29,7 +30,7 @@ from passwatch.llm.common import map_arrow, texts_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("aside button canvas datalist dialog embed footer form head iframe input link math menu meta nav noscript object script search select style svg template textarea title".split())
+NEVER = frozenset("aside button canvas datalist dialog embed footer form head iframe input link menu meta nav noscript object script search select style svg template textarea title".split())
 CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "tbody": frozenset(["thead", "tbody", "tr", "td", "th"])}
 SCOPE = frozenset("ul ol dl table body html div section article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -39,6 +40,7 @@ PART_WORDS = frozenset(
     " footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification outbrain overlay pager pagination popup promo"
     " related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar widget widgets".split()
 )
+CALLS = frozenset("ad ads advert advertisement newsletter promo signup sponsor sponsored subscribe".split())
 PART_ROLES = frozenset("banner navigation complementary contentinfo search alert dialog menu menubar form".split())
 #: Words that say nothing about a box's content.
 PLAIN_WORDS = frozenset("area articles bar block box button buttons container content form group icon icons inner item items section link links list module panel posts reader row stories thread user wrap wrapper".split())
@@ -53,7 +55,7 @@ WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "children", "text", "linked", "links", "blocks", "points")
+    __slots__ = ("tag", "words", "parent", "children", "text", "linked", "links", "blocks", "points", "doubtful")
 
     def __init__(self, tag: str, words: frozenset, parent: Node | None):
         self.tag, self.words, self.parent = tag, words, parent
@@ -61,20 +63,27 @@ class Node:
         self.text = self.linked = self.links = 0  # characters below, those of them inside links, and links
         self.blocks = False  # whether a block lies below
         self.points = 0.0
+        self.doubtful = False  # a part by its words, unless it holds most of the page's text
 
 
-def is_part(tag: str, words: frozenset, in_article: bool) -> bool:
-    """Whether an element is a part of the page that is not the article."""
+PART, DOUBTFUL = 2, 1
+
+
+def is_part(tag: str, words: frozenset, in_article: bool) -> int:
+    """PART for an element that is not the article, DOUBTFUL for one that is none unless it holds most of the text, 0 for any other."""
+    if tag == "form" and not in_article:
+        return DOUBTFUL
     if tag in NEVER or "__hidden" in words or "__part" in words:
-        return True
+        return PART
     if tag in ("html", "body", "main"):
-        return False
+        return 0
     if tag == "article":
-        return bool(words & {"comment", "comments", "reply", "replies"})
+        return PART * bool(words & {"comment", "comments", "reply", "replies"})
     if in_article:
-        named = words - PLAIN_WORDS
-        return tag in BOXES and bool(named) and named <= PART_WORDS
-    return tag == "header" or bool(words & PART_WORDS) and not words & {"article", "main"}
+        return PART * ("__named" in words and (tag in BOXES or tag == "p" and bool(words & CALLS)))
+    if tag == "header" or "__named" in words:
+        return PART
+    return DOUBTFUL * (bool(words & PART_WORDS) and not words & {"article", "main"})
 
 
 def names(attributes: str) -> frozenset:
@@ -82,7 +91,11 @@ def names(attributes: str) -> frozenset:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            out.update(w.lower() for w in WORD.findall(value))
+            own = {w.lower() for w in WORD.findall(value)}
+            out |= own
+            own -= PLAIN_WORDS
+            if own and own <= PART_WORDS:
+                out.add("__named")  # by this attribute nothing but a part
         elif name == "role":
             if value.lower() in PART_ROLES:
                 out.add("__part")
@@ -121,6 +134,7 @@ def tree(page: str) -> Node:
     root = Node("html", frozenset(), None)
     at, here, n = 0, root, len(page)
     cut = None  # the node whose subtree is thrown away
+    doubts = False
     open_ = Open()
 
     def leave(last: Node) -> Node:
@@ -166,7 +180,8 @@ def tree(page: str) -> Node:
             while open_ends := [e for e in ends if counts.get(e)]:
                 here = leave(nearest(open_ends))
         words = names(attributes) if attributes.strip(" /") else frozenset()
-        part = cut is None and is_part(tag, words, bool(open_.all.get("article") or open_.all.get("main")))
+        kind = 0 if cut is not None else is_part(tag, words, bool(open_.all.get("article") or open_.all.get("main")))
+        part = kind == PART
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
             inner, at = (page[at : end.start()], end.end()) if end else (page[at:], n)
@@ -179,14 +194,30 @@ def tree(page: str) -> Node:
             continue
         node = Node(tag, words, here)
         open_.add(tag)
+        if kind == DOUBTFUL:
+            node.doubtful, doubts = True, True
         if part:
             cut = node
         elif cut is None:
             here.children.append(node)
         here = node
+    if doubts:
+        settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Cut the doubtful elements but those that hold most of the text outside links."""
+    nodes = walk(root)
+    size = {}
+    for node in reversed(nodes):
+        own = sum(len(c.strip()) if isinstance(c, str) else size[id(c)] for c in node.children)
+        size[id(node)] = 0 if node.tag == "a" else own
+    for node in nodes:
+        if node.doubtful and size[id(node)] <= 0.5 * size[id(root)]:
+            node.parent.children = [c for c in node.parent.children if c is not node]
+
+
 def walk(root: Node) -> list[Node]:
     """Every element, parents before children."""
     out, stack = [], [root]
@@ -289,6 +320,16 @@ def reads(item: Node | str) -> bool:
     return flat(item).rstrip().endswith((".", "!", "?", ":", "…", '"', "”"))
 
 
+def is_heading(node: Node) -> bool:
+    """A heading, or boxes around nothing but one."""
+    while node.tag not in HEADINGS:
+        inner = [c for c in node.children if not isinstance(c, str) or c.strip()]
+        if len(inner) != 1 or isinstance(inner[0], str) or node.tag not in BOXES:
+            return False
+        node = inner[0]
+    return True
+
+
 def kept(best: Node) -> list[tuple[list[Node | str], bool]]:
     """The best container and, at each level above it, what is kept of its siblings: runs in page order, and whether an <article> or
     <main> holds them."""
@@ -311,7 +352,7 @@ def kept(best: Node) -> list[tuple[list[Node | str], bool]]:
             if k == at:
                 follows = True
                 continue
-            heads = not isinstance(item, str) and item.tag in HEADINGS
+            heads = not isinstance(item, str) and is_heading(item)
             if article or (follows and item.linked <= 0.5 * item.text if heads else reads(item)):
                 good.append((k, item))
                 follows = True

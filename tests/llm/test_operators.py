@@ -505,6 +505,33 @@ def test_html_keeps_the_article(page, want):
     assert html.main_text(f"<html><body>{page}</body></html>") == "\n".join(want)
 
 
+STORY = "<p>One, two, three, four, five words of text here, to count.</p><p>A second paragraph, with more words, and commas for good measure.</p>"
+TOLD = ["One, two, three, four, five words of text here, to count.", "A second paragraph, with more words, and commas for good measure."]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # a wrapper that mentions a part among its words is the article's
+        (f'<div class="layout with-sidebar"><div class="story">{STORY}</div><div class="sidebar"><p>Read this, and that, too, and more of it here.</p></div></div>', TOLD),
+        (f'<div class="post has-comments">{STORY}<div class="comments"><p>{"I say, this is a long comment, longer than the text. " * 20}</p></div></div>', TOLD),
+        (f'<div class="elementor-widget-container">{STORY}</div>', TOLD),
+        (f'<form id="aspnetForm"><div class="story">{STORY}</div></form>', TOLD),
+        (f'<form id="aspnetForm"><article>{STORY}</article></form>', TOLD),
+        (f'<div class="story">{STORY}</div><form><p>Your mail, please, and your name, and all that.</p></form>', TOLD),
+        (f'<div class="story">{STORY}</div><div class="site-footer-links"><p>Imprint, contact, and terms of use, as ever.</p></div>', TOLD),
+        # headings in a box of their own, formulas
+        (f'<div class="title"><h1>The title</h1></div><div class="story">{STORY}</div>', ["The title", *TOLD]),
+        (f"<article>{STORY}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", [*TOLD, "So x=2 holds."]),
+        # comments and calls inside an article
+        (f'<article>{STORY}<div id="comments-section-2" class="thread-view"><p>I say, this is, well, a comment of a reader.</p></div></article>', TOLD),
+        (f'<article>{STORY}<p class="newsletter-signup">Sign up, now, for our letter, every week.</p></article>', TOLD),
+    ],
+)
+def test_html_wrappers(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>") == "\n".join(want)
+
+
 def test_html_score_decides(spark):
     """The best container of random pages, with and without <article>, is that of the plain definition of the score."""
     r = random.Random(2)
