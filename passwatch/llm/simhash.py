@@ -36,6 +36,7 @@ BLOCK = 1024
 SAMPLE = 40_000
 OFTEN = 1 << 20
 CELLS = 512
+PAIRS_AT_ONCE = 1 << 14
 FEW = 256  # pairs below two nodes that are compared at once
 #: The bits of each byte as eight 8-bit counters of a 64-bit word.
 COUNTERS = np.zeros(256, np.uint64)
@@ -295,6 +296,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int, column: str
                 x, y, m, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])
                 good = pa.array(count(x, y, m, n) >= shared_needed(m, n, num, den))
                 yield pa.record_batch([c.filter(good) for c in batch.columns[:2]], ["x", "y"])
+        pa.default_memory_pool().release_unused()
 
     def side(c):  # only the sets that pairs name are moved
         named = sets.join(pairs.select(F.col(c).alias("node")).distinct(), "node", "left_semi")
@@ -354,7 +356,7 @@ def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def across(num: int, den: int, whole: bool):
     """A kernel from the tasks of in_blocks() to pairs x < y of different roots, none a bucket's first node, that their sizes and cells allow.
 
-    The pairs of a task are looked at 2**15 at a time where they lie. With `whole` all that may be links leave it, else those of a spanning
+    The pairs of a task are looked at PAIRS_AT_ONCE at a time where they lie. With `whole` all that may be links leave it, else those of a spanning
     forest of the roots, by the shingles that the cells allow beyond those needed.
     """
 
@@ -375,8 +377,8 @@ def across(num: int, den: int, whole: bool):
             total = (a1 - a0) * wide
             ends = np.cumsum(total)
             held = np.zeros((3, 0), np.int64)
-            for lo in range(0, int(ends[-1]), 1 << 15):
-                at = np.arange(lo, min(lo + (1 << 15), int(ends[-1])))
+            for lo in range(0, int(ends[-1]), PAIRS_AT_ONCE):
+                at = np.arange(lo, min(lo + PAIRS_AT_ONCE, int(ends[-1])))
                 of = np.searchsorted(ends, at, "right")
                 place = at - (ends[of] - total[of])
                 i, j = a0[of] + place // wide[of], b0[of] + place % wide[of]
@@ -385,15 +387,16 @@ def across(num: int, den: int, whole: bool):
                 i, j = i[ok], j[ok]
                 spare = np.minimum(cells[i], cells[j]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[j]) - shared_needed(n[i], n[j], num, den)
                 held = np.concatenate([held, np.stack([i, j, spare])[:, spare >= 0]], axis=1)
-                if not whole and held.shape[1] > 1 << 18:
+                if not whole and held.shape[1] > 1 << 17:
                     held = held[:, forest(own[held[0]], own[held[1]], held[2])]
-                if whole and held.shape[1] > 1 << 18 or lo + (1 << 15) >= int(ends[-1]):
+                if whole and held.shape[1] > 1 << 17 or lo + PAIRS_AT_ONCE >= int(ends[-1]):
                     if not whole:
                         held = held[:, forest(own[held[0]], own[held[1]], held[2])]
                     x, y = node[held[0]], node[held[1]]
                     found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
                     held = held[:, :0]
                     yield pa.record_batch([np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])], ["x", "y"])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task without what this one held
 
     return pairs
 
