@@ -18,6 +18,8 @@ def place(spark) -> str:
     """A new folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/files-{uuid.uuid4().hex}"
