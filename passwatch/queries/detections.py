@@ -192,7 +192,7 @@ def write_briefs(m):
     from passwatch.queries.sources import place
 
     folder = place(m.spark)
-    brief_files.write_briefs(briefs(m), folder)
+    brief_files.write_briefs(briefs(m), folder, digits=4)
     return m.spark.read.text(folder).select(F.get_json_object("value", "$.scene_id").alias("scene_id"), F.col("value").alias("json"))
 
 

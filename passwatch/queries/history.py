@@ -159,7 +159,8 @@ def remember(m):
     d = m.detections.select("scene_id", "det_id", "det_idx", "conf")
     new = d.join(again, "scene_id", "left_semi").where("det_idx = 0").withColumn("conf", F.round(F.col("conf") / 2, 4))
     store, spark = place(m.spark), m.spark
-    tables = lambda scenes, found: {"scenes": Change(scenes.withColumn("date", F.substring("scene_id", -10, 10))), "detections": Change(found.withColumn("date", F.substring("scene_id", -10, 10)), keys=scenes)}
+    part = F.pmod(F.xxhash64("scene_id"), F.lit(8)).cast("string")
+    tables = lambda scenes, found: {"scenes": Change(scenes.withColumn("part", part), partition="part"), "detections": Change(found.withColumn("part", part), partition="part", keys=scenes)}
     versioned.apply(spark, store, tables(s, d), "first", 0)
     for _ in range(2):  # a batch that is run again changes nothing
         versioned.apply(spark, store, tables(again, new), "again", 0)

@@ -143,10 +143,10 @@ def stream_pass_windows(m):
     return windows.unionByName(stream.late_rows(m.spark.read.json(folder).where("type <> 'end'"), windows))
 
 
-@query(f"""WITH {KEPT}, c AS (SELECT type, t, lag(t) OVER (PARTITION BY type ORDER BY t) AS before FROM kept), s AS (SELECT type, t, sum(CASE WHEN before IS NULL OR t >= before + 600 THEN 1 ELSE 0 END) OVER (PARTITION BY type ORDER BY t) AS s FROM c)
+@query(f"""WITH {KEPT}, c AS (SELECT type, t, lag(t) OVER (PARTITION BY type ORDER BY t) AS before FROM kept), s AS (SELECT type, t, sum(CASE WHEN before IS NULL OR t > before + 600 THEN 1 ELSE 0 END) OVER (PARTITION BY type ORDER BY t) AS s FROM c)
 SELECT type, count(*) AS n, min(t) AS started FROM s GROUP BY type, s""")
 def stream_sessions(m):
-    """Sessions of each type with gaps of ten minutes, as a stream in append mode: they merge over batches, and late detections go."""
+    """Sessions of each type with gaps of over ten minutes, as a stream in append mode: they merge over batches, and late detections go."""
     folder = in_turn(m, quarters(m), F.col("part"))
     found = ran(m, stream.sessions(streamed(m, folder).withWatermark("ts", "1 hour"), "10 minutes", "type"))
     return found.select("type", "n", F.unix_seconds("session_start").alias("started"))
@@ -162,5 +162,5 @@ def stream_alerts(m):
     """Each batch of briefs is decided by the rules against what earlier batches have stored, and stored; the stored decisions are read."""
     rows = reports.brief_json(briefs(m)).select((F.col("meta.compression_ratio") % PARTS).alias("part"), F.col("json").alias("value"))
     folder, store = in_turn(m, rows, F.col("part")), place(m.spark)
-    stream.stream_alerts(stream.stream_briefs(m.spark, folder, FILES), m.zones, store, f"{store}-state-{uuid.uuid4().hex}").awaitTermination()
+    stream.stream_alerts(stream.stream_briefs(m.spark, folder, FILES), m.zones, store, f"{store}-state-{uuid.uuid4().hex}", layout="yyyy").awaitTermination()
     return versioned.read(m.spark, store, "decisions").select("scene_id", "batch", "history_count", "policy_alert", "n_requests", "first_priority")

@@ -21,7 +21,10 @@ def read_briefs(spark: SparkSession, paths: str | list[str], multi_line: bool =
     return rows.where(~bad).drop("_corrupt_record"), rows.where(bad).select("source_file", F.col("_corrupt_record").alias("text"))
 
 
-def write_briefs(briefs: DataFrame, path: str) -> None:
-    """One compact document a line, keys in their fixed order, in *.json files laid out by date. briefs: nested, as assemble_brief() gives them."""
+def write_briefs(briefs: DataFrame, path: str, digits: int = 10) -> None:
+    """One compact document a line, keys in their fixed order, in *.json files laid out by date, or by so many digits of the time.
+
+    briefs: nested, as assemble_brief() gives them.
+    """
     columns = ("scene_id", "timestamp_utc", "tile_footprint", "cloud_cover", "anomaly_count", "anomalies", "meta")
-    briefs.select(F.substring("timestamp_utc", 1, 10).alias("date"), *columns).write.partitionBy("date").mode("overwrite").json(path)
+    briefs.select(F.substring("timestamp_utc", 1, digits).alias("date"), *columns).write.partitionBy("date").mode("overwrite").json(path)

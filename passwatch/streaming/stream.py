@@ -175,7 +175,7 @@ def history_near(spark: SparkSession, store: str, version: int, queries: DataFra
     return versioned.read(spark, store, "detections", version, near)
 
 
-def decide_batch(batch: DataFrame, batch_id: int, zones: DataFrame, store: str, writer: str, advisories: DataFrame | None = None) -> int:
+def decide_batch(batch: DataFrame, batch_id: int, zones: DataFrame, store: str, writer: str, advisories: DataFrame | None = None, layout: str = "yyyy-MM-dd") -> int:
     """Decide the scenes of a batch by the rules against what the store held before, and bring decisions, requests and the batch itself into it.
 
     All four tables change in one version, which also names the batch: a batch that is run again changes nothing, and after a crash nothing of
@@ -188,7 +188,7 @@ def decide_batch(batch: DataFrame, batch_id: int, zones: DataFrame, store: str,
     briefs = memory.newest(batch).persist()
     try:
         at = [F.lit(batch_id).cast("long").alias("batch"), F.lit(base["version"]).cast("long").alias("history_version")]
-        scenes = briefs.select("scene_id", "ts", "timestamp_utc", "cloud_cover", F.to_date("ts").alias("date"))
+        scenes = briefs.select("scene_id", "ts", "timestamp_utc", "cloud_cover", F.date_format("ts", layout).alias("date"))
         found = briefs.select("scene_id", "ts", "timestamp_utc", F.posexplode("anomalies").alias("det_idx", "a"))
         a = lambda c: F.col(f"a.{c}").alias(c)
         found = found.select("scene_id", "ts", "timestamp_utc", "det_idx", F.concat_ws("#", "scene_id", F.col("det_idx").cast("string")).alias("det_id"), a("type"), F.get("a.lat_lon", F.lit(0)).alias("lat"), F.get("a.lat_lon", F.lit(1)).alias("lon"), a("conf"))
@@ -216,11 +216,11 @@ def decide_batch(batch: DataFrame, batch_id: int, zones: DataFrame, store: str,
         briefs.unpersist()
 
 
-def stream_alerts(briefs: DataFrame, zones: DataFrame, store: str, checkpoint: str, advisories: DataFrame | None = None):
+def stream_alerts(briefs: DataFrame, zones: DataFrame, store: str, checkpoint: str, advisories: DataFrame | None = None, layout: str = "yyyy-MM-dd"):
     """Start a query that decides each micro-batch against the stored history and stores it (decide_batch); store: a folder of versions."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        decide_batch(batch, batch_id, zones, store, query_id(batch.sparkSession, checkpoint), advisories)
+        decide_batch(batch, batch_id, zones, store, query_id(batch.sparkSession, checkpoint), advisories, layout)
 
     return briefs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
