@@ -150,13 +150,16 @@ def iou(m):
     return d.join(b, ["scene_id", "det_idx"]).select("det_id", F.col("o_det_id").alias("other"), F.round(geo.iou(at(""), at("o_")), 6).alias("iou"))
 
 
-@query("""WITH RECURSIVE b AS (SELECT scene_id, det_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY scene_id ORDER BY conf DESC, det_id DESC) AS rn FROM detections WHERE conf >= 0.35),
+NMS = """WITH RECURSIVE b AS (SELECT scene_id, det_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY scene_id ORDER BY conf DESC, det_id DESC) AS rn FROM detections WHERE conf >= 0.35),
 r(scene_id, rn, kept) AS (SELECT DISTINCT scene_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(i BIGINT, x1 INT, y1 INT, x2 INT, y2 INT)[]) FROM b
  UNION ALL SELECT b.scene_id, b.rn, CASE WHEN len(list_filter(r.kept, lambda k: greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1)) /
    ((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0, least(k.y2, b.y2) - greatest(k.y1, b.y1)) + 1e-8) > 0.45)) > 0
    THEN r.kept ELSE list_append(r.kept, {'i': b.det_id, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}) END FROM r JOIN b ON b.scene_id = r.scene_id AND b.rn = r.rn + 1),
 l AS (SELECT scene_id, max_by(kept, rn) AS kept FROM r GROUP BY scene_id)
-SELECT scene_id, u.i AS det_id FROM (SELECT scene_id, unnest(kept) AS u FROM l)""")
+SELECT scene_id, u.i AS det_id FROM (SELECT scene_id, unnest(kept) AS u FROM l)"""
+
+
+@query(NMS)
 def nms(m):
     """Within a scene, so that a task holds one scene's boxes and not a day's."""
     return detect.nms(m.detections.where("conf >= 0.35"))

@@ -9,7 +9,7 @@ from passwatch.adapters import rounded
 from passwatch.operators import raster, reports
 from passwatch.plans import mission
 from passwatch.queries import query, rasters
-from passwatch.queries.detections import JSON_SQL, briefs
+from passwatch.queries.detections import JSON_SQL, NMS, briefs
 from passwatch.sources import briefs as brief_files
 from passwatch.sources import tiles as tile_files
 
@@ -147,3 +147,9 @@ def score_tiles(m):
     scored = raster.score_tiles(rasters.tile_frames(m), rasters._mean_detector)
     means = [F.round(F.col("scores")[i].cast("double"), 6).alias(f"{b}_mean") for i, b in enumerate(("b8", "b11", "b12", "b2"))]
     return scored.select("scene_id", "anchor", *[F.col(c).cast("double").alias(c) for c in ("cx", "cy", "w", "h")], *means)
+
+
+@query(NMS)
+def nms_crowded(m):
+    """Suppression by rounds over cells of 128 pixels, for scenes that no task should hold."""
+    return crowd.nms_crowded(m.detections.where("conf >= 0.35"), place(m.spark), cell=128)
