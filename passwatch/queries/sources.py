@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from passwatch.adapters import rounded
-from passwatch.operators import raster, reports
+from passwatch.operators import crowd, raster, reports
 from passwatch.plans import mission
 from passwatch.queries import query, rasters
 from passwatch.queries.detections import JSON_SQL, NMS, briefs
