@@ -68,12 +68,14 @@ def history_line(hits: DataFrame) -> DataFrame:
 
 def history_text(hits: DataFrame, radius_km: float = 50.0, most_lines: int = 5) -> DataFrame:
     """q_id and the text of its region: a summary, recurring types, the time span and the first lines. hits has q_lat, q_lon."""
-    from passwatch.operators.spatial import recurring_types
+    from passwatch.operators.spatial import of_query
 
     lined = history_line(hits)
     first = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("pass_number") < most_lines, F.struct("pass_number", "line")))), lambda x: x["line"]), 1, most_lines)
-    by = lined.groupBy("q_id").agg(F.first("q_lat").alias("q_lat"), F.first("q_lon").alias("q_lon"), F.count("*").alias("n"), F.count_distinct("scene_id").alias("passes"), F.min("timestamp_utc").alias("a"), F.max("timestamp_utc").alias("z"), first.alias("lines"))
-    by = by.join(recurring_types(hits), "q_id", "left")
+    types = F.transform(F.array_sort(F.collect_list(F.struct("pass_number", "type"))), lambda x: x["type"])
+    by = lined.groupBy(*of_query(hits)).agg(F.count("*").alias("n"), F.count_distinct("scene_id").alias("passes"), F.min("timestamp_utc").alias("a"), F.max("timestamp_utc").alias("z"), first.alias("lines"), types.alias("types"))
+    often = F.filter(F.array_distinct("types"), lambda t: F.size(F.filter("types", lambda x: x == t)) >= 2)
+    by = by.withColumn("recurring_types", F.when(F.size(often) > 0, F.array_join(often, ", ")))
     head = F.concat(F.lit(f"Regional history (≈{radius_km:.0f}km around ("), fixed("q_lat", 3), F.lit("°, "), fixed("q_lon", 3), F.lit("°)): "), F.col("n").cast("string"), F.lit(" anomaly detection(s) across "), F.col("passes").cast("string"), F.lit(" orbital pass(es)."))
     again = F.concat(F.lit("  Recurring object types: "), F.upper("recurring_types"), F.lit("."))
     seen = F.concat(F.lit("  Observed from "), display_ts("a", 10), F.lit(" to "), display_ts("z", 10), F.lit("."))

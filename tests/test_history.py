@@ -48,3 +48,39 @@ def test_rows_of_a_dense_place(spark):
     rows = spark.range(40_000).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("scene_id"), F.lit(0).alias("det_idx"), F.col("id").alias("det_id"), (8 + F.col("id") % 7 / 1000).alias("lat"), (77 + F.col("id") % 11 / 1000).alias("lon"), F.timestamp_seconds(F.col("id")).alias("ts"))
     got = spatial.history_count(rows, as_of=True).groupBy("history_count").count().collect()
     assert {r.history_count: r["count"] for r in got} == {**{k: 1 for k in range(1, 20)}, 20: 40_000 - 20}
+
+
+def asked_of(detections):
+    return spatial.first_points(detections).drop("q_ts")
+
+
+def dated(rows):
+    return rows.withColumn("timestamp_utc", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+@pytest.mark.parametrize("limit", [20, 2])
+def test_newest_near(spark, limit):
+    """The lists and the totals against the join of all pairs: clumps, a scene that is everywhere, ties and nulls."""
+    d = dated(spark.createDataFrame(clumps(2), SCHEMA)).select("scene_id", "det_idx", "det_id", "lat", "lon", "ts", "timestamp_utc").localCheckpoint()
+    held, q = d.select("scene_id", "det_id", "lat", "lon", "timestamp_utc"), asked_of(d).withColumn("q_id", F.concat("q_id", F.lit("@"), F.coalesce(F.col("q_lat"), F.lit(0.0)).cast("string"), F.coalesce(F.col("q_lon"), F.lit(0.0)).cast("string")))
+    q = q.dropDuplicates(["q_id"]).localCheckpoint()
+    rows = lambda df: sorted((r.q_id, r.pass_number, r.det_id) for r in df.collect())
+    joined = spatial.region_join(q, held).localCheckpoint()
+    assert rows(spatial.newest_near(q, held, limit=limit)) == rows(spatial.newest(joined, limit))
+    totals = {r.q_id: (r.n, round(r.km, 6)) for r in spatial.near_totals(q, held).collect()}
+    assert totals == {r.q_id: (r.n, round(r.km, 6)) for r in joined.groupBy("q_id").agg(F.count("*").alias("n"), F.sum("distance_km").alias("km")).collect()}
+    everyone = spatial.region_join(q, held, exclude_self=False).groupBy("q_id").agg(F.count("*").alias("n"))
+    assert {r.q_id: r.n for r in spatial.near_totals(q, held, exclude_self=False).collect()} == {r.q_id: r.n for r in everyone.collect()}
+    y, x = spatial.half_box(F.col("q_lat"), 50.0)
+    box = q.crossJoin(held).where((F.col("scene_id") != F.col("q_scene")) & F.col("lat").between(F.col("q_lat") - y, F.col("q_lat") + y) & F.col("lon").between(F.col("q_lon") - x, F.col("q_lon") + x))
+    assert rows(spatial.overfetched_near(q, held, limit)) == rows(spatial.overfetched(box, limit))
+
+
+def test_lists_of_a_dense_place(spark):
+    """The newest hits and the totals of 40,000 queries around which all 40,000 detections lie: the join had 1.6 billion rows."""
+    rows = spark.range(40_000).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("scene_id"), F.lit(0).alias("det_idx"), F.col("id").alias("det_id"), (8 + F.col("id") % 7 / 1000).alias("lat"), (77 + F.col("id") % 11 / 1000).alias("lon"), F.timestamp_seconds(F.col("id")).alias("ts"))
+    rows = dated(rows)
+    hits = spatial.newest_near(asked_of(rows), rows.select("scene_id", "det_id", "lat", "lon", "timestamp_utc"))
+    by = hits.groupBy("q_id").agg(F.count("*").alias("n"), F.min("det_id").alias("least"), F.max("pass_number").alias("last"))
+    assert [tuple(r) for r in by.groupBy("n", "last").agg(F.count("*"), F.min("least"), F.max("least")).collect()] == [(20, 19, 40_000, 39_979, 39_980)]
+    assert spatial.near_totals(asked_of(rows), rows).groupBy("n").count().collect() == [(39_999, 40_000)]
