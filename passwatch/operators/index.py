@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from passwatch.functions.geo import dot, l2_normalize
+from passwatch.functions.geo import l2_normalize
+from passwatch.operators.retrieve import BLOCK_BYTES, QUERY_BLOCKS, best_of_blocks, bytes_of, comparable
 from passwatch.sources import versioned
 
 MOST_CELLS = 1024
+FITTED = 30_000  # vectors, about, that the centres are fitted on; all are indexed, and the search is exact whatever the centres
 PROBES = 2
 ZERO = -1  # the cell of zero vectors
 
@@ -39,23 +41,23 @@ def stamp_of(vectors: DataFrame, backend: str) -> dict:
 
 def centres_of(unit: DataFrame, n: int) -> np.ndarray:
     """At most MOST_CELLS unit centres; only they reach the driver."""
-    some = unit.where(F.exists("embedding", lambda x: x != 0)).select(array_to_vector("embedding").alias("features"))
+    some = unit.where(F.exists("embedding", lambda x: x != 0) & (F.pmod(F.xxhash64("id"), F.lit(max(1, n // FITTED))) == 0)).select(array_to_vector("embedding").alias("features"))
     k = max(1, min(MOST_CELLS, int(np.ceil(np.sqrt(n) / 2))))
     found = np.array(KMeans(k=k, seed=7, maxIter=10).fit(some).clusterCenters()) if n and not some.isEmpty() else np.zeros((0, 0))
     size = np.linalg.norm(found, axis=1, keepdims=True) if len(found) else found
     return (found / size)[size[:, 0] > 0] if len(found) else found
 
 
-def build(vectors: DataFrame, path: str, backend: str = "given") -> None:
-    """Write a new version of the index of vectors (id, embedding)."""
-    spark, stamp = vectors.sparkSession, stamp_of(vectors, backend)
+def build(vectors: DataFrame, path: str, backend: str = "given", stamp: dict | None = None) -> None:
+    """Write a new version of the index of vectors (id, embedding); stamp: stamp_of() them, where it is known."""
+    spark, stamp = vectors.sparkSession, stamp or stamp_of(vectors, backend)
     unit = vectors.where("size(embedding) > 0").select("id", l2_normalize(F.col("embedding").cast("array<double>")).alias("embedding")).persist()  # read again and again
     centres = centres_of(unit, stamp["n"])
     shared = spark.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.array(batch.column("embedding").to_pylist(), float).reshape(batch.num_rows, -1)
+            v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             zero = ~v.any(axis=1)
             near = v @ shared.value.T if len(shared.value) else np.zeros((len(v), 1))
             cell = np.where(zero, ZERO, near.argmax(axis=1))
@@ -86,9 +88,10 @@ def fits(spark: SparkSession, path: str, stamp: dict) -> bool:
 
 def load_or_build(vectors: DataFrame, path: str, backend: str = "given", force: bool = False) -> bool:
     """See that the store holds an index of vectors; whether it was made anew."""
-    if not force and fits(vectors.sparkSession, path, stamp_of(vectors, backend)):
+    stamp = stamp_of(vectors, backend)
+    if not force and fits(vectors.sparkSession, path, stamp):
         return False
-    build(vectors, path, backend)
+    build(vectors, path, backend, stamp)
     return True
 
 
@@ -97,17 +100,22 @@ def search(queries: DataFrame, path: str, k: int = 3, score_threshold: float = 0
     spark = queries.sparkSession
     version = versioned.manifest(spark, path)["version"] if version is None else version
     vectors = versioned.read(spark, path, "vectors", version).select("id", "embedding", "cell")
-    rows = versioned.read(spark, path, "cells", version).where("cell <> -2").select("cell", "least_cos", "centre").orderBy("cell").collect()  # at most MOST_CELLS + 1
+    stored = versioned.read(spark, path, "cells", version).where("cell <> -2")
+    rows = stored.select("cell", "least_cos", "centre", "size").orderBy("cell").collect()  # at most MOST_CELLS + 1
     dim = max((len(r.centre) for r in rows if r.centre), default=0)
     centres = np.array([r.centre or [0.0] * dim for r in rows]).reshape(len(rows), dim)
     cells, spread = np.array([r.cell for r in rows], np.int32), np.arccos(np.clip([r.least_cos if r.cell != ZERO else 1.0 for r in rows], -1, 1))
-    shared = spark.sparkContext.broadcast((centres, cells, spread))
-    q = queries.select("q_id", l2_normalize("q_embedding").alias("q_embedding"))
+    parts = np.array([-(-r.size * (dim * 8 + 16) // BLOCK_BYTES) for r in rows], np.int64)  # a large cell is dealt to several tasks
+    shared = spark.sparkContext.broadcast((centres, cells, spread, parts))
+    q = queries.where(comparable("q_embedding")).select("q_id", l2_normalize(F.col("q_embedding").cast("array<double>")).alias("q_embedding"))
+    blocks = max(1, -(-bytes_of(q.withColumn("__dim", F.size("q_embedding"))) // (QUERY_BLOCKS * BLOCK_BYTES)))
+    part = F.pmod(F.xxhash64("id", "embedding"), F.ceil(F.col("size") * (dim * 8 + 16) / BLOCK_BYTES)).cast("int")
+    vectors = vectors.join(F.broadcast(stored.select("cell", "size")), "cell").select("id", "embedding", "cell", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     kind = queries.schema["q_id"].dataType.simpleString()
 
     def bounds(v: np.ndarray) -> np.ndarray:
         """The largest score that a vector of each cell can have, as scores are rounded."""
-        centres, cells, spread = shared.value
+        centres, cells, spread, _ = shared.value
         if not len(cells):
             return np.zeros((len(v), 0))
         angle = np.arccos(np.clip(v @ centres.T, -1, 1))
@@ -116,30 +124,34 @@ def search(queries: DataFrame, path: str, k: int = 3, score_threshold: float = 0
 
     def chosen(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells = shared.value[1]
+            _, cells, _, parts = shared.value
             for batch in batches:
-                v = np.array(batch.column("q_embedding").to_pylist(), float).reshape(batch.num_rows, -1)
+                v = batch.column("q_embedding").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 bound = bounds(v)
                 rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
                 take = rank < PROBES
+                kth = batch.column("kth").to_numpy(zero_copy_only=False).astype(float)
                 if not first:
-                    kth = batch.column("kth").to_numpy(zero_copy_only=False)
                     take = ~take & (bound >= np.where(np.isnan(kth), -np.inf, kth)[:, None])
                 i, c = np.nonzero(take)
+                many = parts[c]
+                i, c, part = np.repeat(i, many), np.repeat(c, many), np.arange(many.sum()) - np.repeat(many.cumsum() - many, many)
                 at = pa.array(i)
-                yield pa.record_batch([batch.column("q_id").take(at), batch.column("q_embedding").take(at), pa.array(cells[c])], ["q_id", "q_embedding", "cell"])
+                yield pa.record_batch([batch.column(n).take(at) for n in ("q_id", "q_embedding", "kth", "block")] + [pa.array(cells[c]), pa.array(part.astype(np.int32))], ["q_id", "q_embedding", "kth", "block", "cell", "part"])
 
         return run
 
     best = W.partitionBy("q_id").orderBy(F.desc("score"), "id")
     top = lambda d: d.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    scored = lambda pairs: top(pairs.join(vectors, "cell").select("q_id", "id", F.round(dot("q_embedding", "embedding"), 6).alias("score")))
-    schema = f"q_id {kind}, q_embedding array<double>, cell int"
-    asked = q.where("size(q_embedding) > 0")
-    near = asked.mapInArrow(chosen(True), schema)
+    keys = ["cell", "part", "block"]
+    scored = lambda pairs: best_of_blocks(pairs, vectors, keys, k)
+    schema = f"q_id {kind}, q_embedding array<double>, kth double, block int, cell int, part int"
+    asked = q.where("size(q_embedding) > 0").withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int"))
+    near = asked.withColumn("kth", F.lit(None).cast("double")).mapInArrow(chosen(True), schema)
     found = scored(near)
     kth = found.where(F.col("rank") == k).select("q_id", F.col("score").alias("kth"))
     rest = asked.join(kth, "q_id", "left").mapInArrow(chosen(False), schema)
     out = top(found.drop("rank").unionByName(scored(rest).drop("rank"))).where(F.col("score") >= score_threshold)
+    near, rest = (d.where("part = 0") for d in (near, rest))
     looked = near.select("q_id").unionByName(rest.select("q_id")).groupBy("q_id").agg(F.count("*").alias("looked_into")).withColumn("cells", F.lit(len(rows)).cast("long"))
     return out, looked
