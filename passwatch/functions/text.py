@@ -28,7 +28,18 @@ def percent(x: Column | str) -> Column:
 
 
 def fixed(x: Column | str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    """x with so many digits, as printf rounds: by its exact value, so that 0.575, which is held as a little less, becomes 0.57; true ties go to the even digit.
+
+    format_string rounds the shortest decimal form half up. Where that form is a tie, the product with 10**digits is taken in two exact parts.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    scale, size = 10.0**digits, F.abs(x)
+    high = size * 134217729.0 - (size * 134217729.0 - size)  # the upper half of its bits
+    low = F.floor(size * scale).cast("double")
+    over = (high * scale - (low + 0.5)) + (size - high) * scale
+    up = (over > 0) | ((over == 0) & (low % 2 == 1))
+    tied = F.signum(x) * F.when(up, low + 1).otherwise(low) / scale
+    return F.format_string(f"%.{digits}f", F.when(F.abs(over) < 1e-6, tied).otherwise(x))
 
 
 def thousands(x: Column | str) -> Column:

@@ -1,6 +1,7 @@
 """Every branch and boundary of the decision rules, and golden values of texts and geometry."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +164,14 @@ def test_build_vector_table_equals_plain_tf_idf(spark):
         size = math.sqrt(sum(v * v for v in plain))
         assert made[i]["embedding"] == pytest.approx([v / size for v in plain])
         assert made[i]["dim"] == 64
+
+
+def test_fixed_rounds_as_printf(spark):
+    """Ties of the shortest decimal form, which are held as a little less or more, true ties, and any others."""
+    from passwatch.functions.text import fixed
+
+    r = random.Random(3)
+    values = [0.575, 0.565, 0.125, 0.375, 2.675, 1.005, -0.575, 0.0, 1e15, 123456.785] + [k / 1000 for k in range(5, 1000, 10)] + [r.uniform(-5, 5) for _ in range(200)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed("v", 2).alias("two"), fixed("v", 1).alias("one")).collect()
+    assert [(x.two, x.one) for x in rows] == [("%.2f" % x.v, "%.1f" % x.v) for x in rows]
+    assert spark.range(1).select(fixed(F.lit(None).cast("double"), 2)).first()[0] == spark.range(1).select(F.format_string("%.2f", F.lit(None).cast("double"))).first()[0]
