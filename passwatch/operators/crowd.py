@@ -9,6 +9,7 @@ end; cells without a waiting box leave them. A scene's boxes are spread over tas
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
@@ -40,6 +41,32 @@ def settled(corners: np.ndarray, kept: np.ndarray, whole: np.ndarray, iou_most:
     return found
 
 
+def starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Whether a row has other keys than the one before; nulls are equal."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for c in keys:
+        after, before = rows[c].iloc[1:].reset_index(drop=True), rows[c].iloc[:-1].reset_index(drop=True)
+        new[1:] |= ((after != before) & ~(after.isna() & before.isna())).to_numpy(bool)
+    return new
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by keys, cut so that none ends within a group."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        edges = np.flatnonzero(starts(pd.concat([held[-1].tail(1), batch]) if held else batch, keys)[1 if held else 0 :])
+        last = edges[-1] if len(edges) else 0
+        if len(edges) and (held or last):
+            yield pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = []
+        held.append(batch.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def nms_crowded(boxes: DataFrame, folder: str, scene: str = "scene_id", iou_most: float = IOU_MOST, per_class: bool = False, cell: int = CELL) -> DataFrame:
     """The rows scene, det_id that greedy suppression keeps, as nms_kernel() does, with no task that holds a whole scene.
 
@@ -64,15 +91,21 @@ def nms_crowded(boxes: DataFrame, folder: str, scene: str = "scene_id", iou_most
         first, last = F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)
         return F.sequence(first, F.greatest(first, last))
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["conf", "det_id", "row"], ascending=False, na_position="last")
-        found = settled(pdf[list(CORNERS)].to_numpy(float).T, pdf["kept"].to_numpy(bool), pdf["whole"].to_numpy(bool), iou_most)
-        return pd.DataFrame({"row": pdf["row"].to_numpy(), "found": found.astype(np.int32)})
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cells in whole_groups(batches, at_cell):
+            rows, found = cells["row"].to_numpy(), np.zeros(len(cells), np.int32)
+            corners, kept, whole = cells[list(CORNERS)].to_numpy(float).T, cells["kept"].to_numpy(bool), cells["whole"].to_numpy(bool)
+            edges = np.flatnonzero(np.append(starts(cells, at_cell), True))
+            for a, z in zip(edges[:-1], edges[1:]):
+                if z - a > 1:  # a box alone in its cell is free
+                    found[a:z] = settled(corners[:, a:z], kept[a:z], whole[a:z], iou_most)
+            yield pd.DataFrame({"row": rows, "found": found})
 
     named = boxes.select(*dict.fromkeys([*keys, "det_id", "conf", *CORNERS])).withColumn("row", F.monotonically_increasing_id())
     flat = F.coalesce((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")), F.lit(True))
     every = written(named.withColumn("flat", flat), "boxes")
-    result = [scene, "det_id"]
+    result, at_cell = [scene, "det_id"], [*keys, "__cx", "__cy"]
+    order = [*at_cell, F.nanvl(F.col("conf").cast("double"), F.lit(None)).desc_nulls_last(), F.desc("det_id"), F.desc("row")]
     every.where("flat").select(*result).write.parquet(f"{at}/kept")
     state, k = every.where(~F.col("flat")).drop("flat").withColumn("kept", F.lit(False)), 0
     while not state.where(~F.col("kept")).isEmpty():
@@ -83,7 +116,8 @@ def nms_crowded(boxes: DataFrame, folder: str, scene: str = "scene_id", iou_most
             busy = placed.where(~F.col("kept")).select(*keys, "__cx", "__cy").distinct()
             same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "__cx", "__cy")]
             placed = placed.alias("a").join(busy.alias("b"), reduce(and_, same), "left_semi")
-        judged = placed.groupBy(*keys, "__cx", "__cy").applyInPandas(judge, "row long, found int").groupBy("row").agg(F.max("found").alias("found"))
+        dealt = placed.repartition(*at_cell).sortWithinPartitions(*order).select(*at_cell, "row", *CORNERS, "kept", "whole")
+        judged = dealt.mapInPandas(judge, "row long, found int").groupBy("row").agg(F.max("found").alias("found"))
         now = written(state.join(judged, "row").where(F.col("found") < DROPPED), f"round-{k}")
         now.where(~F.col("kept") & (F.col("found") == FREE)).select(*result).write.mode("append").parquet(f"{at}/kept")
         discard(f"round-{k - 1}" if k else "boxes")

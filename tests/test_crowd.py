@@ -55,3 +55,16 @@ def test_nulls_repeats_flat_boxes_and_empty(spark, tmp_path):
     boxes = spark.createDataFrame(data, SCHEMA).withColumn("row", F.lit(1)).withColumn("kept", F.lit("x"))
     assert rows_of(crowd.nms_crowded(boxes, str(tmp_path), cell=4)) == sorted([("s", 1), ("s", 3), ("s", 4), (None, 6), ("s", None)], key=str)
     assert crowd.nms_crowded(boxes.limit(0), str(tmp_path)).collect() == []
+
+
+def test_batches_are_cut_between_cells():
+    """Cells reach the kernel in batches of many, none of them split, wherever the batches end; nulls are a key of their own."""
+    import pandas as pd
+
+    r = np.random.default_rng(5)
+    rows = pd.DataFrame({"a": [None if k % 7 == 0 else f"k{k // 5:03}" for k in range(200)], "b": r.integers(0, 2, 200), "n": range(200)}).sort_values(["a", "b"], na_position="first")
+    for size in (1, 3, 50, 500):
+        cut = list(crowd.whole_groups((rows.iloc[k : k + size] for k in range(0, 200, size)), ["a", "b"]))
+        assert [n for c in cut for n in c["n"]] == list(rows["n"])
+        groups = [key for c in cut for key in {(str(a), b) for a, b in zip(c["a"], c["b"])}]
+        assert len(groups) == len(set(groups))
