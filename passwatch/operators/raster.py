@@ -7,20 +7,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passwatch.operators.detect import CLASSES, CONF_LEAST, IOU_MOST, kept_boxes
 
 BANDS = ("b2", "b3", "b4", "b8", "b11", "b12")  # fixed values: the six bands in their order
+STRIP = 1 << 18  # pixels of a resized band that a task makes at a time
 #: Simulated bands as (red, green, blue) weights.
 MIXES = {"b8": (0.25, 0.45, 0.30), "b11": (0.80, 0.30, -0.20), "b12": (0.70, 0.20, -0.10)}
 
 
 def assemble_bands(values: DataFrame, keys: tuple[str, ...] = ("scene_no", "y", "x")) -> DataFrame:
     """Long band values (keys, band, value) to one row a pixel; pixels that lack one of the six bands go."""
-    wide = values.groupBy(*keys).pivot("band", list(BANDS)).agg(F.first("value", ignorenulls=True))
-    return wide.dropna(subset=list(BANDS))
+    wide = values.groupBy(*keys).agg(*[F.first(F.when(F.col("band") == b, F.col("value")), ignorenulls=True).alias(b) for b in BANDS])
+    return wide.dropna(subset=list(BANDS))  # one grouping: a task adds up a pixel's bands before the shuffle
 
 
 def clip01(x: Column) -> Column:
@@ -64,34 +66,98 @@ def tile_scene(pixels: DataFrame, size: int = 64, overlap: int = 0, height: int
     return cut("x", width, "tx", "px", cut("y", height, "ty", "py", pixels))
 
 
-def resize_bilinear(pixels: DataFrame, height: int, width: int, to_height: int, to_width: int, band: str = "value", keys: tuple[str, ...] = ("scene_no",)) -> DataFrame:
-    """A band (keys, y, x, value) on another grid: each target pixel takes four neighbours by weight, edges repeated.
+def weights(n: int, to: int) -> np.ndarray:
+    """For each target row (to) the weights of the n source rows."""
+    place = np.clip((np.arange(to) + 0.5) * (n / to) - 0.5, 0.0, n - 1.0)
+    return np.maximum(0.0, 1.0 - np.abs(place[:, None] - np.arange(n)[None, :]))
+
 
-    Sources are dealt to the targets that they touch, so that one equi-join-free grouping by target does the work.
+def upsampled(y: np.ndarray, x: np.ndarray, value: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Grids of the targets: their value, whether a source touches them, and whether one with a value does. rows and cols are weights(); masked values are null.
+
+    What is not finite spreads to the targets that it touches, and no further.
     """
+    size = rows.shape[1], cols.shape[1]
+    null = np.ma.getmaskarray(value)
+    plain = np.ma.getdata(value)
+    there, here, odd = np.zeros(size), np.zeros(size), []
+    held = np.zeros(size)
+    np.add.at(there, (y, x), 1.0)
+    np.add.at(here, (y, x), ~null)
+    finite = np.isfinite(plain) & ~null
+    np.add.at(held, (y[finite], x[finite]), plain[finite])
+    spread = lambda a: (rows > 0).astype(float) @ a @ (cols > 0).astype(float).T > 0
+    out = rows @ held @ cols.T
+    for sign in (np.isnan(plain), plain == np.inf, plain == -np.inf):
+        at = np.zeros(size)
+        np.add.at(at, (y[sign & ~null], x[sign & ~null]), 1.0)
+        odd.append(spread(at) if at.any() else np.zeros(out.shape, bool))
+    nan, up, down = odd
+    out = np.where(nan | (up & down), np.nan, np.where(up, np.inf, np.where(down, -np.inf, out)))
+    return out, spread(there), spread(here)
+
+
+def strips(pixels: DataFrame, columns: list[str], rows: np.ndarray, width: int, high: int) -> DataFrame:
+    """columns, y and x of the source pixels within the grid, dealt to the strips (__strip) of `high` target rows that they touch."""
+    touch = [np.flatnonzero(rows[:, k] > 0) // high for k in range(rows.shape[1])]
+    first, last = (F.element_at(F.lit([int(t[at]) if len(t) else at for t in touch]), F.col("y").cast("int") + 1) for at in (0, -1))  # of an untouched row: none
+    inside = pixels.where((F.col("y") >= 0) & (F.col("y") < rows.shape[1]) & (F.col("x") >= 0) & (F.col("x") < width))
+    into = F.when(last >= first, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<int>"))
+    return inside.select(*columns, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.explode(into).alias("__strip"))
+
+
+def masked(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of doubles with its nulls masked."""
+    return np.ma.masked_array(column.to_numpy().astype(float), column.is_null().to_numpy())
+
 
-    def reach(at: str, n: int, to: int) -> Column:
-        """Targets and weights (t, w) that a source row or column contributes to."""
-        s = n / to
-        low = F.floor((F.col(at) - 1.0 + 0.5) / s - 0.5).cast("int") - 1
-        high = F.ceil((F.col(at) + 1.0 + 0.5) / s - 0.5).cast("int") + 1
-        span = F.sequence(F.greatest(F.lit(0), low), F.least(F.lit(to - 1), high))
+def resize_bilinear(pixels: DataFrame, height: int, width: int, to_height: int, to_width: int, band: str = "value", keys: tuple[str, ...] = ("scene_no",)) -> DataFrame:
+    """A band (keys, y, x, value) on another grid: each target pixel takes four neighbours by weight, edges repeated.
 
-        def weight(t: Column) -> Column:
-            place = F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), (t + 0.5) * s - 0.5))
-            return F.greatest(F.lit(0.0), 1.0 - F.abs(place - F.col(at)))
+    Targets lie in strips of about STRIP pixels. A source goes to the strips that it touches, once or twice, and a strip is two products of weights with a dense
+    grid; no row is made for a source and a target.
+    """
+    high = max(1, STRIP // max(to_width, 1))
+    rows, cols = weights(height, to_height), weights(width, to_width)
+    dealt = strips(pixels.withColumn("__value", F.col(band).cast("double")), [*keys, "__value"], rows, width, high)
+    kinds = [(k, pixels.schema[k].dataType.simpleString()) for k in keys]
 
-        return F.filter(F.transform(span, lambda t: F.struct(t.alias("t"), weight(t).alias("w"))), lambda e: e["w"] > 0)
+    def run(key: tuple, source: pa.Table) -> pa.Table:
+        strip = key[-1].as_py()
+        out, there, here = upsampled(source.column("y").to_numpy(), source.column("x").to_numpy(), masked(source.column("__value")), rows[strip * high : (strip + 1) * high], cols)
+        y, x = np.nonzero(there)
+        made = {k: pa.repeat(v, len(y)) for k, v in zip(keys, key)}
+        return pa.table({**made, "y": pa.array((y + strip * high).astype(np.int32)), "x": pa.array(x.astype(np.int32)), band: pa.array(out[y, x], mask=~here[y, x])})
 
-    dealt = pixels.withColumn("__y", F.explode(reach("y", height, to_height))).withColumn("__x", F.explode(reach("x", width, to_width)))
-    return dealt.groupBy(*keys, F.col("__y.t").alias("y"), F.col("__x.t").alias("x")).agg(F.sum(F.col(band) * F.col("__y.w") * F.col("__x.w")).alias(band))
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in kinds), f"y int, x int, `{band}` double"])
+    return dealt.groupBy(*keys, "__strip").applyInArrow(run, schema)
 
 
 def stack_bands(fine: DataFrame, coarse: DataFrame, height: int, width: int, keys: tuple[str, ...] = ("scene_no",)) -> DataFrame:
-    """Four fine bands and two coarse ones (long form, band and value) on the fine grid, one row a pixel."""
-    up = resize_bilinear(coarse, height // 2, width // 2, height, width, keys=(*keys, "band"))
-    columns = [*keys, "y", "x", "band", "value"]
-    return assemble_bands(fine.select(*columns).unionByName(up.select(*columns)), (*keys, "y", "x"))
+    """Four fine bands and two coarse ones (long form, band and value) on the fine grid, one row a pixel; pixels that lack one of the six go.
+
+    Strips of the fine grid meet the coarse pixels that touch them. The coarse bands are resized there and read where a fine pixel lies, so that no row is made for the others.
+    """
+    high = max(1, STRIP // max(width, 1))
+    rows, cols = weights(height // 2, height), weights(width // 2, width)
+    low = strips(coarse.withColumn("__value", F.col("value").cast("double")), [*keys, "band", "__value"], rows, width // 2, high)
+    wide = fine.groupBy(*keys, "y", "x").agg(*[F.first(F.when(F.col("band") == b, F.col("value").cast("double")), ignorenulls=True).alias(b) for b in BANDS[:4]])
+    wide = wide.dropna(subset=list(BANDS[:4])).where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
+    wide = wide.withColumns({"y": F.col("y").cast("int"), "x": F.col("x").cast("int")}).withColumn("__strip", F.floor(F.col("y") / high).cast("int"))
+
+    def run(key: tuple, pixels: pa.Table, source: pa.Table) -> pa.Table:
+        strip = key[-1].as_py()
+        y, x, band = pixels.column("y").to_numpy(), pixels.column("x").to_numpy(), np.array(source.column("band").to_pylist(), object)
+        out = pixels.drop_columns(["__strip"])
+        for b in BANDS[4:]:
+            some = source.filter(pa.array(band == b, pa.bool_()))
+            value, _, here = upsampled(some.column("y").to_numpy(), some.column("x").to_numpy(), masked(some.column("__value")), rows[strip * high : (strip + 1) * high], cols)
+            at = y - strip * high, x
+            out = out.append_column(b, pa.array(value[at], mask=~here[at]))
+        return out
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in wide.drop("__strip").dtypes) + "".join(f", `{b}` double" for b in BANDS[4:])
+    return wide.groupBy(*keys, "__strip").cogroup(low.groupBy(*keys, "__strip")).applyInArrow(run, schema).dropna(subset=list(BANDS))
 
 
 def batch_tensor(tile: np.ndarray) -> np.ndarray:
