@@ -25,14 +25,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the smallest id, of each group of near copies: five-word shingles, a similarity of 0.8 or more.
+    """Keep one document, that with the smallest id, of each group of near copies.
 
-    Only ids and sets of shingle hashes are shuffled to find the groups; a text moves once, with its id. A row without an id goes by the hash
+    Copies are linked by SimHash fingerprints of three-word shingles at two bits or fewer, as in op7_simhash; fingerprints say nothing about texts that are less alike, so
+    the sets of five-word shingles follow, at a similarity of 0.8 or more. A document stays that is the first of its group by both.
+    Only ids, fingerprints and sets of shingle hashes are shuffled to find the groups; a text moves once, with its id. A row without an id goes by the hash
     of its columns, after all ids: it stays where its group has no id, and once where rows are the same in every column.
     """
     unnamed = F.col("doc_id").isNull()
     docs = docs.select(*COLUMNS).withColumn("__key", F.struct(unnamed.alias("unnamed"), F.coalesce("doc_id", F.xxhash64(*COLUMNS)).alias("id")))
-    least = simhash.near(docs, "__key", "text", width=5, similarity=0.8).where("component_id = __key").select("__key").distinct()
+    prints = written(simhash.fingerprints(docs, "text", ["__key"], width=3), "prints")
+    first = lambda groups: groups.where("component_id = __key").select("__key").distinct()
+    least = first(simhash.grouped(prints, "__key", budget=2)).join(first(simhash.near(docs, "__key", "text", width=5, similarity=0.8)), "__key")
     kept = docs.join(least, "__key", "left_semi")
     return kept.where(~unnamed).select(*COLUMNS).unionByName(kept.where(unnamed).select(*COLUMNS).distinct())
 

@@ -673,3 +673,13 @@ def test_near_copies_without_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = [(r.doc_id, r.text[0]) for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()]
     assert sorted(got, key=str) == [(3, "d"), (7, "a"), (None, "b"), (None, "c")]
+
+
+def test_pipeline_links_by_fingerprints(spark):
+    """Texts whose fingerprints agree in all but two bits are near copies for the pipeline, though their sets of shingles are less alike."""
+    again = " ".join(["one two three four five six seven eight nine"] * 60)
+    texts = {1: again + " " + " ".join(f"x{i}" for i in range(8)), 2: again + " " + " ".join(f"y{i}" for i in range(8)), 3: " ".join(f"z{i}" for i in range(80))}
+    prints = {i: int.from_bytes(simhash.fingerprints_of(*common.joined_bytes(pa.array([t], pa.string())), 3).tobytes(), "little") for i, t in texts.items()}
+    assert (prints[1] ^ prints[2]).bit_count() <= 2
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()) == [1, 3]
