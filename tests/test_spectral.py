@@ -39,3 +39,14 @@ def test_region_band_means(spark, exclude, block):
     got = spectral.region_band_means(b, df, exclude_target=exclude, block=block)
     assert show(got) == show(want) and len(show(want)) > 15
     assert spectral.region_band_means(b.limit(0), df).count() == 0 and spectral.region_band_means(b, df.limit(0)).count() == 0
+
+
+def test_pixels_meet_boxes_by_shuffle(spark):
+    """Small tables by their estimate become many rows when boxes are dealt to cells: no side is broadcast."""
+    from passwatch.operators import spectral
+
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 80, 80)], "det_id long, scene_no long, x1 int, y1 int, x2 int, y2 int")
+    pixels = spark.createDataFrame([(1, 5, 5), (1, 100, 100), (1, 600, 600)], "scene_no long, y int, x int")
+    hit = spectral.pixels_in_bbox(boxes, pixels)
+    assert "BroadcastHashJoin" not in hit._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.y, r.in_box) for r in hit.collect()) == [(5, True), (100, False)]
