@@ -15,6 +15,7 @@ from passwatch.operators.detect import CLASSES, CONF_LEAST, IOU_MOST, kept_boxes
 
 BANDS = ("b2", "b3", "b4", "b8", "b11", "b12")  # fixed values: the six bands in their order
 STRIP = 1 << 18  # pixels of a resized band that a task makes at a time
+ANCHORS = 1 << 16  # boxes that score_tiles() hands over at a time
 #: Simulated bands as (red, green, blue) weights.
 MIXES = {"b8": (0.25, 0.45, 0.30), "b11": (0.80, 0.30, -0.20), "b12": (0.70, 0.20, -0.10)}
 
@@ -161,24 +162,42 @@ def stack_bands(fine: DataFrame, coarse: DataFrame, height: int, width: int, key
 
 
 def batch_tensor(tile: np.ndarray) -> np.ndarray:
-    """(H, W, 6) to (1, 6, H, W) float32."""
-    return np.ascontiguousarray(np.asarray(tile, np.float32).transpose(2, 0, 1)[None])
+    """(H, W, 6) to (1, 6, H, W) float32; several tiles of one size, (N, H, W, 6), to (N, 6, H, W)."""
+    tiles = np.asarray(tile, np.float32)
+    return np.ascontiguousarray((tiles[None] if tiles.ndim == 3 else tiles).transpose(0, 3, 1, 2))
 
 
 def score_tiles(tiles: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], body: str = "bands") -> DataFrame:
     """Run a detector over tile rows (scene_id, h, w, bands as float32 bytes): anchor, cx, cy, w, h, scores of every box.
 
-    `load` makes the model once for each task; it takes a (1, 6, H, W) tensor and returns (1, 4 + classes, N).
+    `load` makes the model once for each task; it takes a (1, 6, H, W) tensor and returns (1, 4 + classes, N). The boxes of many tiles go back
+    at a time, about ANCHORS of them.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(scenes: list[str], raws: list[np.ndarray]) -> pa.RecordBatch:
+        counts = [raw.shape[1] for raw in raws]
+        kinds = np.repeat([raw.shape[0] - 4 for raw in raws], counts)
+        anchors = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+        corners = np.concatenate([raw[:4] for raw in raws], axis=1).astype(np.float32)
+        scores = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(kinds)]).astype(np.int32), pa.array(np.concatenate([raw[4:].T.ravel() for raw in raws]).astype(np.float32)))
+        named = pa.array(scenes, pa.string()).take(pa.array(np.repeat(np.arange(len(scenes)), counts)))
+        return pa.record_batch([named, pa.array(anchors), *(pa.array(c) for c in corners), scores], ["scene_id", "anchor", "cx", "cy", "w", "h", "scores"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                raw = model(batch_tensor(np.frombuffer(getattr(row, body), np.float32).reshape(row.h, row.w, 6)))[0]
-                yield pd.DataFrame({"scene_id": row.scene_id, "anchor": np.arange(raw.shape[1], dtype=np.int32), "cx": raw[0], "cy": raw[1], "w": raw[2], "h": raw[3], "scores": list(raw[4:].T)})
-
-    return tiles.select("scene_id", "h", "w", body).mapInPandas(run, "scene_id string, anchor int, cx float, cy float, w float, h float, scores array<float>")
+            scenes, raws, held = [], [], 0
+            for scene, h, w, tile in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                raws.append(model(batch_tensor(np.frombuffer(tile.as_buffer(), np.float32).reshape(h, w, 6)))[0])
+                scenes.append(scene)
+                held += raws[-1].shape[1]
+                if held >= ANCHORS:
+                    yield rows(scenes, raws)
+                    scenes, raws, held = [], [], 0
+            if raws:
+                yield rows(scenes, raws)
+
+    return tiles.select("scene_id", "h", "w", body).mapInArrow(run, "scene_id string, anchor int, cx float, cy float, w float, h float, scores array<float>")
 
 
 def detect_tiles(tiles: DataFrame, load: Callable[[], Callable[[np.ndarray], np.ndarray]], conf_least: float = CONF_LEAST, iou_most: float = IOU_MOST, clock: Callable[[], float] = time.perf_counter) -> DataFrame:

@@ -85,12 +85,16 @@ CELLS = f"""cells AS (SELECT scene_no || '_' || CAST(y // 80 AS INT) || '_' || C
 
 
 def tile_frames(m):
-    """scene_id, h, w, bands: pixels as 8 x 8 tiles of float32 bytes, in whole 256ths; an empty cell is dark."""
+    """scene_id, h, w, bands: pixels as 8 x 8 tiles of float32 bytes, in whole 256ths; an empty cell is dark.
+
+    Pixels are dealt by tile once; their cells and tiles are made where they lie.
+    """
+    tile = ("scene_no", "ty", "tx")
     cell = [(F.col("y") / 80).cast("int").alias("ty"), (F.col("x") / 80).cast("int").alias("tx"), (F.col("y") / 10 % 8).cast("int").alias("py"), (F.col("x") / 10 % 8).cast("int").alias("px")]
-    grid = m.pixels.groupBy("scene_no", *cell).agg(*[(F.floor(F.avg(b) * 256 + 1e-9) / 256).alias(b) for b in BANDS])
-    tiles = grid.groupBy("scene_no", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct(F.col("py") * 8 + F.col("px"), F.array(*BANDS)))).alias("cells"))
-    dense = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.get(F.array(F.col("cells")[i]), F.lit(0)), F.array(*[F.lit(0.0)] * 6))))
-    return packed(tiles.select(F.concat_ws("_", F.col("scene_no").cast("string"), F.col("ty").cast("string"), F.col("tx").cast("string")).alias("scene_id"), dense.alias("values")))
+    dealt = m.pixels.select("scene_no", *cell, *BANDS).repartition(*tile)
+    grid = dealt.groupBy(*tile, "py", "px").agg(*[F.floor(F.avg(b) * 256 + 1e-9).alias(b) for b in BANDS])
+    tiles = grid.groupBy(*tile).agg(F.collect_list(F.struct((F.col("py") * 8 + F.col("px")).alias("at"), *BANDS)).alias("cells"))
+    return packed(tiles.select(F.concat_ws("_", F.col("scene_no").cast("string"), F.col("ty").cast("string"), F.col("tx").cast("string")).alias("scene_id"), "cells"))
 
 
 @query(f"""WITH {CELLS} SELECT scene_id, CAST(b AS INT) AS band_no, sum([{", ".join(BANDS)}][b + 1] * (py * 8 + px))::BIGINT AS place, sum([{", ".join(BANDS)}][b + 1])::BIGINT AS total
@@ -103,23 +107,31 @@ def batch_tensor(m):
         import pandas as pd
 
         for b in batches:
-            for row in b.itertuples(index=False):
-                plane = np.rint(raster.batch_tensor(np.frombuffer(row.bands, np.float32).reshape(row.h, row.w, 6))[0].reshape(6, -1) * 256).astype(np.int64)
-                yield pd.DataFrame({"scene_id": row.scene_id, "band_no": np.arange(6, dtype=np.int32), "place": plane @ np.arange(plane.shape[1]), "total": plane.sum(axis=1)})
+            sizes = pd.Series(list(zip(b.h, b.w)))
+            for (h, w), at in sizes.groupby(sizes).groups.items():  # tiles of one size are one tensor
+                tiles = np.stack([np.frombuffer(v, np.float32).reshape(h, w, 6) for v in b.bands.iloc[at]])
+                plane = np.rint(raster.batch_tensor(tiles).reshape(len(at), 6, -1) * 256).astype(np.int64)
+                yield pd.DataFrame({"scene_id": np.repeat(b.scene_id.iloc[at].to_numpy(object), 6), "band_no": np.tile(np.arange(6, dtype=np.int32), len(at)), "place": (plane @ np.arange(h * w)).ravel(), "total": plane.sum(axis=2).ravel()})
 
     return tile_frames(m).mapInPandas(planes, "scene_id string, band_no int, place long, total long")
 
 
-def packed(frames):
-    """Float arrays as float32 bytes."""
+def packed(tiles):
+    """cells (place in an 8 x 8 tile, six bands in 256ths) as float32 bytes; a batch of tiles is one array."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     def pack(batches):
         for b in batches:
-            yield pd.DataFrame({"scene_id": b.scene_id, "h": 8, "w": 8, "bands": [np.asarray(v, np.float32).tobytes() for v in b["values"]]})
-
-    return frames.mapInPandas(pack, "scene_id string, h int, w int, bands binary")
+            cells, n = b.column("cells"), len(b)
+            held = cells.flatten()
+            of = np.repeat(np.arange(n), np.diff(cells.offsets.to_numpy()))
+            values = np.zeros((n * 64, 6), np.float32)
+            values[of * 64 + held.field("at").to_numpy()] = np.stack([held.field(c).to_numpy() for c in BANDS], axis=1) / 256
+            bands = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (64 * 6 * 4)), pa.py_buffer(values)])
+            yield pa.record_batch([b.column("scene_id"), *(pa.array(np.full(n, 8, np.int32)) for _ in "hw"), bands], ["scene_id", "h", "w", "bands"])
+
+    return tiles.mapInArrow(pack, "scene_id string, h int, w int, bands binary")
 
 
 def _mean_detector():
