@@ -87,9 +87,9 @@ def write_tiles(m):
 
 
 def array_files(m) -> str:
-    """A folder with an array file for each tile of the scenes."""
+    """A folder of archives with an array file for each tile of the scenes."""
     folder = place(m.spark)
-    tile_files.write_npy(rasters.tile_frames(m), folder).count()
+    tile_files.write_npz(rasters.tile_frames(m), folder).count()
     return folder
 
 

@@ -1,5 +1,7 @@
 """Tiles by batches: no frame, file or shuffle for each tile."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -7,6 +9,8 @@ import pyarrow as pa
 from passwatch.adapters import Model
 from passwatch.operators import raster
 from passwatch.queries import rasters
+from passwatch.queries import sources as queries
+from passwatch.sources import tiles as sources
 from tests.oracle import SF
 
 
@@ -44,3 +48,31 @@ def test_tensor_of_several_tiles():
 def test_pixels_are_dealt_to_tiles_once(spark):
     frames = rasters.tile_frames(Model(spark, SF))
     assert frames._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_archives_of_tiles(spark, tmp_path):
+    """Tiles of several sizes go through archives, of which a damaged one and odd members are named; the driver lists archives, not tiles."""
+    r = np.random.default_rng(7)
+    made = {f"t{k}": r.random((2 + k % 3, 4, 6)).astype(np.float32) for k in range(200)}
+    rows = spark.createDataFrame([(k, *t.shape[:2], t.tobytes()) for k, t in made.items()], "scene_id string, h int, w int, bands binary").repartition(2)
+    folder = tmp_path / "tiles"
+    written = sources.write_npz(rows, f"file://{folder}", size=20_000)
+    for _ in range(2):  # a task that is run again writes the same files
+        assert {x.scene_id for x in written.collect()} == set(made)
+        assert len(list(folder.glob("*"))) == len({x.path for x in written.collect()}) <= 6
+    some = sorted(folder.glob("*.npz"))[0]
+    (folder / "cut.npz").write_bytes(some.read_bytes()[:-40])
+    np.savez(folder / "odd.npz", flat=np.zeros((4, 6)), text=np.full((1, 1, 6), "x"))
+    np.save(folder / "single.npy", np.ones((2, 2, 6)))
+    good, bad = sources.decode_tiles(sources.scan_tiles(spark, f"file://{folder}"))
+    got = {x.scene_id: x for x in good.collect()}
+    assert set(got) == {*made, "single"} and good.count() == 201
+    for k, t in made.items():
+        assert (np.frombuffer(got[k].bands, np.float32).reshape(got[k].h, got[k].w, 6) == t).all()
+    assert {x.path.rsplit("/", 1)[1] for x in bad.collect()} == {"cut.npz", "odd.npz#flat.npy", "odd.npz#text.npy"}
+
+
+def test_queries_write_few_array_files(spark):
+    folder = queries.array_files(Model(spark, SF))
+    found = list(Path(folder.removeprefix("file://")).iterdir())
+    assert sum(p.suffix in (".npy", ".npz") for p in found) <= 16  # before: one for each of the tiles
