@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +24,7 @@ from passwatch.sources.briefs import SCHEMA
 WATERMARK = "6 hours"
 PASS = "92 minutes"
 EXPIRES = 30 * 24 * 3600  # seconds after which a quiet cell starts anew
+BUCKETS = 1024  # of the scenes of stream_latest()
 BLOCK = 4.0  # degrees of the stored history's partitions
 
 
@@ -62,42 +65,74 @@ def sessions(detections: DataFrame, gap: str = "3 hours", key: str = "cell") ->
 
 
 class Latest(StatefulProcessor):
-    """Holds the time of the newest version of a key and gives out rows that are newer. The state goes when the watermark passes it."""
+    """Holds the times of the newest versions of the scenes of a bucket and gives out rows that are newer. A scene's time goes when the watermark passes it.
+
+    A bucket's times are one table of the state (Arrow's stream format), so that a call to it costs two accesses and not several for each scene.
+    """
 
     def __init__(self, keep_seconds: float) -> None:
         self.keep_ms = int(keep_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "ms long")
+        self.newest = handle.getValueState("newest", "held binary, due long")
+
+    def load(self) -> tuple[pd.Series, int | None]:
+        """The scenes' times, and the time of the bucket's timer."""
+        if not self.newest.exists():
+            return pd.Series([], index=pd.Index([], dtype=object), dtype="int64"), None
+        held, due = self.newest.get()
+        table = pa.ipc.open_stream(held).read_all()
+        return pd.Series(table.column("ms").to_numpy(), index=pd.Index(table.column("scene_id").to_pylist(), dtype=object)), due
+
+    def save(self, times: pd.Series, due: int | None) -> None:
+        """due: the time of the timer that runs, None if there is none."""
+        first = int(times.min()) + self.keep_ms if len(times) else None
+        if due is not None and due != first:
+            self.handle.deleteTimer(due)
+        if first is None:
+            self.newest.clear()
+            return
+        if due != first:
+            self.handle.registerTimer(first)
+        table, sink = pa.table({"scene_id": pa.array(times.index, pa.string()), "ms": pa.array(times.to_numpy(), pa.int64())}), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.newest.update((sink.getvalue().to_pybytes(), first))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(rows)
-        last = frame.sort_values(["ms", "value"]).iloc[-1]
-        before = self.newest.get()[0] if self.newest.exists() else None
-        if before is None or int(last.ms) >= before:
-            if before is not None:
-                self.handle.deleteTimer(before + self.keep_ms)
-            self.newest.update((int(last.ms),))
-            self.handle.registerTimer(int(last.ms) + self.keep_ms)
-            yield pd.DataFrame({"value": [last.value]})
+        last = None
+        for frame in rows:
+            both = frame[["scene_id", "ms", "value"]] if last is None else pd.concat([last, frame[["scene_id", "ms", "value"]]])
+            last = both.sort_values(["scene_id", "ms", "value"]).drop_duplicates("scene_id", keep="last")
+        times, due = self.load()
+        before = times.reindex(last["scene_id"]).to_numpy(float)
+        last = last[np.isnan(before) | (last["ms"].to_numpy(float) >= before)]
+        if len(last):
+            new = pd.Series(last["ms"].to_numpy("int64"), index=pd.Index(last["scene_id"], dtype=object))
+            self.save(pd.concat([times[~times.index.isin(new.index)], new]), due)
+            yield last[["value"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.newest.clear()
+        times, _ = self.load()
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        self.save(times[times + self.keep_ms > passed], None)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def stream_latest(briefs: DataFrame, delay: str = WATERMARK, keep_seconds: float = 6 * 3600) -> DataFrame:
+def stream_latest(briefs: DataFrame, delay: str = WATERMARK, keep_seconds: float = 6 * 3600, buckets: int = BUCKETS) -> DataFrame:
     """The newest brief of each scene, again each time that a newer one comes (update mode): the later brief wins, as when it is remembered.
 
     Of equal times that with the larger JSON text wins within a batch, and the later batch wins between batches. A scene's state goes when the
-    watermark is keep_seconds past its newest brief. Briefs behind the watermark, and without a time, go.
+    watermark is keep_seconds past its newest brief. Briefs behind the watermark, and without a scene or a time, go. The scenes are dealt to so many buckets of state; the
+    number belongs to the checkpoint.
     """
-    packed = briefs.where("ts is not null").withWatermark("ts", delay).select("scene_id", "ts", F.unix_millis("ts").alias("ms"), F.to_json(F.struct(*briefs.columns)).alias("value"))
-    out = packed.groupBy("scene_id").transformWithStateInPandas(Latest(keep_seconds), "value string", "Update", "EventTime")
+    packed = briefs.where("scene_id is not null and ts is not null").withWatermark("ts", delay).select("scene_id", "ts", F.unix_millis("ts").alias("ms"), F.to_json(F.struct(*briefs.columns)).alias("value"))
+    dealt = packed.withColumn("bucket", F.pmod(F.xxhash64("scene_id"), F.lit(buckets)).cast("int"))
+    out = dealt.groupBy("bucket").transformWithStateInPandas(Latest(keep_seconds), "value string", "Update", "EventTime")
     return out.select(F.from_json("value", briefs.schema).alias("b")).select("b.*")
 
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -149,6 +150,32 @@ def test_latest_wins_and_is_forgotten(spark, tmp_path):
         assert go() == ([("z", 0.5, 1)], 1)  # the others are forgotten
 
 
+def test_latest_of_scenes_that_share_a_bucket(spark, tmp_path):
+    """Random briefs of many scenes against a plain model; the state has a row for a bucket, and each scene is forgotten at its own time."""
+    folder, check, r = tmp_path / "in", str(tmp_path / "check"), random.Random(4)
+    newest, want = {}, []
+    with rocks(spark):
+        for k in range(3):
+            rows = [(f"s{r.randrange(30)}", r.randrange(20 * k, 20 * k + 40), round(r.random(), 6)) for _ in range(50)]
+            put(folder, str(k + 1), *[brief(name, m, cloud=c) for name, m, c in rows])
+            batch = {}
+            for name, m, c in rows:
+                text = f"{c}"
+                batch[name] = max(batch.get(name, (m, text)), (m, text))
+            for name, (m, text) in batch.items():
+                if m >= newest.get(name, -1):
+                    newest[name] = m
+                    want.append((k, name, float(text)))
+        put(folder, "4", brief("late", 145, cloud=0.5))  # the watermark goes to minute 135: scenes of minute 75 or before are forgotten
+        made, state = run(stream.stream_latest(stream.stream_briefs(spark, str(folder), 1), "10 minutes", 3600, buckets=2).select("scene_id", "cloud_cover"), "", check, "update")
+        assert sorted(x for x in made if x[1] != "late") == sorted(want)
+        assert max(s["numRowsTotal"] for s in state) <= 2
+        put(folder, "5", brief("s0", 200, cloud=0.25), brief("s1", 136, cloud=0.75))
+        put(folder, "6", brief("s0", 195, cloud=0.5))
+        again, _ = run(stream.stream_latest(stream.stream_briefs(spark, str(folder), 1), "10 minutes", 3600, buckets=2).select("scene_id", "cloud_cover"), "", check, "update")
+        assert sorted(x[1:] for x in again) == [("s0", 0.25), ("s1", 0.75)]
+
+
 def test_windows_and_sessions_merge_over_batches(spark, tmp_path):
     folder = tmp_path / "in"
     put(folder, "1", *at(0, 8, 5))
