@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -220,7 +221,14 @@ def decide_batch(batch: DataFrame, batch_id: int, zones: DataFrame, store: str,
     base = versioned.manifest(spark, store)
     if base["batches"].get(writer, -1) >= batch_id:
         return base["version"]
-    briefs = memory.newest(batch).persist()
+    held = []
+
+    def once(rows: DataFrame) -> DataFrame:
+        """rows, kept while the batch is decided: the store looks at them several times, and decisions read requests and counts."""
+        held.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+        return rows
+
+    briefs = once(memory.newest(batch))
     try:
         at = [F.lit(batch_id).cast("long").alias("batch"), F.lit(base["version"]).cast("long").alias("history_version")]
         scenes = briefs.select("scene_id", "ts", "timestamp_utc", "cloud_cover", F.date_format("ts", layout).alias("date"))
@@ -229,10 +237,11 @@ def decide_batch(batch: DataFrame, batch_id: int, zones: DataFrame, store: str,
         found = found.select("scene_id", "ts", "timestamp_utc", "det_idx", F.concat_ws("#", "scene_id", F.col("det_idx").cast("string")).alias("det_id"), a("type"), F.get("a.lat_lon", F.lit(0)).alias("lat"), F.get("a.lat_lon", F.lit(1)).alias("lon"), a("conf"))
         points = spatial.first_points(found)
         stored = history_near(spark, store, base["version"], points)
-        counts = spatial.capped_count(points, found.limit(0) if stored is None else stored).select(F.col("q_id").alias("scene_id"), F.col("n").alias("history_count"))
+        counts = once(spatial.capped_count(points, found.limit(0) if stored is None else stored).select(F.col("q_id").alias("scene_id"), F.col("n").alias("history_count")))
         if advisories is None:
             advisories = spark.createDataFrame([], "scene_id string, alert_level string, summary string, ovv_trigger boolean, ovv_lat double, ovv_lon double, ovv_priority int, ovv_reason string")
         decisions, requests = mission.mission_cycle(scenes, found, zones, advisories, history=counts)
+        requests, decisions = once(requests), once(decisions)
         keys = briefs.select("scene_id")
         dated = requests.join(scenes.select("scene_id", "date"), "scene_id")
         return versioned.apply(
@@ -248,7 +257,8 @@ def decide_batch(batch: DataFrame, batch_id: int, zones: DataFrame, store: str,
             batch_id,
         )
     finally:
-        briefs.unpersist()
+        for rows in reversed(held):
+            rows.unpersist()
 
 
 def stream_alerts(briefs: DataFrame, zones: DataFrame, store: str, checkpoint: str, advisories: DataFrame | None = None, layout: str = "yyyy-MM-dd"):

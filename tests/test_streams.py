@@ -89,6 +89,25 @@ def test_a_crash_amid_a_batch(spark, tmp_path, monkeypatch):
     assert set(decisions(spark, store)) == {"a"}
 
 
+def test_a_batch_is_decided_once(spark, tmp_path):
+    """The store looks at decisions and requests several times; what they read is read once for each of the two."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def looked_at(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    kinds = "scene_id string, alert_level string, summary string, ovv_trigger boolean, ovv_lat double, ovv_lon double, ovv_priority int, ovv_reason string"
+    advisories = spark.createDataFrame([("a", "ORANGE", "s", True, 8.4, 77.8, 2, "r")], kinds).mapInPandas(looked_at, kinds)
+    put(tmp_path / "in", "1", brief("a", 0, conf=0.3), brief("b", 1, conf=0.9))
+    batch = spark.read.schema(stream.SCHEMA).json(f"{tmp_path}/in").drop("_corrupt_record").withColumn("ts", F.to_timestamp("timestamp_utc"))
+    store = f"file://{tmp_path}/store"
+    stream.decide_batch(batch, 0, zones(spark), store, "w", advisories)
+    assert set(decisions(spark, store)) == {"a", "b"} and [r.scene_id for r in versioned.read(spark, store, "requests").where("source = 'llm'").collect()] == ["a"]
+    assert 0 < seen.value <= 2
+
+
 def test_history_of_the_blocks_in_reach(spark, tmp_path):
     """Pruned reading finds every neighbour, over the edges of blocks."""
     store = f"file://{tmp_path}/store"
