@@ -92,13 +92,13 @@ def region_band_means(boxes: DataFrame, pixels: DataFrame, scene: str = "scene_n
     sums = sums.join(blocks, scene).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
 
     def means(pixel: pa.Table, box: pa.Table) -> pa.Table:
-        ids, pixel, box = box.column("det_id"), pixel.to_pandas(), box.to_pandas()
-        n = pixel[[f"n_{b}" for b in BANDS]].to_numpy(float)
-        total = np.where(n > 0, pixel[[f"s_{b}" for b in BANDS]].to_numpy(float), 0.0)
+        ids, of = box.column("det_id"), lambda table, *names: np.stack([table.column(c).to_numpy() for c in names], axis=1)  # no frames: most tiles are small
+        n = of(pixel, *(f"n_{b}" for b in BANDS)).astype(float)
+        total = np.where(n > 0, of(pixel, *(f"s_{b}" for b in BANDS)), 0.0)
         odd = ~np.isfinite(total)
-        values = np.concatenate([np.where(odd, 0.0, total), n, odd], axis=1) if len(pixel) else np.zeros((0, 18))
-        y, x = (pixel[c].to_numpy(int) for c in ("y", "x"))
-        inner, outer = (box_sums(box[list(c)].to_numpy(int), y, x, values) for c in (("x1", "y1", "x2", "y2"), ("bx1", "by1", "bx2", "by2")))
+        values = np.concatenate([np.where(odd, 0.0, total), n, odd], axis=1)
+        y, x = (pixel.column(c).to_numpy().astype(int) for c in ("y", "x"))
+        inner, outer = (box_sums(of(box, *c).astype(int), y, x, values) for c in (("x1", "y1", "x2", "y2"), ("bx1", "by1", "bx2", "by2")))
         if exclude_target:
             outer = outer - inner
         out = {"det_id": ids}

@@ -1,8 +1,12 @@
 """Band means of boxes against the join of all pixels."""
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from passwatch.operators import spectral
 from passwatch.operators.raster import BANDS
@@ -50,3 +54,27 @@ def test_pixels_meet_boxes_by_shuffle(spark):
     hit = spectral.pixels_in_bbox(boxes, pixels)
     assert "BroadcastHashJoin" not in hit._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.y, r.in_box) for r in hit.collect()) == [(5, True), (100, False)]
+
+
+class Columns:
+    """A table that gives its columns and nothing else."""
+
+    def __init__(self, table):
+        self.column = table.column
+
+
+def test_small_tiles_are_read_without_frames(spark, monkeypatch):
+    caught = []
+    made = PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda self, f, schema: caught.append(f) or made(self, f, schema))
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 2, 2)], "det_id long, scene_no long, x1 int, y1 int, x2 int, y2 int")
+    pixels = spark.createDataFrame([], "scene_no long, y int, x int, " + ", ".join(f"{b} double" for b in BANDS))
+    spectral.region_band_means(boxes, pixels)
+    pixel = {"y": [0, 1, 5], "x": [0, 1, 5]} | {f"{p}_{b}": [1.0, 3.0, 5.0] if p == "s" else [1, 1, 1] for b in BANDS for p in "sn"}
+    pixel["s_b4"], pixel["n_b4"] = [None, 2.0, float("nan")], [0, 1, 1]
+    box = {"det_id": [7, 8], "x1": [0, 3], "y1": [0, 3], "x2": [2, 4], "y2": [2, 4], "bx1": [0, 0], "by1": [0, 0], "bx2": [9, 9], "by2": [9, 9]}
+    found = caught[0](Columns(pa.table(pixel)), Columns(pa.table(box))).to_pydict()
+    assert found["det_id"] == [7, 8] and found["t_b2"] == [2.0, None] and found["g_b2"] == [3.0, 3.0]
+    assert found["t_b4"] == [2.0, None] and all(math.isnan(x) for x in found["g_b4"])
+    none = caught[0](Columns(pa.table({k: pa.array([], pa.float64() if k[0] == "s" else pa.int64()) for k in pixel})), Columns(pa.table(box))).to_pydict()
+    assert none["t_b2"] == [None, None]
