@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -39,11 +39,15 @@ def ovv_dedupe(triggered: DataFrame) -> DataFrame:
     return keyed.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
 
 
+def ovv_asked(advisories: DataFrame) -> DataFrame:
+    """The requests of advisories, each with its 0.01-degree place."""
+    asked = advisories.where("ovv_trigger and ovv_lat is not null and ovv_lon is not null")
+    return asked.select("scene_id", F.col("ovv_lat").alias("lat"), F.col("ovv_lon").alias("lon"), F.coalesce("ovv_reason", F.lit("LLM recommendation")).alias("reason"), F.coalesce("ovv_priority", F.lit(3)).alias("priority"), F.lit(0.0).alias("conf"), F.round("ovv_lat", 2).alias("klat"), F.round("ovv_lon", 2).alias("klon"))
+
+
 def advisory_ovv_anti(advisories: DataFrame, policy: DataFrame) -> DataFrame:
     """Advisory requests whose place the policy hasn't covered."""
-    asked = advisories.where("ovv_trigger and ovv_lat is not null and ovv_lon is not null")
-    rows = asked.select("scene_id", F.col("ovv_lat").alias("lat"), F.col("ovv_lon").alias("lon"), F.coalesce("ovv_reason", F.lit("LLM recommendation")).alias("reason"), F.coalesce("ovv_priority", F.lit(3)).alias("priority"), F.lit(0.0).alias("conf"), F.round("ovv_lat", 2).alias("klat"), F.round("ovv_lon", 2).alias("klon"))
-    return rows.join(policy.select("scene_id", "klat", "klon"), ["scene_id", "klat", "klon"], "left_anti")
+    return ovv_asked(advisories).join(policy.select("scene_id", "klat", "klon"), ["scene_id", "klat", "klon"], "left_anti")
 
 
 def ovv_union(policy: DataFrame, advisory: DataFrame) -> DataFrame:
@@ -53,6 +57,19 @@ def ovv_union(policy: DataFrame, advisory: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def ovv_accepted(triggered: DataFrame, advisories: DataFrame) -> DataFrame:
+    """The rows of ovv_union(p, advisory_ovv_anti(advisories, p)) for p = ovv_dedupe(triggered), which are made once here.
+
+    Both kinds meet at their places: the first detection of a place stays, and an advisory's request where no detection is. All rows of a
+    scene lie in one task from here on, so that numbering, cap and totals need no other shuffle.
+    """
+    place = W.partitionBy("scene_id", F.round("lat", 2), F.round("lon", 2)).orderBy("source_rank", "det_idx")
+    rows = ovv_union(triggered.where("trigger"), ovv_asked(advisories)).repartition("scene_id")
+    met = rows.withColumns({"__r": F.row_number().over(place), "__first": F.first("source_rank").over(place)})
+    free = (F.col("__first") == 1) | F.col("scene_id").isNull()
+    return met.where(F.when(F.col("source_rank") == 0, F.col("__r") == 1).otherwise(free)).drop("__r", "__first")
+
+
 def ovv_number(requests: DataFrame) -> DataFrame:
     """seq and request_id in the order of acceptance, before any cap."""
     order = W.partitionBy("scene_id").orderBy("source_rank", "det_idx")
@@ -67,13 +84,12 @@ def ovv_cap(numbered: DataFrame, most: int = REQUESTS) -> DataFrame:
 
 
 def ovv_requests(zoned: DataFrame, history: DataFrame | None, advisories: DataFrame) -> DataFrame:
-    policy = ovv_dedupe(ovv_triggers(zoned, history))
-    return ovv_cap(ovv_number(ovv_union(policy, advisory_ovv_anti(advisories, policy))))
+    return ovv_cap(ovv_number(ovv_accepted(ovv_triggers(zoned, history), advisories)))
 
 
-def decision_actions(scenes: DataFrame, requests: DataFrame) -> DataFrame:
-    """scenes (final_alert) with n_requests, first_priority and the actions as one text."""
-    by = requests.groupBy("scene_id").agg(F.count("*").alias("n_requests"), F.min("priority").alias("first_priority"))
+def decision_actions(scenes: DataFrame, requests: DataFrame, *also: Column) -> DataFrame:
+    """scenes (final_alert) with n_requests, first_priority and the actions as one text. also: other aggregates of a scene's requests."""
+    by = requests.groupBy("scene_id").agg(F.count("*").alias("n_requests"), F.min("priority").alias("first_priority"), *also)
     out = scenes.join(by, "scene_id", "left").withColumn("n_requests", F.coalesce("n_requests", F.lit(0)))
     scheduled = F.when(F.col("n_requests") > 0, F.concat(F.lit("OVV scheduled: "), F.col("n_requests").cast("string"), F.lit(" request(s) (priority "), F.col("first_priority").cast("string"), F.lit(")")))
     sent = F.when(F.col("final_alert").isin("ORANGE", "RED"), F.concat(F.lit("Alert dispatched: "), "final_alert"))
