@@ -36,7 +36,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     docs = docs.select(*COLUMNS).withColumn("__key", F.struct(unnamed.alias("unnamed"), F.coalesce("doc_id", F.xxhash64(*COLUMNS)).alias("id")))
     prints = written(simhash.fingerprints(docs, "text", ["__key"], width=3), "prints")
     first = lambda groups: groups.where("component_id = __key").select("__key").distinct()
-    least = first(simhash.grouped(prints, "__key", budget=2)).join(first(simhash.near(docs, "__key", "text", width=5, similarity=0.8)), "__key")
+    near = first(simhash.near(docs, "__key", "text", width=5, similarity=0.8))
+    least = written(first(simhash.grouped(prints, "__key", budget=2)).join(near.hint("merge"), "__key"), "least")
     kept = docs.join(least, "__key", "left_semi")
     return kept.where(~unnamed).select(*COLUMNS).unionByName(kept.where(unnamed).select(*COLUMNS).distinct())
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Texts are handed to a kernel in slices of about this many bytes, so that a task's memory follows the slice and the
 #: longest text, not the partition.
 SLICE_BYTES = 1 << 20
+#: Edges that a task of components() holds at once.
+EDGES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,31 +156,39 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating stars. edges: long columns a, b; loops and repeats do no harm.
 
     Returns node, root with one row for each node that has an edge to another; root is the smallest node of its component.
-    Every round writes its edges to the shared folder. Each partition first replaces its own edges by a spanning star,
-    which keeps the components and leaves few rounds; minima are combined before their shuffle and the joins carry only
-    ids, so that AQE can split the edges of a node with very many of them. Empty edges give an empty result.
+    Every round writes its edges to the shared folder. Each partition then replaces its own edges by a spanning star,
+    which keeps the components and leaves few rounds, and none where the edges fill one partition only: a round is jobs and plans
+    that the driver has to hold. The rounds end when the edges are stars. Minima are combined before their shuffle and the joins carry only
+    ids, by merging, so that AQE can split the edges of a node with very many of them and no rows pass the driver. Empty edges give an empty result.
     """
 
     def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 2
         for batch in batches:
-            yield pa.record_batch(star_of(batch.column(0).to_numpy(), batch.column(1).to_numpy()), ["a", "b"])
-
-    def stars(batch_a: DataFrame) -> DataFrame:
-        return batch_a.mapInArrow(spanning, "a long, b long")
-
-    cur = written(stars(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")).distinct(), "edges")
-    seen = None
+            held = [np.concatenate([x, y.to_numpy()]) for x, y in zip(held, batch.columns)]
+            if len(held[0]) >= EDGES:
+                held = star_of(*held)
+            if len(held[0]) >= EDGES // 2:  # still: the next edges begin anew, so that a task holds so many at most
+                yield pa.record_batch(held, ["a", "b"])
+                held = [x[:0] for x in held]
+        yield pa.record_batch(star_of(*held), ["a", "b"])
+
+    def stars(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(spanning, "a long, b long")
+
+    cur = written(stars(stars(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")).distinct()), "edges")
     while True:
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen or not now[0]:
-            return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = tuple(now)
+        ends = cur.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(cur.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 or up = 1 and n > 1").isEmpty():
+            out = cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            out._written_at = cur._written_at  # for discard()
+            return out
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        new = written(small, "edges")
+        small = large.join(down.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
+        new = written(stars(small), "edges")
         discard(cur)
         cur = new
 

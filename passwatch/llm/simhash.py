@@ -38,6 +38,7 @@ OFTEN = 1 << 20
 CELLS = 512
 PAIRS_AT_ONCE = 1 << 14
 FEW = 256  # pairs below two nodes that are compared at once
+KEPT = 1 << 12  # pairs that leave across() without a forest
 #: The bits of each byte as eight 8-bit counters of a 64-bit word.
 COUNTERS = np.zeros(256, np.uint64)
 for _bit in range(8):
@@ -131,7 +132,7 @@ def often_met(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndar
     every = max(1, df.count() // SAMPLE)
     some = df.select(F.col(text).alias("__text")).where(F.pmod(F.xxhash64("__text"), F.lit(every)) == 0).dropDuplicates()
     counted = map_arrow(some, shingle, "hash long", "__text").groupBy("hash").count().where("count >= 4")
-    found = counted.orderBy(F.desc("count"), "hash").limit(OFTEN).toPandas()["hash"].to_numpy(np.int64)
+    found = counted.orderBy(F.desc("count"), "hash").limit(OFTEN).select("hash").toArrow()["hash"].to_numpy()
     hashes = np.ascontiguousarray(found[::-1]).view(np.uint64)
     by = np.argsort(hashes)
     return hashes[by], by.astype(np.int32) + 1
@@ -356,8 +357,8 @@ def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def across(num: int, den: int, whole: bool):
     """A kernel from the tasks of in_blocks() to pairs x < y of different roots, none a bucket's first node, that their sizes and cells allow.
 
-    The pairs of a task are looked at PAIRS_AT_ONCE at a time where they lie. With `whole` all that may be links leave it, else those of a spanning
-    forest of the roots, by the shingles that the cells allow beyond those needed.
+    The pairs of a task are looked at PAIRS_AT_ONCE at a time where they lie. With `whole`, or where they are at most KEPT, all that may be links leave it,
+    else those of a spanning forest of the roots, by the shingles that the cells allow beyond those needed; `cut` tells that this left some out.
     """
 
     def pairs(batches):
@@ -376,7 +377,7 @@ def across(num: int, den: int, whole: bool):
             wide = b1 - b0
             total = (a1 - a0) * wide
             ends = np.cumsum(total)
-            held = np.zeros((3, 0), np.int64)
+            held, cut_some = np.zeros((3, 0), np.int64), False
             for lo in range(0, int(ends[-1]), PAIRS_AT_ONCE):
                 at = np.arange(lo, min(lo + PAIRS_AT_ONCE, int(ends[-1])))
                 of = np.searchsorted(ends, at, "right")
@@ -387,15 +388,14 @@ def across(num: int, den: int, whole: bool):
                 i, j = i[ok], j[ok]
                 spare = np.minimum(cells[i], cells[j]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[j]) - shared_needed(n[i], n[j], num, den)
                 held = np.concatenate([held, np.stack([i, j, spare])[:, spare >= 0]], axis=1)
-                if not whole and held.shape[1] > 1 << 17:
-                    held = held[:, forest(own[held[0]], own[held[1]], held[2])]
-                if whole and held.shape[1] > 1 << 17 or lo + PAIRS_AT_ONCE >= int(ends[-1]):
-                    if not whole:
-                        held = held[:, forest(own[held[0]], own[held[1]], held[2])]
+                last = lo + PAIRS_AT_ONCE >= int(ends[-1])
+                if not whole and held.shape[1] > (KEPT if last else 1 << 17):
+                    held, cut_some = held[:, forest(own[held[0]], own[held[1]], held[2])], True
+                if whole and held.shape[1] > 1 << 17 or last:
                     x, y = node[held[0]], node[held[1]]
                     found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
                     held = held[:, :0]
-                    yield pa.record_batch([np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1])], ["x", "y"])
+                    yield pa.record_batch([np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1]), np.full(len(found), cut_some)], ["x", "y", "cut"])
         pa.default_memory_pool().release_unused()  # the worker waits for its next task without what this one held
 
     return pairs
@@ -405,9 +405,9 @@ def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float =
     """key and component_id, the smallest key reachable by links between texts of at least this similarity of shingle sets.
 
     Texts of one set of shingles are one class, whose node is the number of one of its rows. Each bucket's classes are first compared with the
-    bucket's smallest node. Pairs of what these links leave apart are looked at inside tasks, by their cells; a spanning forest of those that may be
-    links is settled by the sets, and again for the groups it leaves, until a forest brings no link. Then all pairs left that may be links are
-    settled, so that none is lost. Groups that no such pair touches are left out of later rounds.
+    bucket's smallest node. Pairs of what these links leave apart are looked at inside tasks, by their cells; those that may be links are settled by
+    the sets, and that ends it where no task has many. Else a task gives a spanning forest of them, and again for the groups it leaves, until a forest
+    brings no link. Then all pairs left that may be links are settled, so that none is lost. Groups that no such pair touches are left out of later rounds.
     """
     num, den = Fraction(str(similarity)).as_integer_ratio()
     often = df.sparkSession.sparkContext.broadcast(often_met(df, text, width))
@@ -420,6 +420,14 @@ def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float =
         lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(buckets.view(np.int64)))
         return pa.record_batch([*batch.columns[:3], digest, pa.array(np.diff(bounds)), cells, lists], ["key", "node", "body", "digest", "n", "cells", "buckets"])
 
+    def labelled(edges: DataFrame, x: str, y: str) -> DataFrame:
+        """classes with the root of each node, written once so that the plans of a round stay small."""
+        root = components(edges, x, y)
+        out = written(classes.join(root.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "labels")
+        discard(root)
+        spent.append(out)
+        return out
+
     def settle(pairs: DataFrame) -> DataFrame:
         sets = whole_sets(df, text, width, rows, pairs)
         out = confirmed(pairs, sets, num, den, "hashes")
@@ -429,33 +437,39 @@ def near(df: DataFrame, key: str, text: str, width: int = 5, similarity: float =
     kind = df.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
     numbered = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("node"), F.xxhash64(text).alias("body"), F.col(text).alias("__text"))
     rows = written(map_arrow(numbered, shingle, f"key {kind}, node long, body long, digest binary, n long, cells binary, buckets array<long>", "__text"), "sets")
+    often.destroy()
     classes = written(rows.groupBy("digest").agg(F.min("key").alias("least"), F.min("node").alias("node"), F.first("n").alias("n")), "classes")
     dealt = rows.join(classes.select("node"), "node", "left_semi").select(F.explode("buckets").alias("bucket"), "node")
     met = written(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(firsts, "bucket long, node long, pivot long"), "met")
     first = written(met.where("node <> pivot").select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), "pairs")
-    some = settle(confirmed(first, rows, num, den, "cells")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    links, spent, active, whole = some, [met, first], None, False
+    some = settle(confirmed(first, rows, num, den, "cells"))
+    spent = [met, first, some]
+    labels, active, whole = labelled(some, "x", "y"), None, False
     while True:
-        root = components(links)
-        named = met.join(classes.select("node", F.col("n").alias("words")), "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # joins of ids alone go by a shuffle: what is broadcast passes the driver, small as it may be
+        named = met.join(labels.select("node", F.col("n").alias("words"), "root").hint("merge"), "node")
         if active is not None:
-            named = named.join(active.join(root, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct(), "root", "left_semi")
+            named = named.join(labels.join(active.hint("merge"), "node", "left_semi").select("root").distinct().hint("merge"), "root", "left_semi")
         apart = named.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where(F.expr("low <> high") & (F.col("size") > (2 if active is None else 1))).select("bucket")
-        open_ = written(named.join(apart, "bucket").select("bucket", "node", "root", "words", "pivot"), "open")
+        open_ = written(named.join(apart.hint("merge"), "bucket").select("bucket", "node", "root", "words", "pivot"), "open")
         cells = rows.select("node", "cells").join(open_.select("node").distinct(), "node", "left_semi")
         dealt = in_blocks(open_.join(cells, "node"), "node", ["node", "root", "words", "pivot", "cells"], block)
-        pairs = written(small_batches(dealt).mapInArrow(across(num, den, whole), "x long, y long").distinct(), "pairs")
+        pairs = written(small_batches(dealt).mapInArrow(across(num, den, whole), "x long, y long, cut boolean").groupBy("x", "y").agg(F.max("cut").alias("cut")), "pairs")
+        spent += [open_, pairs]
+        cut = pairs.agg(F.max("cut")).first()[0]
+        if cut is None:  # no pair left may be a link
+            break
         found = settle(pairs)
-        spent += [open_, pairs, found]
-        links = links.unionByName(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        if whole:
+        spent.append(found)
+        none = found.isEmpty()
+        if not none:
+            labels = labelled(labels.select("node", "root").unionByName(found.select(F.col("x").alias("node"), F.col("y").alias("root"))), "node", "root")
+        if whole or not cut:  # all pairs that might be links are settled
             break
-        whole = found.isEmpty()
+        whole = none
         active = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    root = components(links)
-    grouped_ = classes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = grouped_.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = written(rows.select("key", "digest").join(grouped_.join(least, "root").select("digest", "component_id"), "digest").select(F.col("key").alias(key), "component_id"), "groups")
+    least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = written(rows.select("key", "digest").join(labels.join(least.hint("merge"), "root").select("digest", "component_id").hint("merge"), "digest").select(F.col("key").alias(key), "component_id"), "groups")
     for done in (rows, classes, *spent):
         discard(done)
     return out

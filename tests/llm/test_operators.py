@@ -683,3 +683,25 @@ def test_pipeline_links_by_fingerprints(spark):
     assert (prints[1] ^ prints[2]).bit_count() <= 2
     docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, SF).collect()) == [1, 3]
+
+
+def test_near_copies_take_few_jobs(spark, monkeypatch):
+    """The driver holds every job of a stage: a small table takes few, and a round that leaves no pair out is the last; with forests the groups are the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.sparkContext.setJobGroup("near copies", "")
+    kept = sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, SF).select("doc_id").collect())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near copies")) <= 110
+    monkeypatch.setattr(simhash, "KEPT", 0)
+    assert kept == sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, SF).select("doc_id").collect())
+
+
+def test_components_of_many_partitions(spark, monkeypatch):
+    """A path and a hub dealt over many partitions, whose tasks hold few edges at once."""
+    monkeypatch.setattr(common, "EDGES", 8)
+    r = random.Random(3)
+    path = [r.sample(range(1000), 300)]
+    edges = [(a, b) for p in path for a, b in zip(p, p[1:])] + [(5000 + k, 4000 if k else 3999) for k in range(200)] + [(3999, 4000)]
+    edges = [x if r.random() < 0.5 else x[::-1] for x in edges + edges[:40]]
+    got = found(common.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(23)))
+    assert got == {x: (min(path[0]),) for x in path[0]} | {x: (3999,) for x in [3999, 4000, *range(5000, 5200)]}
