@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -58,12 +60,26 @@ def memory_totals(scenes: DataFrame, detections: DataFrame) -> DataFrame:
     return scenes.agg(F.count("*").alias("total_scenes")).crossJoin(detections.agg(F.count("*").alias("total_anomalies")))
 
 
+def line_of(hit: Callable[[str], Column], pass_number: Column, alert: Column) -> Column:
+    """The text line of a hit, whose columns hit() names."""
+    age = F.when(pass_number > 0, F.concat(pass_number.cast("string"), F.lit(" pass(es) ago"))).otherwise("current pass")
+    told = F.coalesce(F.concat(F.lit(" [ADVISORY: "), alert, F.lit("]")), F.lit(""))
+    return F.concat(F.lit("  • "), F.upper(hit("type")), F.lit(" at ("), fixed(hit("lat"), 4), F.lit("°, "), fixed(hit("lon"), 4), F.lit("°), conf="), percent(hit("conf")), F.lit(", observed "), age, told, F.lit(" ["), display_ts(hit("timestamp_utc"), 10), F.lit("]"))
+
+
 def history_line(hits: DataFrame) -> DataFrame:
     """One text line for each hit (type, lat, lon, conf, pass_number, alert_level, timestamp_utc)."""
-    age = F.when(F.col("pass_number") > 0, F.concat(F.col("pass_number").cast("string"), F.lit(" pass(es) ago"))).otherwise("current pass")
-    alert = F.coalesce(F.concat(F.lit(" [ADVISORY: "), "alert_level", F.lit("]")), F.lit(""))
-    line = F.concat(F.lit("  • "), F.upper("type"), F.lit(" at ("), fixed("lat", 4), F.lit("°, "), fixed("lon", 4), F.lit("°), conf="), percent("conf"), F.lit(", observed "), age, alert, F.lit(" ["), display_ts("timestamp_utc", 10), F.lit("]"))
-    return hits.withColumn("line", line)
+    return hits.withColumn("line", line_of(F.col, F.col("pass_number"), F.col("alert_level")))
+
+
+def summary_lines(n: Column, passes: Column, types: Column, first: Column, last: Column, lines: Column, radius_km: float) -> Column:
+    """The text of the region around (q_lat, q_lon). types: of all hits, newest first; recurring ones stand in the order of first appearance."""
+    often = F.filter(F.array_distinct(types), lambda t: F.size(F.filter(types, lambda x: x == t)) >= 2)
+    recurring = F.when(F.size(often) > 0, F.array_join(often, ", "))
+    head = F.concat(F.lit(f"Regional history (≈{radius_km:.0f}km around ("), fixed("q_lat", 3), F.lit("°, "), fixed("q_lon", 3), F.lit("°)): "), n.cast("string"), F.lit(" anomaly detection(s) across "), passes.cast("string"), F.lit(" orbital pass(es)."))
+    again = F.concat(F.lit("  Recurring object types: "), F.upper(recurring), F.lit("."))
+    seen = F.concat(F.lit("  Observed from "), display_ts(first, 10), F.lit(" to "), display_ts(last, 10), F.lit("."))
+    return F.concat_ws("\n", head, again, seen, lines)
 
 
 def history_text(hits: DataFrame, radius_km: float = 50.0, most_lines: int = 5) -> DataFrame:
@@ -74,12 +90,30 @@ def history_text(hits: DataFrame, radius_km: float = 50.0, most_lines: int = 5)
     first = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("pass_number") < most_lines, F.struct("pass_number", "line")))), lambda x: x["line"]), 1, most_lines)
     types = F.transform(F.array_sort(F.collect_list(F.struct("pass_number", "type"))), lambda x: x["type"])
     by = lined.groupBy(*of_query(hits)).agg(F.count("*").alias("n"), F.count_distinct("scene_id").alias("passes"), F.min("timestamp_utc").alias("a"), F.max("timestamp_utc").alias("z"), first.alias("lines"), types.alias("types"))
-    often = F.filter(F.array_distinct("types"), lambda t: F.size(F.filter("types", lambda x: x == t)) >= 2)
-    by = by.withColumn("recurring_types", F.when(F.size(often) > 0, F.array_join(often, ", ")))
-    head = F.concat(F.lit(f"Regional history (≈{radius_km:.0f}km around ("), fixed("q_lat", 3), F.lit("°, "), fixed("q_lon", 3), F.lit("°)): "), F.col("n").cast("string"), F.lit(" anomaly detection(s) across "), F.col("passes").cast("string"), F.lit(" orbital pass(es)."))
-    again = F.concat(F.lit("  Recurring object types: "), F.upper("recurring_types"), F.lit("."))
-    seen = F.concat(F.lit("  Observed from "), display_ts("a", 10), F.lit(" to "), display_ts("z", 10), F.lit("."))
-    return by.select("q_id", F.concat_ws("\n", head, again, seen, "lines").alias("text"))
+    return by.select("q_id", summary_lines(*map(F.col, ("n", "passes", "types", "a", "z", "lines")), radius_km).alias("text"))
+
+
+def text_of_list(hits: str, radius_km: float, most_lines: int) -> Column:
+    """The text of history_text() from a column of hits, newest first, without alerts."""
+    of, none = F.col(hits), F.lit(None).cast("string")
+    lines = F.transform(F.slice(of, 1, most_lines), lambda d, i: line_of(lambda c: d[c], i, none))
+    return summary_lines(F.size(of), F.size(F.array_distinct(of["scene_id"])), of["type"], F.array_min(of["timestamp_utc"]), F.array_max(of["timestamp_utc"]), lines, radius_km)
+
+
+def shared_texts(queries: DataFrame, detections: DataFrame, radius_km: float = 50.0, limit: int = 20, most_lines: int = 5) -> DataFrame:
+    """queries (q_scene, q_lat, q_lon) that have hits, with the text of history_text() over their newest_near(), without alerts.
+
+    A place's text is made once, from its list. Only a query whose own scene is among the place's newest has a text of its own. No row is made for a
+    query and a hit, and the rows come out by place, so that equal texts stand together and a shuffle's compression holds them about once.
+    """
+    from passwatch.operators import spatial
+
+    asked = spatial.asking(queries)
+    lists = spatial.place_lists(asked, detections, radius_km, limit).withColumn("__newest", F.slice("around", 1, limit))
+    lists = lists.select("q_lat", "q_lon", "around", F.col("__newest")["scene_id"].alias("__scenes"), text_of_list("__newest", radius_km, most_lines).alias("__text"))
+    met = asked.join(lists, ["q_lat", "q_lon"]).withColumn("__own", F.when(F.array_contains("__scenes", F.col("q_scene")), spatial.of_others("around", limit)))
+    met = met.where(F.col("__own").isNull() | (F.size("__own") > 0))
+    return met.select(*queries.columns, F.when(F.col("__own").isNull(), F.col("__text")).otherwise(text_of_list("__own", radius_km, most_lines)).alias("text"))
 
 
 def region_keys(detections: DataFrame, first_n: int = 3) -> DataFrame:

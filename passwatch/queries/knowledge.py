@@ -134,9 +134,9 @@ SELECT scene_id, md5(message) AS digest, CAST(length(message) AS INT) AS n_chars
 def analyst_context(m):
     """Every scene's message; its search vector is that of the vector whose id its ratio names, among all there are."""
     many = m.vectors.count()
-    n = m.vectors.select(F.col("id").alias("vid"), F.col("embedding").alias("q_embedding"))
-    vectors = m.scenes.select(F.col("scene_id").alias("q_id"), (F.col("compression_ratio") * 7919 % many).alias("vid")).join(n, "vid").drop("vid")
-    made = mission.analyst_context(reports.brief_json(briefs(m)).select("scene_id", "json"), m.scenes, m.detections, m.vectors, m.chunks, vectors)
+    searches = m.scenes.select("scene_id", (F.col("compression_ratio") * 7919 % many).alias("q_id"))
+    vectors = m.vectors.select(F.col("id").alias("q_id"), F.col("embedding").alias("q_embedding")).join(searches.select("q_id").distinct(), "q_id", "left_semi")
+    made = mission.analyst_context(reports.brief_json(briefs(m)).select("scene_id", "json"), searches, m.detections, m.vectors, m.chunks, vectors)
     return made.select("scene_id", F.md5(F.col("message").cast("binary")).alias("digest"), F.length("message").alias("n_chars"))
 
 

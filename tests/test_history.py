@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from passwatch.operators import spatial
+from passwatch.operators import memory, spatial
 
 SCHEMA = "scene_id string, det_idx int, det_id long, lat double, lon double, ts timestamp"
 
@@ -84,3 +84,27 @@ def test_lists_of_a_dense_place(spark):
     by = hits.groupBy("q_id").agg(F.count("*").alias("n"), F.min("det_id").alias("least"), F.max("pass_number").alias("last"))
     assert [tuple(r) for r in by.groupBy("n", "last").agg(F.count("*"), F.min("least"), F.max("least")).collect()] == [(20, 19, 40_000, 39_979, 39_980)]
     assert spatial.near_totals(asked_of(rows), rows).groupBy("n").count().collect() == [(39_999, 40_000)]
+
+
+@pytest.mark.parametrize("limit", [20, 2])
+def test_shared_texts(spark, limit):
+    """A text for each place and not for each hit: the same as from the rows of hits, also for scenes among a place's newest, alone there, or everywhere, and without type or time."""
+    d = dated(spark.createDataFrame(clumps(3), SCHEMA)).withColumn("type", F.element_at(F.array(*map(F.lit, ("ship", "harbor", "airplane")), F.lit(None)), (F.col("det_id") % 4 + 1).cast("int")))
+    d = d.withColumns({"conf": F.when(F.col("det_id") % 9 > 0, F.col("det_id") % 100 / 100), "timestamp_utc": F.when(F.col("det_id") % 7 > 0, F.col("timestamp_utc"))}).localCheckpoint()
+    held = d.select("scene_id", "det_id", "type", "lat", "lon", "conf", "timestamp_utc")
+    q = d.select(F.col("det_id").alias("q_id"), F.col("scene_id").alias("q_scene"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), "det_idx").localCheckpoint()
+    want = memory.history_text(spatial.newest_near(q, held, limit=limit).withColumn("alert_level", F.lit(None).cast("string")))
+    got = memory.shared_texts(q, held, limit=limit)
+    assert got.columns == [*q.columns, "text"]
+    texts = {r.q_id: r.text for r in got.collect()}
+    assert texts == {r.q_id: r.text for r in want.collect()}
+    assert any("Recurring" in x for x in texts.values()) and len(texts) > 600 and len(set(texts.values())) > 50
+
+
+def test_texts_of_a_dense_place(spark):
+    """The texts of 40,000 queries of 77 places: no row is made for a query and a hit (there were 800,000)."""
+    rows = dated(spark.range(40_000).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("scene_id"), F.col("id").alias("det_id"), F.lit("ship").alias("type"), (8 + F.col("id") % 7 / 1000).alias("lat"), (77 + F.col("id") % 11 / 1000).alias("lon"), F.lit(0.5).alias("conf"), F.timestamp_seconds(F.col("id")).alias("ts")))
+    texts = memory.shared_texts(rows.select(F.col("scene_id").alias("q_scene"), F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon")), rows.drop("ts"))
+    assert "posexplode" not in texts._jdf.queryExecution().optimizedPlan().toString()
+    by = texts.groupBy("q_lat", "q_lon", "text").count()
+    assert [tuple(r) for r in by.agg(F.sum("count"), F.count("*"), F.count_distinct("q_lat", "q_lon")).collect()] == [(40_000, 77 + 5, 77)]  # five lines are told

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from passwatch.adapters import Model
 from passwatch.operators import policy
 from passwatch.plans import mission
+from passwatch.queries import QUERIES
 from tests.oracle import SF
 
 TRIGGERED = "scene_id string, det_idx int, type string, lat double, lon double, conf double, trigger boolean, reason string, priority int"
@@ -54,3 +55,29 @@ def test_log_of_odd_scenes(spark):
     assert "  Detections    : 4" in logs["a"] and "  Inference     : 12ms on-board" in logs["a"] and "  Compression   : 1,234:1" in logs["a"]
     assert logs["b"][-5:] == ["", "  ACTIONS TAKEN", "─" * 60, "  • No action required — monitoring continued.", "═" * 60]
     assert "  OVV SCHEDULE: None required" in logs["b"] and "  Narrative: No anomalies detected in scene b." in logs["b"]
+
+
+def test_search_vectors_and_hits_do_not_go_to_scenes(spark):
+    """Every scene carried its search vector through joins and a sort, and every region had a row for each of its hits."""
+    plan = QUERIES["analyst_context"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "posexplode(" in x]
+    assert not [x for x in plan if "q_embedding" in x and ("Aggregate" in x or "Join" in x and "LeftSemi" not in x)]
+
+
+def test_context_of_odd_scenes(spark):
+    """A shared search, none, one without a vector, one of a vector that has no product, a scene without an id, and one that comes twice."""
+    briefs = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("d", "D"), (None, "N"), ("e", "E1"), ("e", "E2")], "scene_id string, json string")
+    searches = spark.createDataFrame([("a", 1), ("b", 1), ("d", 9), ("e", 3), (None, 1)], "scene_id string, q_id long")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None)], "id long, embedding array<double>")
+    chunks = spark.createDataFrame([(1, "s", "one", "first"), (2, "s", "two", "second")], "id long, category string, title string, content string")
+    found = [("a", 0, 0, "ship", 8.0, 72.0), ("a", 1, 1, "ship", 8.02, 72.0), ("a", 2, 2, "harbor", 8.8, 72.0), ("a", 3, 3, "harbor", 20.0, 72.0), ("e", 0, 4, "ship", 8.4, 72.0)]
+    detections = spark.createDataFrame([(*x, 0.5, "2024-01-01T00:00:00Z") for x in found], "scene_id string, det_idx int, det_id long, type string, lat double, lon double, conf double, timestamp_utc string")
+    queries = vectors.select(vectors.id.alias("q_id"), vectors.embedding.alias("q_embedding"))
+    got = sorted((str(r.scene_id), r.message) for r in mission.analyst_context(briefs, searches, detections, vectors, chunks, queries, k=1).collect())
+    text = dict(got)
+    assert [s for s, _ in got] == ["None", "a", "b", "c", "d", "e", "e"]
+    assert "[1] one\nfirst" in text["a"] and "[1] one\nfirst" in text["b"] and "second" not in text["a"]
+    assert all("RETRIEVED" not in text[s] for s in ("None", "c", "d", "e"))
+    assert text["a"].count("Regional history") == 2 and text["a"].index("(8.000°, 72.000°)): 1 ") < text["a"].index("(8.800°, 72.000°)): 1 ")
+    assert all("3 anomaly detection(s) across 1 orbital pass(es)" in m for s, m in got if s == "e")
+    assert all("HISTORICAL" not in text[s] for s in ("None", "b", "c", "d"))
